@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from triplake.llm.shared import clean, mixed, runs, sums, word_hashes
 
@@ -88,7 +89,7 @@ def _measure(texts: list[str]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(", ".join(f"{m} long" for m in MEASURES))
+@F.pandas_udf(T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))
 def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = clean(batch)
