@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplake.llm import quality
+from triplake.llm import quality, tokens
 from triplake.llm.shared import table
 
 
@@ -19,8 +19,14 @@ def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_ledger,)}
+    return {f.__name__: f for f in (op7_quality_ledger, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

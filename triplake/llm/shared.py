@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: A word, in Java's and Python's notation: a run without space, tab, line feed, vertical tab, form feed or return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Stands for a null id where rows pass through pandas, which would turn the column to floats.
+NO_ID = -(1 << 63)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
