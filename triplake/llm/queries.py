@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplake.llm import quality, tokens
+from triplake.llm import quality, suffix_tree, tokens
 from triplake.llm.shared import table
 
 
@@ -25,8 +25,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return suffix_tree.scores(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_ledger, op9_token_counts)}
+    return {f.__name__: f for f in (op7_quality_ledger, op9_token_counts, op10_suffix_tree_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
