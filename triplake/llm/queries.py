@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplake.llm import quality, suffix_tree, tokens
+from triplake.llm import mixing, quality, sharding, suffix_tree, tokens
 from triplake.llm.shared import table
 
 
+def op1_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
@@ -31,7 +40,7 @@ def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_ledger, op9_token_counts, op10_suffix_tree_scores)}
+    return {f.__name__: f for f in (op1_minimax_shards, op6_source_mix, op7_quality_ledger, op9_token_counts, op10_suffix_tree_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
