@@ -22,17 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triplake.llm.bitmap import possible
 from triplake.llm.components import components
 from triplake.llm.shared import NO_ID, clean, mixed, runs, word_hashes, written
 
 COLUMNS, ROWS = 10, 2
 SIMILARITY = 80
 STAR_ROUNDS = 3
-#: Slots of the filter that keeps texts without candidates out of shuffles: a table of at most SLOTS / 64 rows.
-SLOTS = 1 << 21
 
 
 def words_of(text: str) -> list[bytes]:
@@ -116,20 +115,12 @@ def buckets(classes: DataFrame) -> DataFrame:
     return written(tables.join(once, "key", "left_semi"), "buckets")
 
 
-def _possible(c: str, ids: DataFrame) -> tuple[DataFrame, Column]:
-    """A bitmap of the ids' hashes, at most SLOTS / 64 rows, and the test of column c against it: true for all of the ids."""
-    slots = ids.select(F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("s"))
-    bits = slots.groupBy(F.expr("s div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits"))
-    return bits, F.expr(f"shiftright(bits, cast(pmod(xxhash64({c}), {SLOTS}) % 64 as int)) & 1 = 1")
-
-
 def compare(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """a, b, shared, joint (sizes of intersection and union of the full shingle sets) of pairs(a, b) of ids of docs(id, text)."""
     pairs = written(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    bits, test = _possible("id", ids)
-    bits = written(bits, "possible")
-    some = docs.select("id", "text").withColumn("word", F.expr(f"pmod(xxhash64(id), {SLOTS}) div 64")).join(F.broadcast(bits), "word").where(test).select("id", "text")
+    near, test = possible(ids, "id")
+    some = near(docs.select("id", "text")).where(test).select("id", "text")
     side = lambda k: some.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
 
