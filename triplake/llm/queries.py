@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplake.llm import lines, minhash, mixing, quality, sharding, suffix_tree, tokens
+from triplake.llm import decontam, lines, minhash, mixing, quality, sharding, suffix_tree, tokens, warc
 from triplake.llm.shared import table
 
 
@@ -15,6 +15,10 @@ def op1_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_benchmark_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -23,6 +27,10 @@ def op4_minhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
 
 
+def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -48,7 +56,7 @@ def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minimax_shards, op3_line_chunks, op4_minhash_duplicates, op6_source_mix, op7_quality_ledger, op9_token_counts, op10_suffix_tree_scores)}
+    return {f.__name__: f for f in (op1_minimax_shards, op2_benchmark_tiles, op3_line_chunks, op4_minhash_duplicates, op5_warc_bundles, op6_source_mix, op7_quality_ledger, op9_token_counts, op10_suffix_tree_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
