@@ -196,3 +196,19 @@ def near_duplicates(docs: DataFrame, width: int, similarity: int = SIMILARITY, c
     out = told.drop("left", "right").join(root, same, "left")
     component = F.when(F.col("id") == NO_ID, F.lit(None)).otherwise(F.coalesce("component_id", "id"))
     return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def near_dedup(docs: DataFrame, width: int = 5, **options) -> DataFrame:
+    """docs with one row of each group of near-duplicates (that of the smallest doc_id), with their own columns.
+
+    Only rows whose doc_id goes, or stands on several rows, are shuffled.
+    """
+    told = near_duplicates(docs, width, **options).where("doc_id is not null")
+    ids = told.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    ids = written(ids.where("not kept or n > 1"), "decided")
+    near, test = possible(ids.select("doc_id"), "doc_id")
+    rows = near(docs)
+    untouched = rows.where(F.coalesce(~test, F.lit(True)) | F.col("doc_id").isNull())
+    touched = rows.where(test & F.col("doc_id").isNotNull()).join(ids.where("not kept"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return untouched.select(*own).unionByName(touched.select(*own))

@@ -71,3 +71,14 @@ def mix(docs: DataFrame, share: float = 1.0, weights: tuple = WEIGHTS, most: flo
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before"))).cast("long")
     met = met.withColumn("part", part)
     return met.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), "epochs", "part")
+
+
+def resample(docs: DataFrame, **options) -> DataFrame:
+    """docs as the mix takes them, with their own columns: a row for each complete epoch, and one more if at least half
+    of the document is in the fractional selection. Rows that share a doc_id share its decision."""
+    told = mix(docs, **options)
+    more = ((F.col("part") > 0) & (2 * F.col("part") >= F.col("size"))).cast("long")
+    copies = told.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("epochs") + more).cast("int").alias("_copies"))
+    met = docs.join(copies.where("_copies > 0"), F.col("doc_id") == F.col("_id"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return met.select(*own, F.explode(F.sequence(F.lit(1), "_copies"))).select(*own)

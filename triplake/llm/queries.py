@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplake.llm import decontam, lines, minhash, mixing, quality, sharding, suffix_tree, tokens, warc
+from triplake.llm import decontam, extraction, lines, minhash, mixing, quality, sharding, suffix_tree, tokens, warc
 from triplake.llm.shared import table
 
 
@@ -44,6 +44,10 @@ def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,7 +60,7 @@ def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minimax_shards, op2_benchmark_tiles, op3_line_chunks, op4_minhash_duplicates, op5_warc_bundles, op6_source_mix, op7_quality_ledger, op9_token_counts, op10_suffix_tree_scores)}
+    return {f.__name__: f for f in (op1_minimax_shards, op2_benchmark_tiles, op3_line_chunks, op4_minhash_duplicates, op5_warc_bundles, op6_source_mix, op7_quality_ledger, op8_main_text, op9_token_counts, op10_suffix_tree_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
