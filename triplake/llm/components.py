@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +30,24 @@ def components(links: DataFrame) -> DataFrame:
         edges = edges.join(side("a"), "a").join(side("b"), "b").select(F.col("a_into").alias("a"), F.col("b_into").alias("b")).where("a <> b")
     if not steps:
         return links.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
-    follow = lambda held, nxt: held.join(nxt.select(F.col("id").alias("into"), F.col("into").alias("_next")), "into", "left").select("id", F.coalesce("_next", "into").alias("into"))
-    roots = reduce(follow, steps[1:], steps[0])
-    # the steps after the first hold only nodes that were still linked; the first holds all
+    # from the last step back: each step's nodes, ever fewer, are followed once
+    roots = steps[-1]
+    for step in reversed(steps[:-1]):
+        on = roots.select(F.col("id").alias("into"), F.col("into").alias("_next"))
+        roots = step.join(on, "into", "left").select("id", F.coalesce("_next", "into").alias("into"))
+    roots = written(roots, "roots")
     least = roots.groupBy("into").agg(F.min("id").alias("component"))
     return roots.join(least, "into").select("id", "component")
+
+
+def joined_components(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """id, component after more links(a, b): only the components that the links touch are joined anew."""
+    if found is None:
+        return written(components(links), "components")
+    of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_c"))
+    met = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
+    more = written(components(met), "joins-of-components")
+    into = more.select(F.col("id").alias("component"), F.col("component").alias("_into"))
+    old = found.join(into, "component", "left").select("id", F.coalesce("_into", "component").alias("component"))
+    new = more.join(found.select("id"), "id", "left_anti")
+    return written(old.unionByName(new.select("id", "component")), "components")

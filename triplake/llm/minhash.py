@@ -7,9 +7,9 @@ part of a shared key and is left out before the combination; that loses nothing.
 Two sets of similarity s share a key with probability (1 - (1 - s ** ROWS) ** COLUMNS) ** 2: 0.9999 at 0.8 for the defaults.
 
 Documents with equal sets are one class and the tables hold classes. Candidates are compared on their full shingle sets,
-made again from the whole texts. In a bucket, members are first compared with one leader (in later rounds, the member with
-most links); members that are then connected need no more comparison. What stays unconnected within a bucket is compared
-pair by pair, unless the triangle inequality of Jaccard distances to the leader rules a link out. Nothing else is skipped.
+made again from the whole texts. In a bucket, members are first compared with one leader (in the second round, the member with most
+links); members that are then connected need no more comparison. Members of other components are then compared with all members of the
+buckets of the same main component, block by block inside the tasks, so that no pair becomes a row and no block grows with a group.
 
 Null texts and texts without words have the empty set and are linked with nothing. Repeated rows are copies. Rows that share a
 doc_id but not the text are linked row by row; a link to the doc_id is one to all of them. A row with a null doc_id links nothing and has a null component. An empty table gives an empty
@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triplake.llm.bitmap import possible
-from triplake.llm.components import components
-from triplake.llm.shared import NO_ID, clean, mixed, runs, word_hashes, written
+from triplake.llm.components import joined_components
+from triplake.llm.shared import NO_ID, clean, mixed, runs, sums, word_hashes, written
 
 COLUMNS, ROWS = 10, 2
 SIMILARITY = 80
-STAR_ROUNDS = 3
+#: Rounds in which members are compared with leaders only; the last round is of blocks.
+STAR_ROUNDS = 2
+BLOCK = 256
 
 
 def words_of(text: str) -> list[bytes]:
@@ -141,47 +143,72 @@ def compare(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return met.mapInPandas(each, "a long, b long, shared long, joint long").distinct()
 
 
+def compare_blocks(groups: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
+    """a, b: links that join components within groups(grp, id, component, main), where main is the group's main component.
+
+    Every member of another component is compared with all members of its group, in blocks of about BLOCK by BLOCK texts: a text
+    goes to as many blocks as the other side has, pairs are never rows, and one link for each text and component comes out.
+    """
+    counts = groups.groupBy("grp").agg(F.count("*").alias("n_all"), F.sum((F.col("component") != F.col("main")).cast("int")).alias("n_rest"))
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    held = groups.join(counts.where("n_rest > 0"), "grp").withColumn("spread", F.xxhash64("id"))
+    own = lambda n: F.pmod("spread", parts(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    rest = held.where("component <> main").select("grp", "id", "component", own("n_rest").alias("i"), each("n_all").alias("j"), F.lit(True).alias("is_left"))
+    all_ = held.select("grp", "id", "component", each("n_rest").alias("i"), own("n_all").alias("j"), F.lit(False).alias("is_left"))
+    near, test = possible(groups.select("id"), "id")
+    texts = near(docs.select("id", "text")).where(test).select("id", "text")
+    ready = rest.unionByName(all_).join(texts, "id")
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts = clean(pdf["text"])
+        sets = [s for a, b in runs(texts) for s in shingle_hashes(texts[a:b], width)]
+        n, ids, comps, left = np.array([len(s) for s in sets]), pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["is_left"].to_numpy()
+        _, place = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(n)
+        right = np.flatnonzero(~left)
+        at = np.concatenate([place[ends[r] - n[r] : ends[r]] for r in right]) if len(right) else place[:0]
+        marks = np.zeros(place.max(initial=-1) + 1, np.int64)
+        out = []
+        for x in np.flatnonzero(left):
+            marks[place[ends[x] - n[x] : ends[x]]] = 1
+            shared = sums(marks[at], n[right])
+            marks[place[ends[x] - n[x] : ends[x]]] = 0
+            linked = (100 * shared >= similarity * (n[x] + n[right] - shared)) & (comps[right] != comps[x])
+            _, first = np.unique(comps[right][linked], return_index=True)
+            out += [(ids[x], ids[y]) for y in right[linked][first]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return ready.groupBy("grp", "i", "j").applyInPandas(block, "a long, b long")
+
+
 def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
     """id, component of the classes(id, n_shingles, left, right) that are linked with another; texts from docs(id, text)."""
     members = buckets(classes)
     linked = F.expr(f"100 * shared >= {similarity} * joint")
     near = f"100 * least(n_shingles, m_shingles) >= {similarity} * greatest(n_shingles, m_shingles)"
     checked = found = None  # pairs compared so far; id, component
-    turn, stars = 0, True  # rounds with leaders, then one of all pairs left
-    while True:
-        held = members
-        if found is not None:
-            degree = checked.where(linked).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-            held = held.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    for turn in range(STAR_ROUNDS + 1):
+        if found is None:
+            held = members.select("*", F.col("id").alias("component"), F.lit(0).alias("degree"))
         else:
-            held = held.select("*", F.col("id").alias("component"), F.lit(0).alias("degree"))
+            degree = checked.where(linked).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+            held = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
         best = F.max(F.struct(F.col("degree"), (-F.col("id")).alias("least"), F.col("component").alias("m_component"), F.col("n_shingles").alias("m_shingles"))).alias("best")
         # buckets that still hold more than one component
         leaders = held.groupBy("key").agg(best, F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
         leaders = leaders.select("key", (-F.col("best.least")).alias("leader"), "best.m_component", "best.m_shingles")
-        if stars:
-            pairs = held.join(leaders, "key").where("component <> m_component").where(near).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-        else:
-            one = F.lit(1.0)
-            far = checked.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("leader")), F.struct(F.col("b").alias("id"), F.col("a").alias("leader")))).alias("p"), (one - F.col("shared") / F.col("joint")).alias("d")).select("p.*", "d")
-            open_ = written(held.join(leaders.select("key", "leader"), "key").join(far, ["id", "leader"], "left").select("key", "id", "component", "n_shingles", "d"), "open")
-            other = open_.select("key", F.col("id").alias("m"), F.col("component").alias("m_component"), F.col("n_shingles").alias("m_shingles"), F.col("d").alias("md"))
-            apart = F.coalesce(F.abs(F.col("d") - F.col("md")) > 1.000001 - similarity / 100, F.lit(False))
-            pairs = open_.join(other, "key").where("id < m and component <> m_component").where(near).where(~apart).select(F.col("id").alias("a"), F.col("m").alias("b"))
-        pairs = pairs.distinct()
+        met = held.join(leaders, "key")
+        if turn == STAR_ROUNDS:
+            groups = met.select(F.col("m_component").alias("grp"), "id", "component", F.col("m_component").alias("main")).distinct()
+            rest = written(compare_blocks(written(groups, "groups"), docs, width, similarity), "links")
+            return joined_components(found, rest)
+        pairs = met.where("component <> m_component").where(near).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         told = written(compare(pairs, docs, width), "compared")
-        n = told.agg(F.count("*"), F.sum(linked.cast("int"))).first()
         checked = told if checked is None else checked.unionByName(told)
-        if n[1]:
-            found = written(components(checked.where(linked).select("a", "b")), "components")
-        elif found is None:
-            found = components(checked.where(linked).select("a", "b"))
-        if not stars:
-            return found
-        turn += 1
-        stars = turn < STAR_ROUNDS and n[0] > 0
+        found = joined_components(found, told.where(linked).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, width: int, similarity: int = SIMILARITY, columns: int = COLUMNS, rows: int = ROWS) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplake.llm import decontam, extraction, lines, minhash, mixing, quality, sharding, suffix_tree, tokens, warc
+from triplake.llm import decontam, extraction, lines, minhash, mixing, quality, sharding, sql, suffix_tree, tokens, warc
 from triplake.llm.shared import table
 
 
@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
