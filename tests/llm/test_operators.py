@@ -134,7 +134,7 @@ def test_tiles_are_greedy():
 # ---- 3 ----
 def test_line_chunks(spark, docs):
     passage = prose(777, 120)
-    more = [(800, prose(10, 70) + "\n" + passage + "\n" + prose(11, 70)), (801, prose(12, 90) + "\n" + passage), (802, None)]
+    more = [(800, prose(2010, 72) + "\n" + passage + "\n" + prose(2011, 70)), (801, prose(2012, 96) + "\n" + passage), (802, None)]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     out = lines.line_dedup(df).collect()
     assert len(out) == df.count()
@@ -248,7 +248,7 @@ def test_warc(spark):
 
 def test_warc_seeks_single_records(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{prose(i, 30)}</p>", None) for i in range(40)], "page_id long, url string, html string, refers_to long").repartition(2)
-    index = warc.write_bundles(pages, str(tmp_path / "w"), frame=2000, bundle=4000)
+    index = warc.write_bundles(pages, str(tmp_path / "w"), frame=1500, bundle=1000)
     assert index.select("bundle").distinct().count() > 2 and index.groupBy("bundle").agg(F.max("frame").alias("f")).agg(F.max("f")).first()[0] > 0
     some = index.where(F.col("record_id").rlike(":(3|17|39):"))
     got = {r.page_id: bytes(r.payload).decode() for r in warc.read_records(some, str(tmp_path / "w")).collect()}

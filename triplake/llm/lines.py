@@ -46,7 +46,7 @@ def repeated(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     hashed = written(hashed, "chunks")
     first = F.min(F.struct("id", "th", "pos")).alias("first")
     again = hashed.groupBy("h", "n").agg(first, F.max(F.struct("id", "th", "pos")).alias("last")).where("first < last").select("h", "n")
-    some = written(hashed.join(again, ["h", "n"], "left_semi").distinct(), "candidates")
+    some = written(hashed.join(again, ["h", "n"], "left_semi"), "candidates")  # no aggregate in its stage, so a hot hash is split
     near, test = possible(some.select("id").distinct(), "id")
     texts = near(docs).where(test).drop("word", "bits")
     open_ = each(texts).select("id", "th", "pos", F.col("c.chunks").alias("chunk")).join(some, ["id", "th", "pos"]).distinct()
