@@ -213,6 +213,23 @@ def test_near_duplicates(spark, docs, width):
     assert sorted(r[0] for r in rows(kept, "doc_id")) == sorted({d for d, c in comp.items() if d == c})
 
 
+@pytest.mark.parametrize("stars", [0, 1])
+def test_blocks_find_what_leaders_miss(spark, monkeypatch, stars):
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", stars)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    base = prose(4000, 120).split(" ")
+    texts = [base]
+    for i in range(24):  # copies of copies: many are linked through others only
+        nxt = list(texts[i // 3])
+        for k in range(4 + i % 5):
+            nxt[(17 * i + 29 * k) % len(nxt)] = f"w{i}x{k}"
+        texts.append(nxt)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    _, comp = brute_components(rows(df, "doc_id", "text"), 2)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 2).collect()} == comp
+    assert 1 < len(set(comp.values())) < 25
+
+
 def test_near_duplicates_edges(spark, empty):
     assert minhash.near_duplicates(empty, 2).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, "")], "doc_id long, text string")
