@@ -171,6 +171,23 @@ def test_line_chunks_against_brute_force(spark, docs):
     assert {k: v for k, v in got.items() if v} == dict(want)
 
 
+def test_every_repeated_run_of_lines_goes(spark):
+    """Passages of 2 to 5 lines between other neighbours, held against all repeated pairs of lines, not against chunked()."""
+    made = [(0, "\n".join("\n".join([prose(5000 + k, 14, 99), *(prose(6000 + 10 * k + i, 12, 99) for i in range(2 + k % 4))]) for k in range(40)))]
+    made += [(1 + k, "\n".join([prose(7000 + k, 13, 99), *(prose(6000 + 10 * k + i, 12, 99) for i in range(2 + k % 4)), prose(8000 + k, 13, 99)])) for k in range(40)]
+    made += [(50, "alone\n\n\nother\n\n\nlast"), (51, None), (52, "")]
+    seen, want = set(), {}
+    for d, t in made:
+        ls, gone = (t or "").split("\n"), set()
+        for i, pair in enumerate(zip(ls, ls[1:], strict=False)):
+            if pair != ("", ""):
+                gone |= {i, i + 1} if pair in seen else set()
+                seen.add(pair)
+        want[d] = (len(gone), None if t is None else "\n".join(x for i, x in enumerate(ls) if i not in gone))
+    got = {r.doc_id: (r.removed_lines, r.text) for r in lines.line_dedup(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want and all(want[1 + k][0] == 2 + k % 4 for k in range(40))
+
+
 # ---- 4 ----
 def shingles(text, width):
     w = (text or "").encode().lower().split()

@@ -1,9 +1,13 @@
-"""Removal of repeated multi-line chunks (operator 3), by DataFrame operations only.
+"""Removal of repeated passages of two or more lines (operator 3), by DataFrame operations only.
 
-A line's rolling hash over itself and the line before decides whether a chunk begins there, so equal passages are cut alike
-wherever they stand. Chunks of two or more lines that occur again anywhere are removed but for the first occurrence (least
-doc_id, then text hash, then place), after their bytes were compared with it. Chunks whose hashes agree and bytes don't are compared among
-themselves in further rounds.
+Every two neighbouring lines that occur together anywhere before (least doc_id, then text hash, then place) are removed, whatever stands
+around them. So every repeated run of two or more lines goes whole, and the first occurrence of every line stays. Two blank lines alone
+are no passage. Bytes are compared with the first occurrence's. Pieces whose hashes agree and bytes don't are compared among themselves
+in further rounds.
+
+`removed_chunks` counts content-defined chunks of two or more lines that repeat an earlier chunk; a text that lost
+lines but no whole chunk counts as one. A chunk begins where, of a line and the SPREAD - 1 lines after it, the second has the least hash: that depends
+on its own lines only, so equal passages are cut alike wherever they stand, and no chunk is one line unless the text is.
 
 A null text stays null, an empty one empty; neither is removed. Rows that repeat a doc_id and its text are treated alike. A null
 doc_id comes first. An empty table gives an empty result. Other columns are ignored.
@@ -17,9 +21,10 @@ from pyspark.sql import functions as F
 from triplake.llm.bitmap import possible
 from triplake.llm.shared import NO_ID, written
 
-#: One line in so many begins a chunk, on average.
+#: One line in so many begins a chunk, on average; at least 3.
 SPREAD = 3
-PRIME, BASE = 2147483647, 1000003
+#: What makes two pieces candidates: hash, lines, and whether it is a chunk or two neighbouring lines.
+KEY = ["h", "n", "whole"]
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -27,40 +32,51 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def _lined(docs: DataFrame, spread: int) -> DataFrame:
+    """docs(..., text) with lines, and starts and sizes of the text's chunks."""
+    rows = _once(docs, "lines", F.split("text", "\n", -1))
+    rows = _once(rows, "marks", F.transform("lines", lambda line: F.xxhash64(line)))
+    others = " and ".join(f"marks[i + 1] < marks[i + {k}]" for k in range(spread) if k != 1)
+    begins = f"i = 0 or i > 1 and i + {spread} <= size(lines) and {others}"
+    rows = _once(rows, "starts", F.expr(f"filter(sequence(0, size(lines) - 1), i -> {begins})")).drop("marks")
+    return rows.withColumn("sizes", F.expr("transform(starts, (s, k) -> coalesce(get(starts, k + 1), size(lines)) - s)"))
+
+
 def chunked(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     """docs(..., text) with n_lines and chunks, the array of the text's chunks in order."""
-    rows = _once(docs, "lines", F.split("text", "\n", -1))
-    rows = _once(rows, "marks", F.transform("lines", lambda line: F.pmod(F.xxhash64(line), F.lit(PRIME))))
-    begins = f"i = 0 or pmod(marks[i - 1] * {BASE} + marks[i], {PRIME}) % {spread} = 0"
-    rows = _once(rows, "starts", F.expr(f"filter(sequence(0, size(lines) - 1), i -> {begins})"))
-    chunk = "array_join(slice(lines, s + 1, coalesce(get(starts, k + 1), size(lines)) - s), '\n')"
-    sizes = F.expr("transform(starts, (s, k) -> coalesce(get(starts, k + 1), size(lines)) - s)")
-    rows = rows.withColumn("n_lines", F.coalesce(F.size("lines"), F.lit(0))).withColumn("sizes", sizes)
-    return _once(rows, "chunks", F.expr(f"transform(starts, (s, k) -> {chunk})")).drop("lines", "marks", "starts")
+    rows = _lined(docs, spread).withColumn("n_lines", F.coalesce(F.size("lines"), F.lit(0)))
+    return _once(rows, "chunks", F.expr("transform(starts, (s, k) -> array_join(slice(lines, s + 1, sizes[k]), '\n'))")).drop("lines", "starts")
+
+
+def pieces(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
+    """id, th, pos, n, whole, h of the chunks of two or more lines, and of every two neighbouring lines, of docs(id, th, text)."""
+    chunks = "filter(transform(starts, (s, k) -> struct(s as pos, sizes[k] as n, true as whole)), c -> c.n > 1)"
+    twos = "transform(filter(sequence(0, size(lines) - 1), i -> i < size(lines) - 1 and (trim(lines[i]) <> '' or trim(lines[i + 1]) <> '')), i -> struct(i as pos, 2 as n, false as whole))"
+    hashed = f"transform(concat({chunks}, {twos}), c -> struct(c.pos, c.n, c.whole, xxhash64(slice(lines, c.pos + 1, c.n)) as h))"
+    return _lined(docs, spread).select("id", "th", F.inline(F.expr(hashed))).toDF("id", "th", "pos", "n", "whole", "h")
 
 
 def repeated(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
-    """id, th, pos, n of the chunks of docs(id, th, text) that repeat an earlier one, byte for byte."""
-    each = lambda rows: chunked(rows, spread).select("id", "th", F.posexplode(F.arrays_zip("sizes", "chunks")).alias("pos", "c")).where("c.sizes > 1")
-    hashed = each(docs).select("id", "th", "pos", F.xxhash64("c.chunks").alias("h"), F.col("c.sizes").alias("n"))
-    hashed = written(hashed, "chunks")
+    """id, th, pos, n, whole of the pieces of docs(id, th, text) that repeat an earlier one, byte for byte."""
+    hashed = written(pieces(docs, spread), "pieces")
     first = F.min(F.struct("id", "th", "pos")).alias("first")
-    again = hashed.groupBy("h", "n").agg(first, F.max(F.struct("id", "th", "pos")).alias("last")).where("first < last").select("h", "n")
-    some = written(hashed.join(again, ["h", "n"], "left_semi").distinct(), "candidates")
+    again = hashed.groupBy(*KEY).agg(first, F.max(F.struct("id", "th", "pos")).alias("last")).where("first < last").select(*KEY)
+    some = written(hashed.join(again, KEY, "left_semi").distinct(), "candidates")
     near, test = possible(some.select("id").distinct(), "id")
-    texts = near(docs).where(test).drop("word", "bits")
-    open_ = each(texts).select("id", "th", "pos", F.col("c.chunks").alias("chunk")).join(some, ["id", "th", "pos"]).distinct()
-    open_ = written(open_, "chunk-texts")
+    places = some.groupBy("id", "th").agg(F.collect_list(F.struct("pos", *KEY)).alias("places"))  # at most two for each line of a document
+    texts = near(docs).where(test).select("id", "th", "text").dropDuplicates(["id", "th"]).join(places, ["id", "th"])
+    texts = _once(texts, "lines", F.split("text", "\n", -1)).select("id", "th", "lines", F.inline("places"))
+    open_ = written(texts.select("id", "th", "pos", *KEY, F.expr("array_join(slice(lines, pos + 1, n), '\n')").alias("chunk")), "piece-texts")
     found = None
     while True:
-        firsts = open_.groupBy("h", "n").agg(F.min(F.struct("id", "th", "pos")).alias("f")).select("h", "n", "f.*")
-        kept = open_.join(firsts, ["h", "n", "id", "th", "pos"], "left_semi").select("h", "n", F.struct("id", "th", "pos").alias("f"), F.col("chunk").alias("f_chunk"))
-        met = open_.join(kept, ["h", "n"]).where(F.struct("id", "th", "pos") != F.col("f"))
+        firsts = open_.groupBy(*KEY).agg(F.min(F.struct("id", "th", "pos")).alias("f")).select(*KEY, "f.*")
+        kept = open_.join(firsts, [*KEY, "id", "th", "pos"], "left_semi").select(*KEY, F.struct("id", "th", "pos").alias("f"), F.col("chunk").alias("f_chunk"))
+        met = open_.join(kept, KEY).where(F.struct("id", "th", "pos") != F.col("f"))
         same = F.col("chunk") == F.col("f_chunk")
-        told = written(met.select("id", "th", "pos", "n", "h", same.alias("same"), F.when(~same, F.col("chunk")).alias("chunk")), "compared")
-        gone = told.where("same").select("id", "th", "pos", "n")
+        told = written(met.select("id", "th", "pos", *KEY, same.alias("same"), F.when(~same, F.col("chunk")).alias("chunk")), "compared")
+        gone = told.where("same").select("id", "th", "pos", "n", "whole")
         found = gone if found is None else found.unionByName(gone)
-        open_ = told.where("not same").select("id", "th", "pos", "chunk", "h", "n")
+        open_ = told.where("not same").select("id", "th", "pos", "chunk", *KEY)
         if open_.isEmpty():
             return found
 
@@ -68,13 +84,16 @@ def repeated(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
 def line_dedup(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     """doc_id, n_lines, removed_chunks, removed_lines and text (what is left) of every row of docs(doc_id, text)."""
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "text")
-    gone = repeated(rows, spread).groupBy("id", "th").agg(F.collect_list("pos").alias("gone"), F.sum("n").alias("gone_lines"))  # at most a document's chunks
+    places = F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(pos, pos + n - 1)"))))  # at most four for each line of a document
+    gone = repeated(rows, spread).groupBy("id", "th").agg(places.alias("gone"), F.greatest(F.lit(1), F.sum(F.col("whole").cast("int"))).cast("int").alias("gone_chunks"))
     gone = written(gone, "removals")
     near, test = possible(gone.select("id"), "id")
     told = near(rows)
-    untouched = told.where(F.coalesce(~test, F.lit(True))).select("id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines"), F.lit(0).alias("removed_chunks"), F.lit(0).cast("long").alias("removed_lines"), "text")
-    touched = chunked(told.where(F.coalesce(test, F.lit(False))).select("id", "th", "text"), spread).join(gone, ["id", "th"], "left")
-    touched = _once(touched, "left", F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.col("gone"))))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.expr("transform(left, i -> chunks[i])"), "\n"))
-    touched = touched.select("id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).alias("removed_chunks"), F.coalesce("gone_lines", F.lit(0)).cast("long").alias("removed_lines"), text.alias("text"))
+    n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines")
+    untouched = told.where(F.coalesce(~test, F.lit(True))).select("id", n_lines, F.lit(0).alias("removed_chunks"), F.lit(0).cast("long").alias("removed_lines"), "text")
+    touched = told.where(F.coalesce(test, F.lit(False))).select("id", "th", "text").join(gone, ["id", "th"], "left")
+    touched = _once(touched, "lines", F.split("text", "\n", -1))
+    touched = _once(touched, "left", F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.expr("transform(left, i -> lines[i])"), "\n"))
+    touched = touched.select("id", n_lines, F.coalesce("gone_chunks", F.lit(0)).alias("removed_chunks"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_lines"), text.alias("text"))
     return untouched.unionByName(touched).select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_lines", "removed_chunks", "removed_lines", "text")
