@@ -369,6 +369,24 @@ def test_main_text_without_article():
     assert extraction.main_text(f"<div id=menu><a href=x>one</a></div><div><p>{text}</p><p>Tiny.</p><p>{text}</p></div><div class=footer>{text}</div>") == f"{text} Tiny. {text}"
 
 
+BODY = "This is the text of a page and it has a good many words that are in all of the texts of this language and so it is kept."
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="site no-sidebar"><p>{}</p></div>', '<div class="has-sidebar"><article><p>{}</p></article></div>', '<div class="elementor-widget"><p>{}</p></div>',
+    '<form id=aspnet><div><p>{}</p></div></form>', '<div class="widget"><article><p>{}</p></article></div>', '<div class="overlay"><main><p>{}</p></main></div>',
+    '<div class="elementor-widget"></div><div class="post-widget"><p>{}</p></div><div class="site-footer"><p>All of the rights to the text of this site and to what is on it are with us.</p></div>',
+    "<svg-icon name=x></svg-icon><p>{}</p>", "<video-player></video-player><p>{}</p>", "<select-box><p>{}</p></select-box>", "<svg width=1 /><p>{}</p>",
+])
+def test_wrappers_do_not_lose_the_article(page):
+    assert extraction.main_text(f"<html><body>{page.format(BODY)}<div class='sidebar'><p>{BODY} No.</p></div></body></html>") == BODY
+
+
+@pytest.mark.parametrize("text", ["これは日本語で書かれた記事の本文であり、" * 3, "Tämä on suomenkielinen teksti, jossa kerrotaan kaupungin uudesta kirjastosta, sen avajaisista sekä rakentamisesta."])
+def test_main_text_without_stop_words(text):
+    assert extraction.main_text(f"<html><body><div class=menu>{text}</div><div><p>{text}</p></div></body></html>") == text
+
+
 # ---- 9 ----
 def test_token_counts(spark, docs):
     public = pytest.importorskip("public_tokenizers")

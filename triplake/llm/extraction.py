@@ -4,6 +4,9 @@ First pass: the page is cut into blocks at block-level tags. Blocks in menus, fo
 class name) and blocks full of links are boilerplate. Among the rest, length and stop-word density decide: blocks with the density of
 running text are content, long ones without are not, short ones stay open. A block inside the page's article or main element is
 content unless its links say otherwise; without running text or length it stays open too.
+A class name whose words are not all of that kind, and a form, only dismiss where all elements of that name hold less than half of the page's
+running text; other class names do so too if an article stands below them, and else their text is no part of that whole. A main element below always lifts such a dismissal, and so does a page that would have no text.
+Where the page declares a language without a stop-word list, or its long blocks hold almost no stop words, length and links decide alone.
 Second pass: an open block takes the label of the nearest decided block of its region (article or rest); at equal distance, and in
 an article without any decided block, it is content if it stands in the article.
 
@@ -23,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHORT, LINKS, DENSE, SPARSE, LONG = 70, 0.5, 0.2, 0.08, 200
+#: Stop words among the words of a page's long blocks below which its language has no list.
+FOREIGN = 0.1
 
 # Element and class names, and common words of English, French, German and Spanish.
 RAW = "script style noscript template svg math iframe object canvas audio video select textarea"
@@ -36,6 +41,10 @@ ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu
 HINTS = set(
     "ad ads adbox adsense advert advertisement advertising alert banner breadcrumb breadcrumbs byline-share captcha comment comments commentlist consent cookie cookies copyright discussion disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+#: Words that make a class name tell about the page: no-sidebar, has-sidebar.
+STATES = set("has hide is no not show with without".split())
+#: Languages with stop words below.
+LISTED = set("de en es fr".split())
 STOP_WORDS = set(
     "a about after all also an and any are as at be because been but by can could did do for from had has have he her his how i if in into is it its just like may me more most my no not now of on one only or other our out over she so some such than that the their them then there these they this to up was we were what when which who will with would you your "
     "au aux avec ce ces cette comme dans de des deux du elle en est et eux fait il ils je la le les leur lui mais même ne nos notre nous on ont ou par pas plus pour qu que qui sa sans se ses son sont sur un une vous y à été "
@@ -44,31 +53,42 @@ STOP_WORDS = set(
 )
 
 _PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + RAW.replace(" ", "|") + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>|<(?P<raw>" + RAW.replace(" ", "|") + r")(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)|<[/a-zA-Z][^>]*\Z|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _PARTS = re.compile(r"[a-z]+")
+_LANGUAGE = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?([a-zA-Z]+)", re.I)
+#: Characters of scripts that put no blanks between words; each counts as three.
+_SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
-def _dismissed(tag: str, rest: str, in_article: bool) -> bool:
-    """Whether an element's name, role or class names mark it as no part of the main text."""
-    if tag in BOILERPLATE or tag == "header" and not in_article:
-        return True
+#: How firmly an element is dismissed: not at all, by a part of a class name or as a form, by a whole class name, for good.
+KEPT, WEAK, FIRM, HARD = range(4)
+
+
+def _dismissed(tag: str, rest: str, in_article: bool) -> tuple[int, str]:
+    """How firmly an element's name, role or class names mark it as no part of the main text, and which name does."""
+    if tag in BOILERPLATE and tag != "form" or tag == "header" and not in_article:
+        return HARD, tag
+    found = (WEAK, tag) if tag == "form" else (KEPT, "")
     if not rest or "=" not in rest and "hidden" not in rest:
-        return False
+        return found
     for m in _ATTRIBUTE.finditer(rest):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES and value != "form" or name == "style" and "display:none" in value.replace(" ", ""):
+            return HARD, name
+        if name == "role" and value == "form":
+            found = max(found, (WEAK, value))
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
             for word in value.split():
                 parts = _PARTS.findall(word)
-                if not HINTS.isdisjoint(parts) or "header" in parts and not in_article:
-                    return True
-    return False
+                hints = [p in HINTS or p == "header" and not in_article for p in parts]
+                if any(hints) and STATES.isdisjoint(parts):
+                    found = max(found, (FIRM if all(hints) else WEAK, word))
+    return found
 
 
 def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
@@ -76,7 +96,9 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     out: list[tuple[str, int, bool, bool]] = []
     text: list[str] = []
     links: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open containers: name, dismissed, article
+    stack: list[tuple[str, bool, bool, int | None]] = []  # open containers: name, dismissed for good, article, place in soft
+    soft: list[list] = []  # elements whose dismissal can be lifted: whether by a part of a name, article below, main below, name
+    within: list[tuple[int, ...]] = []  # for each block, the soft elements around it
     bad = article = in_link = 0
 
     def flush() -> None:
@@ -85,6 +107,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             if whole:
                 linked = len(" ".join(html.unescape(" ".join(links)).split())) if links else 0
                 out.append((whole, linked, bad > 0, article > 0))
+                within.append(tuple(s for *_, s in stack if s is not None))
             text.clear()
             links.clear()
 
@@ -113,7 +136,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             if at >= 0 and tag not in BLOCKS:
                 flush()
             if at >= 0:
-                for _, b, a in stack[at:]:
+                for _, b, a, _ in stack[at:]:
                     bad -= b
                     article -= a
                 del stack[at:]
@@ -122,26 +145,74 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
                 bad -= stack[-1][1]
                 article -= stack[-1][2]
                 stack.pop()
-            dismissed = _dismissed(tag, m["rest"], article > 0)
-            if dismissed and tag not in BLOCKS:
+            how, why = _dismissed(tag, m["rest"], article > 0)
+            if how and tag not in BLOCKS:
                 flush()
-            stack.append((tag, dismissed, tag in ("article", "main")))
-            bad += dismissed
+            if tag in ("article", "main") and not bad:
+                for *_, s in stack:
+                    if s is not None:
+                        soft[s][1 if tag == "article" else 2] = True
+            stack.append((tag, how == HARD, tag in ("article", "main"), len(soft) if how in (WEAK, FIRM) else None))
+            if how in (WEAK, FIRM):
+                soft.append([how == WEAK, False, False, why])
+            bad += how == HARD
             article += tag in ("article", "main")
     flush()
-    return out
+    return _lifted(out, soft, within, foreign(page, out)) if soft else out
+
+
+def _lifted(found: list, soft: list[list], within: list[tuple[int, ...]], unlisted: bool) -> list[tuple[str, int, bool, bool]]:
+    """The blocks, dismissed where an element around them is and nothing lifts that."""
+    labels = [first_label(*b, unlisted) for b in found]
+    running = [len(b[0]) if label else 0 for b, label in zip(found, labels, strict=True)]
+    text = [label or label is None and b[3] for b, label in zip(found, labels, strict=True)]
+    stays = [not (weak or article or main) for weak, article, main, _ in soft]
+    held: dict[str, int] = {}
+    whole = 0
+    for n, around in zip(running, within, strict=True):
+        if n and not any(stays[s] for s in around):
+            whole += n
+            for name in {soft[s][3] for s in around}:
+                held[name] = held.get(name, 0) + n
+    less = [s or not main and 2 * held.get(name, 0) < whole for s, (_, _, main, name) in zip(stays, soft, strict=True)]
+    for out in (less, stays, [False] * len(soft)):  # the last two for pages that would have no text
+        bad = [b[2] or any(out[s] for s in around) for b, around in zip(found, within, strict=True)]
+        if any(t and not b for t, b in zip(text, bad, strict=True)):
+            break
+    else:
+        bad = [b[2] or any(less[s] for s in around) for b, around in zip(found, within, strict=True)]
+    return [(t, n, b, a) for (t, n, _, a), b in zip(found, bad, strict=True)]
+
+
+def _stop_words(words: list[str]) -> int:
+    return sum(w in STOP_WORDS or _EDGES.sub("", w) in STOP_WORDS for w in words)
+
+
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + 2 * len(_SPACELESS.findall(text))
+
+
+def foreign(page: str, found: list[tuple[str, int, bool, bool]]) -> bool:
+    """Whether the page's language has no stop-word list, as declared or by the words of its long blocks."""
+    if not any(not dismissed and not side and _size(text) >= SHORT for text, _, dismissed, side in found):
+        return False  # no label depends on it
+    declared = _LANGUAGE.search(page)
+    if declared and declared[1].lower() not in LISTED:
+        return True
+    words = [w for text, linked, dismissed, _ in found if not dismissed and _size(text) >= SHORT and linked <= LINKS * len(text) for w in text.lower().split()]
+    return _stop_words(words) < FOREIGN * len(words)
 
 
-def first_label(text: str, linked: int, dismissed: bool, in_article: bool) -> bool | None:
+def first_label(text: str, linked: int, dismissed: bool, in_article: bool, unlisted: bool = False) -> bool | None:
     """Content, boilerplate, or None: open."""
     if dismissed or linked > LINKS * len(text):
         return False
-    if len(text) < SHORT:
+    if _size(text) < SHORT:
         return None
-    if in_article:
+    if in_article or unlisted:
         return True
     words = text.lower().split()
-    density = sum(w in STOP_WORDS or _EDGES.sub("", w) in STOP_WORDS for w in words) / len(words)
+    density = _stop_words(words) / len(words)
     if density >= DENSE:
         return True
     if density >= SPARSE:
@@ -151,7 +222,8 @@ def first_label(text: str, linked: int, dismissed: bool, in_article: bool) -> bo
 
 def main_text(page: str) -> str:
     found = blocks(page)
-    labels = [first_label(*b) for b in found]
+    unlisted = foreign(page, found)
+    labels = [first_label(*b, unlisted) for b in found]
     decided = {side: [i for i, b in enumerate(found) if b[3] == side and labels[i] is not None and not b[2]] for side in (True, False)}
     last: dict[bool, int | None] = {True: None, False: None}
     after = {side: iter([*places, None]) for side, places in decided.items()}
