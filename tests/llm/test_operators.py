@@ -403,6 +403,16 @@ def test_token_counts(spark, docs):
     assert tokens.token_counts(df.limit(0), path).count() == 0
 
 
+def test_white_space_before_a_special_string():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    encode = Tokenizer.from_file(path).encode
+    for text in ("a\n\n<|endoftext|>", "a \n<|endoftext|>b\n\n<|endoftext|>", "a\n\nb <|endoftext|>", "x<|endoftext|> y."):
+        assert sum(len(encode(p, add_special_tokens=False)) for p in tokens.pre_tokens(text, path)) == len(encode(text, add_special_tokens=False)), text
+
+
 # ---- 10 ----
 def scored(df, **options):
     return suffix_tree.scores(df, F.crc32(F.col("doc_id").cast("string")) % 7 == 2, **options).collect()

@@ -3,8 +3,8 @@
 A pre-token here is a run without blanks together with the blank or line feed before it. The tokenizer's own splitting
 never joins characters across such a place, so the tokens of a text are the tokens of its pre-tokens. Each distinct
 pre-token is encoded once for the whole corpus; documents meet the counts through their pre-token frequencies. Texts with
-other white space, or runs of it whose splitting depends on their neighbours, are cut by the tokenizer's published pattern
-instead. Special strings in a text are one token, as the library's default has it.
+other white space, runs of it whose splitting depends on their neighbours, or special strings, before which white space is split as at a
+text's end, are cut by the tokenizer's published pattern instead. Special strings in a text are one token, as the library's default has it.
 
 Null or empty texts have 0 bytes and 0 tokens. Repeated rows and repeated doc_ids are counted row by row; a null doc_id
 stays null. An empty table gives an empty result. Other columns are ignored.
@@ -54,8 +54,8 @@ def _tokenizer(path: str):
 def pre_tokens(text: str, path: str) -> list[str]:
     """Pieces of the text whose tokens, counted one by one, are the text's tokens."""
     flat = text.replace("\n", " ")
-    if "   " in flat or flat.endswith("  ") or OTHER_SPACE.search(text):
-        special, pattern = _patterns(path)
+    special, pattern = _patterns(path)
+    if "   " in flat or flat.endswith("  ") or OTHER_SPACE.search(text) or special.search(text):
         parts = special.split(text)
         return [p for i, part in enumerate(parts) for p in ([part] if i % 2 else pattern.findall(part))]
     found = text.replace(" ", "\x01 ").replace("\n", "\x01\n").split("\x01")
