@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -346,6 +347,14 @@ def test_ablation(docs, empty):
     assert quality.ledger(empty).count() == 0 and quality.quality_filter(docs).columns == docs.columns
 
 
+def test_long_texts_are_not_few_words(spark):
+    """The share of distinct words falls with length; a small vocabulary still fails at any length."""
+    make = lambda kinds, n: " ".join(f"w{random.Random(i).randrange(kinds)}" for i in range(n))
+    df = spark.createDataFrame([(1, make(7000, 40000)), (2, make(300, 40000)), (3, make(300, 1900))], "doc_id long, text string")
+    bit = quality.bit("few_distinct_words")
+    assert {r.doc_id: bool(r.fail_bits & bit) for r in quality.ledger(df).collect()} == {1: False, 2: True, 3: True}
+
+
 # ---- 8 ----
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href=/a>Home</a> <a href=/b>News of the day</a></nav>
 <div class="cookie-notice">We use cookies on this site to make it better for all of you and for us.</div>

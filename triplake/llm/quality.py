@@ -23,13 +23,14 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words")
 
-#: Rule name to its SQL test over the measurements; the position is the rule's bit and never changes.
+#: Rule name to its SQL test over the measurements; the position is the rule's bit and never changes. The share of distinct words
+#: falls with length, about as its root: from 2,000 words on the bound of few_distinct_words does so too (a quarter at 2,000).
 RULES = {
     "few_words": "n_words < 20",
     "repeated_windows": "100 * n_repeat_words > 30 * n_words",
     "many_symbols": "10 * n_symbols > n_words",
     "repeated_lines": "2 * n_dup_lines > n_lines",
-    "few_distinct_words": "4 * n_distinct_words < n_words",
+    "few_distinct_words": "4 * n_distinct_words < n_words and n_distinct_words * n_distinct_words < 125 * n_words",
     "odd_word_length": "word_chars < 2 * n_words or word_chars > 14 * n_words",
 }
 #: Policy version to the rules that reject a document.
