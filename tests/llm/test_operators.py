@@ -319,6 +319,21 @@ def test_targets_are_capped(spark, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_null_and_clashing_ids_stay(spark):
+    """No document goes for a null doc_id or for sharing another document's doc_id."""
+    made = [(None, prose(3000 + i, 60), "a") for i in range(30)] + [(7, prose(3100 + i, 60), "a") for i in range(4)] + [(i, prose(3200 + i, 60), "b") for i in range(20)]
+    made += [(7, made[30][1], "a"), (40, made[31][1], "b")]  # a repeated row, and a copy of a text of a clashing id
+    df = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(3)
+    kept = Counter((r.doc_id, r.text) for r in minhash.near_dedup(df).collect())
+    assert set(kept.values()) == {1} and {t for _, t in kept} == {t for _, t, _ in made} and len(kept) == 54
+    whole = mixing.resample(df, weights=(1,), most=1)
+    assert Counter(whole.collect()) == Counter(df.collect())
+    words = Counter()
+    for r in mixing.resample(df, share=0.5, weights=(1,)).collect():
+        words[r.doc_id is None] += len(r.text.split())
+    assert 600 <= words[True] + words[False] <= 2640 and 0 < words[True] < 1800
+
+
 # ---- 7 ----
 def test_quality(docs):
     out = quality.ledger(docs).collect()

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from triplake.llm.bitmap import possible
 from triplake.llm.components import joined_components
+from triplake.llm.mixing import digest
+from triplake.llm.prefix import prefix_sums
 from triplake.llm.shared import NO_ID, clean, mixed, runs, sums, word_hashes, written
 
 COLUMNS, ROWS = 10, 2
@@ -225,17 +227,36 @@ def near_duplicates(docs: DataFrame, width: int, similarity: int = SIMILARITY, c
     return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """docs with `_key`, the doc_id; where one stands on several texts, the least digest keeps it, the others get numbers after all doc_ids."""
+    real = docs.where("doc_id is not null").select("doc_id", digest(F.col("text")).alias("_digest"))
+    clash = written(real.groupBy("doc_id").agg(F.min("_digest").alias("_least"), F.max("_digest").alias("_most")).where("_least < _most"), "clashes")
+    if clash.isEmpty():
+        return docs.withColumn("_key", F.col("doc_id"))
+    others = real.join(clash, "doc_id").where("_digest > _least").select("doc_id", "_digest").distinct().withColumn("one", F.lit(1))
+    last = real.agg(F.max("doc_id")).first()[0]
+    numbers = prefix_sums(others, ["doc_id", "_digest"], {"one": "rank"}, [], "clashing").select(F.col("doc_id").alias("_id"), "_digest", (F.col("rank") + 1 + last).alias("_number"))
+    near, test = possible(clash.select("doc_id"), "doc_id")
+    rows = near(docs)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    untouched = rows.where(F.coalesce(~test, F.lit(True))).select(*own, F.col("doc_id").alias("_key"))
+    touched = rows.where(test).join(numbers, (F.col("doc_id") == F.col("_id")) & (digest(F.col("text")) == F.col("_digest")), "left")
+    return untouched.unionByName(touched.select(*own, F.coalesce("_number", "doc_id").alias("_key")))
+
+
 def near_dedup(docs: DataFrame, width: int = 5, **options) -> DataFrame:
     """docs with one row of each group of near-duplicates (that of the smallest doc_id), with their own columns.
 
+    Rows without a doc_id stay. Different texts of one doc_id are different documents; rows that repeat doc_id and text are one.
     Only rows whose doc_id goes, or stands on several rows, are shuffled.
     """
-    told = near_duplicates(docs, width, **options).where("doc_id is not null")
-    ids = told.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    keyed = told_apart(docs)
+    told = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), width, **options).where("doc_id is not null")
+    ids = told.groupBy(F.col("doc_id").alias("_key")).agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
     ids = written(ids.where("not kept or n > 1"), "decided")
-    near, test = possible(ids.select("doc_id"), "doc_id")
-    rows = near(docs)
-    untouched = rows.where(F.coalesce(~test, F.lit(True)) | F.col("doc_id").isNull())
-    touched = rows.where(test & F.col("doc_id").isNotNull()).join(ids.where("not kept"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    near, test = possible(ids.select("_key"), "_key")
+    rows = near(keyed)
+    untouched = rows.where(F.coalesce(~test, F.lit(True)) | F.col("_key").isNull())
+    touched = rows.where(test & F.col("_key").isNotNull()).join(ids.where("not kept"), "_key", "left_anti").dropDuplicates(["_key"])
     own = [F.col(f"`{c}`") for c in docs.columns]
     return untouched.select(*own).unionByName(touched.select(*own))

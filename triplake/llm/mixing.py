@@ -54,31 +54,44 @@ def targets(sizes: DataFrame, share: float = 1.0, weights: tuple = WEIGHTS, most
     return held.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * rate).alias("target"))
 
 
+def digest(text: Column) -> Column:
+    """The text's MD5 digest; no bytes for a null text."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+
+
 def mix(docs: DataFrame, share: float = 1.0, weights: tuple = WEIGHTS, most: float = MOST_EPOCHS) -> DataFrame:
     """doc_id, size, source_size, target, taken, epochs and part of every row of docs(doc_id, text, source).
 
     taken = epochs * size + part: words of complete epochs, and of the fractional selection.
     """
+    told = _mixed(docs, F.col("doc_id"), [], share, weights, most)
+    return told.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), "epochs", "part")
+
+
+def _mixed(docs: DataFrame, drawn_by: Column, more: list[Column], share: float = 1.0, weights: tuple = WEIGHTS, most: float = MOST_EPOCHS) -> DataFrame:
+    """doc_id, source, size, source_size, target, epochs, part and the further key columns `more` of every row of docs."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = -F.log(uniform(F.col("doc_id"))) / quality(F.coalesce("text", F.lit("")))
-    rows = written(docs.select("doc_id", "source", size.alias("size"), key.alias("key")), "sizes")
+    key = -F.log(uniform(drawn_by)) / quality(F.coalesce("text", F.lit("")))
+    rows = written(docs.select("doc_id", "source", size.alias("size"), key.alias("key"), *more), "sizes")
     told = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, weights, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     told = told.withColumn("epochs", epochs.cast("long")).withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    before = prefix_sums(rows, ["key", "doc_id", "size"], {"size": "before"}, ["source"], "drawn")
+    before = prefix_sums(rows, ["key", "doc_id", "size", *rows.columns[4:]], {"size": "before"}, ["source"], "drawn")
     told = told.withColumnRenamed("source", "_source")
     met = before.join(told, F.col("source").eqNullSafe(F.col("_source")))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before"))).cast("long")
-    met = met.withColumn("part", part)
-    return met.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), "epochs", "part")
+    return met.withColumn("part", part).drop("_source")
 
 
 def resample(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them, with their own columns: a row for each complete epoch, and one more if at least half
-    of the document is in the fractional selection. Rows that share a doc_id share its decision."""
-    told = mix(docs, **options)
+    of the document is in the fractional selection. Rows that share doc_id, source and text share a decision; a null doc_id is an id
+    like others, but draws by its text's digest, so that such rows are drawn one by one."""
+    own_digest = digest(F.col("text"))
+    told = _mixed(docs, F.coalesce(F.col("doc_id").cast("string"), F.hex(own_digest)), [own_digest.alias("digest")], **options)
     more = ((F.col("part") > 0) & (2 * F.col("part") >= F.col("size"))).cast("long")
-    copies = told.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("epochs") + more).cast("int").alias("_copies"))
-    met = docs.join(copies.where("_copies > 0"), F.col("doc_id") == F.col("_id"))
+    copies = told.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("digest").alias("_digest")).agg(F.max(F.col("epochs") + more).cast("int").alias("_copies"))
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (own_digest == F.col("_digest"))
+    met = docs.join(copies.where("_copies > 0"), on)
     own = [F.col(f"`{c}`") for c in docs.columns]
     return met.select(*own, F.explode(F.sequence(F.lit(1), "_copies"))).select(*own)
