@@ -334,6 +334,42 @@ def test_null_and_clashing_ids_stay(spark):
     assert 600 <= words[True] + words[False] <= 2640 and 0 < words[True] < 1800
 
 
+#: Names that the operators use inside, as a caller's columns.
+CLASHING = "word bits n_words word_chars fail_bits n_lines _doc _key _id _copies _digest _possible _word _bits _source copies digest part size epochs id kept n row h component".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Documents with null, equal and repeated ids, whose other columns have the names that operators use inside."""
+    made = [(None, prose(3000 + i, 60), "a") for i in range(6)] + [(7, prose(3100 + i, 60), "a") for i in range(3)] + [(i, prose(3200 + i, 60), "b") for i in range(10, 20)] + [(30, None, None), (31, "", "b"), (32, "x " * 400, "a")]
+    made += [(33, made[12][1], "b"), (34, prose(1, 50) + " " + prose(5000, 40) + " " + prose(2, 50), "b")]
+    rows = [(*r, *[f"{c}{i}" for c in CLASHING]) for i, r in enumerate(made)]
+    rows.append(rows[9])
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    return spark.createDataFrame(rows, schema).repartition(3)
+
+
+def _own(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def test_filters_keep_the_callers_columns(spark, clashing):
+    """near_dedup, decontaminate, resample and quality_filter return the caller's own rows, values and all."""
+    whole = _own(clashing)
+    bench = spark.createDataFrame([(1, prose(5000, 40))], "item_id long, text string")
+    text = lambda rows: Counter((r[0], r[1]) for r in rows)
+    gone = lambda rows: text((whole - rows).elements())
+    found = {
+        "quality": quality.quality_filter(clashing), "near": minhash.near_dedup(clashing), "leaks": decontam.decontaminate(clashing, bench), "mix": mixing.resample(clashing, weights=(1,), most=1),
+    }
+    for df in found.values():
+        assert df.columns == clashing.columns and not _own(df) - whole
+    assert {(d, len((t or "").split())) for d, t in gone(_own(found["quality"]))} == {(30, 0), (31, 0), (32, 400)}
+    assert sorted(gone(_own(found["near"]))) == sorted([(33, prose(3213, 60)), (10, prose(3210, 60))])
+    assert list(gone(_own(found["leaks"]))) == [(34, prose(1, 50) + " " + prose(5000, 40) + " " + prose(2, 50))]
+    assert not gone(_own(found["mix"])) - Counter({(30, None): 1, (31, ""): 1})
+
+
 # ---- 7 ----
 def test_quality(docs):
     out = quality.ledger(docs).collect()

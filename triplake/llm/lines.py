@@ -62,9 +62,8 @@ def repeated(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     first = F.min(F.struct("id", "th", "pos")).alias("first")
     again = hashed.groupBy(*KEY).agg(first, F.max(F.struct("id", "th", "pos")).alias("last")).where("first < last").select(*KEY)
     some = written(hashed.join(again, KEY, "left_semi").distinct(), "candidates")
-    near, test = possible(some.select("id").distinct(), "id")
     places = some.groupBy("id", "th").agg(F.collect_list(F.struct("pos", *KEY)).alias("places"))  # at most two for each line of a document
-    texts = near(docs).where(test).select("id", "th", "text").dropDuplicates(["id", "th"]).join(places, ["id", "th"])
+    texts = possible(some.select("id").distinct(), "id")(docs).where("_possible").select("id", "th", "text").dropDuplicates(["id", "th"]).join(places, ["id", "th"])
     texts = _once(texts, "lines", F.split("text", "\n", -1)).select("id", "th", "lines", F.inline("places"))
     open_ = written(texts.select("id", "th", "pos", *KEY, F.expr("array_join(slice(lines, pos + 1, n), '\n')").alias("chunk")), "piece-texts")
     found = None
@@ -87,11 +86,10 @@ def line_dedup(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     places = F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(pos, pos + n - 1)"))))  # at most four for each line of a document
     gone = repeated(rows, spread).groupBy("id", "th").agg(places.alias("gone"), F.greatest(F.lit(1), F.sum(F.col("whole").cast("int"))).cast("int").alias("gone_chunks"))
     gone = written(gone, "removals")
-    near, test = possible(gone.select("id"), "id")
-    told = near(rows)
+    told = possible(gone.select("id"), "id")(rows)
     n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines")
-    untouched = told.where(F.coalesce(~test, F.lit(True))).select("id", n_lines, F.lit(0).alias("removed_chunks"), F.lit(0).cast("long").alias("removed_lines"), "text")
-    touched = told.where(F.coalesce(test, F.lit(False))).select("id", "th", "text").join(gone, ["id", "th"], "left")
+    untouched = told.where("not _possible").select("id", n_lines, F.lit(0).alias("removed_chunks"), F.lit(0).cast("long").alias("removed_lines"), "text")
+    touched = told.where("_possible").select("id", "th", "text").join(gone, ["id", "th"], "left")
     touched = _once(touched, "lines", F.split("text", "\n", -1))
     touched = _once(touched, "left", F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.expr("transform(left, i -> lines[i])"), "\n"))

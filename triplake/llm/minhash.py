@@ -8,8 +8,9 @@ Two sets of similarity s share a key with probability (1 - (1 - s ** ROWS) ** CO
 
 Documents with equal sets are one class and the tables hold classes. Candidates are compared on their full shingle sets,
 made again from the whole texts. In a bucket, members are first compared with one leader (in the second round, the member with most
-links); members that are then connected need no more comparison. Members of other components are then compared with all members of the
-buckets of the same main component, block by block inside the tasks, so that no pair becomes a row and no block grows with a group.
+links); members that are then connected need no more comparison. Members of other components are then compared with those members of the
+buckets of the same main component that share a bucket with them, block by block inside the tasks, so that no pair becomes a row and no block grows
+with a group.
 
 Null texts and texts without words have the empty set and are linked with nothing. Repeated rows are copies. Rows that share a
 doc_id but not the text are linked row by row; a link to the doc_id is one to all of them. A row with a null doc_id links nothing and has a null component. An empty table gives an empty
@@ -29,7 +30,7 @@ from triplake.llm.bitmap import possible
 from triplake.llm.components import joined_components
 from triplake.llm.mixing import digest
 from triplake.llm.prefix import prefix_sums
-from triplake.llm.shared import NO_ID, clean, mixed, runs, sums, word_hashes, written
+from triplake.llm.shared import NO_ID, aside, clean, mixed, runs, word_hashes, written
 
 COLUMNS, ROWS = 10, 2
 SIMILARITY = 80
@@ -123,8 +124,7 @@ def compare(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """a, b, shared, joint (sizes of intersection and union of the full shingle sets) of pairs(a, b) of ids of docs(id, text)."""
     pairs = written(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    near, test = possible(ids, "id")
-    some = near(docs.select("id", "text")).where(test).select("id", "text")
+    some = possible(ids, "id")(docs.select("id", "text")).where("_possible").select("id", "text")
     side = lambda k: some.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -145,43 +145,67 @@ def compare(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return met.mapInPandas(each, "a long, b long, shared long, joint long").distinct()
 
 
-def compare_blocks(groups: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
-    """a, b: links that join components within groups(grp, id, component, main), where main is the group's main component.
+def compare_blocks(groups: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
+    """a, b: links that join components within groups(grp, id, n_shingles, component, main), where main is the group's main component.
 
-    Every member of another component is compared with all members of its group, in blocks of about BLOCK by BLOCK texts: a text
-    goes to as many blocks as the other side has, pairs are never rows, and one link for each text and component comes out.
+    Members of other components are compared with the members of their group that share a bucket with them. They are dealt by size class
+    (sets of classes that don't touch are too unequal to be linked), then in blocks of about BLOCK by BLOCK: pairs are never rows, a text goes
+    only to the blocks of three classes, and one link for each text and component comes out.
     """
-    counts = groups.groupBy("grp").agg(F.count("*").alias("n_all"), F.sum((F.col("component") != F.col("main")).cast("int")).alias("n_rest"))
+    kind = F.floor(F.log("n_shingles") / float(np.log(101 / similarity))).cast("int")
+    held = groups.withColumn("kind", kind).withColumn("spread", F.xxhash64("id"))
+    rest = F.sum((F.col("component") != F.col("main")).cast("int"))
+    sizes = written(held.groupBy("grp", "kind").agg(F.count("*").alias("n_all"), rest.alias("n_rest")), "group-sizes")
+    other = sizes.select("grp", F.col("kind").alias("o"), F.col("n_all").alias("o_all"), F.col("n_rest").alias("o_rest"))
+    # at most three rows for each group and size class
+    met = written(sizes.join(other, "grp").where("abs(kind - o) <= 1 and (n_rest > 0 or o_rest > 0)"), "group-classes")
     parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    held = groups.join(counts.where("n_rest > 0"), "grp").withColumn("spread", F.xxhash64("id"))
-    own = lambda n: F.pmod("spread", parts(n)).cast("int")
+    own = lambda n: F.pmod("spread", F.greatest(F.lit(1), parts(n))).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
-    rest = held.where("component <> main").select("grp", "id", "component", own("n_rest").alias("i"), each("n_all").alias("j"), F.lit(True).alias("is_left"))
-    all_ = held.select("grp", "id", "component", each("n_rest").alias("i"), own("n_all").alias("j"), F.lit(False).alias("is_left"))
-    near, test = possible(groups.select("id"), "id")
-    texts = near(docs.select("id", "text")).where(test).select("id", "text")
-    ready = rest.unionByName(all_).join(texts, "id")
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = clean(pdf["text"])
+    dealt = held.join(met, ["grp", "kind"])
+    block = ["grp", "k", "i", "l", "j"]
+    left = dealt.where("component <> main").select("grp", F.col("kind").alias("k"), own("n_rest").alias("i"), F.col("o").alias("l"), each("o_all").alias("j"), "id", "component", F.lit(True).alias("is_left"))
+    right = dealt.where("o_rest > 0").select("grp", F.col("o").alias("k"), each("o_rest").alias("i"), F.col("kind").alias("l"), own("n_all").alias("j"), "id", "component", F.lit(False).alias("is_left"))
+    short = lambda c: F.transform(c, lambda v: v.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias(c)
+    texts = possible(groups.select("id"), "id")(docs.select("id", "text")).where("_possible").select("id", "text")
+    ready = left.unionByName(right).join(classes.select("id", "n_shingles", short("left"), short("right")), "id").join(texts, "id")
+
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+        is_left, n, ids, comps = (pdf[c].to_numpy() for c in ("is_left", "n_shingles", "id", "component"))
+        lefts, rights = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        if not len(lefts) or not len(rights):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        one, two = np.stack(pdf["left"]), np.stack(pdf["right"])
+        cands = []
+        for x in lefts:
+            near = (comps[rights] != comps[x]) & (100 * np.minimum(n[rights], n[x]) >= similarity * np.maximum(n[rights], n[x]))
+            ys = rights[near]
+            cands.append(ys[(one[ys] == one[x]).any(axis=1) & (two[ys] == two[x]).any(axis=1)])
+        used = np.unique(np.concatenate([*cands, [x for x, ys in zip(lefts, cands, strict=True) if len(ys)]]).astype(np.int64))
+        if not len(used):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        texts = clean(pdf["text"].iloc[used])
         sets = [s for a, b in runs(texts) for s in shingle_hashes(texts[a:b], width)]
-        n, ids, comps, left = np.array([len(s) for s in sets]), pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["is_left"].to_numpy()
         _, place = np.unique(np.concatenate(sets), return_inverse=True)
-        ends = np.cumsum(n)
-        right = np.flatnonzero(~left)
-        at = np.concatenate([place[ends[r] - n[r] : ends[r]] for r in right]) if len(right) else place[:0]
-        marks = np.zeros(place.max(initial=-1) + 1, np.int64)
+        at = dict(zip(used.tolist(), np.split(place, np.cumsum([len(s) for s in sets])[:-1]), strict=True))
+        marks = np.zeros(place.max() + 1, bool)
         out = []
-        for x in np.flatnonzero(left):
-            marks[place[ends[x] - n[x] : ends[x]]] = 1
-            shared = sums(marks[at], n[right])
-            marks[place[ends[x] - n[x] : ends[x]]] = 0
-            linked = (100 * shared >= similarity * (n[x] + n[right] - shared)) & (comps[right] != comps[x])
-            _, first = np.unique(comps[right][linked], return_index=True)
-            out += [(ids[x], ids[y]) for y in right[linked][first]]
+        for x, ys in zip(lefts.tolist(), cands, strict=True):
+            if not len(ys):
+                continue
+            marks[at[x]] = True
+            met = set()
+            for y in ys.tolist():
+                shared = int(np.count_nonzero(marks[at[y]]))
+                if 100 * shared >= similarity * (n[x] + n[y] - shared) and comps[y] not in met:
+                    met.add(comps[y])
+                    out.append((ids[x], ids[y]))
+            marks[at[x]] = False
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return ready.groupBy("grp", "i", "j").applyInPandas(block, "a long, b long")
+    # a fixed number of partitions: small rows, much work each
+    many = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ready.repartition(many, *block).groupBy(*block).applyInPandas(compared, "a long, b long")
 
 
 def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
@@ -202,8 +226,8 @@ def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int) -> D
         leaders = leaders.select("key", (-F.col("best.least")).alias("leader"), "best.m_component", "best.m_shingles")
         met = held.join(leaders, "key")
         if turn == STAR_ROUNDS:
-            groups = met.select(F.col("m_component").alias("grp"), "id", "component", F.col("m_component").alias("main")).distinct()
-            rest = written(compare_blocks(written(groups, "groups"), docs, width, similarity), "links")
+            groups = met.select(F.col("m_component").alias("grp"), "id", "n_shingles", "component", F.col("m_component").alias("main")).distinct()
+            rest = written(compare_blocks(written(groups, "groups"), classes, docs, width, similarity), "links")
             return joined_components(found, rest)
         pairs = met.where("component <> m_component").where(near).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         if checked is not None:
@@ -228,24 +252,23 @@ def near_duplicates(docs: DataFrame, width: int, similarity: int = SIMILARITY, c
 
 
 def told_apart(docs: DataFrame) -> DataFrame:
-    """docs with `_key`, the doc_id; where one stands on several texts, the least digest keeps it, the others get numbers after all doc_ids."""
-    real = docs.where("doc_id is not null").select("doc_id", digest(F.col("text")).alias("_digest"))
-    clash = written(real.groupBy("doc_id").agg(F.min("_digest").alias("_least"), F.max("_digest").alias("_most")).where("_least < _most"), "clashes")
+    """_doc (the row), text and _key: the doc_id; where one stands on several texts, the least digest keeps it, the others get numbers after all doc_ids."""
+    held = aside(docs, F.col("doc_id").alias("_key"), F.col("text"))
+    real = held.where("_key is not null").select("_key", digest(F.col("text")).alias("_digest"))
+    clash = written(real.groupBy("_key").agg(F.min("_digest").alias("_least"), F.max("_digest").alias("_most")).where("_least < _most"), "clashes")
     if clash.isEmpty():
-        return docs.withColumn("_key", F.col("doc_id"))
-    others = real.join(clash, "doc_id").where("_digest > _least").select("doc_id", "_digest").distinct().withColumn("one", F.lit(1))
-    last = real.agg(F.max("doc_id")).first()[0]
-    numbers = prefix_sums(others, ["doc_id", "_digest"], {"one": "rank"}, [], "clashing").select(F.col("doc_id").alias("_id"), "_digest", (F.col("rank") + 1 + last).alias("_number"))
-    near, test = possible(clash.select("doc_id"), "doc_id")
-    rows = near(docs)
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    untouched = rows.where(F.coalesce(~test, F.lit(True))).select(*own, F.col("doc_id").alias("_key"))
-    touched = rows.where(test).join(numbers, (F.col("doc_id") == F.col("_id")) & (digest(F.col("text")) == F.col("_digest")), "left")
-    return untouched.unionByName(touched.select(*own, F.coalesce("_number", "doc_id").alias("_key")))
+        return held
+    others = real.join(clash, "_key").where("_digest > _least").select("_key", "_digest").distinct().withColumn("_one", F.lit(1))
+    last = real.agg(F.max("_key")).first()[0]
+    numbers = prefix_sums(others, ["_key", "_digest"], {"_one": "_rank"}, [], "clashing").select("_key", "_digest", (F.col("_rank") + 1 + last).alias("_number"))
+    rows = possible(clash.select("_key"), "_key")(held)
+    touched = rows.where("_possible").withColumn("_digest", digest(F.col("text"))).join(numbers, ["_key", "_digest"], "left")
+    own = ["_doc", "text"]
+    return rows.where("not _possible").select(*own, "_key").unionByName(touched.select(*own, F.coalesce("_number", "_key").alias("_key")))
 
 
 def near_dedup(docs: DataFrame, width: int = 5, **options) -> DataFrame:
-    """docs with one row of each group of near-duplicates (that of the smallest doc_id), with their own columns.
+    """docs with one row of each group of near-duplicates (that of the smallest doc_id), with their own columns and values, whatever their names.
 
     Rows without a doc_id stay. Different texts of one doc_id are different documents; rows that repeat doc_id and text are one.
     Only rows whose doc_id goes, or stands on several rows, are shuffled.
@@ -254,9 +277,6 @@ def near_dedup(docs: DataFrame, width: int = 5, **options) -> DataFrame:
     told = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), width, **options).where("doc_id is not null")
     ids = told.groupBy(F.col("doc_id").alias("_key")).agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
     ids = written(ids.where("not kept or n > 1"), "decided")
-    near, test = possible(ids.select("_key"), "_key")
-    rows = near(keyed)
-    untouched = rows.where(F.coalesce(~test, F.lit(True)) | F.col("_key").isNull())
-    touched = rows.where(test & F.col("_key").isNotNull()).join(ids.where("not kept"), "_key", "left_anti").dropDuplicates(["_key"])
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return untouched.select(*own).unionByName(touched.select(*own))
+    rows = possible(ids.select("_key"), "_key")(keyed)
+    touched = rows.where("_possible").join(ids.where("not kept"), "_key", "left_anti").dropDuplicates(["_key"])
+    return rows.where("not _possible").select("_doc").unionByName(touched.select("_doc")).select("_doc.*")

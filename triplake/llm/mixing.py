@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triplake.llm.prefix import prefix_sums
-from triplake.llm.shared import WORD, written
+from triplake.llm.shared import WORD, aside, written
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -90,8 +90,7 @@ def resample(docs: DataFrame, **options) -> DataFrame:
     own_digest = digest(F.col("text"))
     told = _mixed(docs, F.coalesce(F.col("doc_id").cast("string"), F.hex(own_digest)), [own_digest.alias("digest")], **options)
     more = ((F.col("part") > 0) & (2 * F.col("part") >= F.col("size"))).cast("long")
-    copies = told.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("digest").alias("_digest")).agg(F.max(F.col("epochs") + more).cast("int").alias("_copies"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (own_digest == F.col("_digest"))
-    met = docs.join(copies.where("_copies > 0"), on)
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return met.select(*own, F.explode(F.sequence(F.lit(1), "_copies"))).select(*own)
+    copies = told.groupBy("doc_id", "source", "digest").agg(F.max(F.col("epochs") + more).cast("int").alias("copies")).where("copies > 0").alias("c")
+    rows = aside(docs, F.col("doc_id"), F.col("source"), own_digest.alias("digest")).alias("d")
+    keys = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in ("doc_id", "source", "digest")]
+    return rows.join(copies, keys).select("_doc", F.explode(F.sequence(F.lit(1), "copies"))).select("_doc.*")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triplake.llm.shared import clean, mixed, runs, sums, word_hashes
+from triplake.llm.shared import aside, clean, mixed, runs, sums, word_hashes
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -130,5 +130,5 @@ def ablation(rows: DataFrame, policy: str) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, policy: str = "full-1") -> DataFrame:
-    """docs without those that the policy rejects, with their own columns."""
-    return ledger(docs).where(~fails(policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without those that the policy rejects, with their own columns and values, whatever their names."""
+    return ledger(aside(docs, F.col("text"))).where(~fails(policy)).select("_doc.*")

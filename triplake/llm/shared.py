@@ -32,13 +32,29 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that this application writes to."""
+    return f"{shared_folder(spark)}/corpus-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that this application has written there. Results that read it must be stored before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there and a lost executor costs nothing."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df as a table in the run's folder: its lineage ends there and a lost executor costs nothing."""
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def aside(docs: DataFrame, *added: Column) -> DataFrame:
+    """docs as one column `_doc`, so that no name of the caller's meets one of the columns added. `_doc.*` brings them back."""
+    return docs.select(F.struct("*").alias("_doc"), *added)
+
+
 def utf8_size(text: Column) -> Column:
     """Bytes of the text in UTF-8; 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
