@@ -83,3 +83,35 @@ def test_entailment(spark, seed):
     # all rows have their class asserted, so domains and ranges add nothing here: 15 inverses and the two types of x
     assert len(got) == 465 + 15 + 2
     assert entailment.closure({"a": "b", "b": ["c", "d"], "c": "a"}) == [("a", "a"), ("a", "b"), ("a", "c"), ("a", "d"), ("b", "a"), ("b", "b"), ("b", "c"), ("b", "d"), ("c", "a"), ("c", "b"), ("c", "c"), ("c", "d")]
+
+
+def _set(df):
+    got = Counter(tuple(r) for r in df.select("s", "p", "o", "o_kind", "o_type").collect())
+    assert set(got.values()) <= {1}
+    return set(got)
+
+
+def test_entailment_from_rows_equals_that_of_the_graph(seed):
+    """Also with repeated rows, null values and objects that no row describes."""
+    tables = {k: v.unionByName(v.limit(3)) for k, v in seed.items()}
+    tables["eligibility_check"] = tables["eligibility_check"].withColumn("alasan", F.when(F.col("check_id") > 4, F.col("alasan"))).withColumn("penerima_id", F.col("penerima_id") + 5)
+    for mappings in (mapping.MAPPINGS, tuple(m for m in mapping.MAPPINGS if m.id not in ("MAP-PENERIMA", "MAP-KELUARGA")), (*mapping.MAPPINGS, mapping.Mapping("X", "penerima_manfaat", "penduduk", "nik", None, (("nik", "nik", "xsd:string"),)))):
+        graph = mapping.triples(tables, mappings)
+        base, inverse = _set(graph), _set(graph.unionByName(entailment.inverses(graph)))
+        linked = graph.unionByName(entailment.inverses(graph))
+        want = inverse | _set(entailment.domains(linked)) | _set(entailment.ranges(linked))
+        assert _set(entailment.entailed(graph)) == _set(entailment.entailed_tables(tables, mappings)) == want and base < want
+
+
+def test_parents_reach_types_from_rows(seed):
+    parents = {"PenerimaBansos": "Orang", "Penduduk": "Orang", "Orang": ["Makhluk"]}
+    out = _set(entailment.entailed_tables(seed, parents=parents))
+    assert out == _set(entailment.entailed(mapping.triples(seed), parents))
+    assert len([t for t in out if t[2] == scalars.ONTOLOGY + "Makhluk"]) == 25
+
+
+def test_plan_of_the_entailed_graph(seed):
+    """A table's rows are dealt once, narrow; only types are shuffled besides."""
+    plan = entailment.entailed_tables(seed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(kind") == 1 and plan.count("hashpartitioning(s#") == 0
+    assert mapping.triples(seed)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(key") == 7

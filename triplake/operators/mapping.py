@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triplake.functions.scalars import ONTOLOGY, RDF_TYPE, resource
+from triplake.functions.scalars import ONTOLOGY, RDF_TYPE, RESOURCE, encoded, resource
 
 #: Spark types of typed literals.
 SPARK_TYPE = {"xsd:string": "string", "xsd:integer": "bigint", "xsd:decimal": "decimal(38,2)", "xsd:date": "date", "xsd:boolean": "boolean", "xsd:dateTime": "timestamp", "xsd:double": "double", "xsd:float": "float"}
@@ -71,14 +71,73 @@ def triples_of(df: DataFrame, m: Mapping) -> DataFrame:
     return out.where(F.col("s").isNotNull() & F.col("o").isNotNull())
 
 
+@dataclass(frozen=True)
+class Term:
+    """What a row says by one property: a typed literal, a link to a subject of another kind, or its class."""
+
+    prop: str
+    column: str | None = None
+    xsd: str | None = None
+    link: str | None = None
+    cls: str | None = None
+
+
+def terms_by_subject(tables: dict[str, DataFrame], mappings: tuple[Mapping, ...]) -> dict[tuple[str, str, str], list[Term]]:
+    """(table, kind, key) to the terms of all mappings that give its subjects, so that a table is read once for all of them."""
+    found: dict[tuple[str, str, str], list[Term]] = {}
+    for m in mappings:
+        if m.table not in tables:
+            continue
+        have = source(tables[m.table], m).columns
+        own = found.setdefault((m.table, m.kind, m.key), [])
+        own += [Term(RDF_TYPE, cls=m.cls)] if m.cls else []
+        own += [Term(ONTOLOGY + p, c, xsd=t) for p, c, t in m.literals if c in have]
+        own += [Term(ONTOLOGY + p, c, link=kind) for p, kind, c in m.links if c in have]
+    return found
+
+
+def told(df: DataFrame, key: str, terms: list[Term]) -> DataFrame:
+    """key and v, each term's value as text, of the rows with a key. Rows are dealt by key: the one shuffle of a table's triples, and a narrow one."""
+    value = lambda t: F.lit("") if t.cls else lexical(F.col(t.column), t.xsd) if t.xsd else F.col(t.column).cast("string")
+    rows = df.where(F.col(key).isNotNull())
+    return rows.select(F.col(key).cast("string").alias("key"), F.array(*[value(t) for t in terms]).alias("v")).repartition("key")
+
+
+def said_once(rows: DataFrame) -> DataFrame:
+    """key, at, o: each subject's values by the place of their term, once. Repeated rows meet in one task already, so nothing is shuffled."""
+    return rows.select("key", F.posexplode("v").alias("at", "o")).where("o is not null").dropDuplicates(["key", "at", "o"])
+
+
+def picked(values: list, kind: str = "string") -> Column:
+    """The value at the term's place."""
+    return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("at") + 1)
+
+
+def whole_triple(kind: str, terms: list[Term]) -> Column:
+    """s, p, o, o_kind and o_type of a row of said_once; the IRIs are built here, after the distinct."""
+    there = picked([f"{RESOURCE}{t.link}/" if t.link else None for t in terms])
+    cls = picked([ONTOLOGY + t.cls if t.cls else None for t in terms])
+    o = F.coalesce(cls, F.when(there.isNotNull(), F.concat(there, encoded(F.col("o")))), F.col("o"))
+    named = [resource(kind, F.col("key")).alias("s"), picked([t.prop for t in terms]).alias("p"), o.alias("o")]
+    return F.struct(*named, picked(["literal" if t.xsd else "iri" for t in terms]).alias("o_kind"), picked([t.xsd for t in terms]).alias("o_type"))
+
+
+def clash(groups: dict[tuple[str, str, str], list[Term]]) -> bool:
+    """Whether two terms can give one triple, as no term of the fixed mappings can: subjects of one kind with one property."""
+    seen = [(kind, t.prop, t.cls) for (_, kind, _), terms in groups.items() for t in terms]
+    return len(seen) > len(set(seen))
+
+
 def triples(tables: dict[str, DataFrame], mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """M9: all mappings as one graph, each triple once.
 
-    A source's key makes its rows' subjects distinct, so two mappings can only meet on subject templates of one kind that share
-    a predicate; the distinct covers tables with repeated rows as well.
+    A subject's rows meet by its key and its triples are made distinct there. Only mappings that share both the kind of subject
+    and a property need a distinct over whole triples.
     """
-    found = [triples_of(tables[m.table], m) for m in mappings if m.table in tables]
-    return reduce(DataFrame.unionByName, found).dropDuplicates(["s", "p", "o", "o_type"])
+    groups = terms_by_subject(tables, mappings)
+    found = [said_once(told(tables[table], key, terms)).select(whole_triple(kind, terms).alias("t")).select("t.*") for (table, kind, key), terms in groups.items()]
+    graph = reduce(DataFrame.unionByName, found)
+    return graph.dropDuplicates(["s", "p", "o", "o_type"]) if clash(groups) else graph
 
 
 def property_table(df: DataFrame, m: Mapping, prop: str, subject: str, value: str) -> DataFrame:

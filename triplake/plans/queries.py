@@ -114,25 +114,25 @@ register("m9_graph", lambda spark, d: mapping.triples(domain(spark, d)), DOMAIN,
 
 def _with_subclass(spark: SparkSession, d: str) -> DataFrame:
     """The graph, with one type of programme asserted as a subclass, which the mappings never do."""
-    graph = mapping.triples({k: v for k, v in domain(spark, d).items() if k != "transaksi_bansos"})
-    sub = graph.where((F.col("p") == scalars.ONTOLOGY + "namaProgram") & F.col("o").startswith("p")).select("s", F.lit(scalars.RDF_TYPE).alias("p"), F.lit(scalars.ONTOLOGY + "ProgramPKH").alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_type"))
-    return graph.unionByName(sub)
+    tables = domain(spark, d)
+    named = mapping.triples({"program_bansos": tables["program_bansos"]}).where((F.col("p") == scalars.ONTOLOGY + "namaProgram") & F.col("o").startswith("p"))
+    sub = named.select("s", F.lit(scalars.RDF_TYPE).alias("p"), F.lit(scalars.ONTOLOGY + "ProgramPKH").alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_type"))
+    return mapping.triples(tables).unionByName(sub)
 
 
 _O = scalars.ONTOLOGY
-_NOT_T = "SELECT DISTINCT * FROM (" + "\nUNION ALL ".join(triples_sql(m) for m in mapping.MAPPINGS if m.table != "transaksi_bansos") + ")"
 _DOMAIN_OF = [(p, d) for p, (d, _) in entailment.OBJECT_PROPERTIES.items()] + [(p, c) for c, ps in entailment.DATATYPE_DOMAINS.items() for p in ps.split()]
 _values = lambda rows: "(VALUES " + ", ".join(f"('{_O}{a}', '{_O}{b}')" for a, b in rows) + ")"
 _GRAPH = f", graph AS ({GRAPH_SQL}), dom(p, cls) AS {_values(_DOMAIN_OF)}, ran(p, cls) AS {_values([(p, r) for p, (_, r) in entailment.OBJECT_PROPERTIES.items()])}"
 _TYPE = f"'{scalars.RDF_TYPE}' AS p, cls AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_type"
 _INV = f"SELECT o AS s, '{_O}menerimaBansos' AS p, s AS o, o_kind, o_type FROM {{g}} WHERE p = '{_O}disalurkanKepada' UNION ALL SELECT o, '{_O}disalurkanKepada', s, o_kind, o_type FROM {{g}} WHERE p = '{_O}menerimaBansos'"
 _SUB = f"SELECT s, '{scalars.RDF_TYPE}' AS p, '{_O}ProgramBansos' AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_type FROM {{g}} WHERE p = '{scalars.RDF_TYPE}' AND o IN ('{_O}ProgramPKH', '{_O}ProgramBPNT', '{_O}ProgramBST')"
-register("e1_superclasses", lambda spark, d: entailment.superclasses(_with_subclass(spark, d)), DOMAIN, _SUB.format(g="g"), f", base AS ({_NOT_T}), g AS (SELECT * FROM base UNION ALL SELECT s, '{scalars.RDF_TYPE}', '{_O}ProgramPKH', 'iri', NULL FROM base WHERE p = '{_O}namaProgram' AND o LIKE 'p%')")
+register("e1_superclasses", lambda spark, d: entailment.superclasses(_with_subclass(spark, d)), DOMAIN, _SUB.format(g="g"), f", base AS ({GRAPH_SQL}), g AS (SELECT * FROM base UNION ALL SELECT s, '{scalars.RDF_TYPE}', '{_O}ProgramPKH', 'iri', NULL FROM base WHERE p = '{_O}namaProgram' AND o LIKE 'p%')")
 register("e2_inverses", lambda spark, d: entailment.inverses(mapping.triples(domain(spark, d))), DOMAIN, _INV.format(g="graph"), _GRAPH)
 register("e3_domains", lambda spark, d: entailment.domains(mapping.triples(domain(spark, d))), DOMAIN, f"SELECT DISTINCT s, {_TYPE} FROM graph JOIN dom USING (p)".replace("'iri' AS o_kind", "'iri' AS o_kind"), _GRAPH)
 register("e4_ranges", lambda spark, d: entailment.ranges(mapping.triples(domain(spark, d))), DOMAIN, f"SELECT DISTINCT graph.o AS s, '{scalars.RDF_TYPE}' AS p, cls AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_type FROM graph JOIN ran USING (p) WHERE o_kind = 'iri'", _GRAPH)
 register(
-    "e1_e4_entailed", lambda spark, d: entailment.entailed(mapping.triples(domain(spark, d))), DOMAIN, f"SELECT DISTINCT * FROM (SELECT * FROM linked UNION ALL SELECT s, {_TYPE} FROM linked JOIN dom USING (p) UNION ALL SELECT linked.o, '{scalars.RDF_TYPE}', cls, 'iri', NULL FROM linked JOIN ran USING (p) WHERE o_kind = 'iri')",
+    "e1_e4_entailed", lambda spark, d: entailment.entailed_tables(domain(spark, d)), DOMAIN, f"SELECT DISTINCT * FROM (SELECT * FROM linked UNION ALL SELECT s, {_TYPE} FROM linked JOIN dom USING (p) UNION ALL SELECT linked.o, '{scalars.RDF_TYPE}', cls, 'iri', NULL FROM linked JOIN ran USING (p) WHERE o_kind = 'iri')",
     _GRAPH + f", linked AS (SELECT * FROM graph UNION ALL {_INV.format(g='graph')})",
 )
 
