@@ -87,23 +87,19 @@ def in_order(snapshot: DataFrame) -> DataFrame:
     return snapshot.orderBy("db_name", "table_name", "ordinal_pos")
 
 
-#: K6: one pattern for each statement, tried in this order.
-PATTERNS = {
-    "ADD COLUMN": r"(?i)^ALTER TABLE (\S+) ADD COLUMN (\S+) (.+)$",
-    "DROP COLUMN": r"(?i)^ALTER TABLE (\S+) DROP COLUMN (\S+)",
-    "RENAME COLUMN": r"(?i)^ALTER TABLE (\S+) RENAME COLUMN (\S+) TO (\S+)",
-}
+#: K6: the three statements in one pattern, tried in this order; and its groups, with a mark between them.
+STATEMENT = r"(?is)^ALTER TABLE (\S+) (?:(ADD) COLUMN (\S+) (.+)|(DROP) COLUMN (\S+).*|(RENAME) COLUMN (\S+) TO (\S+).*)$"
+MARK, GROUPS = "\x01", "$1 $2$5$7 $3$6 $4 $8 $9"
 
 
 def parsed(events: DataFrame, ddl: str = "ddl_command") -> DataFrame:
-    """K6: events with parsed_type, parsed_table, parsed_column, column_type, old_column, new_column; unknown statements dropped."""
+    """K6: events with parsed_type, parsed_table, parsed_column, column_type, old_column, new_column; unknown statements dropped.
+
+    Each text is matched once; a text that holds the mark is unknown.
+    """
     flat = F.trim(F.regexp_replace(F.coalesce(F.col(ddl), F.lit("")), r"\s+", " "))
-    kind = F.lit(None).cast("string")
-    for name in reversed(PATTERNS):
-        kind = F.when(F.col("_flat").rlike(PATTERNS[name]), F.lit(name)).otherwise(kind)
-    part = lambda name, k: F.regexp_extract(F.col("_flat"), PATTERNS[name], k)
-    pick = lambda k, *names: F.coalesce(*[F.when(F.col("parsed_type") == n, part(n, k)) for n in names])
-    out = events.withColumn("_flat", flat).withColumn("parsed_type", kind).where("parsed_type is not null")
-    out = out.withColumn("parsed_table", identifier(pick(1, *PATTERNS))).withColumn("parsed_column", identifier(pick(2, "ADD COLUMN", "DROP COLUMN")))
-    out = out.withColumn("column_type", F.trim(pick(3, "ADD COLUMN"))).withColumn("old_column", identifier(pick(2, "RENAME COLUMN"))).withColumn("new_column", identifier(pick(3, "RENAME COLUMN")))
-    return out.drop("_flat")
+    parts = F.split(F.regexp_replace(flat, STATEMENT, MARK + GROUPS.replace(" ", MARK)), MARK)
+    cut = events.select("*", F.explode(F.array(parts)).alias("_parts")).where((F.size("_parts") == 7) & ~F.contains(F.col(ddl), F.lit(MARK)))
+    part = lambda k: F.nullif(F.col("_parts")[k], F.lit(""))
+    out = cut.withColumn("parsed_type", F.concat(F.upper(part(2)), F.lit(" COLUMN"))).withColumn("parsed_table", identifier(part(1))).withColumn("parsed_column", identifier(part(3)))
+    return out.withColumn("column_type", F.trim(part(4))).withColumn("old_column", identifier(part(5))).withColumn("new_column", identifier(part(6))).drop("_parts")

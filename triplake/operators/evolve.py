@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState
 
 from triplake.functions.scalars import federation_type, label, property_name, xsd_type
+from triplake.sources.storage import written
 
 COLUMN = ["model", "table_name", "name"]
 
@@ -161,74 +162,109 @@ def unsafe_drops(events: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 # ---- K12 ----
-_EVENT = "id long, alter_type string, column_name string, column_type string, old_column string, new_column string"
+_EVENT = ["id", "alter_type", "column_name", "column_type", "old_column", "new_column"]
 FOLDED = "table_name string, ordinal int, physical string, logical string, type string, active boolean, last_id long, n_applied long"
-_STATE = T.StructType([T.StructField("columns", T.StringType()), T.StructField("last_id", T.LongType()), T.StructField("n_applied", T.LongType()), T.StructField("recent", T.StringType())])
-#: Ids that a table's state remembers, so that repeats are told from late arrivals.
-REMEMBERED = 4096
+_STATE = T.StructType([T.StructField("columns", T.StringType()), T.StructField("last_id", T.LongType()), T.StructField("n_applied", T.LongType())])
 
 
-def fold_column(columns: list[dict], e) -> None:
-    """Applies one event to a table's columns: physical, logical, type, active."""
-    find = lambda name: next((c for c in columns if c["physical"] == name and c["active"]), None)
-    if e.alter_type == "ADD COLUMN" and find(e.column_name) is None:
-        columns.append({"physical": e.column_name, "logical": e.column_name, "type": e.column_type, "active": True})
-    elif e.alter_type == "DROP COLUMN" and (c := find(e.column_name)):
-        c["active"] = False
-    elif e.alter_type == "RENAME COLUMN" and (c := find(e.old_column)) and find(e.new_column) is None:
-        c["physical"] = e.new_column
+def fold_column(columns: list[list], live: dict[str, int], e: tuple) -> None:
+    """Applies one event to a table's columns (physical, logical, type, active, id of the ADD); live: the active columns' places by name."""
+    number, kind, name, sql_type, old, new = e
+    if kind == "ADD COLUMN" and name not in live:
+        live[name] = len(columns)
+        columns.append([name, name, sql_type, True, number])
+    elif kind == "DROP COLUMN" and name in live:
+        columns[live.pop(name)][3] = False
+    elif kind == "RENAME COLUMN" and old in live and new not in live:
+        live[new] = live.pop(old)
+        columns[live[new]][0] = new
 
 
-def _rows(table: str, columns: list[dict], last: int, n: int) -> pd.DataFrame:
-    return pd.DataFrame(
-        {"table_name": table, "ordinal": range(1, len(columns) + 1), "physical": [c["physical"] for c in columns], "logical": [c["logical"] for c in columns], "type": [c["type"] for c in columns], "active": [c["active"] for c in columns], "last_id": last, "n_applied": n}
-    )
+def _packed(events: DataFrame) -> DataFrame:
+    return events.select("table_name", F.col("id").cast("long").alias("id"), *_EVENT[1:])
+
+
+def lineages(events: DataFrame) -> DataFrame:
+    """table_name, name, lineage: names of a table that renames connect. Only distinct pairs of names, a table's metadata, meet in a task."""
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        root: dict[str, str] = {}
+
+        def find(x: str) -> str:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in zip(pdf["old_column"], pdf["new_column"], strict=True):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        names = list(root)
+        return pd.DataFrame({"table_name": pdf["table_name"].iloc[0], "name": names, "lineage": [find(n) for n in names]})
+
+    pairs = of(events, "RENAME").where("table_name is not null and old_column is not null and new_column is not null").select("table_name", "old_column", "new_column").distinct()
+    return pairs.groupBy("table_name").applyInPandas(joined, "table_name string, name string, lineage string")
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """K12, batch: each table's columns after all its events in id order, repeats once. A table's log passes through one task in Arrow batches, its state is a few columns."""
+    """K12, batch: each table's columns after all its events in id order, repeats once.
+
+    Events only act on each other through the names they share, so each lineage of a table's columns is folded on its own, in Arrow
+    batches; a column's ordinal comes from a window over the few columns that are left.
+    """
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list] = {}
-        for pdf in batches:
-            for e in pdf.itertuples(index=False):
-                state = held.setdefault(e.table_name, [[], -1, 0])
-                if e.id > state[1]:
-                    fold_column(state[0], e)
-                    state[1], state[2] = e.id, state[2] + 1
-        for table, (columns, last, n) in held.items():
-            yield _rows(table, columns, last, n)
+        key, columns, live, last, n = None, [], {}, -1, 0
+
+        def told() -> pd.DataFrame:
+            rows = [[*key, *c, last, n] for c in columns] or [[*key, None, None, None, None, None, last, n]]
+            return pd.DataFrame(rows, columns=["table_name", "lineage", "physical", "logical", "type", "active", "added", "last_id", "n"])
 
-    ready = events.select("table_name", *[c.split()[0] for c in _EVENT.split(", ")]).withColumn("id", F.col("id").cast("long"))
-    return ready.repartition("table_name").sortWithinPartitions("table_name", "id").mapInPandas(own, FOLDED)
+        for pdf in batches:
+            for table, lineage, *e in zip(*[pdf[c].tolist() for c in ("table_name", "lineage", *_EVENT)], strict=True):
+                if (table, lineage) != key:
+                    if key is not None:
+                        yield told()
+                    key, columns, live, last, n = (table, lineage), [], {}, -1, 0
+                if e[0] > last:
+                    fold_column(columns, live, e)
+                    last, n = e[0], n + 1
+        if key is not None:
+            yield told()
+
+    rows = written(_packed(events), "events")
+    name = F.coalesce("column_name", "old_column")
+    met = rows.withColumn("name", name).join(lineages(rows), ["table_name", "name"], "left").withColumn("lineage", F.coalesce("lineage", "name"))
+    ready = met.select("table_name", "lineage", *_EVENT).repartition("table_name", "lineage").sortWithinPartitions("table_name", "lineage", "id")
+    folded = written(ready.mapInPandas(own, "table_name string, lineage string, physical string, logical string, type string, active boolean, added long, last_id long, n long"), "folded")
+    applied = folded.select("table_name", "lineage", "last_id", "n").distinct().groupBy("table_name").agg(F.max("last_id").alias("last_id"), F.sum("n").alias("n_applied"))
+    ordinal = F.row_number().over(W.partitionBy("table_name").orderBy("added"))
+    columns = folded.where("physical is not null").select("table_name", ordinal.alias("ordinal"), "physical", "logical", "type", "active")
+    return columns.join(applied, "table_name").select(*[c.split()[0] for c in FOLDED.split(", ")])
 
 
 def fold_stream(events: DataFrame) -> DataFrame:
-    """K12, stream: the same state kept by table. A repeated id changes nothing; an id below the last that was never seen is late:
-    its table's row comes out with ordinal -1, and the caller rebuilds that table with `fold`."""
+    """K12, stream: the same state kept by table. Repeated ids are dropped by a state of their own, dealt by table and id, whatever their age. An
+    id below the last that was never seen is late: its table's row comes out with ordinal -1, and the caller rebuilds that table with `fold`.
+
+    A micro-batch's events of one table are sorted in one task; the source's rate limit bounds them.
+    """
     import json
 
     def own(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns, last, n, recent = [], -1, 0, []
+        columns, last, n = [], -1, 0
         if state.exists:
-            text, last, n, seen = state.get
-            columns, recent = json.loads(text), json.loads(seen)
-        known, late = set(recent), []
-        pdf = pd.concat(list(batches)).sort_values("id")
-        for e in pdf.itertuples(index=False):
-            if e.id in known:
-                continue
-            if e.id < last:
-                late.append(e.id)
-                continue
-            fold_column(columns, e)
-            last, n = int(e.id), n + 1
-            known.add(last)
-            recent.append(last)
-        state.update((json.dumps(columns), last, n, json.dumps(recent[-REMEMBERED:])))
-        yield _rows(key[0], columns, last, n)
-        if late:
-            yield pd.DataFrame({"table_name": [key[0]] * len(late), "ordinal": -1, "physical": None, "logical": None, "type": None, "active": False, "last_id": late, "n_applied": n})
-
-    ready = events.select("table_name", *[c.split()[0] for c in _EVENT.split(", ")]).withColumn("id", F.col("id").cast("long"))
-    return ready.groupBy("table_name").applyInPandasWithState(own, FOLDED, _STATE, "update", "NoTimeout")
+            text, last, n = state.get
+            columns = json.loads(text)
+        live = {c[0]: i for i, c in enumerate(columns) if c[3]}
+        found = sorted((e for pdf in batches for e in zip(*[pdf[c].tolist() for c in _EVENT], strict=True)), key=lambda e: e[0])
+        late = [e[0] for e in found if e[0] < last]
+        for e in found[len(late) :]:
+            fold_column(columns, live, e)
+            last, n = int(e[0]), n + 1
+        state.update((json.dumps(columns), last, n))
+        told = [[key[0], i + 1, *c[:4], last, n] for i, c in enumerate(columns)] + [[key[0], -1, None, None, None, False, x, n] for x in late]
+        yield pd.DataFrame(told, columns=[c.split()[0] for c in FOLDED.split(", ")])
+
+    ready = _packed(events).where("table_name is not null and id is not null").dropDuplicates(["table_name", "id"])
+    return ready.groupBy("table_name").applyInPandasWithState(own, FOLDED, _STATE, "append", "NoTimeout")

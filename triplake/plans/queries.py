@@ -256,7 +256,19 @@ register("k8_k9_enriched", lambda s, d: planned(s, d).select("id", *_K_COLS, "pa
 register("k9_skipped", lambda s, d: changes.enriched(changes.actionable(changes.live(changes.unwrapped(changes.decoded(messages(s, d))[0]))))[1].select(F.col("id").cast("bigint").alias("id"), "table_name", "alter_type"), _LOG, "SELECT id, table_name, alter_type FROM cut WHERE table_name NOT IN (SELECT table_name FROM meta)", _MSG + _PARSED)
 register("k10_plan", lambda s, d: planned(s, d).select("id", "mapping_changed", "ontology_changed", "federation_changed", "reload_scope"), _LOG, "SELECT id, true AS mapping_changed, alter_type <> 'RENAME COLUMN' AS ontology_changed, true AS federation_changed, 'all' AS reload_scope FROM cut JOIN meta USING (table_name)", _MSG + _PARSED)
 register("k11_deduplicated", lambda s, d: planned(s, d).unionByName(planned(s, d)).dropDuplicates(["topic", "id"]).groupBy("mapping_id").agg(F.count("*").alias("n"), F.max("id").alias("last_id")), _LOG, "SELECT mapping_id, count(*) AS n, max(id) AS last_id FROM cut JOIN meta USING (table_name) GROUP BY mapping_id", _MSG + _PARSED)
-register("k12_fold", lambda s, d: evolve.fold(planned(s, d)))
+_STEP = "{'physical': %s, 'logical': c.logical, 'type': c.type, 'active': %s}"
+_HAS = "len(list_filter(cols, lambda c: c.active AND c.physical = ev.%s)) > 0"
+_FOLD = _PARSED + f""", ev AS (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY id) AS k FROM cut JOIN meta USING (table_name)),
+ st AS (SELECT DISTINCT table_name, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(physical VARCHAR, logical VARCHAR, type VARCHAR, active BOOLEAN)[]) AS cols FROM ev
+ UNION ALL SELECT st.table_name, ev.k, CASE WHEN alter_type = 'ADD COLUMN' AND {_HAS % 'column_name'} OR alter_type = 'RENAME COLUMN' AND {_HAS % 'new_column'} THEN cols
+ WHEN alter_type = 'ADD COLUMN' THEN list_append(cols, {{'physical': ev.column_name, 'logical': ev.column_name, 'type': ev.column_type, 'active': true}})
+ WHEN alter_type = 'DROP COLUMN' THEN list_transform(cols, lambda c: {_STEP % ('c.physical', 'c.active AND c.physical <> ev.column_name')})
+ ELSE list_transform(cols, lambda c: {_STEP % ('CASE WHEN c.active AND c.physical = ev.old_column THEN ev.new_column ELSE c.physical END', 'c.active')}) END
+ FROM st JOIN ev ON st.table_name = ev.table_name AND ev.k = st.k + 1),
+ whole AS (SELECT table_name, count(*) AS n_applied, max(id) AS last_id FROM ev GROUP BY 1),
+ cols AS (SELECT table_name, unnest(cols) AS c, generate_subscripts(cols, 1) AS i, last_id, n_applied FROM st JOIN whole USING (table_name) WHERE k = n_applied)"""
+register("k12_fold", lambda s, d: evolve.fold(planned(s, d)), _LOG, "SELECT table_name, CAST(i AS INTEGER) AS ordinal, c.physical, c.logical, c.type, c.active, last_id, n_applied FROM cols", _MSG + _FOLD)
+ORACLES["k12_fold"] = ORACLES["k12_fold"].replace("WITH ", "WITH RECURSIVE ", 1)
 _TYPES = ", t AS (SELECT DISTINCT column_type FROM catalog_columns UNION SELECT * FROM (VALUES ('VARCHAR(9)'), ('double precision'), ('BOOLEAN'), ('Timestamp (3)'), ('int unsigned')))"
 
 

@@ -7,14 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplake.operators.ddl_events import parsed
 
-_EVENT = "id STRING, username STRING, db_name STRING, schema_name STRING, table_name STRING, alter_type STRING, column_name STRING, ddl_command STRING, is_regulated STRING, captured_at STRING"
-_RECORD = f"before STRING, after STRUCT<{_EVENT}>, op STRING, {_EVENT}"
-_MESSAGE = f"payload STRUCT<{_RECORD}>, {_RECORD}, _corrupt_record STRING"
+_EVENT = "id username db_name schema_name table_name alter_type column_name ddl_command is_regulated captured_at".split()
 
 # The repair rules, and what each monitored table is mapped to.
 RULES = (
@@ -41,27 +39,32 @@ def table_metadata(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TABLES, "table_name string, mapping_id string, class string, model string")
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: the optimizer doesn't copy it into every later use."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def decoded(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """K1: messages(value) with the parsed message m, and the malformed ones. A value that is no object counts as malformed."""
-    read = messages.withColumn("m", F.from_json(F.col("value").cast("string"), _MESSAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
-    bad = F.col("m").isNull() | F.col("m._corrupt_record").isNotNull() | F.json_object_keys(F.col("value").cast("string")).isNull()
-    return read.where(~bad), read.where(bad).drop("m")
+    """K1: messages(value) with the parsed message m, a VARIANT, and the malformed ones. A value that is no object, or repeats a key, counts as malformed."""
+    value = F.col("value").cast("string")
+    read = _once(messages, "m", F.try_parse_json(value))
+    good = F.col("m").isNotNull() & F.coalesce(value.rlike(r"^\s*\{"), F.lit(False))
+    return read.where(good), read.where(~good).drop("m")
 
 
 def unwrapped(messages: DataFrame) -> DataFrame:
-    """K2: the event's fields and op. The payload if there is one, else the message; its `after` if the key is there, else itself."""
-    value = F.col("value").cast("string")
-    wrapped = F.array_contains(F.json_object_keys(value), "payload")
-    record_text = F.when(wrapped, F.get_json_object(value, "$.payload")).otherwise(value)
-    has_after = F.array_contains(F.json_object_keys(record_text), "after")
-    pick = lambda name: F.when(wrapped, F.col(f"m.payload.{name}")).otherwise(F.col(f"m.{name}"))
-    out = messages.withColumn("_after", has_after).withColumn("op", F.coalesce(pick("op"), F.lit("c")))
-    names = [c.split()[0] for c in _EVENT.split(", ")]
-    fields = [F.when(F.col("_after"), pick(f"after.{n}")).otherwise(pick(n)).alias(n) for n in names]
-    null_after = F.col("_after") & F.coalesce(pick("after").isNull(), F.lit(True))
-    kept = out.withColumn("_null", null_after | record_text.isNull())
+    """K2: the event's fields and op. The payload if there is one, else the message; its `after` if the key is there, else itself.
+
+    A key that is there with a JSON null gives a variant null, one that isn't gives none.
+    """
+    under = lambda v, key: F.coalesce(F.try_variant_get(v, f"$.{key}", "variant"), F.col(v))
+    text = lambda v, key: F.try_variant_get(v, f"$.{key}", "string")
+    record = _once(messages, "_record", under("m", "payload"))
+    event = _once(record, "_event", under("_record", "after"))
     own = [c for c in messages.columns if c not in ("m", "value")]
-    return kept.select(*own, "op", "_null", *fields).withColumn("db_name", F.coalesce("db_name", "schema_name")).drop("schema_name")
+    fields = [text("_event", n).alias(n) for n in _EVENT if n not in ("db_name", "schema_name")]
+    db = F.coalesce(text("_event", "db_name"), text("_event", "schema_name")).alias("db_name")
+    return event.select(*own, F.coalesce(text("_record", "op"), F.lit("c")).alias("op"), F.is_variant_null("_event").alias("_null"), *fields, db)
 
 
 def live(events: DataFrame) -> DataFrame:
@@ -104,9 +107,21 @@ def processed(messages: DataFrame) -> DataFrame:
     return plan(enriched(actionable(live(unwrapped(good))))[0])
 
 
-def run_stream(messages: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, keys: tuple[str, ...] = ("topic", "id")):
-    """Processes a stream of messages at least once; repeats within a micro-batch are dropped by key, later ones by the sink or the fold."""
-    planned = processed(messages)
-    own = [k for k in keys if k in planned.columns]
-    each = lambda df, epoch: sink(df.dropDuplicates(own), epoch)
-    return planned.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def once_each(planned: DataFrame) -> DataFrame:
+    """Each event of a topic once. In a stream the seen ids are state, kept over restarts and dealt by key, so a repeat of any age is dropped.
+
+    Events without an id are told apart by their statement, whose repeats change nothing.
+    """
+    keyed = planned.withColumn("_key", F.coalesce(F.concat(F.lit("id "), "id"), F.col("ddl_command")))
+    return keyed.dropDuplicates([*(["topic"] if "topic" in planned.columns else []), "_key"]).drop("_key")
+
+
+def into(path: str) -> Callable[[DataFrame, int], None]:
+    """An idempotent sink: each micro-batch has a folder of its own, which a micro-batch that runs again replaces."""
+    return lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+
+def run_stream(messages: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
+    """Processes all waiting messages of a stream, at least once; with an idempotent sink such as `into`, exactly once."""
+    planned = once_each(processed(messages))
+    return planned.writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
