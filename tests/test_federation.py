@@ -48,3 +48,27 @@ def test_log_is_appended_by_day(spark, tmp_path):
     federation.append_events(rows, path)
     federation.append_events(rows.limit(1), path)
     assert spark.read.parquet(path).where("day = '2024-01-02'").count() >= 1 and spark.read.parquet(path).count() == 3
+
+
+def test_a_failed_save_is_no_version(spark, tmp_path):
+    path = str(tmp_path / "registry")
+    a, b = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(2,)], "k int")
+    assert federation.save_if_changed(a, path) == 1
+    (tmp_path / "registry" / "version=2").mkdir()  # what a save that failed leaves
+    assert federation.versions(spark, path) == [1]
+    assert federation.save_if_changed(a, path) is None and federation.save_if_changed(b, path) == 3
+    assert [r.k for r in federation.load_version(spark, path).collect()] == [2]
+
+
+def test_topic_options():
+    got = federation.topic_options("h:9092", ["a.log", "b.log"], 50, kafka_group_id="g", includeHeaders="true")
+    assert got == {"kafka.bootstrap.servers": "h:9092", "subscribe": "a.log,b.log", "startingOffsets": "earliest", "failOnDataLoss": "true", "maxOffsetsPerTrigger": "50", "kafka.group.id": "g", "includeHeaders": "true"}
+
+
+def test_jdbc_reads_are_split(spark):
+    from tests.conftest import SF
+    from triplake.plans import queries
+
+    by_number, by_text = queries.QUERIES["s1_jdbc_by_number"](spark, SF), queries.QUERIES["s2_jdbc_by_text"](spark, SF)
+    assert by_number.rdd.getNumPartitions() == 4 and by_text.rdd.getNumPartitions() == 3
+    assert "PushedFilters: [*IsNotNull(penerima_id), *EqualTo(penerima_id,5)]" in by_number.where("penerima_id = 5")._jdf.queryExecution().executedPlan().toString()

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triplake.sources.storage import written
+
 TABLE = ["db_name", "table_name"]
 KEY = [*TABLE, "column_name"]
 PLACE = [*TABLE, "ordinal_pos", "column_type"]
@@ -92,8 +94,8 @@ class Diff:
 
 
 def diff(snapshot: DataFrame, catalog: DataFrame, refs: DataFrame) -> Diff:
-    """One poll: all events and the next snapshot. The change sets are small beside the catalog and are cached."""
-    gone, new = vanished(snapshot, catalog, refs).cache(), appeared(snapshot, catalog, refs).cache()
+    """One poll: all events and the next snapshot. The change sets are small beside the catalog; they are written, so that both tables are compared once."""
+    gone, new = written(vanished(snapshot, catalog, refs), "gone"), written(appeared(snapshot, catalog, refs), "new")
     renamed = renames(gone, new)
     told = events(renamed, pure_drops(gone, new), pure_adds(gone, new))
     return Diff(gone, new, renamed, told, with_new(without(snapshot, gone), new))

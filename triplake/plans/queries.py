@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from triplake.operators.patterns import Pattern, pattern_join
 from triplake.plans import analytics
 from triplake.schemas import federated
 from triplake.sources.bindings import bound, cte
-from triplake.sources.federation import declared
+from triplake.sources.federation import append_events, change_stream, declared, jdbc_options, load_version, read_source, save_if_changed, string_ranges, versions
+from triplake.sources.storage import fresh, written
 from triplake.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -350,12 +352,87 @@ register("p11_dependents", lambda s, d: evolve.dependents(state(s, d)["source"].
 register("p12_violations", lambda s, d: evolve.violations(state(s, d)["target"], evolve.drop_mapping_source(state(s, d)["source"], changes_of(s, d))), _CAT, f"SELECT mapping_id, property, column_name AS binding FROM snap s WHERE {_DROPPED}", _MORE)
 register("p13_unsafe_drops", lambda s, d: evolve.unsafe_drops(changes_of(s, d), state(s, d)["source"].where("ordinal <= 3").select("mapping_id", F.col("physical").alias("column_name"))).select("mapping_id", "column_name"), _CAT, "SELECT mapping_id, column_name FROM snap s WHERE ordinal_pos <= 3 AND " + _DROPPED, _MORE)
 
-# ---- S1, S2, S4-S6 ----
+# ---- S1, S2, S4-S6, K11, and a poll as a whole ----
+#: For a local session without a database of its own: the embedded one that comes with Spark.
+DATABASE = {"url": "jdbc:derby:memory:triplake;create=true", "user": "app", "password": "app", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
 
 
-def _kept_versions(s: SparkSession, d: str) -> DataFrame:
-    """S5, S6 are writes; the query shows what they would write: the log by day, as its versioned registry has it."""
-    return bound(s, d, "ddl_event_log").groupBy(F.to_date("captured_at").alias("day")).agg(F.count("*").alias("n"))
+def _database(s: SparkSession) -> dict[str, str]:
+    """The JDBC options of `triplake.jdbc.url`, `.user`, `.password` and `.driver`; all executors must reach it."""
+    if s.conf.get("triplake.jdbc.url", None):
+        return {k: s.conf.get(f"triplake.jdbc.{k}", "") for k in DATABASE}
+    if not s.sparkContext.master.startswith("local"):
+        raise ValueError("triplake.jdbc.url must name a database that all executors reach")
+    return DATABASE
 
 
-register("s5_log_by_day", _kept_versions, _LOG, "SELECT CAST(captured_at AS DATE) AS day, count(*) AS n FROM ddl_event_log GROUP BY 1")
+def _in_database(s: SparkSession, d: str, name: str) -> DataFrame:
+    """The domain table, put into the database first."""
+    df, options = bound(s, d, name), _database(s)
+    kinds = ", ".join(f"{f.name} VARCHAR(100)" for f in df.schema if f.dataType.simpleString() == "string")
+    df.write.mode("overwrite").option("createTableColumnTypes", kinds).jdbc(options["url"], name, properties={k: v for k, v in options.items() if k != "url"})
+    return df
+
+
+def _by_number(s: SparkSession, d: str) -> DataFrame:
+    df, db = _in_database(s, d, "penerima_manfaat"), _database(s)
+    low, high = df.agg(F.min("penerima_id"), F.max("penerima_id")).first()
+    options = jdbc_options(db["url"], "penerima_manfaat", db["user"], db["password"], "penerima_id", (low, high + 1), 4) | {"driver": db["driver"]}
+    return read_source(s, "penerima_manfaat", options=options)
+
+
+def _by_text(s: SparkSession, d: str) -> DataFrame:
+    df, db = _in_database(s, d, "master_penduduk"), _database(s)
+    cuts = [r[0] for r in df.select(F.explode(F.expr("array(percentile_approx(cast(nik as bigint), 0.33), percentile_approx(cast(nik as bigint), 0.67))")).alias("n")).select(F.lpad(F.col("n").cast("string"), 16, "0")).collect()]
+    options = jdbc_options(db["url"], "master_penduduk", db["user"], db["password"]) | {"driver": db["driver"]}
+    return read_source(s, "master_penduduk", options=options, predicates=string_ranges('"nik"', cuts))
+
+
+register("s1_jdbc_by_number", _by_number, ("penerima_manfaat",), "SELECT * FROM penerima_manfaat")
+register("s2_jdbc_by_text", _by_text, ("master_penduduk",), "SELECT * FROM master_penduduk")
+
+
+def _log_by_day(s: SparkSession, d: str) -> DataFrame:
+    """The log appended in two parts, and read back by its days."""
+    log, path = bound(s, d, "ddl_event_log"), fresh(s, "log")
+    for part in (0, 1):
+        append_events(log.where(F.col("id") % 2 == part), path)
+    return s.read.parquet(path).groupBy("day").agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
+
+
+register("s5_log_by_day", _log_by_day, _LOG, "SELECT CAST(captured_at AS DATE) AS day, count(*) AS n, max(id) AS last_id FROM ddl_event_log GROUP BY 1")
+
+
+def _versions(s: SparkSession, d: str) -> DataFrame:
+    """A registry table saved, saved again as it is, and saved with the catalog's new columns: two versions, each read back."""
+    fed, path = state(s, d)["fed"], fresh(s, "registry")
+    for table in (fed, fed, evolve.add_federated(fed, changes_of(s, d))):
+        save_if_changed(table, path)
+    found = [load_version(s, path, v).withColumn("version", F.lit(v)) for v in versions(s, path)]
+    return reduce(DataFrame.unionByName, found)
+
+
+register("s6_versions", _versions, _CAT, f"SELECT {_FED_ROW}, 1 AS version FROM snap UNION ALL SELECT {_FED_ROW}, 2 FROM snap UNION ALL SELECT db_name, table_name, ordinal, column_name, {_FED}, 2 FROM placed", _MORE)
+
+
+def _stream_once(s: SparkSession, d: str) -> DataFrame:
+    """S4, K1-K11 as a stream: all messages, then, after a restart, all of them again."""
+    folder, out, position = fresh(s, "topic"), fresh(s, "planned"), fresh(s, "position")
+    for _ in range(2):
+        messages(s, d).select("value").write.mode("append").text(folder)
+        changes.run_stream(change_stream(s, folder=folder), changes.into(out), position).awaitTermination()
+    return s.read.parquet(out).groupBy("mapping_id").agg(F.count("*").alias("n"), F.max(F.col("id").cast("bigint")).alias("last_id"))
+
+
+register("k11_stream", _stream_once, _LOG, "SELECT mapping_id, count(*) AS n, max(id) AS last_id FROM cut JOIN meta USING (table_name) GROUP BY mapping_id", _MSG + _PARSED)
+
+
+def _polls(s: SparkSession, d: str) -> DataFrame:
+    """D1-D10 as a job: a poll, and another one on the snapshot that it leaves, which finds nothing."""
+    refs, snapshot, catalog = (bound(s, d, n) for n in _CAT)
+    first = catalog_diff.diff(snapshot, catalog, refs)
+    second = catalog_diff.diff(written(first.snapshot, "snapshot"), catalog, refs)
+    return first.events.withColumn("poll", F.lit(1)).unionByName(second.events.withColumn("poll", F.lit(2)))
+
+
+register("d1_d10_polls", _polls, _CAT, f"SELECT *, 1 AS poll FROM ({_EVENTS_SQL})", _DIFF)

@@ -57,12 +57,20 @@ def register_catalog(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return out
 
 
-def change_stream(spark: SparkSession, servers: str | None = None, topics: Sequence[str] = (), folder: str | None = None) -> DataFrame:
-    """Messages as (topic, value): from Kafka topics from the earliest offset, or from a folder of JSON lines."""
+def topic_options(servers: str, topics: Sequence[str], limit: int = 100_000, **more: str) -> dict[str, str]:
+    """Reader options for topics: from the earliest offset at first, from the checkpoint's position later, at most `limit` messages in a micro-batch.
+
+    Names with an underscore for each dot are handed on to the client, such as kafka_group_id or kafka_security_protocol.
+    """
+    own = {"kafka.bootstrap.servers": servers, "subscribe": ",".join(topics), "startingOffsets": "earliest", "failOnDataLoss": "true", "maxOffsetsPerTrigger": str(limit)}
+    return own | {k.replace("kafka_", "kafka.", 1).replace("_", ".") if k.startswith("kafka_") else k: v for k, v in more.items()}
+
+
+def change_stream(spark: SparkSession, options: dict[str, str] | None = None, folder: str | None = None, files: int = 1000) -> DataFrame:
+    """Messages as (topic, value): from topics by topic_options, or from a folder of JSON lines, at most so many files in a micro-batch."""
     if folder:
-        return spark.readStream.text(folder).select(F.lit("file").alias("topic"), F.col("value"))
-    found = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics))
-    return found.option("startingOffsets", "earliest").load().select("topic", F.col("value").cast("string").alias("value"))
+        return spark.readStream.option("maxFilesPerTrigger", files).text(folder).select(F.lit("file").alias("topic"), F.col("value"))
+    return spark.readStream.format("kafka").options(**options).load().select("topic", F.col("value").cast("string").alias("value"))
 
 
 def append_events(events: DataFrame, path: str) -> None:
@@ -70,34 +78,37 @@ def append_events(events: DataFrame, path: str) -> None:
     events.withColumn("day", F.to_date("captured_at")).write.mode("append").partitionBy("day").parquet(path)
 
 
+def _numbered(spark: SparkSession, path: str) -> dict[int, bool]:
+    """Version numbers that have a folder, and whether it was written to the end."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return {}
+    found = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith("version=")]
+    return {int(p.getName().removeprefix("version=")): files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")) for p in found}
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
-    """Versions of a registry table in order; their number is that of saves, not of rows."""
-    try:
-        found = spark.read.parquet(path)
-    except Exception as missing:  # the reader says so only by its error class
-        if "PATH_NOT_FOUND" in str(missing) or "UNABLE_TO_INFER_SCHEMA" in str(missing):
-            return []
-        raise
-    return sorted(r[0] for r in found.select("version").distinct().collect())
+    """Versions of a registry table in order, from its folders; a save that failed has none."""
+    return sorted(n for n, whole in _numbered(spark, path).items() if whole)
 
 
 def save_if_changed(new: DataFrame, path: str) -> int | None:
     """Writes a new version of a registry table if it differs from the last as a bag of rows; earlier versions stay.
 
-    Returns the version written, or None.
+    Returns the version written, or None. The number of a save that failed isn't used again.
     """
     spark = new.sparkSession
     have = versions(spark, path)
     if have:
-        old = spark.read.parquet(path).where(F.col("version") == have[-1]).select(*new.columns)
+        old = load_version(spark, path, have[-1]).select(*new.columns)
         if new.exceptAll(old).isEmpty() and old.exceptAll(new).isEmpty():
             return None
-    number = (have[-1] if have else 0) + 1
+    number = max(_numbered(spark, path), default=0) + 1
     new.write.parquet(f"{path}/version={number}")
     return number
 
 
 def load_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A version of a registry table, the last by default."""
-    number = version if version is not None else versions(spark, path)[-1]
-    return spark.read.parquet(path).where(F.col("version") == number).drop("version")
+    return spark.read.parquet(f"{path}/version={version if version is not None else versions(spark, path)[-1]}")
