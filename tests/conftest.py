@@ -17,4 +17,7 @@ def spark():
     session = builder.config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from triplake.sources.storage import clear
+
+    clear(session)
     session.stop()
