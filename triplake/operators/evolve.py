@@ -181,7 +181,8 @@ def fold_column(columns: list[list], live: dict[str, int], e: tuple) -> None:
 
 
 def _packed(events: DataFrame) -> DataFrame:
-    return events.select("table_name", F.col("id").cast("long").alias("id"), *_EVENT[1:])
+    """What the fold needs of events; those without an id or a table have no place in a log."""
+    return events.where("table_name is not null and id is not null").select("table_name", F.col("id").cast("long").alias("id"), *_EVENT[1:])
 
 
 def lineages(events: DataFrame) -> DataFrame:
@@ -266,5 +267,5 @@ def fold_stream(events: DataFrame) -> DataFrame:
         told = [[key[0], i + 1, *c[:4], last, n] for i, c in enumerate(columns)] + [[key[0], -1, None, None, None, False, x, n] for x in late]
         yield pd.DataFrame(told, columns=[c.split()[0] for c in FOLDED.split(", ")])
 
-    ready = _packed(events).where("table_name is not null and id is not null").dropDuplicates(["table_name", "id"])
+    ready = _packed(events).dropDuplicates(["table_name", "id"])
     return ready.groupBy("table_name").applyInPandasWithState(own, FOLDED, _STATE, "append", "NoTimeout")
