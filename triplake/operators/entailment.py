@@ -142,7 +142,9 @@ def entailed_tables(tables: dict[str, DataFrame], mappings: tuple[Mapping, ...]
             said += [F.when(value.isNotNull(), is_(kind, F.col("key"), c)) for c in of.get(name(t.prop), []) if c not in always]
             said += [F.when(value.isNotNull(), is_(t.link, value, c)) for c in to.get(name(t.prop), [])] if t.link else []
         if said:
-            types.append(rows.select(F.explode(F.array_compact(F.array(*said))).alias("t")).select("t.*"))
+            if len(said) == len(always):  # no value tells more: the keys alone are read
+                rows = tables[table].select(F.col(key).cast("string").alias("key")).where("key is not null")
+            types.append(rows.select(F.explode_outer(F.array(*said)).alias("t")).where("t is not null").select("t.*"))
     graph = reduce(DataFrame.unionByName, data)
     mapped = {name(t.prop) for ts in groups.values() for t in ts}
     if clash(groups) or any(p in mapped and q in mapped for p, q in inverse.items()):

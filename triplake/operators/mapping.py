@@ -104,8 +104,11 @@ def told(df: DataFrame, key: str, terms: list[Term]) -> DataFrame:
 
 
 def said_once(rows: DataFrame) -> DataFrame:
-    """key, at, o: each subject's values by the place of their term, once. Repeated rows meet in one task already, so nothing is shuffled."""
-    return rows.select("key", F.posexplode("v").alias("at", "o")).where("o is not null").dropDuplicates(["key", "at", "o"])
+    """key, at, o: each subject's values by the place of their term, once. Repeated rows meet in one task already, so nothing is shuffled.
+
+    The outer form keeps the optimizer from putting a filter below the shuffle, which another use of the rows would then not share.
+    """
+    return rows.select("key", F.posexplode_outer("v").alias("at", "o")).where("o is not null").dropDuplicates(["key", "at", "o"])
 
 
 def picked(values: list, kind: str = "string") -> Column:
