@@ -148,64 +148,84 @@ def compare(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 def compare_blocks(groups: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
     """a, b: links that join components within groups(grp, id, n_shingles, component, main), where main is the group's main component.
 
-    Members of other components are compared with the members of their group that share a bucket with them. They are dealt by size class
-    (sets of classes that don't touch are too unequal to be linked), then in blocks of about BLOCK by BLOCK: pairs are never rows, a text goes
-    only to the blocks of three classes, and one link for each text and component comes out.
+    Members of other components are compared with the members of their group that share a bucket with them. Groups of more than BLOCK
+    members are dealt by size class (sets of classes that don't touch are too unequal to be linked), then in blocks of about BLOCK by BLOCK:
+    pairs are never rows, a text goes only to the blocks of three classes, and one link for each text and component comes out.
     """
     kind = F.floor(F.log("n_shingles") / float(np.log(101 / similarity))).cast("int")
     held = groups.withColumn("kind", kind).withColumn("spread", F.xxhash64("id"))
     rest = F.sum((F.col("component") != F.col("main")).cast("int"))
     sizes = written(held.groupBy("grp", "kind").agg(F.count("*").alias("n_all"), rest.alias("n_rest")), "group-sizes")
-    other = sizes.select("grp", F.col("kind").alias("o"), F.col("n_all").alias("o_all"), F.col("n_rest").alias("o_rest"))
+    whole = sizes.groupBy("grp").agg(F.sum("n_all").alias("total"))
+    dealt_by = sizes.join(whole, "grp").withColumn("class", F.when(F.col("total") <= BLOCK, 0).otherwise(F.col("kind")))
+    own = dealt_by.groupBy("grp", "class").agg(F.sum("n_all").alias("n_all"), F.sum("n_rest").alias("n_rest"))
+    other = own.select("grp", F.col("class").alias("o"), F.col("n_all").alias("o_all"), F.col("n_rest").alias("o_rest"))
     # at most three rows for each group and size class
-    met = written(sizes.join(other, "grp").where("abs(kind - o) <= 1 and (n_rest > 0 or o_rest > 0)"), "group-classes")
+    pairs = own.join(other, "grp").where("abs(class - o) <= 1 and (n_rest > 0 or o_rest > 0)")
+    met = written(dealt_by.select("grp", "kind", "class").join(pairs, ["grp", "class"]), "group-classes")
     parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    own = lambda n: F.pmod("spread", F.greatest(F.lit(1), parts(n))).cast("int")
+    place = lambda n: F.pmod("spread", F.greatest(F.lit(1), parts(n))).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
     dealt = held.join(met, ["grp", "kind"])
     block = ["grp", "k", "i", "l", "j"]
-    left = dealt.where("component <> main").select("grp", F.col("kind").alias("k"), own("n_rest").alias("i"), F.col("o").alias("l"), each("o_all").alias("j"), "id", "component", F.lit(True).alias("is_left"))
-    right = dealt.where("o_rest > 0").select("grp", F.col("o").alias("k"), each("o_rest").alias("i"), F.col("kind").alias("l"), own("n_all").alias("j"), "id", "component", F.lit(False).alias("is_left"))
+    left = dealt.where("component <> main").select("grp", F.col("class").alias("k"), place("n_rest").alias("i"), F.col("o").alias("l"), each("o_all").alias("j"), "id", "component", F.lit(True).alias("is_left"))
+    right = dealt.where("o_rest > 0").select("grp", F.col("o").alias("k"), each("o_rest").alias("i"), F.col("class").alias("l"), place("n_all").alias("j"), "id", "component", F.lit(False).alias("is_left"))
     short = lambda c: F.transform(c, lambda v: v.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias(c)
     texts = possible(groups.select("id"), "id")(docs.select("id", "text")).where("_possible").select("id", "text")
     ready = left.unionByName(right).join(classes.select("id", "n_shingles", short("left"), short("right")), "id").join(texts, "id")
 
-    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_left, n, ids, comps = (pdf[c].to_numpy() for c in ("is_left", "n_shingles", "id", "component"))
-        lefts, rights = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-        if not len(lefts) or not len(rights):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        one, two = np.stack(pdf["left"]), np.stack(pdf["right"])
-        cands = []
-        for x in lefts:
-            near = (comps[rights] != comps[x]) & (100 * np.minimum(n[rights], n[x]) >= similarity * np.maximum(n[rights], n[x]))
-            ys = rights[near]
-            cands.append(ys[(one[ys] == one[x]).any(axis=1) & (two[ys] == two[x]).any(axis=1)])
-        used = np.unique(np.concatenate([*cands, [x for x, ys in zip(lefts, cands, strict=True) if len(ys)]]).astype(np.int64))
-        if not len(used):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        texts = clean(pdf["text"].iloc[used])
-        sets = [s for a, b in runs(texts) for s in shingle_hashes(texts[a:b], width)]
+    def linked(is_left: np.ndarray, n: np.ndarray, comps: np.ndarray, one: np.ndarray, two: np.ndarray, texts: list[str]) -> list[tuple[int, int]]:
+        """Places of linked members of one block; only texts that share a bucket with another are cut into shingles."""
+        rights = np.flatnonzero(~is_left)
+        cands = {}
+        for x in np.flatnonzero(is_left):
+            ys = rights[(comps[rights] != comps[x]) & (100 * np.minimum(n[rights], n[x]) >= similarity * np.maximum(n[rights], n[x]))]
+            ys = ys[(one[ys] == one[x]).any(axis=1) & (two[ys] == two[x]).any(axis=1)]
+            if len(ys):
+                cands[int(x)] = ys.tolist()
+        if not cands:
+            return []
+        used = sorted({*cands, *(y for ys in cands.values() for y in ys)})
+        cut = [texts[i] for i in used]
+        sets = [s for a, b in runs(cut) for s in shingle_hashes(cut[a:b], width)]
         _, place = np.unique(np.concatenate(sets), return_inverse=True)
-        at = dict(zip(used.tolist(), np.split(place, np.cumsum([len(s) for s in sets])[:-1]), strict=True))
+        at = dict(zip(used, np.split(place, np.cumsum([len(s) for s in sets])[:-1]), strict=True))
         marks = np.zeros(place.max() + 1, bool)
         out = []
-        for x, ys in zip(lefts.tolist(), cands, strict=True):
-            if not len(ys):
-                continue
+        for x, ys in cands.items():
             marks[at[x]] = True
             met = set()
-            for y in ys.tolist():
-                shared = int(np.count_nonzero(marks[at[y]]))
-                if 100 * shared >= similarity * (n[x] + n[y] - shared) and comps[y] not in met:
+            for y in ys:
+                shared = int(np.count_nonzero(marks[at[y]])) if comps[y] not in met else 0
+                if 100 * shared >= similarity * (n[x] + n[y] - shared):
                     met.add(comps[y])
-                    out.append((ids[x], ids[y]))
+                    out.append((x, y))
             marks[at[x]] = False
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return out
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last block of a batch may go on in the next
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            key = pdf[block].to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1])
+            yield told(pdf, starts)
+            held = pdf.iloc[starts[-1] :].reset_index(drop=True)
+        if held is not None:
+            yield told(held, np.array([0, len(held)]))
+
+    def told(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        is_left, n, ids, comps = (pdf[c].to_numpy() for c in ("is_left", "n_shingles", "id", "component"))
+        found = []
+        if len(starts) > 1:
+            one, two, texts = np.stack(pdf["left"]), np.stack(pdf["right"]), clean(pdf["text"])
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                found += [(ids[a + x], ids[a + y]) for x, y in linked(is_left[a:b], n[a:b], comps[a:b], one[a:b], two[a:b], texts[a:b])]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     # a fixed number of partitions: small rows, much work each
     many = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ready.repartition(many, *block).groupBy(*block).applyInPandas(compared, "a long, b long")
+    return ready.repartition(many, *block).sortWithinPartitions(*block).mapInPandas(compared, "a long, b long")
 
 
 def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triplake.sources.storage import clear, fresh, run_folder, shared_folder, written  # noqa: F401
+
 #: A word, in Java's and Python's notation: a run without space, tab, line feed, vertical tab, form feed or return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,35 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, from spark.checkpoint.dir; a local one is chosen only for a local master."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
-    return spark.conf.get("spark.checkpoint.dir")
-
-
-def run_folder(spark: SparkSession) -> str:
-    """The part of the shared folder that this application writes to."""
-    return f"{shared_folder(spark)}/corpus-{spark.sparkContext.applicationId}"
-
-
-def clear(spark: SparkSession) -> None:
-    """Removes all that this application has written there. Results that read it must be stored before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the run's folder: its lineage ends there and a lost executor costs nothing."""
-    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def aside(docs: DataFrame, *added: Column) -> DataFrame:
     """docs as one column `_doc`, so that no name of the caller's meets one of the columns added. `_doc.*` brings them back."""
     return docs.select(F.struct("*").alias("_doc"), *added)
