@@ -243,7 +243,7 @@ def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int) -> D
         best = F.max(F.struct(F.col("degree"), (-F.col("id")).alias("least"), F.col("component").alias("m_component"), F.col("n_shingles").alias("m_shingles"))).alias("best")
         # buckets that still hold more than one component
         leaders = held.groupBy("key").agg(best, F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
-        leaders = leaders.select("key", (-F.col("best.least")).alias("leader"), "best.m_component", "best.m_shingles")
+        leaders = written(leaders.select("key", (-F.col("best.least")).alias("leader"), "best.m_component", "best.m_shingles"), "leaders")  # so that the join on a hot key can be split
         met = held.join(leaders, "key")
         if turn == STAR_ROUNDS:
             groups = met.select(F.col("m_component").alias("grp"), "id", "n_shingles", "component", F.col("m_component").alias("main")).distinct()
