@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triplake.llm.shared import shared_folder, written
+from triplake.llm.bitmap import possible
+from triplake.llm.shared import fresh, written
 
 FRAME, BUNDLE = 1 << 20, 64 << 20
 #: Fixed values of the seekable format: the skippable frame's and the seek table's magic numbers.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
+#: Most keepers of repeated payloads that are broadcast: a digest of 20 bytes and a page id each, about 40 MB.
+MOST_KEEPERS = 1 << 19
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -41,7 +43,7 @@ _INDEX = T.StructType([
 ])
 _RECORDS = T.StructType([
     T.StructField("record_id", T.StringType()), T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("record_type", T.StringType()),
-    T.StructField("payload_digest", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("payload", T.BinaryType()),
+    T.StructField("payload_digest", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload", T.BinaryType()),
 ])
 
 
@@ -59,11 +61,11 @@ def record_id(page_id: str, digest: str) -> str:
     return f"<urn:page:{page_id}:{digest}>"
 
 
-def record(page_id: str, url: str | None, payload: bytes, refers_to: str | None) -> tuple[str, bytes]:
-    """A record's id and bytes; page ids as text, '' for null."""
-    digest = base32_sha1(payload)
+def record(page_id: str, url: str | None, payload: bytes, refers_to: str | None, known: tuple[str, int] | None = None) -> tuple[str, bytes]:
+    """A record's id and bytes; page ids as text, '' for null. A revisit needs no payload if its digest and size are known."""
+    digest, size = known or (base32_sha1(payload), len(payload))
     own = record_id(page_id, digest)
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {own}", f"WARC-Date: {DATE}", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{digest}"]
     if url is not None:
@@ -102,7 +104,11 @@ def frames(f, size: int) -> list[tuple[int, int]]:
 
 
 def write_bundles(pages: DataFrame, folder: str, frame: int = FRAME, bundle: int = BUNDLE) -> DataFrame:
-    """Writes a record per row of pages(page_id, url, html, refers_to) and returns the index, written too."""
+    """Writes a record per row of pages(page_id, url, html, refers_to) and returns the index, written too.
+
+    Revisits may leave html null if pages has the payload's digest (SHA-1, hexadecimal) and size as well.
+    """
+    told = {"digest", "size"} <= set(pages.columns)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -147,8 +153,10 @@ def write_bundles(pages: DataFrame, folder: str, frame: int = FRAME, bundle: int
             return told
 
         for pdf in batches:
-            for page, url, html, refers in zip(pdf["page"], pdf["url"], pdf["html"], pdf["refers"], strict=True):
-                own, raw = record(page or "", url if isinstance(url, str) else None, (html if isinstance(html, str) else "").encode("utf-8", "surrogatepass"), refers if isinstance(refers, str) else None)
+            for page, url, html, refers, digest, size in zip(*[pdf[c] for c in ("page", "url", "html", "refers", "digest", "size")], strict=True):
+                refers = refers if isinstance(refers, str) else None
+                known = (base64.b32encode(bytes.fromhex(digest)).decode(), size) if refers is not None and told else None
+                own, raw = record(page or "", url if isinstance(url, str) else None, (html if isinstance(html, str) else "").encode("utf-8", "surrogatepass"), refers, known)
                 rows.append([own, name(), len(sizes), 0, None, held_bytes, len(raw)])
                 held.append(raw)
                 held_bytes += len(raw)
@@ -163,12 +171,16 @@ def write_bundles(pages: DataFrame, folder: str, frame: int = FRAME, bundle: int
     fs, root = _file_system(folder)
     fs.create_dir(root, recursive=True)
     text = lambda c: F.col(c).cast("string")
-    ready = pages.select(F.coalesce(text("page_id"), F.lit("")).alias("page"), "url", "html", text("refers_to").alias("refers"))
+    more = ["digest", "size"] if told else [F.lit("").alias("digest"), F.lit(0).cast("long").alias("size")]
+    ready = pages.select(F.coalesce(text("page_id"), F.lit("")).alias("page"), "url", "html", text("refers_to").alias("refers"), *more)
     return written(ready.mapInPandas(each, _INDEX), "warc-index")
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """The records of the index's rows, which may be a few of a bundle's; each frame is read by a seek, once."""
+def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+    """The records of the index's rows, which may be a few of a bundle's; each frame is read by a seek, once.
+
+    payload_bytes and payload are null for revisits, payload also if `payloads` is false.
+    """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -198,9 +210,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                     raise ValueError(f"{r.bundle}: {r.record_id} has another payload than its digest says")
                 page = r.record_id.split(":")[2]
                 refers = head["WARC-Refers-To"].split(":")[2] if kind == "revisit" else ""
-                out.append((r.record_id, int(page) if page else None, head.get("WARC-Target-URI"), kind, digest, int(refers) if refers else None, payload if kind == "response" else None))
+                out.append((r.record_id, int(page) if page else None, head.get("WARC-Target-URI"), kind, digest, int(refers) if refers else None, len(payload) if kind == "response" else None, payload if kind == "response" and payloads else None))
             told = pd.DataFrame(out, columns=_RECORDS.names)
-            yield told.astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield told.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
         if f:
             f.close()
 
@@ -209,23 +221,31 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     return ready.mapInPandas(each, _RECORDS)
 
 
-def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, html and refers_to: the page whose record a revisit refers to, null for responses."""
+def with_revisits(pages: DataFrame, most: int = MOST_KEEPERS) -> DataFrame:
+    """page_id, url, html, digest, size and refers_to: the page whose record a revisit refers to, null for responses. Revisits have no html.
+
+    The last page of each repeated payload is found without the payloads. At most `most` of them are broadcast, and no page is shuffled;
+    beyond that, pages that can have a partner (by a filter of bounded size) meet them in a shuffle.
+    """
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size"))
-    keeper = rows.groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null")
-    met = rows.join(keeper.select("digest", "size", "keeper"), ["digest", "size"], "left")
+    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("size"))
+    keeper = rows.groupBy(F.unhex("digest").alias("same")).agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null")
+    keeper = written(keeper.select("same", "keeper"), "keepers")
+    rows = rows.withColumn("same", F.unhex("digest"))
     refers = F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
-    return met.select("page_id", "url", "html", refers.alias("refers_to"))
+    own = lambda df: df.withColumn("refers_to", refers.cast("long")).select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "digest", "size", "refers_to")
+    if keeper.count() <= most:
+        return own(rows.join(F.broadcast(keeper), "same", "left"))
+    told = possible(keeper.select("same"), "same")(rows)
+    alone = told.where("not _possible").withColumn("keeper", F.lit(None).cast("long"))
+    return own(alone).unionByName(own(told.where("_possible").join(keeper, "same", "left")))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to, read from the bundles that were written for pages."""
-    folder = f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = fresh(pages.sparkSession, "warc")
     index = write_bundles(with_revisits(pages), folder)
-    told = read_records(index, folder).select("page_id", F.octet_length("payload").cast("long").alias("size"), "payload_digest", "record_type", "refers_to")
-    told = written(told, "warc-records")
-    whole = told.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("size").alias("whole"))
-    met = told.where("record_type = 'revisit'").join(whole, "payload_digest", "left").select("page_id", F.col("whole").alias("size"), "payload_digest", "record_type", "refers_to")
-    out = told.where("record_type = 'response'").unionByName(met)
-    return out.select("page_id", F.col("size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    told = written(read_records(index, folder, payloads=False).drop("record_id", "url", "payload"), "warc-records")
+    whole = told.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    met = told.where("record_type = 'revisit'").drop("payload_bytes").join(whole, "payload_digest", "left")
+    return told.where("record_type = 'response'").unionByName(met).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
