@@ -5,8 +5,9 @@ the groups, taken greedily in order, fit into the shards is found by binary sear
 capacity; where it leaves room (a group larger than the mean, few groups) each cut moves forward to the mean of what is left,
 as far as the remaining shards can still hold the rest.
 
-Prefix sums of the groups are computed by Spark and stay in a table. The driver keeps one number for each BLOCK groups and
-fetches single blocks, so a greedy check reads only the blocks in which its cuts fall.
+Prefix sums of the groups are computed by Spark and stay in a table, sorted, so that a range of it is read without the rest. The driver keeps
+one number for each BLOCK groups. These alone bound the search to capacities that differ by a block, so that all greedy checks cut in
+the same few blocks, which are fetched once.
 
 A null text counts as an empty one: size 8, checksum 0, one group with empty texts. Repeated rows get slots of their own. A
 null doc_id comes first. An empty table gives an empty result. Other columns are ignored.
@@ -30,13 +31,13 @@ BLOCK, HELD = 1 << 14, 64
 
 
 class Boundaries:
-    """The sorted ends (inclusive prefix sums) of the groups of ends(block, last): lookups fetch one block at a time."""
+    """The sorted ends (inclusive prefix sums) of the groups of ends(block, last, size): lookups fetch one block at a time."""
 
     def __init__(self, ends: DataFrame):
         self.ends = ends
         rows = ends.groupBy("block").agg(F.max("last"), F.max("size")).collect()  # one row for each BLOCK groups
         rows.sort(key=lambda r: r[1])
-        self.blocks, self.tops = [r[0] for r in rows], [r[1] for r in rows]
+        self.tops = [r[1] for r in rows]
         self.total, self.largest = (self.tops[-1], max(r[2] for r in rows)) if rows else (0, 0)
         self.held: OrderedDict[int, list[int]] = OrderedDict()
 
@@ -44,7 +45,7 @@ class Boundaries:
         if i not in self.held:
             if len(self.held) >= HELD:
                 self.held.popitem(last=False)
-            rows = self.ends.where(F.col("block") == self.blocks[i]).select("last").collect()
+            rows = self.ends.where(F.col("last").between((self.tops[i - 1] if i else 0) + 1, self.tops[i])).select("last").collect()
             self.held[i] = sorted(r[0] for r in rows)
         self.held.move_to_end(i)
         return self.held[i]
@@ -72,19 +73,25 @@ class Boundaries:
 def smallest_capacity(ends: Boundaries, shards: int) -> int:
     """The least capacity with which greedy cutting needs at most `shards` shards."""
 
-    def fits(capacity: int) -> bool:
+    def fits(capacity: int, floor) -> bool:
         at = 0
         for _ in range(shards):
-            at = ends.floor(at + capacity)
+            at = floor(at + capacity)
             if at == ends.total:
                 return True
         return False
 
-    low, high = max(ends.largest, -(-ends.total // shards)), ends.largest + -(-ends.total // shards)
-    while low < high:
-        middle = (low + high) // 2
-        low, high = (low, middle) if fits(middle) else (middle + 1, high)
-    return low
+    def least(low: int, high: int, floor) -> int:
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if fits(middle, floor) else (middle + 1, high)
+        return low
+
+    mean = -(-ends.total // shards)
+    low, high = max(ends.largest, mean), ends.largest + mean
+    # cuts at the ends of blocks need no fetch, and what they fit into is enough
+    coarse = lambda limit: ends.tops[k - 1] if (k := bisect_right(ends.tops, limit)) else 0
+    return least(low, min(high, least(low, max(high, ends.total), coarse)), ends.floor)
 
 
 def cuts(ends: Boundaries, shards: int) -> list[int]:
@@ -115,7 +122,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     groups = rows.groupBy("same").agg(F.sum("size").alias("size"), F.min("doc_id").alias("first"))
     groups = prefix_sums(groups.withColumn("one", F.lit(1)), ["first", "same"], {"size": "start", "one": "rank"}, [], "groups")
     groups = written(groups.select("same", "first", "size", (F.col("start") + F.col("size")).alias("last"), F.floor(F.col("rank") / BLOCK).alias("block")), "group-ends")
-    found = cuts(Boundaries(groups.select("block", "last", "size")), shards)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = written(groups.select("block", "last", "size").repartitionByRange(parts, "last").sortWithinPartitions("last"), "sorted-ends")
+    found = cuts(Boundaries(ends), shards)
     shard = F.lit(0)
     for end in found[:-1]:
         shard = shard + (F.col("last") > end).cast("int")
