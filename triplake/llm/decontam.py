@@ -1,22 +1,23 @@
 """Benchmark decontamination by greedy string tiling (operator 2).
 
-Documents are searched for SEED-token seeds of the benchmark items (a join on seed hashes). For each document and item that
+Documents are searched for SEED-token seeds of the benchmark items (a search in their sorted hashes). For each document and item that
 share enough of them, running Karp-Rabin greedy string tiling marks the longest matches that don't overlap, down to SEED tokens, in any order;
 the share of the item's tokens that the tiles cover is its coverage. A document is contaminated if some item's coverage
 reaches the threshold, wherever the item's passages stand and in whatever order.
 
 The benchmark is dealt into blocks of about BLOCK tokens by item, each broadcast with that bound and searched in one pass over the documents;
-the documents are never shuffled.
+what a pass found, or left, is written before the next block is broadcast, so that one block is held at a time. The documents are never shuffled.
 
 Tokens are lower-cased runs without white space and punctuation. Items of fewer tokens than
 a seed can't be told from common phrases and match nothing. Null or empty texts and items match nothing. Repeated rows are judged alike; repeated item_ids are one item
-each. An empty table on either side gives no matches. Other columns are kept by `decontaminate` and ignored by `contaminated`.
+each, and item_ids may be of any type. An empty table on either side gives no matches. Other columns are kept by `decontaminate` and ignored by `contaminated`.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triplake.llm.shared import clean, mixed, runs, word_hashes
+from triplake.llm.shared import clean, mixed, runs, word_hashes, written
 
 SEED = 4
 COVERAGE = 0.5
@@ -61,27 +62,48 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int
             # the next search length: halve while long, as no match of this length is left
             size = max(least, size // 2) if size > least else least - 1
             continue
-        places: dict[int, list[int]] = {}
-        for t, h in zip(free_t[common].tolist(), hash_t[common].tolist(), strict=True):
-            places.setdefault(h, []).append(t)
+        t_hash, t_free = hash_t[common], free_t[common]
+        order = np.argsort(t_hash, kind="stable")
+        t_hash, t_free = t_hash[order], t_free[order]
+        lo, hi = np.searchsorted(t_hash, hash_i, "left"), np.searchsorted(t_hash, hash_i, "right")
         matches = []
-        for i, h in zip(free_i.tolist(), hash_i.tolist(), strict=True):
-            for t in places.get(h, ()):
-                if (item[i : i + size] == text[t : t + size]).all():
-                    n = size
-                    while i + n < len(item) and t + n < len(text) and item[i + n] == text[t + n] and not taken_i[i + n] and not taken_t[t + n]:
-                        n += 1
-                    matches.append((-n, i, t))
-        if not matches:
-            size = max(least, size // 2) if size > least else least - 1
-            continue
-        for n, i, t in sorted(matches):
-            if not taken_i[i : i - n].any() and not taken_t[t : t - n].any():
+        for i, a, b in zip(free_i[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+            ts = t_free[a:b]
+            if i and not taken_i[i - 1]:  # a match that goes on to the left is part of a longer one
+                ts = ts[(ts == 0) | (text[ts - 1] != item[i - 1]) | taken_t[ts - 1]]
+            ts = ts[(item[i : i + size] == text[ts[:, None] + np.arange(size)]).all(axis=1)] if len(ts) * size < 1 << 22 else np.array([t for t in ts.tolist() if (item[i : i + size] == text[t : t + size]).all()], np.int64)
+            matches += [(-n, i, t) for n, t in _extended(item, text, taken_i, taken_t, i, ts, size)]
+        heapify(matches)
+        while matches and not taken_i.all():
+            n, i, t = heappop(matches)
+            free = ~(taken_i[i : i - n] | taken_t[t : t - n])
+            if free.all():
                 taken_i[i : i - n] = taken_t[t : t - n] = True
                 found.append((i, t, -n))
+                continue
+            # what other tiles left of it, if that is still long enough
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
+            for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if y - x >= size:
+                    heappush(matches, (x - y, i + x, t + x))
+        size = max(least, size // 2) if size > least else least - 1
     return found
 
 
+def _extended(item: np.ndarray, text: np.ndarray, taken_i: np.ndarray, taken_t: np.ndarray, i: int, ts: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """(length, place in text) of the matches of `size` at i and ts, each as far to the right as its tokens agree and are free."""
+    out = []
+    n = size
+    while len(ts):
+        on = np.zeros(len(ts), bool)
+        if i + n < len(item) and not taken_i[i + n]:
+            ends = np.minimum(ts + n, len(text) - 1)
+            on = (ts + n < len(text)) & (text[ends] == item[i + n]) & ~taken_t[ends]
+        out += [(n, t) for t in ts[~on].tolist()]
+        ts, n = ts[on], n + 1
+    return out
+
+
 def _any(taken: np.ndarray, size: int) -> np.ndarray:
     """For each window of `size`, whether a token in it is taken."""
     total = np.concatenate([[0], np.cumsum(taken)])
@@ -90,7 +112,7 @@ def _any(taken: np.ndarray, size: int) -> np.ndarray:
 
 def _item_blocks(benchmark: DataFrame, seed: int, block: int) -> Iterator[dict]:
     """Items by blocks: their token hashes, sorted seeds, and the item and place of each seed."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 4
     blocks = max(1, -(-total // block))
     for k in range(blocks):
@@ -110,15 +132,15 @@ def _item_blocks(benchmark: DataFrame, seed: int, block: int) -> Iterator[dict]:
         if not seeds:
             continue
         order = np.argsort(np.concatenate(seeds), kind="stable")
-        yield {"ids": np.array(ids, np.int64), "hashes": hashes, "seeds": np.concatenate(seeds)[order], "owner": np.concatenate(owner)[order], "place": np.concatenate(place)[order]}
+        yield {"ids": ids, "hashes": hashes, "seeds": np.concatenate(seeds)[order], "owner": np.concatenate(owner)[order], "place": np.concatenate(place)[order]}
 
 
-def _search(texts: list[str], block: dict, seed: int, least: float) -> list[list[tuple[int, int, int, int]]]:
+def _search(texts: list[str], block: dict, seed: int, least: float) -> list[list[tuple]]:
     """For each text, (item_id, item tokens, covered tokens, tiles) of the items whose coverage reaches `least`."""
     own = [tokens(t) for t in texts]
     lengths = np.array([len(w) for w in own], np.int64)
     h = mixed(word_hashes([w for ws in own for w in ws]))
-    out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+    out: list[list[tuple]] = [[] for _ in texts]
     if len(h) < seed:
         return out
     owner = np.repeat(np.arange(len(texts)), lengths)
@@ -143,7 +165,7 @@ def _search(texts: list[str], block: dict, seed: int, least: float) -> list[list
             found = tiles(item, text, seed)
             covered = sum(n for _, _, n in found)
             if covered >= least * len(item):
-                out[d].append((int(block["ids"][i]), len(item), covered, len(found)))
+                out[d].append((block["ids"][i], len(item), covered, len(found)))
     return out
 
 
@@ -153,40 +175,60 @@ def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.n
     return found.tolist(), np.split(values[order], first[1:])
 
 
-_FOUND = T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in ("item_id", "n_item_tokens", "n_covered", "n_tiles")])
+#: What is known of each item in a text, besides its item_id.
+MEASURES = ("n_item_tokens", "n_covered", "n_tiles")
 
 
-def _searcher(shared, seed: int, coverage: float):
+def _searcher(shared, seed: int, coverage: float, item_id: T.DataType):
+    kind = T.StructType([T.StructField("item_id", T.ArrayType(item_id)), *[T.StructField(c, T.ArrayType(T.LongType())) for c in MEASURES]])
+
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = clean(batch)
             found = [x for a, b in runs(texts) for x in _search(texts[a:b], shared.value, seed, coverage)]
-            yield pd.DataFrame({c: [[m[k] for m in x] for x in found] for k, c in enumerate(_FOUND.names)})
+            yield pd.DataFrame({c: [[m[k] for m in x] for x in found] for k, c in enumerate(("item_id", *MEASURES))})
+
+    return F.pandas_udf(search, kind)
+
 
-    return F.pandas_udf(search, _FOUND)
+def searched(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, block: int = BLOCK) -> Iterator[tuple[Column, Callable[[DataFrame], DataFrame]]]:
+    """For each block of the benchmark, a column over the text: the items found; and what to do with a result of it before the next block is used."""
+    spark, kind = docs.sparkSession, benchmark.schema["item_id"].dataType
+    blocks = _item_blocks(benchmark, seed, block)
+    held = next(blocks, None)
+    while held is not None:
+        shared = spark.sparkContext.broadcast(held)
+        held = next(blocks, None)
 
+        def done(df: DataFrame, shared=shared, last=held is None) -> DataFrame:
+            if last:
+                return df
+            kept = written(df, "searched")
+            shared.unpersist()
+            return kept
 
-def matches(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, block: int = BLOCK) -> Iterator[Column]:
-    """For each block of the benchmark, a column over docs.text: parallel arrays of the items that the text contains."""
-    for held in _item_blocks(benchmark, seed, block):
-        yield _searcher(docs.sparkSession.sparkContext.broadcast(held), seed, coverage)(F.col("text"))
+        yield _searcher(shared, seed, coverage, kind)(F.col("text")), done
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, item_id, n_item_tokens, n_covered, n_tiles, coverage, contaminated: a row for each contaminated document and item."""
+
+    def rows(docs: DataFrame, found: Column) -> DataFrame:
+        told = docs.select("doc_id", found.alias("m")).where(F.size("m.item_id") > 0)
+        return told.select("doc_id", F.explode(F.arrays_zip(*[F.col(f"m.{c}").alias(c) for c in ("item_id", *MEASURES)])).alias("m")).select("doc_id", "m.*")
+
     out = None
-    for found in matches(docs, benchmark, **options):
-        rows = docs.select("doc_id", found.alias("m")).where(F.size("m.item_id") > 0)
-        rows = rows.select("doc_id", F.explode(F.arrays_zip(*[F.col(f"m.{c}").alias(c) for c in _FOUND.names])).alias("m")).select("doc_id", "m.*")
-        out = rows if out is None else out.unionByName(rows)
+    for found, done in searched(docs, benchmark, **options):
+        one = done(rows(docs, found))
+        out = one if out is None else out.unionByName(one)
     if out is None:
-        out = docs.select("doc_id").limit(0).select("doc_id", *[F.lit(0).cast("long").alias(c) for c in _FOUND.names])
+        out = docs.select("doc_id").limit(0).select("doc_id", F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), *[F.lit(0).cast("long").alias(c) for c in MEASURES])
     return out.withColumn("coverage", F.col("n_covered") / F.col("n_item_tokens")).withColumn("contaminated", F.lit(True))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the contaminated rows, with their own columns."""
     kept = docs
-    for found in matches(docs, benchmark, **options):
-        kept = kept.where(F.size(found["item_id"]) == 0)
+    for found, done in searched(docs, benchmark, **options):
+        kept = done(kept.where(F.size(found["item_id"]) == 0))
     return kept
