@@ -5,7 +5,7 @@ class name) and blocks full of links are boilerplate. Among the rest, length and
 running text are content, long ones without are not, short ones stay open. A block inside the page's article or main element is
 content unless its links say otherwise; without running text or length it stays open too.
 A class name whose words are not all of that kind, and a form, only dismiss where all elements of that name hold less than half of the page's
-running text; other class names do so too if an article stands below them, and else their text is no part of that whole. A main element below always lifts such a dismissal, and so does a page that would have no text.
+running text, or no more than twice that of an article around which nothing of the kind stands; other class names do so too if an article stands below them, and else their text is no part of that whole. A main element below always lifts such a dismissal, and so does a page that would have no text.
 Where the page declares a language without a stop-word list, or its long blocks hold almost no stop words, length and links decide alone.
 Second pass: an open block takes the label of the nearest decided block of its region (article or rest); at equal distance, and in
 an article without any decided block, it is content if it stands in the article.
@@ -168,13 +168,15 @@ def _lifted(found: list, soft: list[list], within: list[tuple[int, ...]], unlist
     text = [label or label is None and b[3] for b, label in zip(found, labels, strict=True)]
     stays = [not (weak or article or main) for weak, article, main, _ in soft]
     held: dict[str, int] = {}
-    whole = 0
-    for n, around in zip(running, within, strict=True):
+    whole = core = 0
+    for n, around, block in zip(running, within, found, strict=True):
         if n and not any(stays[s] for s in around):
             whole += n
+            core += n * (block[3] and all(soft[s][1] or soft[s][2] for s in around))
             for name in {soft[s][3] for s in around}:
                 held[name] = held.get(name, 0) + n
-    less = [s or not main and 2 * held.get(name, 0) < whole for s, (_, _, main, name) in zip(stays, soft, strict=True)]
+    few = lambda name: 2 * held.get(name, 0) < whole or held.get(name, 0) <= 2 * core
+    less = [s or not main and few(name) for s, (_, _, main, name) in zip(stays, soft, strict=True)]
     for out in (less, stays, [False] * len(soft)):  # the last two for pages that would have no text
         bad = [b[2] or any(out[s] for s in around) for b, around in zip(found, within, strict=True)]
         if any(t and not b for t, b in zip(text, bad, strict=True)):
