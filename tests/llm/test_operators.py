@@ -13,6 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
@@ -59,6 +60,12 @@ def test_shards(docs):
     assert max(load.values()) <= best
 
 
+def test_shards_over_many_blocks(docs, monkeypatch):
+    whole = sorted(map(tuple, sharding.shard_documents(docs, 5).collect()), key=repr)
+    monkeypatch.setattr(sharding, "BLOCK", 3)
+    assert sorted(map(tuple, sharding.shard_documents(docs, 5).collect()), key=repr) == whole
+
+
 @pytest.mark.parametrize("n, shards", [(0, 3), (1, 3), (2, 24), (30, 4)])
 def test_shards_of_few(spark, n, shards):
     df = spark.createDataFrame([(i, "x" * (i + 1)) for i in range(n)], "doc_id long, text string")
@@ -71,6 +78,7 @@ def test_smallest_capacity():
     class Local(sharding.Boundaries):
         def __init__(self, sizes):
             self.ends_, self.total, self.largest = np.cumsum(sizes).tolist(), sum(sizes), max(sizes)
+            self.tops = sorted({*self.ends_[3::4], self.total})
 
         def floor(self, limit):
             return max([e for e in self.ends_ if e <= limit], default=0)
@@ -106,30 +114,68 @@ def test_decontamination(spark, docs):
     assert decontam.contaminated(df.limit(0), bench).count() == 0
 
 
+def defined_tiles(a, b, least):
+    """The definition: always the longest match of unmarked tokens, the first in the item, then in the text."""
+    ma, mb, found = [False] * len(a), [False] * len(b), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not ma[i + k] and not mb[j + k]:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, j)
+        k, i, j = best
+        if k < least:
+            return found
+        ma[i : i + k] = mb[j : j + k] = [True] * k
+        found.append((i, j, k))
+
+
 def test_tiles_are_greedy():
+    """Rows of tiles of one length agree as a whole: their number, lengths and what they cover."""
     rng = np.random.default_rng(3)
-    for _ in range(40):
-        a, b = rng.integers(0, 4, 25).astype(np.uint64), rng.integers(0, 4, 40).astype(np.uint64)
-        want, ma, mb = 0, np.zeros(25, bool), np.zeros(40, bool)
-        while True:  # the definition: always the longest match of unmarked tokens
-            best = (0, 0, 0)
-            for i in range(25):
-                for j in range(40):
-                    k = 0
-                    while i + k < 25 and j + k < 40 and a[i + k] == b[j + k] and not ma[i + k] and not mb[j + k]:
-                        k += 1
-                    if k > best[0]:
-                        best = (k, i, j)
-            if best[0] < 3:
-                break
-            k, i, j = best
-            ma[i : i + k] = mb[j : j + k] = True
-            want = max(want, k)
-        got = decontam.tiles(a, b, 3)
-        assert max((n for *_, n in got), default=0) == want
-        for i, j, n in got:
-            assert (a[i : i + n] == b[j : j + n]).all() and n >= 3
-        assert len({x for i, _, n in got for x in range(i, i + n)}) == sum(n for *_, n in got) == len({x for _, j, n in got for x in range(j, j + n)})
+    for n in range(60):
+        kinds = 1 + n % 5
+        a, b = rng.integers(0, kinds, 25).astype(np.uint64), rng.integers(0, kinds, 40).astype(np.uint64)
+        got, want = decontam.tiles(a, b, 3), defined_tiles(a, b, 3)
+        assert sorted((k, i, j) for i, j, k in got) == sorted((k, i, j) for i, j, k in want)
+
+
+def test_repetitive_texts_take_little():
+    item, text = np.zeros(400, np.uint64), np.zeros(30_000, np.uint64)
+    assert decontam.tiles(item, text, 4) == [(0, 0, 400)]
+
+
+def test_contaminated_against_brute_force(spark):
+    rng = random.Random(11)
+    items = [(f"q-{k}", prose(9000 + k, rng.randrange(12, 40))) for k in range(6)] + [("short", "a b"), (None, prose(9000, 20))]
+    docs = []
+    for d in range(60):
+        w = prose(9100 + d, rng.randrange(5, 60)).split()
+        for _ in range(rng.randrange(3)):  # pieces of items, in any order
+            source = items[rng.randrange(6)][1].split()
+            i = rng.randrange(len(source))
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = source[i : i + rng.randrange(3, 30)]
+        docs.append((d, " ".join(w)))
+    want = {}
+    for d, text in docs:
+        words = decontam.tokens(text)
+        for k, item in items:
+            own = decontam.tokens(item)
+            if k and len(own) >= decontam.SEED:
+                found = defined_tiles(own, words, decontam.SEED)
+                covered = sum(n for *_, n in found)
+                if 2 * covered >= len(own):
+                    want[d, k] = (len(own), covered, len(found))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for block in (decontam.BLOCK, 50):
+        got = {(r.doc_id, r.item_id): (r.n_item_tokens, r.n_covered, r.n_tiles) for r in decontam.contaminated(df, bench, block=block).collect()}
+        assert got == want and len(want) > 5
+        assert {r.doc_id for r in decontam.decontaminate(df, bench, block=block).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
 # ---- 3 ----
@@ -156,20 +202,39 @@ def test_line_chunks(spark, docs):
     assert lines.line_dedup(df.limit(0)).count() == 0
 
 
+def cut_lines(text):
+    """The chunks by the rule itself: one begins where, of a line and the two after it, the second has the least hash."""
+    ls = text.split("\n")
+    marks = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in ls]
+    marks = [m - (1 << 64) if m >> 63 else m for m in marks]
+    starts = [i for i in range(len(ls)) if i == 0 or (i > 1 and i + 3 <= len(ls) and marks[i + 1] < min(marks[i], marks[i + 2]))]
+    return ["\n".join(ls[a:b]) for a, b in zip(starts, [*starts[1:], len(ls)], strict=True)]
+
+
 def test_line_chunks_against_brute_force(spark, docs):
+    """The whole query: boundaries by their rule, chunks and pairs of lines that repeat earlier ones, and the text that is left."""
     df = docs.select("doc_id", "text").distinct()
-    cut = lines.chunked(df.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")).select("id", "sizes", "chunks", "text").collect()
-    seen, want = {}, Counter()
-    for r in sorted(cut, key=lambda r: r.id):
-        if r.chunks is not None:
-            assert "\n".join(r.chunks) == r.text
-        for n, c in zip(r.sizes or [], r.chunks or [], strict=True):
-            if n > 1:
-                if c in seen:
-                    want[r.id] += 1
-                seen.setdefault(c, r.id)
-    got = {r.doc_id: r.removed_chunks for r in lines.line_dedup(df).collect()}
-    assert {k: v for k, v in got.items() if v} == dict(want)
+    seen, lines_seen, want = set(), set(), {}
+    for d, t in sorted(rows(df, "doc_id", "text"), key=lambda r: r[0]):
+        if t is None:
+            want[d] = (0, 0, 0, None)
+            continue
+        ls, n_chunks, gone = t.split("\n"), 0, set()
+        for c in cut_lines(t):
+            if "\n" in c:
+                n_chunks += c in seen
+                seen.add(c)
+        at = 0
+        for c in cut_lines(t):
+            at += c.count("\n") + 1
+        assert at == len(ls)
+        for i, pair in enumerate(zip(ls, ls[1:], strict=False)):
+            if pair[0].strip(" ") or pair[1].strip(" "):
+                gone |= {i, i + 1} if pair in lines_seen else set()
+                lines_seen.add(pair)
+        want[d] = (len(ls), max(1, n_chunks) if gone else n_chunks, len(gone), "\n".join(x for i, x in enumerate(ls) if i not in gone))
+    got = {r.doc_id: (r.n_lines, r.removed_chunks, r.removed_lines, r.text) for r in lines.line_dedup(df).collect()}
+    assert got == want and sum(v[1] for v in want.values()) > 10
 
 
 def test_every_repeated_run_of_lines_goes(spark):
@@ -256,7 +321,11 @@ def test_near_duplicates_edges(spark, empty):
     assert minhash.near_dedup(df).count() == 4
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1 << 17, 0, 20])
+def test_components(spark, monkeypatch, few):
+    from triplake.llm import components as module
+
+    monkeypatch.setattr(module, "FEW", few)
     rng = np.random.default_rng(1)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [tuple(map(int, e)) for e in rng.integers(200, 260, (35, 2))]
     got = dict(rows(components(spark.createDataFrame(edges, "a long, b long")), "id", "component"))
@@ -279,6 +348,10 @@ def test_warc(spark):
         assert (out[i].payload_bytes, out[i].payload_digest) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
     assert {i: (r.record_type, r.refers_to) for i, r in out.items()} == {1: ("revisit", 5), 5: ("response", None), 2: ("revisit", 9), 9: ("response", None), 3: ("response", None), 4: ("revisit", 5), None: ("revisit", 7), 7: ("response", None)}
     assert warc.round_trip(pages.limit(0)).count() == 0
+    # beyond what is broadcast, the same
+    told = lambda df: Counter(tuple(r) for r in df.collect())
+    few, many = warc.with_revisits(pages, most=0), warc.with_revisits(pages)
+    assert told(few) == told(many) and {r.page_id for r in many.collect() if r.html is None} == {1, 2, 4, None}
 
 
 def test_warc_seeks_single_records(spark, tmp_path):
@@ -406,6 +479,14 @@ def test_long_texts_are_not_few_words(spark):
     assert {r.doc_id: bool(r.fail_bits & bit) for r in quality.ledger(df).collect()} == {1: False, 2: True, 3: True}
 
 
+def test_word_length_tells_nothing_without_blanks(spark):
+    han = " ".join("これは日本語で書かれた文章の一部である" for _ in range(25))
+    latin = " ".join("x" * 19 + str(i) for i in range(25))
+    df = spark.createDataFrame([(1, han), (2, latin)], "doc_id long, text string")
+    bit = quality.bit("odd_word_length")
+    assert {r.doc_id: bool(r.fail_bits & bit) for r in quality.ledger(df).collect()} == {1: False, 2: True}
+
+
 # ---- 8 ----
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href=/a>Home</a> <a href=/b>News of the day</a></nav>
 <div class="cookie-notice">We use cookies on this site to make it better for all of you and for us.</div>
@@ -442,6 +523,54 @@ def test_wrappers_do_not_lose_the_article(page):
     assert extraction.main_text(f"<html><body>{page.format(BODY)}<div class='sidebar'><p>{BODY} No.</p></div></body></html>") == BODY
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "with-banner", "tags-open", "comments-open", "search-results", "main-widget", "post-share-enabled"])
+def test_state_classes_do_not_lose_the_article(name):
+    for inner in (f"<article><p>{BODY}</p></article>", f"<p>{BODY}</p>", f"<form action=x><article><p>{BODY}</p></article></form>"):
+        page = f'<html><body><nav><a href=x>Home</a></nav><div class="{name}">{inner}</div><div class="sidebar"><p>{BODY} No.</p></div><div class="comments"><p>{BODY} No!</p></div></body></html>'
+        assert extraction.main_text(page) == BODY
+
+
+def made_page(rng):
+    """A page and its main text: an article of headings, paragraphs and lists among blocks that are none of it, in some wrapper."""
+    sentence = lambda: " ".join(rng.choice("the of and to in is that it for on with as was be by this are from or an river stone window paper garden light".split()) for _ in range(rng.randrange(14, 40))).capitalize() + "."
+    links = lambda: "<ul>" + "".join(f"<li><a href=/{i}>{rng.choice(['Home', 'News', 'About us', 'Archive of old things'])}</a></li>" for i in range(rng.randrange(2, 7))) + "</ul>"
+    junk = lambda: rng.choice([
+        f"<nav>{links()}</nav>", f"<div class='menu main-nav'>{links()}</div>", f"<aside><p>{sentence()}</p></aside>", f"<div class=sidebar><p>{sentence()}</p>{links()}</div>", f"<footer><p>{sentence()}</p></footer>",
+        f"<div id='cookie-notice'><p>{sentence()}</p></div>", f"<section class='comments'><p>{sentence()}</p><p>{sentence()}</p></section>", "<form><label>Mail</label><input name=q><button>Go</button></form>",
+        f"<script>var a = '<p>{sentence()}</p>';</script>", "<style>p { color: red }</style>", f"<!-- <p>{sentence()}</p> -->", f"<div class=advert><p>{sentence()}</p></div>", f"<div hidden><p>{sentence()}</p></div>",
+    ])
+    text, body = [], []
+    for _ in range(rng.randrange(2, 8)):
+        parts = [sentence() for _ in range(rng.randrange(1, 4))]
+        kind = rng.randrange(5)
+        if kind == 0:
+            text.append(f"Heading {rng.randrange(99)}")
+            body.append(f"<h2>{text[-1]}</h2>")
+        if kind == 1:
+            items = [sentence() for _ in range(3)]
+            text += items
+            body.append("<ul>" + "".join(f"<li>{i}" for i in items) + "</ul>")
+        own = " ".join(parts)
+        marked = own.replace(" stone ", " <b>stone</b> ", 1).replace(" paper ", ' <a href="/p">paper</a> ', 1).replace(" light ", "\n   light&nbsp;", 1).replace(" and ", " &#97;nd ", 1)
+        text.append(own)
+        body.append(f"<p class='x'>{marked}</p>")
+        if rng.random() < 0.3:
+            body.append(junk())
+    open_, close = rng.choice([("<article>", "</article>"), ("<main><div class='post'>", "</div></main>"), ("<div class='content'><article class='hentry'>", "</article></div>"), ("<div class='page no-sidebar'><article>", "</article></div>")])
+    around = lambda: "".join(junk() for _ in range(rng.randrange(3)))
+    return f"<!doctype html><html lang=en><head><title>T</title></head><body>{around()}<header>{links()}</header>{open_}{''.join(body)}{close}{around()}</body></html>", " ".join(text)
+
+
+def test_whole_pages(spark):
+    """The query on made pages, whose main text is known from how they were made."""
+    rng = random.Random(8)
+    made = [(i, f"http://x/{i}", *made_page(rng)) for i in range(300)]
+    pages = spark.createDataFrame([m[:3] for m in made], "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in extraction.extract(pages).collect()}
+    wrong = [i for i, url, _, text in made if got[i] != (url, text, len(text))]
+    assert not wrong, (made[wrong[0]][2], got[wrong[0]][1], made[wrong[0]][3])
+
+
 @pytest.mark.parametrize("text", ["これは日本語で書かれた記事の本文であり、" * 3, "Tämä on suomenkielinen teksti, jossa kerrotaan kaupungin uudesta kirjastosta, sen avajaisista sekä rakentamisesta."])
 def test_main_text_without_stop_words(text):
     assert extraction.main_text(f"<html><body><div class=menu>{text}</div><div><p>{text}</p></div></body></html>") == text
@@ -479,7 +608,7 @@ def scored(df, **options):
 
 
 @pytest.mark.parametrize("hot", [suffix_tree.HOT, 3])
-def test_scores(docs, hot):
+def test_scores(docs, hot):  # with 3, frequent words that aren't broadcast meet their counts as rare ones do
     pairs = rows(docs, "doc_id", "text")
     words = lambda t: (t or "").encode().lower().split()
     train = [words(t) for d, t in pairs if zlib.crc32(str(d).encode()) % 7 != 2]
@@ -497,17 +626,119 @@ def test_scores(docs, hot):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_scores_do_not_depend_on_the_hot_cut(docs):
-    a, b = ({(r.doc_id, r.n_tokens): r.score for r in scored(docs, most_hot=n)} for n in (2, 1 << 18))
-    assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], rel_tol=1e-9) for k in a)
-
-
-def test_tree_is_a_distribution(spark, docs):
-    top = np.sort(suffix_tree.word_hashes([b"the", b"of"]).view(np.int64))
-    tree = suffix_tree.suffix_tree(docs.select("text"), top)
-    symbols = np.arange(1 << suffix_tree.BITS)
-    for context in (0, 1 << 12, 31 << 6 | 5):
-        assert math.isclose(np.exp(suffix_tree.log_probability(tree, (context << suffix_tree.BITS) | symbols)).sum(), 1, rel_tol=1e-6)
+def brute_model(pairs, n_top, rare):
+    """The suffix tree by its definition, on dictionaries: (the distribution's log of the next word or end after words, the words in training, classes)."""
+    words = lambda t: (t or "").encode().lower().split()
+    train = [words(t) for d, t in pairs if zlib.crc32(str(d).encode()) % 7 != 2]
+    n = Counter(w for ws in train for w in ws)
+    code = dict(zip(n, suffix_tree.word_hashes(list(n)).view(np.int64).tolist(), strict=True)) if n else {}
+    top = sorted(sorted(n, key=lambda w: (-n[w], code[w]))[:n_top], key=code.get)
+    kind = lambda w: END if w is None else top.index(w) if w in top else suffix_tree.letter_class(w)
+    END = suffix_tree.END
+    frequent = lambda w: w in top or n[w] >= rare
+    size = suffix_tree.SIZE
+    zero, one, two, follow = Counter(), defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)
+    for ws in train:
+        path = [None, None, *ws, None]
+        for x, y, z in zip(path, path[1:], path[2:], strict=False):
+            c = kind(z)
+            zero[c] += 1
+            one[kind(y)][c] += 1
+            two[kind(x), kind(y)][c] += 1
+            if y is not None and not frequent(y):
+                follow[y]["w", z] += 0
+                follow[y][("w", z) if z is None or frequent(z) else ("c", c)] += 1
+    follow = {h: Counter({k: v for k, v in c.items() if v}) for h, c in follow.items()}
+
+    def kept(counts, parent):
+        total = sum(counts.values())
+        return sum(v * math.log(v * sum(parent.values()) / (total * parent[c])) for c, v in counts.items()) > len(counts) * math.log(total) / 2
+
+    def mixed(counts, c, below):
+        return (counts[c] + len(counts) * below) / (sum(counts.values()) + len(counts))
+
+    root = lambda c: mixed(zero, c, 1 / size) if zero else 1 / size
+    p1 = lambda b, c: mixed(one[b], c, root(c)) if b in one and kept(one[b], zero) else root(c)
+    p2 = lambda a, b, c: mixed(two[a, b], c, p1(b, c)) if (a, b) in two and kept(two[a, b], one[b]) else p1(b, c)
+    own = defaultdict(list)
+    for w in n:
+        if w not in top:
+            own[kind(w)].append(w)
+
+    def share(w):
+        """Of its class's probability: a frequent word's part, or that of all rare words; and a rare word's part of that."""
+        k = kind(w)
+        if w is None or w in top:
+            return 1.0, 1.0
+        members = own[k]
+        whole = sum(n[x] for x in members) + len(members)
+        cold = whole - sum(n[x] for x in members if frequent(x))
+        if frequent(w):
+            return n[w] / whole, 1.0
+        return (cold / whole, (n[w] or len(members)) / cold) if members else (1.0, 1.0)
+
+    def rare_state(h):
+        counts = follow.get(h)
+        if not counts or sum(counts.values()) < 2:
+            return None
+        total, kinds = sum(counts.values()), len(counts)
+        gain = 0.0
+        for (tag, z), v in counts.items():
+            below = p1(kind(h), z if tag == "c" else kind(z)) * (share(z)[0] if tag == "w" else share(next(x for x in own[z] if not frequent(x)))[0])
+            gain += v * (math.log((v - 1 + kinds * below) / (total - 1 + kinds)) - math.log(below))
+        return counts if gain > kinds * math.log(total) / 2 else None
+
+    states = {h: rare_state(h) for h in follow}
+
+    def log_p(x, y, z):
+        """After the words x and y (None: an end)."""
+        c, (first, second) = kind(z), share(z)
+        state = states.get(y) if y is not None and not frequent(y) else None
+        if state:
+            below = p1(kind(y), c) * first
+            name = ("w", z) if z is None or frequent(z) else ("c", c)
+            return math.log(mixed(state, name, below)) + math.log(second)
+        return math.log(p2(kind(x), kind(y), c) * first) + math.log(second)
+
+    return log_p, n, states
+
+
+@pytest.mark.parametrize("n_top, rare", [(191, 16), (4, 4), (0, 10**9)])
+def test_scores_against_brute_force(spark, docs, monkeypatch, n_top, rare):
+    monkeypatch.setattr(suffix_tree, "TOP", n_top)
+    monkeypatch.setattr(suffix_tree, "RARE", rare)
+    twice = [(700 + i, prose(800 + i // 2, 30)) for i in range(8)]
+    df = docs.where("doc_id <> 305").select("doc_id", "text").unionByName(spark.createDataFrame(twice, "doc_id long, text string"))
+    pairs = rows(df, "doc_id", "text")
+    log_p, n, states = brute_model(pairs, n_top, rare)
+    assert n_top == 191 or any(states.values())
+    text = dict(pairs)
+    got = scored(df)
+    assert len(got) == len(pairs)
+    for r in got:
+        path = [None, None, *(text[r.doc_id] or "").encode().lower().split(), None]
+        want = sum(log_p(*t) for t in zip(path, path[1:], path[2:], strict=False)) / math.log(10)
+        assert math.isclose(r.score, want, abs_tol=r.n_tokens * suffix_tree.STEP / 3), (r, want)
+    # the distribution over known words, the end and one unknown word for each class
+    after = [(None, None), (None, max(n)), *[(None, h) for h, c in states.items() if c][:3]]
+    unknown = {}
+    for w in [bytes([c]) * k for c in range(33, 255) for k in (1, 9)]:
+        if w not in n and not bytes([w[0]]).isspace():
+            unknown.setdefault(suffix_tree.letter_class(w), w)
+    assert len(unknown) == 64
+    for x, y in after if n_top == 191 else []:  # fewer classes leave their share of the uniform distribution unused
+        assert math.isclose(sum(math.exp(log_p(x, y, z)) for z in [*n, None, *unknown.values()]), 1, rel_tol=1e-9)
+
+
+def test_documents_that_occur_twice_score_apart(spark):
+    """A model of the whole corpus tells a training document that occurs twice from those that occur once."""
+    rng = random.Random(4)
+    made = lambda seed: " ".join(f"w{rng.randrange(30)}" if rng.random() < 0.7 else f"r{rng.randrange(10**6)}x" for _ in range(60))
+    texts = [made(i) for i in range(60)]
+    df = spark.createDataFrame([(i, texts[i // 2] if i < 20 else texts[i]) for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2], "doc_id long, text string")
+    got = {r.doc_id: r.score / r.n_tokens for r in scored(df)}
+    both = {i for i in got if i < 20 and i ^ 1 in got}
+    assert min(got[i] for i in both) > max(v for i, v in got.items() if i >= 20)
 
 
 def test_scores_of_nothing(spark, empty):

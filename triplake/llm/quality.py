@@ -9,6 +9,7 @@ ledger. Columns of the input are kept; those that have a ledger column's name ar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,17 +22,21 @@ from triplake.llm.shared import aside, clean, mixed, runs, sums, word_hashes
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_unspaced")
+#: Blocks of scripts that put no blanks between words (Thai and Lao, Burmese, Khmer, kana, Han), as code points.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF))
+_UNSPACED = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED) + "]")
 
 #: Rule name to its SQL test over the measurements; the position is the rule's bit and never changes. The share of distinct words
-#: falls with length, about as its root: from 2,000 words on the bound of few_distinct_words does so too (a quarter at 2,000).
+#: falls with length, about as its root: from 2,000 words on the bound of few_distinct_words does so too (a quarter at 2,000). Word
+#: lengths tell nothing where a quarter of the characters is of a script without blanks.
 RULES = {
     "few_words": "n_words < 20",
     "repeated_windows": "100 * n_repeat_words > 30 * n_words",
     "many_symbols": "10 * n_symbols > n_words",
     "repeated_lines": "2 * n_dup_lines > n_lines",
     "few_distinct_words": "4 * n_distinct_words < n_words and n_distinct_words * n_distinct_words < 125 * n_words",
-    "odd_word_length": "word_chars < 2 * n_words or word_chars > 14 * n_words",
+    "odd_word_length": "(word_chars < 2 * n_words or word_chars > 14 * n_words) and 4 * n_unspaced < word_chars",
 }
 #: Policy version to the rules that reject a document.
 POLICIES = {
@@ -68,6 +73,7 @@ def _measure(texts: list[str]) -> np.ndarray:
         row[0] = len(own)
         row[1] = len(text) - sum(map(text.count, " \t\n\v\f\r"))
         row[2] = sum(map(text.count, SYMBOLS))
+        row[7] = 0 if text.isascii() else len(_UNSPACED.findall(text))
     lengths = out[:, 0]
     if not words:
         return out

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplake.llm import decontam, extraction, lines, minhash, mixing, quality, sharding, sql, suffix_tree, tokens, warc
-from triplake.llm.shared import table
+from triplake.llm.shared import table, written
 
 
 def op1_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,13 @@ def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7's ablation: what each rule of each policy rejects, alone and with others, over all documents."""
+    held = written(quality.ledger(table(spark, sf_dir, "documents").select("text")).select("fail_bits"), "ledger")
+    policies = [quality.ablation(held, p).withColumn("policy", F.lit(p)) for p in quality.POLICIES]
+    return reduce(DataFrame.unionByName, policies)
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
 
@@ -60,7 +68,7 @@ def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minimax_shards, op2_benchmark_tiles, op3_line_chunks, op4_minhash_duplicates, op5_warc_bundles, op6_source_mix, op7_quality_ledger, op8_main_text, op9_token_counts, op10_suffix_tree_scores)}
+    return {f.__name__: f for f in (op1_minimax_shards, op2_benchmark_tiles, op3_line_chunks, op4_minhash_duplicates, op5_warc_bundles, op6_source_mix, op7_quality_ledger, quality_ablation, op8_main_text, op9_token_counts, op10_suffix_tree_scores)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,6 +6,7 @@ from triplake.llm import mixing, quality
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_UNSPACED = "[" + "".join(f"\\x{{{a:04X}}}-\\x{{{b:04X}}}" for a, b in quality.UNSPACED) + "]"
 
 QUALITY = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -19,11 +20,18 @@ l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts
 ln AS (SELECT r, row_number() OVER (PARTITION BY r, line ORDER BY i) AS k FROM l WHERE regexp_matches(line, {_WORD})),
 lines AS (SELECT r, count(*) AS n_lines, sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) AS n_dup_lines FROM ln GROUP BY r),
 m AS (SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, (length(text) - length(translate(text, '{quality.SYMBOLS}', '')))::BIGINT AS n_symbols,
- coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_distinct_words, 0)::BIGINT AS n_distinct_words
+ coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_distinct_words, 0)::BIGINT AS n_distinct_words, len(regexp_extract_all(text, '{_UNSPACED}'))::BIGINT AS n_unspaced
  FROM d LEFT JOIN counts USING (r) LEFT JOIN covered USING (r) LEFT JOIN lines USING (r)),
 b AS (SELECT *, ({" + ".join(f"CASE WHEN {test} THEN {quality.bit(rule)} ELSE 0 END" for rule, test in quality.RULES.items())})::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {quality.mask("base-1")} <> 0 AS base_failed, fail_bits & {quality.mask("full-1")} = 0 AS kept, fail_bits FROM b"""
 
+_ROWS = " UNION ALL ".join(
+    f"SELECT '{policy}' AS policy, '{rule}' AS rule, count(*) FILTER (fail_bits & {quality.bit(rule)} <> 0) AS n_failed, count(*) FILTER (fail_bits & {quality.mask(policy)} = {quality.bit(rule)}) AS n_failed_alone,"
+    f" count(*) FILTER (fail_bits & {quality.mask(policy) - quality.bit(rule)} = 0) AS n_kept_without FROM q"
+    for policy, rules in quality.POLICIES.items() for rule in rules
+)
+ABLATION = f"WITH q AS ({QUALITY}) {_ROWS}"
+
 MIX = f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORD}))::BIGINT AS size, coalesce(text, '') AS text FROM documents),
 k AS (SELECT doc_id, source, size, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / {float(1 << 48)}) /
@@ -59,4 +67,4 @@ q AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, (i * 5 +
 b AS (SELECT *, list_aggregate(list_transform(v, lambda x: list_aggregate(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> s::INT) & 31)::INT + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest, max(page_id) OVER (PARTITION BY hex) AS keeper FROM q)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM b"""
 
-ORACLES = {"op4_minhash_duplicates": DUPLICATES, "op5_warc_bundles": WARC, "op6_source_mix": MIX, "op7_quality_ledger": QUALITY}
+ORACLES = {"op4_minhash_duplicates": DUPLICATES, "op5_warc_bundles": WARC, "op6_source_mix": MIX, "op7_quality_ledger": QUALITY, "quality_ablation": ABLATION}
