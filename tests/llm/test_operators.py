@@ -770,3 +770,33 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(out.collect(), out.schema)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert Counter(r.doc_id for r in last) == Counter(r[0] for r in rows(docs, "doc_id"))
+
+
+def test_pipeline_stages_on_odd_tables(spark, clashing):
+    """Null, equal and repeated ids, null, empty and long texts, and columns of the operators' own names: no stage fails or loses a clean document."""
+    import corpus_pipeline
+    from tests.conftest import SF
+
+    long = spark.createDataFrame([(None, prose(77, 30_000), "a", *["x"] * len(CLASHING))], clashing.schema)
+    docs = clashing.unionByName(long)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        out = stage(spark, docs, SF)
+        if name == "shard":
+            assert out.count() == docs.count()
+        else:
+            assert out.columns == docs.columns
+            assert not {tuple(r) for r in out.collect()} - {tuple(r) for r in docs.collect()}
+            kept = {r.text for r in out.collect()}
+            assert all(prose(s, 60) in kept for s in (3000, 3005, 3211)) and prose(77, 30_000) in kept or name == "mix"
+
+
+def test_operators_on_long_and_odd_tables(spark, clashing):
+    """Every query's operator on the same table: a row for each document, whatever its columns are called."""
+    n = clashing.count()
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    public = pytest.importorskip("public_tokenizers")
+    found = [sharding.shard_documents(clashing, 3), lines.line_dedup(clashing), minhash.near_duplicates(clashing, 2), mixing.mix(clashing), quality.ledger(clashing), tokens.token_counts(clashing, public.path("byte_bpe_50k.json")), suffix_tree.scores(clashing, held)]
+    assert [df.count() for df in found] == [n] * len(found)
+    pages = clashing.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"), "digest", "size", "kept")
+    assert extraction.extract(pages).count() == warc.round_trip(pages).count() == n
