@@ -27,6 +27,14 @@ def aside(docs: DataFrame, *added: Column) -> DataFrame:
     return docs.select(F.struct("*").alias("_doc"), *added)
 
 
+def drop_written(df: DataFrame) -> None:
+    """Removes the table below df, which written() gave and nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utf8_size(text: Column) -> Column:
     """Bytes of the text in UTF-8; 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from triplake.llm import mixing, quality
+from triplake.llm import mixing, quality, vectors
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -67,4 +67,29 @@ q AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, (i * 5 +
 b AS (SELECT *, list_aggregate(list_transform(v, lambda x: list_aggregate(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> s::INT) & 31)::INT + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest, max(page_id) OVER (PARTITION BY hex) AS keeper FROM q)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM b"""
 
-ORACLES = {"op4_minhash_duplicates": DUPLICATES, "op5_warc_bundles": WARC, "op6_source_mix": MIX, "op7_quality_ledger": QUALITY, "quality_ablation": ABLATION}
+
+
+def _vector_codes() -> str:
+    """Full searches over all entries, round by round."""
+    near = "min(struct_pack(d := (list_dot_product(p.x, p.x) - 2 * list_dot_product(p.x, c.c) + list_dot_product(c.c, c.c))::BIGINT, e := c.e))"
+    steps = [
+        f"k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({vectors.SCALE} * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT vec_id, label, p, v[(p * len(v) // {vectors.PARTS} + 1):((p + 1) * len(v) // {vectors.PARTS})] AS x FROM k, (SELECT unnest(range({vectors.PARTS})) AS p))",
+        f"c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM p QUALIFY e < {vectors.ENTRIES})",
+    ]
+    for t in range(vectors.ROUNDS + 1):
+        steps.append(f"a{t} AS MATERIALIZED (SELECT vec_id, label, p, any_value(p.x) AS x, {near} AS m FROM p JOIN c{t} c USING (p) GROUP BY vec_id, label, p)")
+        if t < vectors.ROUNDS:
+            each = f"SELECT p, m.e AS e, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM a{t}"
+            means = f"SELECT p, e, i, sum(x::HUGEINT) AS s, count(*) AS n FROM ({each}) GROUP BY p, e, i"
+            lists = f"SELECT p, e, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS c FROM ({means}) GROUP BY p, e"
+            steps.append(f"c{t + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.c, c.c) AS c FROM c{t} c LEFT JOIN ({lists}) m ON c.p = m.p AND c.e = m.e)")
+    last = vectors.ROUNDS
+    steps += [
+        f"r AS (SELECT vec_id, label, string_agg(lower(lpad(to_hex(m.e), 2, '0')), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a{last} GROUP BY vec_id, label)",
+        f"b AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS h FROM (SELECT p, e, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM c{last}))",
+    ]
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT h FROM b) AS codebooks_sha256 FROM r"
+
+
+ORACLES = {"op4_minhash_duplicates": DUPLICATES, "op5_warc_bundles": WARC, "op6_source_mix": MIX, "op7_quality_ledger": QUALITY, "quality_ablation": ABLATION, "op11_ball_codes": _vector_codes()}
