@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplake.llm import decontam, extraction, language, lines, minhash, mixing, quality, sharding, sql, suffix_tree, tokens, vectors, warc
+from triplake.llm import decontam, extraction, language, lines, minhash, mixing, phrases, quality, sharding, sql, suffix_tree, tokens, vectors, warc
 from triplake.llm.shared import table, written
 
 
@@ -76,8 +76,12 @@ def op12_centroid_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), held_out)
 
 
+def op13_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minimax_shards, op2_benchmark_tiles, op3_line_chunks, op4_minhash_duplicates, op5_warc_bundles, op6_source_mix, op7_quality_ledger, quality_ablation, op8_main_text, op9_token_counts, op10_suffix_tree_scores, op11_ball_codes, op12_centroid_languages)}
+    return {f.__name__: f for f in (op1_minimax_shards, op2_benchmark_tiles, op3_line_chunks, op4_minhash_duplicates, op5_warc_bundles, op6_source_mix, op7_quality_ledger, quality_ablation, op8_main_text, op9_token_counts, op10_suffix_tree_scores, op11_ball_codes, op12_centroid_languages, op13_phrase_automata)}
 
 
 def oracle_sql() -> dict[str, str]:

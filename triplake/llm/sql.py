@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from triplake.llm import mixing, quality, vectors
+from triplake.llm import mixing, phrases, quality, vectors
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -92,4 +92,21 @@ def _vector_codes() -> str:
     return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT h FROM b) AS codebooks_sha256 FROM r"
 
 
-ORACLES = {"op4_minhash_duplicates": DUPLICATES, "op5_warc_bundles": WARC, "op6_source_mix": MIX, "op7_quality_ledger": QUALITY, "quality_ablation": ABLATION, "op11_ball_codes": _vector_codes()}
+PHRASES = rf"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, {_LOWER} AS text FROM documents WHERE text IS NOT NULL),
+pieces AS (SELECT d, lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+g AS (SELECT lang, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= {phrases.LEAST}),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+parts AS (SELECT cuts.*, x.f AS l, y.f AS r, 1000000 * a * a // (x.f * y.f) AS score FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[cut + 1:cuts.k], ' ')),
+lowest AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_ AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3),
+most AS (SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY ALL),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN most USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM kept JOIN n USING (lang)
+QUALIFY rank <= {phrases.TOP}"""
+
+ORACLES = {"op4_minhash_duplicates": DUPLICATES, "op5_warc_bundles": WARC, "op6_source_mix": MIX, "op7_quality_ledger": QUALITY, "quality_ablation": ABLATION, "op11_ball_codes": _vector_codes(), "op13_phrase_automata": PHRASES}
