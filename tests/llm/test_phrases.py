@@ -61,8 +61,6 @@ def test_phrases(spark, rows):
 
 def test_phrases_in_many_ranges_and_shards(spark, rows, monkeypatch):
     """Small shards, small sorts and ranges that split a frequent word and a language."""
-    from triplake.llm.shared import table  # noqa: F401
-
     monkeypatch.setattr(phrases, "RANGE", 700)
     monkeypatch.setattr(phrases, "SHARD", 2000)
     monkeypatch.setattr(phrases, "TOKENS", 64)

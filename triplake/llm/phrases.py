@@ -122,7 +122,8 @@ def boundaries(docs: DataFrame) -> list[tuple[bytes, ...]]:
                     own = tokens[i : i + WORDS]
                     own = own[: own.index(BREAK)] if BREAK in own else own
                     out += [[lang.encode("utf-8", "surrogatepass"), *own]] if own else []
-            yield pd.DataFrame({"path": out})
+            if out:
+                yield pd.DataFrame({"path": out})
 
     found = sorted(tuple(map(bytes, r[0])) for r in few.mapInPandas(phrases, "path array<binary>").collect())  # SAMPLED_PHRASES for each sampled document
     return sorted({found[len(found) * i // n_ranges] for i in range(1, n_ranges)}) if found else []
@@ -170,7 +171,8 @@ def listed(automata: DataFrame) -> DataFrame:
             for packed in pdf["packed"]:
                 counts = Counts.unpack(packed)
                 paths = [[x.decode("utf-8", "surrogatepass") for x in p] for p in counts.paths()]
-                yield pd.DataFrame({"lang": [p[0] for p in paths], "words": [p[1:] for p in paths], "a": counts.weights})
+                if paths:
+                    yield pd.DataFrame({"lang": [p[0] for p in paths], "words": [p[1:] for p in paths], "a": counts.weights})
 
     return automata.mapInPandas(each, "lang string, words array<string>, a long")
 
@@ -189,7 +191,7 @@ def composed(parts: DataFrame, automata: DataFrame, bounds: list) -> DataFrame:
         order = [i for _, i in queries]
         found = np.zeros(len(asked), np.int64)
         for packed in automaton["packed"]:  # one
-            found[order] += Counts.unpack(packed).compose([q for q, _ in queries])
+            found[order] += np.array(Counts.unpack(packed).compose([q for q, _ in queries]), np.int64)
         return pd.DataFrame({"lang": asked["lang"], "part": asked["part"], "f": found})
 
     asked = parts.mapInPandas(ranged, "lang string, part string, range int")
