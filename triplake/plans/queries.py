@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from triplake.functions import scalars
 from triplake.operators import catalog_diff, ddl_events, entailment, evolve, mapping
 from triplake.operators.patterns import Pattern, pattern_join
+from triplake.operators.questions import CLASS, Triple, answer
 from triplake.plans import analytics
 from triplake.schemas import federated
 from triplake.sources.bindings import bound, cte
@@ -117,7 +118,7 @@ register("m9_graph", lambda spark, d: mapping.triples(domain(spark, d)), DOMAIN,
 def _with_subclass(spark: SparkSession, d: str) -> DataFrame:
     """The graph, with one type of programme asserted as a subclass, which the mappings never do."""
     tables = domain(spark, d)
-    named = mapping.triples({"program_bansos": tables["program_bansos"]}).where((F.col("p") == scalars.ONTOLOGY + "namaProgram") & F.col("o").startswith("p"))
+    named = mapping.triples({"program_bansos": tables["program_bansos"]}).where((F.col("p") == scalars.ONTOLOGY + "programId") & F.col("o").endswith("7"))
     sub = named.select("s", F.lit(scalars.RDF_TYPE).alias("p"), F.lit(scalars.ONTOLOGY + "ProgramPKH").alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_type"))
     return mapping.triples(tables).unionByName(sub)
 
@@ -129,7 +130,7 @@ _GRAPH = f", graph AS ({GRAPH_SQL}), dom(p, cls) AS {_values(_DOMAIN_OF)}, ran(p
 _TYPE = f"'{scalars.RDF_TYPE}' AS p, cls AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_type"
 _INV = f"SELECT o AS s, '{_O}menerimaBansos' AS p, s AS o, o_kind, o_type FROM {{g}} WHERE p = '{_O}disalurkanKepada' UNION ALL SELECT o, '{_O}disalurkanKepada', s, o_kind, o_type FROM {{g}} WHERE p = '{_O}menerimaBansos'"
 _SUB = f"SELECT s, '{scalars.RDF_TYPE}' AS p, '{_O}ProgramBansos' AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_type FROM {{g}} WHERE p = '{scalars.RDF_TYPE}' AND o IN ('{_O}ProgramPKH', '{_O}ProgramBPNT', '{_O}ProgramBST')"
-register("e1_superclasses", lambda spark, d: entailment.superclasses(_with_subclass(spark, d)), DOMAIN, _SUB.format(g="g"), f", base AS ({GRAPH_SQL}), g AS (SELECT * FROM base UNION ALL SELECT s, '{scalars.RDF_TYPE}', '{_O}ProgramPKH', 'iri', NULL FROM base WHERE p = '{_O}namaProgram' AND o LIKE 'p%')")
+register("e1_superclasses", lambda spark, d: entailment.superclasses(_with_subclass(spark, d)), DOMAIN, _SUB.format(g="g"), f", base AS ({GRAPH_SQL}), g AS (SELECT * FROM base UNION ALL SELECT s, '{scalars.RDF_TYPE}', '{_O}ProgramPKH', 'iri', NULL FROM base WHERE p = '{_O}programId' AND o LIKE '%7')")
 register("e2_inverses", lambda spark, d: entailment.inverses(mapping.triples(domain(spark, d))), DOMAIN, _INV.format(g="graph"), _GRAPH)
 register("e3_domains", lambda spark, d: entailment.domains(mapping.triples(domain(spark, d))), DOMAIN, f"SELECT DISTINCT s, {_TYPE} FROM graph JOIN dom USING (p)".replace("'iri' AS o_kind", "'iri' AS o_kind"), _GRAPH)
 register("e4_ranges", lambda spark, d: entailment.ranges(mapping.triples(domain(spark, d))), DOMAIN, f"SELECT DISTINCT graph.o AS s, '{scalars.RDF_TYPE}' AS p, cls AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_type FROM graph JOIN ran USING (p) WHERE o_kind = 'iri'", _GRAPH)
@@ -138,6 +139,71 @@ register(
     _GRAPH + f", linked AS (SELECT * FROM graph UNION ALL {_INV.format(g='graph')})",
 )
 
+
+# ---- Q0: the questions as they are written, over mappings and ontology; the SQL asks the whole entailed graph ----
+_asked = lambda *rows: [Triple(*r) for r in rows]
+_ON_RECIPIENT = (("?penerima", CLASS, "PenerimaBansos"), ("?penerima", "nik", "?nik"), ("?penerima", "memilikDataKependudukan", "?penduduk"))
+#: Name to patterns, variables selected, and the types of those that are no text.
+QUESTIONS = {
+    "q1": (_asked(*_ON_RECIPIENT, ("?penerima", "namaLengkap", "?namaLengkap"), ("?penduduk", "pekerjaan", "?pekerjaan"), ("?penduduk", "penghasilan", "?penghasilan")), "nik namaLengkap pekerjaan penghasilan", {"penghasilan": "DECIMAL(38,2)"}),
+    "q2": (
+        _asked(*_ON_RECIPIENT, ("?penerima", "namaLengkap", "?nama"), ("?penduduk", "tergabungDalamKeluarga", "?kk"), ("?kk", "berdomisiliDi", "?wilayah"), ("?wilayah", "provinsi", PROVINCE), ("?wilayah", "desa", "?desa"), ("?wilayah", "kecamatan", "?kecamatan")),
+        "nama nik desa kecamatan", {},
+    ),
+    "q3": (
+        _asked(
+            ("?check", CLASS, "EligibilityCheck"), ("?check", "statusEligible", "?status"), ("?check", "alasan", "?alasan"), ("?check", "validasiPenerima", "?penerima"), ("?check", "divalidasiDalam", "?prog"),
+            ("?penerima", "namaLengkap", "?nama"), ("?prog", "namaProgram", "?program"),
+        ),
+        "nama program status alasan", {},
+    ),
+    "q4": (_asked(*_ON_RECIPIENT, ("?penerima", "namaLengkap", "?namaLengkap"), ("?penduduk", "namaPenduduk", "?namaDukcapil")), "nik namaLengkap namaDukcapil", {}),
+    "q5": (
+        _asked(("?transaksi", CLASS, "TransaksiBansos"), ("?transaksi", "terdaftarPadaProgram", "?prog"), ("?transaksi", "statusTransaksi", "TERSALURKAN"), ("?prog", "namaProgram", "?namaProgram"), ("?prog", "nominal", "?nominal")),
+        "namaProgram nominal", {"nominal": "DECIMAL(38,2)"},
+    ),
+    # one property of two mappings; a property that only the ontology gives; a class that links give too; a class and a property apart
+    "nik": (_asked(("?x", "nik", "?nik")), "x nik", {}),
+    "received": (_asked(("?penerima", "menerimaBansos", "?t"), ("?t", "periodeTransaksi", "?periode"), ("?penerima", "statusEkonomi", "?status")), "penerima t periode status", {}),
+    "residents": (_asked(("?x", CLASS, "Penduduk")), "x", {}),
+    "twins": (_asked(("?x", CLASS, "Penduduk"), ("?x", "nik", "?nik"), ("?y", CLASS, "PenerimaBansos"), ("?y", "nik", "?nik")), "x y nik", {}),
+}
+_FILTERS = {"q3": ("status = 'TIDAK ELIGIBLE'", "status = 'TIDAK ELIGIBLE'"), "q4": ("lower(namaLengkap) != lower(namaDukcapil)",) * 2}
+
+
+def question(spark: SparkSession, d: str, q: str) -> DataFrame:
+    patterns, select, _ = QUESTIONS[q]
+    out = answer(domain(spark, d), patterns, select.split(), F.expr(_FILTERS[q][0]) if q in _FILTERS else None)
+    return out.groupBy("namaProgram").agg(F.sum("nominal").cast("decimal(38,2)").alias("totalDana")) if q == "q5" else out
+
+
+def question_sql(q: str) -> str:
+    """The patterns as self-joins of the entailed graph."""
+    patterns, select, types = QUESTIONS[q]
+    place: dict[str, tuple[str, ...]] = {}
+    tests = []
+    for i, t in enumerate(patterns):
+        tests.append(f"t{i}.p = '{scalars.RDF_TYPE if t.p == CLASS else _O + t.p}'")
+        for term, cols in ((t.s, (f"t{i}.s", "'iri'", "''")), (t.o, (f"t{i}.o", f"t{i}.o_kind", f"coalesce(t{i}.o_type, '')"))):
+            if t.p == CLASS and term is t.o:
+                tests.append(f"t{i}.o = '{_O}{term}'")
+            elif not str(term).startswith("?"):
+                tests.append(f"t{i}.o = '{term}' AND t{i}.o_kind = 'literal'")
+            elif term in place:
+                tests += [f"{a} = {b}" for a, b in zip(place[term], cols, strict=True)]
+            else:
+                place[term] = cols
+    shown = ", ".join(f"CAST({place['?' + v][0]} AS {types.get(v, 'VARCHAR')}) AS {v}" for v in select.split())
+    sql = f"SELECT {shown} FROM {', '.join(f'ent t{i}' for i in range(len(patterns)))} WHERE {' AND '.join(tests)}"
+    sql = f"SELECT * FROM ({sql}) WHERE {_FILTERS[q][1]}" if q in _FILTERS else sql
+    return f"SELECT namaProgram, CAST(sum(nominal) AS DECIMAL(38,2)) AS totalDana FROM ({sql}) GROUP BY 1" if q == "q5" else sql
+
+
+_ENT = ORACLES["e1_e4_entailed"].rsplit("\nSELECT DISTINCT", 1)
+for _q in QUESTIONS:
+    register(f"q0_question_{_q}", lambda spark, d, q=_q: question(spark, d, q))
+    ORACLES[f"q0_question_{_q}"] = f"{_ENT[0]}, ent AS MATERIALIZED (SELECT DISTINCT{_ENT[1]})\n{question_sql(_q)}"
+
 # ---- D1-D10 ----
 _CAT = ("captured_tables_ref", "ddl_column_snapshot", "catalog_columns")
 _COLS = "db_name, table_name, column_name, column_type, ordinal_pos"
