@@ -28,7 +28,7 @@ from triplake.llm.shared import clean, utf8_size, written
 
 WORDS, LEAST, TOP = 3, 10, 2000
 #: Bytes of text that a task counts at a time, and for each prefix range.
-SHARD, RANGE = 12 << 20, 6 << 20
+SHARD, RANGE = 8 << 20, 4 << 20
 #: Sampled documents, at least and for each range, and phrases of each of them: for the boundaries of ranges.
 SAMPLED, SAMPLED_EACH, SAMPLED_PHRASES = 2000, 16, 64
 #: Most tokens that are sorted together.
@@ -225,7 +225,7 @@ def phrases(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     kept = scored.join(longer, ["lang", "phrase"], "left").where(F.col("most").isNull() | (100 * F.col("most") < 50 * F.col("a"))).drop("most")
     # a language is ranked in shares first, so that no task sorts all of one
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    share = F.pmod(F.xxhash64("phrase"), F.lit(64))
-    best = kept.withColumn("rank", F.row_number().over(W.partitionBy("lang", share).orderBy(*order))).where(F.col("rank") <= top)
-    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    return ranked.join(totals, F.col("lang") == F.col("_lang")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    for shares in (512, 8, 1):
+        share = F.pmod(F.xxhash64("phrase"), F.lit(shares))
+        kept = kept.withColumn("rank", F.row_number().over(W.partitionBy("lang", share).orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    return kept.join(totals, F.col("lang") == F.col("_lang")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
