@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,7 +144,7 @@ def test_stream_equals_batch(spark, tmp_path):
     from triplake.sources.federation import change_stream
 
     def sink(df, epoch):
-        df.select("id", "pattern_id", "reload_scope").write.mode("append").parquet(str(tmp_path / "out"))
+        df.where("outcome = 'planned'").select("id", "pattern_id", "reload_scope").write.mode("append").parquet(str(tmp_path / "out"))
 
     for _ in range(2):  # a restart from the checkpoint repeats nothing
         changes.run_stream(change_stream(spark, folder=str(tmp_path / "in")), sink, str(tmp_path / "ck")).awaitTermination()
@@ -226,8 +227,74 @@ def test_fold_against_a_replay(spark, seed):
 def test_redelivery_after_a_restart_writes_nothing_twice(spark, tmp_path):
     from triplake.sources.federation import change_stream
 
+    out = str(tmp_path / "out")
     for part in range(3):  # the same messages again, by another file, after a restart
         message_frame(spark).select("value").where("value is not null").coalesce(1).write.mode("append").text(str(tmp_path / "in"))
-        changes.run_stream(change_stream(spark, folder=str(tmp_path / "in")), changes.into(str(tmp_path / "out")), str(tmp_path / "ck")).awaitTermination()
-    got = sorted((r.id, r.pattern_id) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        changes.run_stream(change_stream(spark, folder=str(tmp_path / "in")), changes.into(out), str(tmp_path / "ck")).awaitTermination()
+    rows = changes.written_outcomes(spark, out).collect()
+    got = sorted((r.id, r.pattern_id) for r in rows if r.outcome == "planned")
     assert got == sorted((r.id, r.pattern_id) for r in changes.processed(message_frame(spark)).collect())
+    # nothing is lost on the way, in any micro-batch
+    told = changes.manifests(spark, out).collect()
+    assert sum(r.received for r in told) == len(rows) == 3 * (len(MESSAGES) + 1)
+    assert all(r.received == r.planned + r.skipped + r.filtered + r.malformed + r.repeated for r in told)
+    assert {(r.reason, r.outcome) for r in rows if r.outcome in ("malformed", "skipped")} == {("no object", "malformed"), ("no mapping", "skipped")}
+    assert {r.message for r in rows if r.outcome == "malformed"} == {"{bad", "[1, 2]"}
+
+
+def test_a_failed_micro_batch_is_written_again_as_a_whole(spark, tmp_path):
+    from triplake.sources.federation import change_stream
+
+    message_frame(spark).select("value").where("value is not null").coalesce(1).write.text(str(tmp_path / "in"))
+    out, whole, fails = str(tmp_path / "out"), changes.into(str(tmp_path / "out")), [True]
+
+    def sink(df, epoch):
+        if fails.pop() if fails else False:  # the rows are there, the manifest is not
+            df.limit(2).write.mode("overwrite").partitionBy("outcome").parquet(f"{out}/epoch={epoch}")
+            raise OSError("lost")
+        whole(df, epoch)
+
+    with pytest.raises(Exception, match="lost"):
+        changes.run_stream(change_stream(spark, folder=str(tmp_path / "in")), sink, str(tmp_path / "ck")).awaitTermination()
+    changes.run_stream(change_stream(spark, folder=str(tmp_path / "in")), sink, str(tmp_path / "ck")).awaitTermination()
+    (told,) = changes.manifests(spark, out).collect()
+    assert told.received == len(MESSAGES) + 1 == changes.written_outcomes(spark, out).count()
+
+
+def test_repeated_keys_and_odd_numbers(spark):
+    """The last of a key's repeats counts, as in a plain JSON reader; numbers that JSON lacks are null."""
+    ddl = "ALTER TABLE x.master_wilayah DROP COLUMN pos"
+    texts = [
+        f'{{"id": 1, "id": 2, "is_regulated": 0, "is_regulated": 1, "ddl_command": "{ddl}"}}', f'{{"after": {{"id": 3, "id": 4, "ddl_command": "{ddl}", "is_regulated": true}}, "op": "d", "op": "c"}}',
+        f'{{"id": 5, "x": NaN, "is_regulated": 1, "ddl_command": "{ddl}"}}', '{"id": 6, "id": }', "[NaN]",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "value string")
+    assert {r.id for r in changes.processed(df).collect()} == {"2", "4", "5"}
+    assert {r.value for r in changes.decoded(df)[1].collect()} == set(texts[3:])
+
+
+def test_events_without_an_id_are_kept(spark, tmp_path):
+    """ADD, DROP, ADD of one column, flat and without ids: the column is there at the end. Repeats with an id go."""
+    from triplake.sources.federation import change_stream
+
+    add, drop = "ALTER TABLE x.master_wilayah ADD COLUMN pos int", "ALTER TABLE x.master_wilayah DROP COLUMN pos"
+    rows = [{"ddl_command": s, "is_regulated": 1} for s in (add, drop, add)] + [{"id": 7, "ddl_command": add, "is_regulated": 1}] * 2 + [{"id": "x7", "ddl_command": add, "is_regulated": 1}] * 2
+    df = spark.createDataFrame([(json.dumps(r),) for r in rows], "value string")
+    assert changes.once_each(changes.processed(df)).count() == 5
+    df.coalesce(1).write.text(str(tmp_path / "in"))
+    changes.run_stream(change_stream(spark, folder=str(tmp_path / "in")), changes.into(str(tmp_path / "out")), str(tmp_path / "ck")).awaitTermination()
+    found = Counter(changes.written_outcomes(spark, str(tmp_path / "out")).select("outcome").toPandas()["outcome"])
+    assert found == {"planned": 6, "repeated": 1}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_interval_sets(seed):
+    rng = random.Random(seed)
+    runs, plain = changes.Intervals([], []), set()
+    for x in [rng.randrange(-40, 60) for _ in range(300)] + [2**62, 2**62 + 1]:
+        assert runs.add(x) == (x not in plain)
+        plain.add(x)
+        starts = sorted(y for y in plain if y - 1 not in plain)
+        assert runs.lows == starts and runs.highs == sorted(y for y in plain if y + 1 not in plain)
+    whole = changes.Intervals([], [])
+    assert all(whole.add(x) for x in rng.sample(range(5000), 5000)) and (whole.lows, whole.highs) == ([0], [4999])

@@ -92,14 +92,19 @@ STATEMENT = r"(?is)^ALTER TABLE (\S+) (?:(ADD) COLUMN (\S+) (.+)|(DROP) COLUMN (
 MARK, GROUPS = "\x01", "$1 $2$5$7 $3$6 $4 $8 $9"
 
 
-def parsed(events: DataFrame, ddl: str = "ddl_command") -> DataFrame:
-    """K6: events with parsed_type, parsed_table, parsed_column, column_type, old_column, new_column; unknown statements dropped.
+def matched(events: DataFrame, ddl: str = "ddl_command") -> DataFrame:
+    """K6 for all rows: events with parsed_type, parsed_table, parsed_column, column_type, old_column, new_column; null for unknown statements.
 
     Each text is matched once; a text that holds the mark is unknown.
     """
     flat = F.trim(F.regexp_replace(F.coalesce(F.col(ddl), F.lit("")), r"\s+", " "))
     parts = F.split(F.regexp_replace(flat, STATEMENT, MARK + GROUPS.replace(" ", MARK)), MARK)
-    cut = events.select("*", F.explode(F.array(parts)).alias("_parts")).where((F.size("_parts") == 7) & ~F.contains(F.col(ddl), F.lit(MARK)))
+    cut = events.select("*", F.explode(F.array(parts)).alias("_parts")).withColumn("_parts", F.when((F.size("_parts") == 7) & ~F.contains(F.col(ddl), F.lit(MARK)), F.col("_parts")))
     part = lambda k: F.nullif(F.col("_parts")[k], F.lit(""))
     out = cut.withColumn("parsed_type", F.concat(F.upper(part(2)), F.lit(" COLUMN"))).withColumn("parsed_table", identifier(part(1))).withColumn("parsed_column", identifier(part(3)))
     return out.withColumn("column_type", F.trim(part(4))).withColumn("old_column", identifier(part(5))).withColumn("new_column", identifier(part(6))).drop("_parts")
+
+
+def parsed(events: DataFrame, ddl: str = "ddl_command") -> DataFrame:
+    """K6: the same, unknown statements dropped."""
+    return matched(events, ddl).where("parsed_type is not null")

@@ -481,16 +481,35 @@ def _versions(s: SparkSession, d: str) -> DataFrame:
 register("s6_versions", _versions, _CAT, f"SELECT {_FED_ROW}, 1 AS version FROM snap UNION ALL SELECT {_FED_ROW}, 2 FROM snap UNION ALL SELECT db_name, table_name, ordinal, column_name, {_FED}, 2 FROM placed", _MORE)
 
 
-def _stream_once(s: SparkSession, d: str) -> DataFrame:
-    """S4, K1-K11 as a stream: all messages, then, after a restart, all of them again."""
-    folder, out, position = fresh(s, "topic"), fresh(s, "planned"), fresh(s, "position")
+def _streamed(s: SparkSession, d: str) -> str:
+    """S4, K1-K11 as a stream: all messages, then, after a restart, all of them again. Returns the folder of its outputs."""
+    folder, out, position = fresh(s, "topic"), fresh(s, "outcomes"), fresh(s, "position")
     for _ in range(2):
         messages(s, d).select("value").write.mode("append").text(folder)
         changes.run_stream(change_stream(s, folder=folder), changes.into(out), position).awaitTermination()
-    return s.read.parquet(out).groupBy("mapping_id").agg(F.count("*").alias("n"), F.max(F.col("id").cast("bigint")).alias("last_id"))
+    return out
+
+
+def _stream_once(s: SparkSession, d: str) -> DataFrame:
+    """The planned events of the stream, each once."""
+    rows = changes.written_outcomes(s, _streamed(s, d)).where(F.col("outcome") == changes.PLANNED)
+    return rows.groupBy("mapping_id").agg(F.count("*").alias("n"), F.max(F.col("id").cast("bigint")).alias("last_id"))
+
+
+def _stream_outcomes(s: SparkSession, d: str) -> DataFrame:
+    """K1, K9 in the stream: what became of every message, by outcome and reason."""
+    rows = changes.written_outcomes(s, _streamed(s, d))
+    return rows.groupBy("outcome", "reason").agg(F.count("*").alias("n"))
 
 
 register("k11_stream", _stream_once, _LOG, "SELECT mapping_id, count(*) AS n, max(id) AS last_id FROM cut JOIN meta USING (table_name) GROUP BY mapping_id", _MSG + _PARSED)
+_KINDS = """SELECT id, CASE WHEN id % 23 = 0 THEN 'malformed' WHEN id % 29 = 0 OR mop = 'd' OR NOT is_regulated OR alter_type IS NULL THEN 'filtered' WHEN known IS NULL THEN 'skipped' ELSE 'planned' END AS outcome,
+ CASE WHEN id % 23 = 0 THEN 'no object' WHEN id % 29 = 0 THEN 'no record' WHEN mop = 'd' THEN 'delete' WHEN NOT is_regulated THEN 'not regulated' WHEN alter_type IS NULL THEN 'unknown statement' WHEN known IS NULL THEN 'no mapping' END AS reason
+ FROM (SELECT l.id, CASE WHEN l.id % 3 = 2 THEN 'c' ELSE l.op END AS mop, l.is_regulated, parsed.alter_type, meta.table_name AS known
+ FROM ddl_event_log l LEFT JOIN parsed ON l.id = parsed.id LEFT JOIN meta ON l.table_name = meta.table_name)"""
+register(
+    "k1_k11_stream_outcomes", _stream_outcomes, _LOG, f"SELECT CASE WHEN i = 2 AND outcome = 'planned' THEN 'repeated' ELSE outcome END AS outcome, reason, count(*) AS n FROM ({_KINDS}), (VALUES (1), (2)) twice(i) GROUP BY ALL", _MSG + _PARSED,
+)
 
 
 def _polls(s: SparkSession, d: str) -> DataFrame:

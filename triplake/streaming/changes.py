@@ -5,12 +5,18 @@ Every function takes and returns a DataFrame and works the same on a streaming o
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState
 
-from triplake.operators.ddl_events import parsed
+from triplake.operators.ddl_events import matched, parsed
 
 _EVENT = "id username db_name schema_name table_name alter_type column_name ddl_command is_regulated captured_at".split()
 
@@ -44,12 +50,32 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def decoded(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """K1: messages(value) with the parsed message m, a VARIANT, and the malformed ones. A value that is no object, or repeats a key, counts as malformed."""
+@F.pandas_udf(T.StringType())
+def _last_of_repeated_keys(values: pd.Series) -> pd.Series:
+    """Objects that a VARIANT refuses, for a key that is repeated (the last counts) or a number such as NaN (null), as plain JSON; null for what is no JSON."""
+
+    def plain(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text, parse_constant=lambda _: None))
+        except (ValueError, RecursionError):
+            return None
+
+    return values.map(plain)
+
+
+def _parsed_messages(messages: DataFrame) -> DataFrame:
+    """messages with m, the parsed object, a VARIANT, or null. Only what is refused at first is read again, in Python."""
     value = F.col("value").cast("string")
-    read = _once(messages, "m", F.try_parse_json(value))
-    good = F.col("m").isNotNull() & F.coalesce(value.rlike(r"^\s*\{"), F.lit(False))
-    return read.where(good), read.where(~good).drop("m")
+    is_object = F.coalesce(value.rlike(r"^\s*\{"), F.lit(False))
+    read = _once(messages, "_m", F.when(is_object, F.try_parse_json(value)))
+    again = F.try_parse_json(_last_of_repeated_keys(F.when(is_object & F.col("_m").isNull(), value)))
+    return _once(read, "m", F.coalesce("_m", again)).drop("_m")
+
+
+def decoded(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """K1: messages(value) with the parsed message m, a VARIANT, and the malformed ones. A value that is no object counts as malformed; of a key's repeats the last counts."""
+    read = _parsed_messages(messages)
+    return read.where("m is not null"), read.where("m is null").drop("m")
 
 
 def unwrapped(messages: DataFrame) -> DataFrame:
@@ -107,21 +133,126 @@ def processed(messages: DataFrame) -> DataFrame:
     return plan(enriched(actionable(live(unwrapped(good))))[0])
 
 
-def once_each(planned: DataFrame) -> DataFrame:
-    """Each event of a topic once. In a stream the seen ids are state, kept over restarts and dealt by key, so a repeat of any age is dropped.
+PLANNED, SKIPPED, FILTERED, MALFORMED, REPEATED = "planned", "skipped", "filtered", "malformed", "repeated"
+#: Seen ids are dealt over so many stripes of each topic.
+STRIPES = 64
+
+
+def tracked(messages: DataFrame) -> DataFrame:
+    """K1-K10 without loss: every message with its `outcome` and `reason`, the planned ones with their plan, from one read.
 
-    Events without an id are told apart by their statement, whose repeats change nothing.
+    filtered: deletes, events without a record, not regulated, without or with an unknown statement; skipped: tables without a mapping.
     """
-    keyed = planned.withColumn("_key", F.coalesce(F.concat(F.lit("id "), "id"), F.col("ddl_command")))
-    return keyed.dropDuplicates([*(["topic"] if "topic" in planned.columns else []), "_key"]).drop("_key")
+    spark = messages.sparkSession
+    read = _parsed_messages(messages).withColumn("message", F.col("value").cast("string")).withColumn("_good", F.col("m").isNotNull())
+    told = matched(unwrapped(read).drop("table_name", "alter_type", "column_name"))
+    told = told.withColumnsRenamed({"parsed_type": "alter_type", "parsed_table": "table_name", "parsed_column": "column_name"})
+    met = told.join(F.broadcast(rules(spark)), "alter_type", "left").join(F.broadcast(table_metadata(spark)), "table_name", "left")
+    cases = [
+        (~F.col("_good"), MALFORMED, "no object"), (F.col("op") == "d", FILTERED, "delete"), (F.coalesce("_null", F.lit(False)), FILTERED, "no record"), (~truthy(), FILTERED, "not regulated"),
+        (F.coalesce(F.length("ddl_command"), F.lit(0)) == 0, FILTERED, "no statement"), (F.col("alter_type").isNull(), FILTERED, "unknown statement"), (F.col("mapping_id").isNull(), SKIPPED, "no mapping"),
+    ]
+    said = reduce(lambda rest, c: F.when(c[0], F.struct(F.lit(c[1]).alias("outcome"), F.lit(c[2]).alias("reason"))).otherwise(rest), reversed(cases), F.struct(F.lit(PLANNED).alias("outcome"), F.lit(None).cast("string").alias("reason")))
+    return plan(_once(met, "_said", said)).select("*", "_said.*").drop("_said", "_good", "_null")
+
+
+def number(id_text: str = "id") -> Column:
+    """An event's id as a number, null where it is none."""
+    return F.expr(f"try_cast({id_text} as bigint)")
+
+
+class Intervals:
+    """A set of numbers as sorted runs [low, high], so that a set without gaps is one run however many numbers it has."""
+
+    def __init__(self, lows: list[int], highs: list[int]):
+        self.lows, self.highs = lows, highs
+
+    def add(self, x: int) -> bool:
+        """Whether x is new."""
+        i = bisect_right(self.lows, x) - 1
+        if i >= 0 and x <= self.highs[i]:
+            return False
+        left = i >= 0 and self.highs[i] == x - 1
+        right = i + 1 < len(self.lows) and self.lows[i + 1] == x + 1
+        if left and right:
+            self.highs[i] = self.highs[i + 1]
+            del self.lows[i + 1], self.highs[i + 1]
+        elif left:
+            self.highs[i] = x
+        elif right:
+            self.lows[i + 1] = x
+        else:
+            self.lows.insert(i + 1, x)
+            self.highs.insert(i + 1, x)
+        return True
+
+
+_SEEN = T.StructType([T.StructField("lows", T.ArrayType(T.LongType())), T.StructField("highs", T.ArrayType(T.LongType()))])
+
+
+def marked_repeats(events: DataFrame) -> DataFrame:
+    """K11 in a stream: planned events of a topic whose id was seen before get the outcome `repeated`; all rows go on.
+
+    Seen ids are state for ever, as runs of numbers: its size is that of the gaps, not of the log. A topic's ids are dealt over STRIPES by
+    their remainder, so that neighbouring ids meet in different tasks and a run without gaps stays one in each. Events without a
+    number as id can't be told apart and count as new: their statements act on the state as often as they come, in order.
+    """
+
+    def own(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = Intervals(*[list(x) for x in state.get]) if state.exists else Intervals([], [])
+        for pdf in batches:
+            again = [r == PLANNED and n == n and n is not None and not seen.add(int(n) // STRIPES) for r, n in zip(pdf["outcome"], pdf["_n"], strict=True)]
+            yield pdf.assign(outcome=[REPEATED if a else o for a, o in zip(again, pdf["outcome"], strict=True)]).drop(columns=["_n", "_stripe", "_topic"])
+        if seen.lows:
+            state.update((seen.lows, seen.highs))
+
+    n = number()
+    spread = F.when((F.col("outcome") == PLANNED) & n.isNotNull(), F.pmod(n, F.lit(STRIPES))).otherwise(-1 - F.pmod(F.xxhash64("message"), F.lit(STRIPES)))
+    topic = F.col("topic") if "topic" in events.columns else F.lit("")
+    # text keeps the remainder's rows exact in pandas
+    ready = events.withColumn("_n", n.cast("string")).withColumn("_stripe", spread.cast("int")).withColumn("_topic", F.coalesce(topic, F.lit("")))
+    return ready.groupBy("_topic", "_stripe").applyInPandasWithState(own, events.schema, _SEEN, "append", "NoTimeout")
+
+
+def once_each(planned: DataFrame) -> DataFrame:
+    """K11 in batch: each event of a topic once, by its id; events without one are all kept."""
+    key = [*(["topic"] if "topic" in planned.columns else []), "id"]
+    return planned.where("id is not null").dropDuplicates(key).unionByName(planned.where("id is null"))
 
 
 def into(path: str) -> Callable[[DataFrame, int], None]:
-    """An idempotent sink: each micro-batch has a folder of its own, which a micro-batch that runs again replaces."""
-    return lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    """An idempotent sink of every message: a folder for each micro-batch with one part for each outcome, and a manifest that is written last.
+
+    A micro-batch that runs again replaces its folder and its manifest; one without a manifest isn't read. The manifest has the number of
+    messages received, counted on the way, and of each outcome, counted in what was written.
+    """
+
+    def write(df: DataFrame, epoch: int) -> None:
+        spark, folder = df.sparkSession, f"{path}/epoch={epoch}"
+        received = Observation()
+        df.observe(received, F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy("outcome").parquet(folder)
+        counts = outcomes_of(spark, df.schema, folder).groupBy("outcome").count()
+        told = counts.groupBy().pivot("outcome", [PLANNED, SKIPPED, FILTERED, MALFORMED, REPEATED]).agg(F.sum("count")).na.fill(0)
+        told.select(F.lit(epoch).cast("long").alias("epoch"), F.lit(received.get["n"]).alias("received"), "*").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/of={epoch}")
+
+    return write
+
+
+def outcomes_of(spark: SparkSession, schema: T.StructType, folder: str) -> DataFrame:
+    return spark.read.schema(schema).option("basePath", folder).parquet(folder)
+
+
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """epoch, received, and the number of messages of each outcome, of the micro-batches that were written to the end."""
+    return spark.read.parquet(f"{path}/manifest").drop("of")
+
+
+def written_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of the micro-batches that have a manifest."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/epoch=*")
+    return rows.join(manifests(spark, path).select("epoch"), "epoch", "left_semi")
 
 
 def run_stream(messages: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
     """Processes all waiting messages of a stream, at least once; with an idempotent sink such as `into`, exactly once."""
-    planned = once_each(processed(messages))
-    return planned.writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return marked_repeats(tracked(messages)).writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
