@@ -1,8 +1,13 @@
 from __future__ import annotations
 
 import datetime
+import random
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
+import pytest
+from pyspark.sql import functions as F
+
 from triplake.schemas import federated
 from triplake.sources import federation
 
@@ -72,3 +77,55 @@ def test_jdbc_reads_are_split(spark):
     by_number, by_text = queries.QUERIES["s1_jdbc_by_number"](spark, SF), queries.QUERIES["s2_jdbc_by_text"](spark, SF)
     assert by_number.rdd.getNumPartitions() == 4 and by_text.rdd.getNumPartitions() == 3
     assert "PushedFilters: [*IsNotNull(penerima_id), *EqualTo(penerima_id,5)]" in by_number.where("penerima_id = 5")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_repeated_append_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([(i, datetime.datetime(2024, 1, 1 + i % 3)) for i in range(9)], "id int, captured_at timestamp")
+    assert federation.append_events(rows, path, "b1") and not federation.append_events(rows.repartition(3), path, "b1")
+    assert not federation.append_events(rows, path, "b1") and federation.append_events(rows.where("id < 2"), path)
+    assert not federation.append_events(rows.where("id < 2"), path)  # a retry without a name
+    assert federation.read_log(spark, path).count() == 11
+    with pytest.raises(ValueError, match="other rows"):
+        federation.append_events(rows.limit(1), path, "b1")
+    (tmp_path / "log" / "batch=b2" / "day=2024-01-01").mkdir(parents=True)  # cut off
+    assert federation.read_log(spark, path).count() == 11 and federation.append_events(rows, path, "b2")
+    assert federation.read_log(spark, path).count() == 20
+
+
+def test_writers_at_once_get_versions_of_their_own(spark, tmp_path):
+    path = str(tmp_path / "registry")
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda k: federation.save_if_changed(spark.createDataFrame([(k,)], "k int"), path), range(4)))
+    assert sorted(got) == [1, 2, 3, 4] == federation.versions(spark, path)
+    assert {federation.load_version(spark, path, v).first().k for v in got} == {0, 1, 2, 3}
+
+
+def test_fingerprints_know_rows_apart(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, "a", None), (2, "", "b"), (2, "", "b")], "k int, x string, y string")
+    same = [df, df.repartition(3), df.orderBy(F.desc("k"))]
+    other = [df.limit(3), df.unionByName(df), df.withColumn("y", F.lit("b")), df.select("k", F.col("y").alias("x"), F.col("x").alias("y")), df.withColumn("k", F.col("k").cast("long"))]
+    assert len({federation.fingerprint(d) for d in same}) == 1
+    assert len({federation.fingerprint(d) for d in [df, *other]}) == 6
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_splits_are_even_with_a_hot_key(spark, text):
+    rng = random.Random(4)
+    rows = [((7 if i % 3 == 0 else rng.randrange(1000)), rng.randrange(10_000)) for i in range(3000)] + [(None, 1), (7, None)]
+    rows = [(None if k is None else f"k'{k:04}" if text else k, v) for k, v in rows]
+    df = spark.createDataFrame(rows, f"k {'string' if text else 'int'}, v int")
+    predicates = federation.balanced_ranges(rows[::3] + rows[1::3], 9, "k", "v")
+    sizes = [df.where(p).count() for p in predicates]
+    assert sum(sizes) == len(rows) and max(sizes) <= 2 * len(rows) / len(sizes)
+    assert federation.balanced_ranges([], 4, "k") == ["1 = 1"]
+
+
+def test_calls_have_databases_of_their_own(spark):
+    from tests.conftest import SF
+    from triplake.plans import queries
+
+    first = queries.QUERIES["s1_jdbc_by_number"](spark, SF)
+    n = first.count()
+    second = queries.QUERIES["s1_jdbc_by_number"](spark, SF.replace("sf0.001", "sf0.01"))
+    assert (first.count(), second.count()) == (n, 10 * n)

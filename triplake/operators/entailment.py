@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplake.functions.scalars import ONTOLOGY, RDF_TYPE, RESOURCE, encoded, resource
-from triplake.operators.mapping import MAPPINGS, Mapping, clash, picked, said_once, terms_by_subject, told, whole_triple
+from triplake.operators.mapping import MAPPINGS, Mapping, Term, clash, picked, said_once, terms_by_subject, told, whole_triple
 
 # The ontology's classes and object properties.
 SUBCLASSES = {"ProgramPKH": "ProgramBansos", "ProgramBPNT": "ProgramBansos", "ProgramBST": "ProgramBansos"}
@@ -77,6 +78,33 @@ def ranges(graph: DataFrame) -> DataFrame:
     return graph.where(F.col("o_kind") == "iri").join(_pairs(graph.sparkSession, rows, ["p", "class"]), "p").select(*_typed(F.col("o"), F.col("class"))).distinct()
 
 
+def _types_of_tables(tables: dict[str, DataFrame], mappings: tuple[Mapping, ...], said_of: Callable[[Term, str, str], list[tuple[str, Column, Column, str]]]) -> DataFrame:
+    """Types that rows tell: said_of gives, for a term and its subject's kind, what is typed (kind, key, whether the value must be there, class).
+
+    Rows are made distinct as kind, key and class, before any IRI is built; each table is read once.
+    """
+    found = []
+    for (table, kind, key), terms in terms_by_subject(tables, mappings).items():
+        said = [F.when(there & k.isNotNull(), F.struct(F.lit(of).alias("kind"), k.cast("string").alias("key"), F.lit(cls).alias("class"))) for t in terms if t.column for of, k, there, cls in said_of(t, kind, key)]
+        if said:
+            rows = tables[table].where(F.col(key).isNotNull())
+            found.append(rows.select(F.explode(F.array_compact(F.array(*said))).alias("t")).select("t.*"))
+    once = reduce(DataFrame.unionByName, found).dropDuplicates(["kind", "key", "class"])
+    return once.select(*_typed(F.concat(F.lit(RESOURCE), "kind", F.lit("/"), encoded(F.col("key"))), F.concat(F.lit(ONTOLOGY), "class")))
+
+
+def domains_of_tables(tables: dict[str, DataFrame], mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """E3 of all mappings' triples, from the rows."""
+    of = {p: d for p, (d, _) in OBJECT_PROPERTIES.items()} | {p: c for c, ps in DATATYPE_DOMAINS.items() for p in ps.split()}
+    return _types_of_tables(tables, mappings, lambda t, kind, key: [(kind, F.col(key), F.col(t.column).isNotNull(), of[p]) for p in [t.prop.removeprefix(ONTOLOGY)] if p in of])
+
+
+def ranges_of_tables(tables: dict[str, DataFrame], mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """E4 of all mappings' triples, from the rows."""
+    to = {p: r for p, (_, r) in OBJECT_PROPERTIES.items()}
+    return _types_of_tables(tables, mappings, lambda t, kind, key: [(t.link, F.col(t.column), F.lit(True), to[p]) for p in [t.prop.removeprefix(ONTOLOGY)] if t.link and p in to])
+
+
 def implied(parents: dict = SUBCLASSES) -> tuple[dict[str, list[str]], dict[str, list[str]], dict[str, str]]:
     """By property: the classes of its subjects, those of its objects, both with ancestors and by way of inverses, and its inverse."""
     up: dict[str, set[str]] = {}

@@ -15,7 +15,7 @@ from triplake.operators.questions import CLASS, Triple, answer
 from triplake.plans import analytics
 from triplake.schemas import federated
 from triplake.sources.bindings import bound, cte
-from triplake.sources.federation import append_events, change_stream, declared, jdbc_options, load_version, read_source, save_if_changed, string_ranges, versions
+from triplake.sources.federation import append_events, balanced_ranges, change_stream, declared, jdbc_options, load_version, read_log, read_source, sampled_keys, save_if_changed, versions
 from triplake.sources.storage import fresh, written
 from triplake.streaming import changes
 
@@ -132,8 +132,8 @@ _INV = f"SELECT o AS s, '{_O}menerimaBansos' AS p, s AS o, o_kind, o_type FROM {
 _SUB = f"SELECT s, '{scalars.RDF_TYPE}' AS p, '{_O}ProgramBansos' AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_type FROM {{g}} WHERE p = '{scalars.RDF_TYPE}' AND o IN ('{_O}ProgramPKH', '{_O}ProgramBPNT', '{_O}ProgramBST')"
 register("e1_superclasses", lambda spark, d: entailment.superclasses(_with_subclass(spark, d)), DOMAIN, _SUB.format(g="g"), f", base AS ({GRAPH_SQL}), g AS (SELECT * FROM base UNION ALL SELECT s, '{scalars.RDF_TYPE}', '{_O}ProgramPKH', 'iri', NULL FROM base WHERE p = '{_O}programId' AND o LIKE '%7')")
 register("e2_inverses", lambda spark, d: entailment.inverses(mapping.triples(domain(spark, d))), DOMAIN, _INV.format(g="graph"), _GRAPH)
-register("e3_domains", lambda spark, d: entailment.domains(mapping.triples(domain(spark, d))), DOMAIN, f"SELECT DISTINCT s, {_TYPE} FROM graph JOIN dom USING (p)".replace("'iri' AS o_kind", "'iri' AS o_kind"), _GRAPH)
-register("e4_ranges", lambda spark, d: entailment.ranges(mapping.triples(domain(spark, d))), DOMAIN, f"SELECT DISTINCT graph.o AS s, '{scalars.RDF_TYPE}' AS p, cls AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_type FROM graph JOIN ran USING (p) WHERE o_kind = 'iri'", _GRAPH)
+register("e3_domains", lambda spark, d: entailment.domains_of_tables(domain(spark, d)), DOMAIN, f"SELECT DISTINCT s, {_TYPE} FROM graph JOIN dom USING (p)".replace("'iri' AS o_kind", "'iri' AS o_kind"), _GRAPH)
+register("e4_ranges", lambda spark, d: entailment.ranges_of_tables(domain(spark, d)), DOMAIN, f"SELECT DISTINCT graph.o AS s, '{scalars.RDF_TYPE}' AS p, cls AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_type FROM graph JOIN ran USING (p) WHERE o_kind = 'iri'", _GRAPH)
 register(
     "e1_e4_entailed", lambda spark, d: entailment.entailed_tables(domain(spark, d)), DOMAIN, f"SELECT DISTINCT * FROM (SELECT * FROM linked UNION ALL SELECT s, {_TYPE} FROM linked JOIN dom USING (p) UNION ALL SELECT linked.o, '{scalars.RDF_TYPE}', cls, 'iri', NULL FROM linked JOIN ran USING (p) WHERE o_kind = 'iri')",
     _GRAPH + f", linked AS (SELECT * FROM graph UNION ALL {_INV.format(g='graph')})",
@@ -419,51 +419,56 @@ register("p12_violations", lambda s, d: evolve.violations(state(s, d)["target"],
 register("p13_unsafe_drops", lambda s, d: evolve.unsafe_drops(changes_of(s, d), state(s, d)["source"].where("ordinal <= 3").select("mapping_id", F.col("physical").alias("column_name"))).select("mapping_id", "column_name"), _CAT, "SELECT mapping_id, column_name FROM snap s WHERE ordinal_pos <= 3 AND " + _DROPPED, _MORE)
 
 # ---- S1, S2, S4-S6, K11, and a poll as a whole ----
-#: For a local session without a database of its own: the embedded one that comes with Spark.
-DATABASE = {"url": "jdbc:derby:memory:triplake;create=true", "user": "app", "password": "app", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+def _database(s: SparkSession, d: str, name: str) -> dict[str, str]:
+    """JDBC options of a domain table: of the database of `triplake.jdbc.url`, `.user`, `.password` and `.driver`, if the session names one, which all executors must reach.
 
-
-def _database(s: SparkSession) -> dict[str, str]:
-    """The JDBC options of `triplake.jdbc.url`, `.user`, `.password` and `.driver`; all executors must reach it."""
+    A local session without one puts the table into an embedded database of its own on disk, a new one for each call.
+    """
+    names = ("url", "user", "password", "driver")
     if s.conf.get("triplake.jdbc.url", None):
-        return {k: s.conf.get(f"triplake.jdbc.{k}", "") for k in DATABASE}
+        return {k: s.conf.get(f"triplake.jdbc.{k}", "") for k in names} | {"dbtable": name}
     if not s.sparkContext.master.startswith("local"):
         raise ValueError("triplake.jdbc.url must name a database that all executors reach")
-    return DATABASE
-
-
-def _in_database(s: SparkSession, d: str, name: str) -> DataFrame:
-    """The domain table, put into the database first."""
-    df, options = bound(s, d, name), _database(s)
+    url = f"jdbc:derby:{fresh(s, 'database').removeprefix('file:')};create=true"
+    options = dict(zip(names, (url, "app", "app", "org.apache.derby.jdbc.EmbeddedDriver"), strict=True))
+    df = bound(s, d, name)
     kinds = ", ".join(f"{f.name} VARCHAR(100)" for f in df.schema if f.dataType.simpleString() == "string")
-    df.write.mode("overwrite").option("createTableColumnTypes", kinds).jdbc(options["url"], name, properties={k: v for k, v in options.items() if k != "url"})
-    return df
+    df.write.mode("overwrite").option("createTableColumnTypes", kinds).jdbc(url, name, properties={k: v for k, v in options.items() if k != "url"})
+    return options | {"dbtable": name}
 
 
 def _by_number(s: SparkSession, d: str) -> DataFrame:
-    df, db = _in_database(s, d, "penerima_manfaat"), _database(s)
-    low, high = df.agg(F.min("penerima_id"), F.max("penerima_id")).first()
-    options = jdbc_options(db["url"], "penerima_manfaat", db["user"], db["password"], "penerima_id", (low, high + 1), 4) | {"driver": db["driver"]}
-    return read_source(s, "penerima_manfaat", options=options)
+    options = _database(s, d, "penerima_manfaat")
+    ends = options | {"dbtable": '(select min("penerima_id") as low, max("penerima_id") as high from penerima_manfaat) t'}
+    low, high = s.read.format("jdbc").options(**ends).load().first()
+    return read_source(s, "penerima_manfaat", options=jdbc_options(options["url"], "penerima_manfaat", options["user"], options["password"], "penerima_id", (low, high + 1), 4) | {"driver": options["driver"]})
 
 
 def _by_text(s: SparkSession, d: str) -> DataFrame:
-    df, db = _in_database(s, d, "master_penduduk"), _database(s)
-    cuts = [r[0] for r in df.select(F.explode(F.expr("array(percentile_approx(cast(nik as bigint), 0.33), percentile_approx(cast(nik as bigint), 0.67))")).alias("n")).select(F.lpad(F.col("n").cast("string"), 16, "0")).collect()]
-    options = jdbc_options(db["url"], "master_penduduk", db["user"], db["password"]) | {"driver": db["driver"]}
-    return read_source(s, "master_penduduk", options=options, predicates=string_ranges('"nik"', cuts))
+    """Split by quantiles of a sample of the key."""
+    options = _database(s, d, "master_penduduk")
+    cuts = balanced_ranges(sampled_keys(s, options, "master_penduduk", '"nik"'), 3, '"nik"')
+    return read_source(s, "master_penduduk", options=options, predicates=cuts)
+
+
+def _by_hot_number(s: SparkSession, d: str) -> DataFrame:
+    """Transactions split by programme and, where a programme has more than a part, by recipient; and how even the parts are."""
+    options = _database(s, d, "transaksi_bansos")
+    cuts = balanced_ranges(sampled_keys(s, options, "transaksi_bansos", '"program_id"', '"penerima_id"'), 6, '"program_id"', '"penerima_id"')
+    return read_source(s, "transaksi_bansos", options=options, predicates=cuts)
 
 
 register("s1_jdbc_by_number", _by_number, ("penerima_manfaat",), "SELECT * FROM penerima_manfaat")
 register("s2_jdbc_by_text", _by_text, ("master_penduduk",), "SELECT * FROM master_penduduk")
+register("s1_jdbc_balanced", _by_hot_number, ("transaksi_bansos",), "SELECT * FROM transaksi_bansos")
 
 
 def _log_by_day(s: SparkSession, d: str) -> DataFrame:
-    """The log appended in two parts, and read back by its days."""
+    """The log appended in two parts, one of them twice as a retry would, and read back by its days."""
     log, path = bound(s, d, "ddl_event_log"), fresh(s, "log")
-    for part in (0, 1):
-        append_events(log.where(F.col("id") % 2 == part), path)
-    return s.read.parquet(path).groupBy("day").agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
+    for part in (0, 1, 1):
+        append_events(log.where(F.col("id") % 2 == part), path, f"half-{part}")
+    return read_log(s, path).groupBy("day").agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
 
 
 register("s5_log_by_day", _log_by_day, _LOG, "SELECT CAST(captured_at AS DATE) AS day, count(*) AS n, max(id) AS last_id FROM ddl_event_log GROUP BY 1")
