@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from triplake.llm.shared import clean, runs, written
 
-BUCKETS, SIZES = 1 << 14, (1, 2, 3, 4)
+BUCKETS, SIZES = 1 << 13, (1, 2, 3, 4)
 #: Learned texts of a language, centroids of a language, rounds of k-means.
-SAMPLE, CENTROIDS, ROUNDS = 2000, 4, 8
+SAMPLE, CENTROIDS, ROUNDS = 1000, 4, 8
 #: Share of a centroid's own texts that its distance of rejection leaves outside.
 OUTSIDE = 0.01
 UNKNOWN = "und"
@@ -142,9 +142,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> tu
         rows = np.zeros((len(pdf), BUCKETS), np.float32)
         for row, b, c in zip(rows, pdf["buckets"], pdf["counts"], strict=True):
             row[b] = c
-        rows = normalised(rows * idf)
+        rows *= idf
+        rows /= np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-12)
         # the same order in every run, whatever order the rows came in
-        found, limits = clusters(rows[np.lexsort((rows @ np.arange(BUCKETS, dtype=np.float32), rows.max(axis=1)))], centroids)
+        rows = rows[np.lexsort((rows @ np.arange(BUCKETS, dtype=np.float32), rows.max(axis=1)))]
+        found, limits = clusters(rows, centroids)
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [c.tolist() for c in found], "most": limits})
 
     model = learned.groupBy("lang").applyInPandas(grouped, "lang string, centroid array<float>, most double").collect()
