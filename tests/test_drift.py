@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from triplake.functions import scalars
-from triplake.operators import catalog_diff, ddl_events, evolve
+from triplake.operators import catalog_diff, ddl_events, evolve, fold
 from triplake.streaming import changes
 
 DDL = [
@@ -160,7 +160,7 @@ def test_fold(spark):
     df = spark.createDataFrame([(*r, "t") for r in LOG] + [(9, *LOG[0][1:], "u")], LOG_SCHEMA)
     want = {("t", 1, "d", "a", True), ("t", 2, "b", "b", False), ("u", 1, "a", "a", True)}
     for frame in (df, df.unionByName(df).repartition(3)):
-        out = evolve.fold(frame).collect()
+        out = fold.fold(frame).collect()
         assert {(r.table_name, r.ordinal, r.physical, r.logical, r.active) for r in out} == want
         assert {r.n_applied for r in out if r.table_name == "t"} == {5}
 
@@ -215,13 +215,41 @@ def random_log(rng, n):
     return out
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_fold_against_a_replay(spark, seed):
-    rows = random_log(random.Random(seed), 500)
+@pytest.mark.parametrize("segment", [1000, 100, 9])
+def test_fold_against_a_replay(spark, segment):
+    rows = random_log(random.Random(segment), 200)
     df = spark.createDataFrame(rows + rows[::7], LOG_SCHEMA).repartition(3)
-    assert {tuple(r) for r in evolve.fold(df).collect()} == replayed(rows)
-    # more tasks than tables: each table's names fall into lineages
-    assert evolve.lineages(df).select("table_name", "lineage").distinct().count() > 6
+    assert {tuple(r) for r in fold.fold(df, segment).collect()} == replayed(rows)
+
+
+def test_fold_of_one_table_in_many_tasks(spark):
+    """One table has all events and renames connect all its names: no segment holds more than its share."""
+    rng, rows = random.Random(5), []
+    for i in range(400):
+        a, b = (f"c{rng.randrange(12)}" for _ in range(2))
+        rows.append([(i, "ADD COLUMN", a, "int", None, None, "t"), (i, "DROP COLUMN", a, None, None, None, "t"), (i, "RENAME COLUMN", None, None, a, b, "t")][rng.choice([0, 1, 2, 2])])
+    df = spark.createDataFrame(rows, LOG_SCHEMA)
+    sizes = [r["count"] for r in fold._segmented(df, 50).groupBy("part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 100
+    assert {tuple(r) for r in fold.fold(df, 50).collect()} == replayed(rows)
+
+
+def test_knowledge_of_names_is_never_wrong():
+    """Whatever the unknown names are, what is said of the others holds."""
+    kinds = [("ADD COLUMN", "a", None, None), ("DROP COLUMN", "b", None, None), ("RENAME COLUMN", None, "a", "b"), ("RENAME COLUMN", None, "b", "c"), ("RENAME COLUMN", None, "c", "a"), ("RENAME COLUMN", None, "a", "a"), ("ADD COLUMN", None, None, None)]
+    for seed in range(200):
+        rng = random.Random(seed)
+        log = [rng.choice(kinds) for _ in range(rng.randrange(1, 8))]
+        start = {n: rng.choice([True, False, None]) for n in "abc"}
+        live, said = dict(start), []
+        for e in log:
+            said.append(fold.after(live, e))
+        for world in range(8):
+            whole = {n: bool(world >> i & 1) if start[n] is None else start[n] for i, n in enumerate("abc")}
+            for e, known in zip(log, said, strict=True):
+                acted = fold.after(whole, e)
+                assert acted is not None and known in (None, acted)
+            assert all(v in (None, whole[n]) for n, v in live.items())
 
 
 def test_redelivery_after_a_restart_writes_nothing_twice(spark, tmp_path):

@@ -1,4 +1,4 @@
-"""Schema evolution on metadata tables (P1-P13) and the ordered fold of events into them.
+"""Schema evolution on metadata tables (P1-P13) and the fold of a stream's events into them (K12; in batch: triplake.operators.fold).
 
 State frames: fed_column(model, table_name, ordinal, name, type); mapping_source(mapping_id, ordinal, physical, logical);
 mapping_target(mapping_id, property, binding, xsd); onto_property(property, domain, range, label, deprecated). Event frames
@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState
 
 from triplake.functions.scalars import federation_type, label, property_name, xsd_type
-from triplake.sources.storage import written
 
 COLUMN = ["model", "table_name", "name"]
 
@@ -185,68 +184,9 @@ def _packed(events: DataFrame) -> DataFrame:
     return events.where("table_name is not null and id is not null").select("table_name", F.col("id").cast("long").alias("id"), *_EVENT[1:])
 
 
-def lineages(events: DataFrame) -> DataFrame:
-    """table_name, name, lineage: names of a table that renames connect. Only distinct pairs of names, a table's metadata, meet in a task."""
-
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        root: dict[str, str] = {}
-
-        def find(x: str) -> str:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for a, b in zip(pdf["old_column"], pdf["new_column"], strict=True):
-            a, b = find(a), find(b)
-            root[max(a, b)] = min(a, b)
-        names = list(root)
-        return pd.DataFrame({"table_name": pdf["table_name"].iloc[0], "name": names, "lineage": [find(n) for n in names]})
-
-    pairs = of(events, "RENAME").where("table_name is not null and old_column is not null and new_column is not null").select("table_name", "old_column", "new_column").distinct()
-    return pairs.groupBy("table_name").applyInPandas(joined, "table_name string, name string, lineage string")
-
-
-def fold(events: DataFrame) -> DataFrame:
-    """K12, batch: each table's columns after all its events in id order, repeats once.
-
-    Events only act on each other through the names they share, so each lineage of a table's columns is folded on its own, in Arrow
-    batches; a column's ordinal comes from a window over the few columns that are left.
-    """
-
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, columns, live, last, n = None, [], {}, -1, 0
-
-        def told() -> pd.DataFrame:
-            rows = [[*key, *c, last, n] for c in columns] or [[*key, None, None, None, None, None, last, n]]
-            return pd.DataFrame(rows, columns=["table_name", "lineage", "physical", "logical", "type", "active", "added", "last_id", "n"])
-
-        for pdf in batches:
-            for table, lineage, *e in zip(*[pdf[c].tolist() for c in ("table_name", "lineage", *_EVENT)], strict=True):
-                if (table, lineage) != key:
-                    if key is not None:
-                        yield told()
-                    key, columns, live, last, n = (table, lineage), [], {}, -1, 0
-                if e[0] > last:
-                    fold_column(columns, live, e)
-                    last, n = e[0], n + 1
-        if key is not None:
-            yield told()
-
-    rows = written(_packed(events), "events")
-    name = F.coalesce("column_name", "old_column")
-    met = rows.withColumn("name", name).join(lineages(rows), ["table_name", "name"], "left").withColumn("lineage", F.coalesce("lineage", "name"))
-    ready = met.select("table_name", "lineage", *_EVENT).repartition("table_name", "lineage").sortWithinPartitions("table_name", "lineage", "id")
-    folded = written(ready.mapInPandas(own, "table_name string, lineage string, physical string, logical string, type string, active boolean, added long, last_id long, n long"), "folded")
-    applied = folded.select("table_name", "lineage", "last_id", "n").distinct().groupBy("table_name").agg(F.max("last_id").alias("last_id"), F.sum("n").alias("n_applied"))
-    ordinal = F.row_number().over(W.partitionBy("table_name").orderBy("added"))
-    columns = folded.where("physical is not null").select("table_name", ordinal.alias("ordinal"), "physical", "logical", "type", "active")
-    return columns.join(applied, "table_name").select(*[c.split()[0] for c in FOLDED.split(", ")])
-
-
 def fold_stream(events: DataFrame) -> DataFrame:
     """K12, stream: the same state kept by table. Repeated ids are dropped by a state of their own, dealt by table and id, whatever their age. An
-    id below the last that was never seen is late: its table's row comes out with ordinal -1, and the caller rebuilds that table with `fold`.
+    id below the last that was never seen is late: its table's row comes out with ordinal -1, and the caller rebuilds that table with `triplake.operators.fold.fold`.
 
     A micro-batch's events of one table are sorted in one task; the source's rate limit bounds them.
     """

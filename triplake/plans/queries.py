@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplake.functions import scalars
-from triplake.operators import catalog_diff, ddl_events, entailment, evolve, mapping
+from triplake.operators import catalog_diff, ddl_events, entailment, evolve, fold, mapping
 from triplake.operators.patterns import Pattern, pattern_join
 from triplake.operators.questions import CLASS, Triple, answer
 from triplake.plans import analytics
@@ -335,7 +335,7 @@ _FOLD = _PARSED + f""", ev AS (SELECT *, row_number() OVER (PARTITION BY table_n
  FROM st JOIN ev ON st.table_name = ev.table_name AND ev.k = st.k + 1),
  whole AS (SELECT table_name, count(*) AS n_applied, max(id) AS last_id FROM ev GROUP BY 1),
  cols AS (SELECT table_name, unnest(cols) AS c, generate_subscripts(cols, 1) AS i, last_id, n_applied FROM st JOIN whole USING (table_name) WHERE k = n_applied)"""
-register("k12_fold", lambda s, d: evolve.fold(planned(s, d)), _LOG, "SELECT table_name, CAST(i AS INTEGER) AS ordinal, c.physical, c.logical, c.type, c.active, last_id, n_applied FROM cols", _MSG + _FOLD)
+register("k12_fold", lambda s, d: fold.fold(planned(s, d)), _LOG, "SELECT table_name, CAST(i AS INTEGER) AS ordinal, c.physical, c.logical, c.type, c.active, last_id, n_applied FROM cols", _MSG + _FOLD)
 ORACLES["k12_fold"] = ORACLES["k12_fold"].replace("WITH ", "WITH RECURSIVE ", 1)
 _TYPES = ", t AS (SELECT DISTINCT column_type FROM catalog_columns UNION SELECT * FROM (VALUES ('VARCHAR(9)'), ('double precision'), ('BOOLEAN'), ('Timestamp (3)'), ('int unsigned')))"
 
