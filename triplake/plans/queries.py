@@ -13,7 +13,7 @@ from triplake.operators import catalog_diff, ddl_events, entailment, evolve, fol
 from triplake.operators.patterns import Pattern, pattern_join
 from triplake.operators.questions import CLASS, Triple, answer
 from triplake.plans import analytics
-from triplake.schemas import federated
+from triplake.schemas import FEDERATED, federated
 from triplake.sources.bindings import bound, cte
 from triplake.sources.federation import append_events, balanced_ranges, change_stream, declared, jdbc_options, load_version, read_log, read_source, sampled_keys, save_if_changed, versions
 from triplake.sources.storage import fresh, written
@@ -337,6 +337,59 @@ _FOLD = _PARSED + f""", ev AS (SELECT *, row_number() OVER (PARTITION BY table_n
  cols AS (SELECT table_name, unnest(cols) AS c, generate_subscripts(cols, 1) AS i, last_id, n_applied FROM st JOIN whole USING (table_name) WHERE k = n_applied)"""
 register("k12_fold", lambda s, d: fold.fold(planned(s, d)), _LOG, "SELECT table_name, CAST(i AS INTEGER) AS ordinal, c.physical, c.logical, c.type, c.active, last_id, n_applied FROM cols", _MSG + _FOLD)
 ORACLES["k12_fold"] = ORACLES["k12_fold"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+#: What the seven mapped tables have before the first event: columns with source types, and the properties that bind them.
+_SOURCE_TYPE = {"string": "varchar(255)"}
+BASE_COLUMNS = [(t, i, c, _SOURCE_TYPE.get(k, k)) for t, _, _, model in changes.TABLES for i, (c, k) in enumerate(FEDERATED[model][t].items(), 1)]
+BASE_PROPERTIES = [(t, p, c, x) for t, m, _, _ in changes.TABLES for p, c, x in mapping.BY_ID[m].literals]
+
+
+def _layers(s: SparkSession, d: str) -> DataFrame:
+    """Federation, projection, mapping and ontology after all events, one below the other."""
+    columns = s.createDataFrame(BASE_COLUMNS, "table_name string, ordinal int, name string, type string")
+    properties = s.createDataFrame(BASE_PROPERTIES, "table_name string, property string, binding string, xsd string")
+    out = fold.layers(planned(s, d), changes.table_metadata(s), columns, properties)
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda df, layer, owner, place, name, value, kind, gone: df.select(F.lit(layer).alias("layer"), owner.alias("owner"), place.alias("place"), F.col(name).alias("name"), value.alias("value"), kind.alias("kind"), gone.alias("deprecated"))
+    parts = [
+        row(out.federation, "federation", F.concat_ws(".", "model", "table_name"), F.col("ordinal"), "name", none("string"), F.col("type"), none("boolean")),
+        row(out.projection, "projection", F.col("mapping_id"), F.col("ordinal"), "physical", F.col("logical"), none("string"), none("boolean")),
+        row(out.mapping, "mapping", F.col("mapping_id"), none("int"), "property", F.col("binding"), F.col("xsd"), none("boolean")),
+        row(out.ontology, "ontology", F.col("domain"), none("int"), "property", F.col("label"), F.col("range"), F.col("deprecated")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_sql_rows = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+_COL = "{'physical': %s, 'logical': c.logical, 'type': c.type, 'added': c.added, 'dropped': %s}"
+_LIVE = "len(list_filter(cols, lambda c: c.dropped IS NULL AND c.physical = ev.%s)) > 0"
+# scalars.property_name, label and the type maps over names such as col_3 and col_12_kode_pos
+_CAMEL = "array_to_string(list_transform(string_split({0}, '_'), lambda w, i: CASE WHEN i = 1 THEN w ELSE upper(left(w, 1)) || substr(w, 2) END), '')"
+_KIND = "CASE trim(split_part(lower({0}), '(', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in scalars.XSD.items()) + " ELSE 'xsd:string' END"
+_FED_KIND = "CASE trim(split_part(lower({0}), '(', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in scalars.FEDERATION.items()) + " ELSE 'string' END"
+_LAYERS = _PARSED + f""", base(table_name, ordinal, name, type) AS (VALUES {_sql_rows(BASE_COLUMNS)}), bound(table_name, property, binding, xsd) AS (VALUES {_sql_rows(BASE_PROPERTIES)}),
+ ev AS (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY id) AS k FROM cut JOIN meta USING (table_name)),
+ st AS (SELECT table_name, CAST(0 AS BIGINT) AS k, list({{'physical': name, 'logical': name, 'type': type, 'added': (ordinal - 1000000)::BIGINT, 'dropped': NULL::BIGINT}} ORDER BY ordinal) AS cols FROM base GROUP BY table_name
+ UNION ALL SELECT st.table_name, ev.k, CASE WHEN alter_type = 'ADD COLUMN' AND {_LIVE % 'column_name'} OR alter_type = 'RENAME COLUMN' AND {_LIVE % 'new_column'} THEN cols
+ WHEN alter_type = 'ADD COLUMN' THEN list_append(cols, {{'physical': ev.column_name, 'logical': ev.column_name, 'type': ev.column_type, 'added': ev.id::BIGINT, 'dropped': NULL::BIGINT}})
+ WHEN alter_type = 'DROP COLUMN' THEN list_transform(cols, lambda c: {_COL % ('c.physical', 'CASE WHEN c.dropped IS NULL AND c.physical = ev.column_name THEN ev.id::BIGINT ELSE c.dropped END')})
+ ELSE list_transform(cols, lambda c: {_COL % ('CASE WHEN c.dropped IS NULL AND c.physical = ev.old_column THEN ev.new_column ELSE c.physical END', 'c.dropped')}) END
+ FROM st JOIN ev ON st.table_name = ev.table_name AND ev.k = st.k + 1),
+ ends AS (SELECT base.table_name, coalesce(max(ev.k), 0) AS k FROM (SELECT DISTINCT table_name FROM base) base LEFT JOIN ev USING (table_name) GROUP BY 1),
+ h AS (SELECT table_name, model, mapping_id, class, unnest(cols) AS c FROM st JOIN ends USING (table_name, k) JOIN meta USING (table_name)),
+ live_ AS (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY c.added)::INTEGER AS place FROM h WHERE c.dropped IS NULL),
+ moves AS (SELECT table_name, property, binding, xsd, -1000000 AS moment, true AS comes FROM bound UNION ALL SELECT table_name, {_CAMEL.format('c.logical')}, c.logical, {_KIND.format('c.type')}, c.added, true FROM h WHERE c.added > 0
+ UNION ALL SELECT table_name, {_CAMEL.format('c.logical')}, c.logical, NULL, c.dropped, false FROM h WHERE c.dropped IS NOT NULL),
+ seen AS (SELECT *, max(CASE WHEN NOT comes THEN moment END) OVER (PARTITION BY table_name, property) AS gone FROM moves JOIN meta USING (table_name)),
+ map_ AS (SELECT mapping_id, property, arg_min(binding, moment) AS binding, arg_min(xsd, moment) AS xsd FROM seen WHERE comes AND (gone IS NULL OR moment > gone) GROUP BY ALL),
+ onto AS (SELECT property, arg_min(class, {{'m': moment, 't': table_name}}) FILTER (comes) AS class, arg_min(xsd, {{'m': moment, 't': table_name}}) FILTER (comes) AS xsd, bool_or(NOT comes) AS deprecated FROM seen GROUP BY property)"""
+_LABELLED = "array_to_string(list_transform(string_split(regexp_replace(property, '([a-z])([A-Z])', '\\1 \\2', 'g'), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
+register(
+    "k12_layers", _layers, _LOG, f"""SELECT 'federation' AS layer, model || '.' || table_name AS owner, place, c.physical AS name, CAST(NULL AS VARCHAR) AS value, {_FED_KIND.format('c.type')} AS kind, CAST(NULL AS BOOLEAN) AS deprecated FROM live_
+UNION ALL SELECT 'projection', mapping_id, place, c.physical, c.logical, NULL, NULL FROM live_ UNION ALL SELECT 'mapping', mapping_id, NULL, property, binding, xsd, NULL FROM map_
+UNION ALL SELECT 'ontology', class, NULL, property, {_LABELLED}, xsd, deprecated FROM onto""", _MSG + _LAYERS,
+)
+ORACLES["k12_layers"] = ORACLES["k12_layers"].replace("WITH ", "WITH RECURSIVE ", 1)
 _TYPES = ", t AS (SELECT DISTINCT column_type FROM catalog_columns UNION SELECT * FROM (VALUES ('VARCHAR(9)'), ('double precision'), ('BOOLEAN'), ('Timestamp (3)'), ('int unsigned')))"
 
 
