@@ -202,15 +202,42 @@ def test_line_chunks(spark, docs):
     assert lines.line_dedup(df.limit(0)).count() == 0
 
 
-def cut_lines(text):
-    """The chunks by the rule itself: one begins where, of a line and the two after it, the second has the least hash."""
+def cut_lines(text, spread=3):
+    """The chunks by the rule itself: one ends after a line where the rolling hash of it and the line before is 0 modulo 3, unless the line before has that too."""
     ls = text.split("\n")
+    mask = (1 << 64) - 1
     marks = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in ls]
-    marks = [m - (1 << 64) if m >> 63 else m for m in marks]
-    starts = [i for i in range(len(ls)) if i == 0 or (i > 1 and i + 3 <= len(ls) and marks[i + 1] < min(marks[i], marks[i + 2]))]
+    rolled = [None, *((b ^ (a << 1 & mask | a >> 63)) for a, b in zip(marks, marks[1:], strict=False))]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    hits = [r is not None and signed(xxhash.xxh64(r.to_bytes(8, "little"), seed=42).intdigest()) % spread == 0 for r in rolled]
+    starts = [i for i in range(len(ls)) if i == 0 or (i > 1 and hits[i - 1] and not hits[i - 2])]
     return ["\n".join(ls[a:b]) for a, b in zip(starts, [*starts[1:], len(ls)], strict=True)]
 
 
+def test_boundaries_decide_which_chunks_are_found(spark, docs):
+    """Other boundaries find other repeated chunks; their extension and the short passages left make up for it."""
+    df = docs.select("doc_id", "text").distinct()
+    ids = df.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text").where("text is not null")
+    found = {}
+    for spread in (3, 7):
+        own = lines.repeated(lines.candidates(ids, spread).where("whole"))
+        found[spread] = {(r.id, r.pos, r.n) for r in own.collect()}
+        seen, want = set(), set()
+        for d, t in sorted(rows(ids, "id", "text")):
+            at = 0
+            for c in cut_lines(t, spread):
+                n = c.count("\n") + 1
+                if n > 1:
+                    want |= {(d, at, n)} if c in seen else set()
+                    seen.add(c)
+                at += n
+        assert found[spread] == want
+        assert any(r.up + r.down for r in own.collect())
+    assert found[3] != found[7] and found[3] and found[7]
+    texts = [{(r.doc_id, r.text, r.removed_lines) for r in lines.line_dedup(df, spread).collect()} for spread in (3, 7)]
+    assert texts[0] == texts[1]
+
+
 def test_line_chunks_against_brute_force(spark, docs):
     """The whole query: boundaries by their rule, chunks and pairs of lines that repeat earlier ones, and the text that is left."""
     df = docs.select("doc_id", "text").distinct()

@@ -1,13 +1,17 @@
 """Removal of repeated passages of two or more lines (operator 3), by DataFrame operations only.
 
-Every two neighbouring lines that occur together anywhere before (least doc_id, then text hash, then place) are removed, whatever stands
-around them. So every repeated run of two or more lines goes whole, and the first occurrence of every line stays. Two blank lines alone
-are no passage. Bytes are compared with the first occurrence's. Pieces whose hashes agree and bytes don't are compared among themselves
-in further rounds.
+A rolling hash over the hashes of WINDOW lines cuts texts into chunks: one ends after a line whose hash is 0 modulo SPREAD and whose
+predecessor's isn't. That depends on the lines just before the cut only, so equal passages are cut alike wherever they stand, and no
+chunk but a text's last has a single line. Chunks of two or more lines that occur before (least doc_id, then text hash, then place)
+are found by hash, compared byte for byte with the first occurrence, and removed. A removed chunk is extended line by line to both
+sides as far as its neighbours are those of the first occurrence: there the rest of a passage stands that a cut parts from its
+surroundings. What is left are passages too short to hold a whole chunk. They are found last, as two neighbouring lines of
+which one at least is still there, in the same way. So every repeated run of two or more lines goes whole, and the first occurrence of every
+line stays. Two blank lines alone are no passage. Pieces whose hashes agree and bytes don't are compared among themselves in further rounds.
 
-`removed_chunks` counts content-defined chunks of two or more lines that repeat an earlier chunk; a text that lost
-lines but no whole chunk counts as one. A chunk begins where, of a line and the SPREAD - 1 lines after it, the second has the least hash: that depends
-on its own lines only, so equal passages are cut alike wherever they stand, and no chunk is one line unless the text is.
+Hashes are counted first, as 12 bytes each and summed before the shuffle; only pieces whose hash repeats get a row with a place.
+
+`removed_chunks` counts the repeated chunks; a text that lost lines but no whole chunk counts as one.
 
 A null text stays null, an empty one empty; neither is removed. Rows that repeat a doc_id and its text are treated alike. A null
 doc_id comes first. An empty table gives an empty result. Other columns are ignored.
@@ -21,8 +25,8 @@ from pyspark.sql import functions as F
 from triplake.llm.bitmap import possible
 from triplake.llm.shared import NO_ID, written
 
-#: One line in so many begins a chunk, on average; at least 3.
-SPREAD = 3
+#: A rolling hash is over so many lines, at least 2; of so many lines one is a cut, before cuts next to each other are taken together.
+WINDOW, SPREAD = 2, 3
 #: What makes two pieces candidates: hash, lines, and whether it is a chunk or two neighbouring lines.
 KEY = ["h", "n", "whole"]
 
@@ -32,59 +36,84 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _lined(docs: DataFrame, spread: int) -> DataFrame:
+def _lined(docs: DataFrame, spread: int, window: int) -> DataFrame:
     """docs(..., text) with lines, and starts and sizes of the text's chunks."""
     rows = _once(docs, "lines", F.split("text", "\n", -1))
     rows = _once(rows, "marks", F.transform("lines", lambda line: F.xxhash64(line)))
-    others = " and ".join(f"marks[i + 1] < marks[i + {k}]" for k in range(spread) if k != 1)
-    begins = f"i = 0 or i > 1 and i + {spread} <= size(lines) and {others}"
-    rows = _once(rows, "starts", F.expr(f"filter(sequence(0, size(lines) - 1), i -> {begins})")).drop("marks")
+    # each line's hash turned by its distance from the window's end: one turn more with each line that follows
+    rolled = " ^ ".join(f"(shiftleft(marks[i - {k}], {k}) | shiftrightunsigned(marks[i - {k}], {64 - k}))" if k else "marks[i]" for k in range(window))
+    rows = _once(rows, "hits", F.expr(f"transform(marks, (m, i) -> i >= {window - 1} and pmod(xxhash64({rolled}), {spread}) = 0)")).drop("marks")
+    rows = _once(rows, "starts", F.expr("filter(sequence(0, size(lines) - 1), i -> i = 0 or i > 1 and hits[i - 1] and not hits[i - 2])")).drop("hits")
     return rows.withColumn("sizes", F.expr("transform(starts, (s, k) -> coalesce(get(starts, k + 1), size(lines)) - s)"))
 
 
-def chunked(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
+def chunked(docs: DataFrame, spread: int = SPREAD, window: int = WINDOW) -> DataFrame:
     """docs(..., text) with n_lines and chunks, the array of the text's chunks in order."""
-    rows = _lined(docs, spread).withColumn("n_lines", F.coalesce(F.size("lines"), F.lit(0)))
+    rows = _lined(docs, spread, window).withColumn("n_lines", F.coalesce(F.size("lines"), F.lit(0)))
     return _once(rows, "chunks", F.expr("transform(starts, (s, k) -> array_join(slice(lines, s + 1, sizes[k]), '\n'))")).drop("lines", "starts")
 
 
-def pieces(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
-    """id, th, pos, n, whole, h of the chunks of two or more lines, and of every two neighbouring lines, of docs(id, th, text)."""
-    chunks = "filter(transform(starts, (s, k) -> struct(s as pos, sizes[k] as n, true as whole)), c -> c.n > 1)"
-    twos = "transform(filter(sequence(0, size(lines) - 1), i -> i < size(lines) - 1 and (trim(lines[i]) <> '' or trim(lines[i + 1]) <> '')), i -> struct(i as pos, 2 as n, false as whole))"
-    hashed = f"transform(concat({chunks}, {twos}), c -> struct(c.pos, c.n, c.whole, xxhash64(slice(lines, c.pos + 1, c.n)) as h))"
-    return _lined(docs, spread).select("id", "th", F.inline(F.expr(hashed))).toDF("id", "th", "pos", "n", "whole", "h")
+def pieces(docs: DataFrame, spread: int = SPREAD, window: int = WINDOW) -> DataFrame:
+    """id, th, pos, n, before, after, whole, h of docs(id, th, text): chunks of two or more lines (whole) with the sizes of the chunks around them, and pairs of neighbouring lines of which one isn't blank."""
+    chunks = "filter(transform(starts, (s, k) -> struct(s as pos, sizes[k] as n, if(k > 0, sizes[k - 1], 0) as before, coalesce(get(sizes, k + 1), 0) as after, true as whole)), c -> c.n > 1)"
+    pairs = "transform(filter(sequence(0, size(lines) - 1), i -> i < size(lines) - 1 and (trim(lines[i]) <> '' or trim(lines[i + 1]) <> '')), i -> struct(i as pos, 2 as n, 0 as before, 0 as after, false as whole))"
+    hashed = f"transform(concat({chunks}, {pairs}), c -> struct(c.pos, c.n, c.before, c.after, c.whole, xxhash64(slice(lines, c.pos + 1, c.n)) as h))"
+    return _lined(docs, spread, window).select("id", "th", F.inline(F.expr(hashed))).toDF("id", "th", "pos", "n", "before", "after", "whole", "h")
 
 
-def repeated(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
-    """id, th, pos, n, whole of the pieces of docs(id, th, text) that repeat an earlier one, byte for byte."""
-    hashed = written(pieces(docs, spread), "pieces")
-    first = F.min(F.struct("id", "th", "pos")).alias("first")
-    again = hashed.groupBy(*KEY).agg(first, F.max(F.struct("id", "th", "pos")).alias("last")).where("first < last").select(*KEY)
-    some = written(hashed.join(again, KEY, "left_semi").distinct(), "candidates")
-    places = some.groupBy("id", "th").agg(F.collect_list(F.struct("pos", *KEY)).alias("places"))  # at most two for each line of a document
+def candidates(docs: DataFrame, spread: int = SPREAD, window: int = WINDOW) -> DataFrame:
+    """The pieces of docs(id, th, text) whose hashes repeat, with their text in `piece` and the lines of the chunks around them in head and tail."""
+    hashed = pieces(docs, spread, window)
+    again = written(hashed.groupBy(*KEY).count().where("count > 1").select(*KEY), "repeated-hashes")
+    some = possible(again.select("h").distinct(), "h")(hashed).where("_possible").drop("_possible")
+    some = written(some.join(again, KEY, "left_semi").distinct(), "candidates")
+    places = some.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "before", "after", *KEY)).alias("places"))  # at most two for each line of a document
     texts = possible(some.select("id").distinct(), "id")(docs).where("_possible").select("id", "th", "text").dropDuplicates(["id", "th"]).join(places, ["id", "th"])
-    texts = _once(texts, "lines", F.split("text", "\n", -1)).select("id", "th", "lines", F.inline("places"))
-    open_ = written(texts.select("id", "th", "pos", *KEY, F.expr("array_join(slice(lines, pos + 1, n), '\n')").alias("chunk")), "piece-texts")
+    texts = _once(texts, "lines", F.split("text", "\n", -1))
+    cut = "struct(p.pos as pos, p.h as h, p.n as n, p.whole as whole, array_join(slice(lines, p.pos + 1, p.n), '\n') as piece, slice(lines, p.pos - p.before + 1, p.before) as head, slice(lines, p.pos + p.n + 1, p.after) as tail)"
+    return written(texts.select("id", "th", F.inline(F.expr(f"transform(places, p -> {cut})"))), "piece-texts")
+
+
+def repeated(open_: DataFrame) -> DataFrame:
+    """id, th, pos, n, up and down: the pieces that repeat an earlier one, byte for byte, and how many lines before and after them do so too."""
     found = None
+    place = F.struct("id", "th", "pos")
+    alike = lambda a, b, at: f"aggregate(sequence(1, greatest(least(size({a}), size({b})), 1)), 0, (n, k) -> if(n = k - 1 and k <= least(size({a}), size({b})) and {at}, k, n))"
+    up, down = alike("head", "f_head", "head[size(head) - k] = f_head[size(f_head) - k]"), alike("tail", "f_tail", "tail[k - 1] = f_tail[k - 1]")
     while True:
-        firsts = open_.groupBy(*KEY).agg(F.min(F.struct("id", "th", "pos")).alias("f")).select(*KEY, "f.*")
-        kept = open_.join(firsts, [*KEY, "id", "th", "pos"], "left_semi").select(*KEY, F.struct("id", "th", "pos").alias("f"), F.col("chunk").alias("f_chunk"))
-        met = open_.join(kept, KEY).where(F.struct("id", "th", "pos") != F.col("f"))
-        same = F.col("chunk") == F.col("f_chunk")
-        told = written(met.select("id", "th", "pos", *KEY, same.alias("same"), F.when(~same, F.col("chunk")).alias("chunk")), "compared")
-        gone = told.where("same").select("id", "th", "pos", "n", "whole")
+        firsts = open_.groupBy(*KEY).agg(F.min(place).alias("f")).select(*KEY, "f.*")
+        kept = open_.join(firsts, [*KEY, "id", "th", "pos"], "left_semi").select(*KEY, place.alias("f"), *[F.col(c).alias(f"f_{c}") for c in ("piece", "head", "tail")])
+        met = open_.join(kept, KEY).where(place != F.col("f"))
+        same = F.col("piece") == F.col("f_piece")
+        left = [F.when(~same, F.col(c)).alias(c) for c in ("piece", "head", "tail")]
+        told = written(met.select("id", "th", "pos", *KEY, same.alias("same"), F.expr(up).alias("up"), F.expr(down).alias("down"), *left), "compared")
+        gone = told.where("same").select("id", "th", "pos", "n", "up", "down")
         found = gone if found is None else found.unionByName(gone)
-        open_ = told.where("not same").select("id", "th", "pos", "chunk", *KEY)
+        open_ = told.where("not same").select("id", "th", "pos", *KEY, "piece", "head", "tail")
         if open_.isEmpty():
             return found
 
 
-def line_dedup(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
+def _lost(found: DataFrame) -> DataFrame:
+    """id, th, gone (the places of removed lines) and chunks of a document: at most an entry for each line."""
+    spans = F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(pos - up, pos + n - 1 + down)"))))
+    return found.groupBy("id", "th").agg(spans.alias("gone"), F.count("*").cast("int").alias("chunks"))
+
+
+def line_dedup(docs: DataFrame, spread: int = SPREAD, window: int = WINDOW) -> DataFrame:
     """doc_id, n_lines, removed_chunks, removed_lines and text (what is left) of every row of docs(doc_id, text)."""
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "text")
-    places = F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(pos, pos + n - 1)"))))  # at most four for each line of a document
-    gone = repeated(rows, spread).groupBy("id", "th").agg(places.alias("gone"), F.greatest(F.lit(1), F.sum(F.col("whole").cast("int"))).cast("int").alias("gone_chunks"))
+    some = candidates(rows, spread, window)
+    by_chunks = written(_lost(repeated(some.where("whole"))), "chunk-removals")
+    # pairs of which a line is still there; the first occurrence of any pair is one of them
+    out = by_chunks.select("id", "th", F.explode("gone").alias("line"))
+    one = lambda name, at: out.select(F.col("id").alias(f"_i{name}"), F.col("th").alias(f"_t{name}"), (F.col("line") - at).alias(f"_l{name}"))
+    left = some.where("not whole")
+    for name, at in (("a", 0), ("b", 1)):
+        left = left.join(one(name, at), (F.col("id") == F.col(f"_i{name}")) & (F.col("th") == F.col(f"_t{name}")) & (F.col("pos") == F.col(f"_l{name}")), "left")
+    left = left.where("_la is null or _lb is null").select(*some.columns)
+    every = by_chunks.unionByName(_lost(repeated(left)).withColumn("chunks", F.lit(0)))
+    gone = every.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.greatest(F.lit(1), F.sum("chunks")).cast("int").alias("gone_chunks"))
     gone = written(gone, "removals")
     told = possible(gone.select("id"), "id")(rows)
     n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines")
