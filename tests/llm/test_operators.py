@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -557,6 +558,43 @@ def test_state_classes_do_not_lose_the_article(name):
         assert extraction.main_text(page) == BODY
 
 
+@pytest.mark.parametrize("page", [
+    "<nav><a href=x>Home</a><main><p>{}</p></main>", "<nav><a href=x>Home</a><article><p>{}</p></article>", "<header><h1></h1><article><p>{}</p></article></header>", "<header><main><p>{}</p></main></header>",
+    "<header><a href=x>Home</a><div><p>{}</p></div>", "<nav><a href=x>Home</a><p>{}</p>", "<fieldset><article><p>{}</p></article></fieldset>", "<div role=dialog><article><p>{}</p></article></div>",
+    "<fieldset><p>{}</p></fieldset>", "<p style='display:none'>x<div><article><p>{}</p></article></div>", "<p hidden>x<div><p>{}</p></div>", "<p class=x'><b>{}</b></p><p class='y'></p>", "<p data-x=don't>{}</p>",
+    "<p title=\"it's\">{}</p>", "<p class='x>{}</p>", "<div = x><p>{}</p></div>", "<article><div class=cookiebar><p>All of this is about cookies that we and others set.</p></div><p>{}</p><ins class=adsbygoogle>Buy</ins><div class='sponsored-content'><p>The best of all the offers is here for you.</p></div></article>",
+])
+def test_broken_pages_keep_the_article(page):
+    assert extraction.main_text(f"<html><body>{page.format(BODY)}") == BODY
+
+
+def test_pages_of_short_blocks():
+    lines = [f"A line of verse, number {i}" for i in range(30)]
+    for tag in ("p", "li", "div"):
+        page = f"<html><body><nav><a href=x>Home</a></nav>{''.join(f'<{tag}>{x}</{tag}>' for x in lines)}<footer>Rights</footer></body></html>"
+        assert extraction.main_text(page) == " ".join(lines)
+
+
+@pytest.mark.parametrize("name", ["post-comments", "user-comments", "left-sidebar", "reader-comments", "blog_sidebar"])
+def test_side_matter_longer_than_the_article(name):
+    side = "".join(f"<div><p>{BODY} I say so too, and so do {i} of the others here.</p></div>" for i in range(9))
+    for page in (f"<div><p>{BODY}</p></div><div class={name}>{side}</div>", f"<div class={name}>{side}</div><article><p>{BODY}</p></article>"):
+        assert extraction.main_text(f"<html><body>{page}</body></html>") == BODY
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='ad-x'>" * 30_000, "".join(f"<div class='ad-x{i}'>" for i in range(30_000)), "<p a" * 30_000 + "'", "<script " * 30_000 + "'", "</div>" * 30_000, "<article>" * 30_000, "<nav><article>" * 15_000, "<b>" * 30_000 + "</p>" * 30_000,
+    "<div class='ad-x'><p>word</p>" * 15_000, "<!-- " * 30_000, "<p>" + "<span>" * 30_000 + "<div></div>" * 10_000, "<html " * 30_000, "<p class=\"" * 30_000, "<" * 100_000, "<svg <math " * 30_000,
+])
+def test_time_is_linear_in_the_page(page):
+    def took(text):
+        began = time.process_time()
+        extraction.main_text(text)
+        return time.process_time() - began
+
+    assert took(page) < 8 * took(page[: len(page) // 4]) + 0.5  # four times the page
+
+
 def made_page(rng):
     """A page and its main text: an article of headings, paragraphs and lists among blocks that are none of it, in some wrapper."""
     sentence = lambda: " ".join(rng.choice("the of and to in is that it for on with as was be by this are from or an river stone window paper garden light".split()) for _ in range(rng.randrange(14, 40))).capitalize() + "."
