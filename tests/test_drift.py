@@ -326,3 +326,42 @@ def test_interval_sets(seed):
         assert runs.lows == starts and runs.highs == sorted(y for y in plain if y + 1 not in plain)
     whole = changes.Intervals([], [])
     assert all(whole.add(x) for x in rng.sample(range(5000), 5000)) and (whole.lows, whole.highs) == ([0], [4999])
+
+
+def test_a_poll_that_finds_nothing_compares_no_columns(spark):
+    schema = "db_name string, table_name string, column_name string, column_type string, ordinal_pos int"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    old = [("d", t, c, "int", i) for t in ("a", "b", "gone", "off") for i, c in enumerate(("x", "y"), 1)]
+    new = [r for r in old if r[1] != "gone" and r[:3] != ("d", "a", "y")] + [("d", "a", "z", "int", 2), ("d", "new", "x", "int", 1), ("d", "off", "q", "int", 3)]
+    refs = spark.createDataFrame([("d", t, t != "off") for t in ("a", "b", "gone", "new", "off")], "db_name string, table_name string, is_active boolean")
+    first = catalog_diff.poll(frame(old), catalog_diff.digests(frame(old)), frame(new), refs)
+    assert {r.table_name for r in first.compared.collect()} == {"a", "gone", "new"}
+    whole = catalog_diff.diff(frame(old), frame(new), refs)
+    assert {tuple(r) for r in first.events.collect()} == {tuple(r) for r in whole.events.collect()} and first.events.count() == 4
+    assert {tuple(r) for r in first.snapshot.collect()} == {tuple(r) for r in whole.snapshot.collect()}
+    # the second poll reads no row of its snapshot, which would fail
+    unread = frame(old).withColumn("column_name", F.raise_error(F.lit("read")))
+    second = catalog_diff.poll(unread, first.known, frame(new), refs)
+    assert second.compared.count() == 0 and second.events.count() == 0
+    # a table that is monitored from now on is compared
+    on = refs.withColumn("is_active", F.lit(True))
+    third = catalog_diff.poll(first.snapshot, first.known, frame(new), on)
+    assert {(r.table_name, r.column_name) for r in third.events.collect()} == {("off", "q")}
+
+
+def test_dependents_of_dependents(spark):
+    """A chain, a cycle and a diamond, and what depends on nothing dropped."""
+    edges = [("m-b", "b", "a"), ("m-c", "c", "b"), ("m-d", "d", "c"), ("m-x", "x", "d"), ("m-d", "d", "x"), ("m-l", "l", "b"), ("m-r", "r", "b"), ("m-t", "t", "l"), ("m-t", "t", "r"), ("m-z", "z", "other"), ("m-z", "z", None), ("m-b", "b", "a")]
+    links = spark.createDataFrame(edges, "mapping_id string, subject string, kind string")
+    got = {tuple(r) for r in evolve.all_dependents(links, spark.createDataFrame([("a",), ("a",), ("d",), (None,)], "kind string")).collect()}
+    assert got == {("a", "m-b", 1), ("a", "m-c", 2), ("a", "m-l", 2), ("a", "m-r", 2), ("a", "m-d", 3), ("a", "m-t", 3), ("a", "m-x", 4), ("d", "m-x", 1), ("d", "m-d", 2)}
+    assert evolve.all_dependents(links, spark.createDataFrame([("nothing",)], "kind string")).count() == 0
+
+
+def test_stored_properties_join_without_an_exchange(spark):
+    from tests.conftest import SF
+    from triplake.plans import queries
+
+    df = queries.QUERIES["m9_stored_properties"](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2 and "Bucketed: true" in plan

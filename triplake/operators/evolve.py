@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState
 
 from triplake.functions.scalars import federation_type, label, property_name, xsd_type
+from triplake.sources.storage import written
 
 COLUMN = ["model", "table_name", "name"]
 
@@ -149,6 +150,26 @@ def dependents(links: DataFrame, tables: DataFrame) -> DataFrame:
     return links.join(tables.select("kind"), "kind", "left_semi").select("mapping_id", "kind").distinct()
 
 
+def all_dependents(links: DataFrame, tables: DataFrame) -> DataFrame:
+    """What depends on dropped tables over any number of links: links(mapping_id, subject, kind), tables(kind) to dropped, mapping_id and hops, the fewest links between.
+
+    Semi-naive: each round follows the links that lead to what was found last, and only what wasn't there goes on, so cycles end. Links are
+    metadata, one row for a mapping and kind, made distinct first; rounds are written, and there are as many as the longest way.
+    """
+    to = written(links.select("mapping_id", "subject", "kind").where("mapping_id is not null and kind is not null").distinct(), "links")
+    frontier = tables.select(F.col("kind").alias("dropped"), F.col("kind").alias("at")).where("dropped is not null").distinct()
+    seen = hops = None
+    while True:
+        met = to.join(frontier, to["kind"] == frontier["at"]).select("dropped", "mapping_id", "subject").distinct()
+        hops = 1 if hops is None else hops + 1
+        met = met if seen is None else met.join(seen, ["dropped", "mapping_id"], "left_anti")
+        new = written(met.withColumn("hops", F.lit(hops)), "reached")
+        if new.isEmpty():
+            return (new if seen is None else seen).select("dropped", "mapping_id", "hops")
+        seen = new if seen is None else seen.unionByName(new)
+        frontier = new.where("subject is not null").select("dropped", F.col("subject").alias("at")).distinct()
+
+
 def violations(target: DataFrame, source: DataFrame) -> DataFrame:
     """Bindings that the mapping's projection no longer exposes."""
     exposed = source.select("mapping_id", F.col("logical").alias("binding"))

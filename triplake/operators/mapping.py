@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplake.functions.scalars import ONTOLOGY, RDF_TYPE, RESOURCE, encoded, resource
@@ -152,3 +152,24 @@ def property_table(df: DataFrame, m: Mapping, prop: str, subject: str, value: st
         if p == prop:
             return df.select(F.col(m.key).alias(subject), F.col(c).alias(value)).where(f"`{subject}` is not null and `{value}` is not null")
     raise KeyError(f"{m.id} has no property {prop}")
+
+
+def stored_properties(tables: dict[str, DataFrame], wanted: list[tuple[str, str]], folder: str, prefix: str, buckets: int = 64) -> dict[tuple[str, str], str]:
+    """Property tables (subject, value) for (mapping id, property), stored bucketed and sorted by the subject's key as text: joins on subjects need no exchange.
+
+    Returns each table's name in the session's catalog; their files are below the folder.
+    """
+    names = {}
+    for i, (mapping_id, prop) in enumerate(wanted):
+        m = BY_ID[mapping_id]
+        rows = property_table(tables[m.table], m, prop, "subject", "value").withColumn("subject", F.col("subject").cast("string"))
+        names[mapping_id, prop] = f"{prefix}_{i}"
+        # rows are dealt by the buckets' own hash first, so that each bucket is one file
+        rows.repartition(buckets, "subject").write.bucketBy(buckets, "subject").sortBy("subject").option("path", f"{folder}/{i}").mode("overwrite").saveAsTable(names[mapping_id, prop])
+    return names
+
+
+def star(spark: SparkSession, names: list[str], values: list[str]) -> DataFrame:
+    """Subjects that have all of the stored properties, with their values: sort-merge joins on buckets."""
+    frames = [spark.table(n).withColumnRenamed("value", v) for n, v in zip(names, values, strict=True)]
+    return reduce(lambda a, b: a.join(b.hint("merge"), "subject"), frames)

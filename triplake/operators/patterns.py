@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triplake.operators.mapping import MAPPINGS, Mapping, property_table
+from triplake.operators.mapping import MAPPINGS, Mapping
 
 
 @dataclass(frozen=True)
@@ -56,6 +56,3 @@ def pattern_join(tables: dict[str, DataFrame], patterns: list[Pattern], select:
     if where is not None:
         out = out.where(where)
     return out.select(*select)
-
-
-__all__ = ["Pattern", "pattern_join", "property_table"]

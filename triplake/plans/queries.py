@@ -571,11 +571,46 @@ register(
 
 
 def _polls(s: SparkSession, d: str) -> DataFrame:
-    """D1-D10 as a job: a poll, and another one on the snapshot that it leaves, which finds nothing."""
+    """D1-D10 as a job: a poll, and another one on what it leaves, which finds nothing and compares no columns."""
     refs, snapshot, catalog = (bound(s, d, n) for n in _CAT)
-    first = catalog_diff.diff(snapshot, catalog, refs)
-    second = catalog_diff.diff(written(first.snapshot, "snapshot"), catalog, refs)
+    first = catalog_diff.poll(snapshot, catalog_diff.digests(snapshot), catalog, refs)
+    second = catalog_diff.poll(written(first.snapshot, "snapshot"), written(first.known, "known"), catalog, refs)
     return first.events.withColumn("poll", F.lit(1)).unionByName(second.events.withColumn("poll", F.lit(2)))
 
 
 register("d1_d10_polls", _polls, _CAT, f"SELECT *, 1 AS poll FROM ({_EVENTS_SQL})", _DIFF)
+
+
+def _compared(s: SparkSession, d: str) -> DataFrame:
+    """Tables whose digest differs, the only ones that a poll compares."""
+    refs, snapshot, catalog = (bound(s, d, n) for n in _CAT)
+    return catalog_diff.differing(catalog_diff.digests(snapshot), catalog_diff.digests(catalog), refs)
+
+
+register("d2_d3_differing_tables", _compared, _CAT, "SELECT db_name, table_name FROM gone UNION SELECT db_name, table_name FROM fresh", _DIFF)
+
+
+def _reached(s: SparkSession, d: str) -> DataFrame:
+    source = state(s, d)["source"]
+    links = source.select("mapping_id", F.split_part("mapping_id", F.lit("."), F.lit(2)).alias("subject"), F.expr("'t_' || CAST(CAST(substring(physical, 3) AS INT) % 50 AS STRING)").alias("kind"))
+    return evolve.all_dependents(links.where("ordinal = 1"), _gone_tables(s, d))
+
+
+register(
+    "p11_all_dependents", _reached, _CAT, "SELECT dropped, mapping_id, CAST(min(hops) AS INTEGER) AS hops FROM way GROUP BY ALL",
+    _MORE + _INACTIVE + """, links AS (SELECT DISTINCT mapping_id, table_name AS subject, 't_' || CAST(CAST(substr(column_name, 3) AS INTEGER) % 50 AS VARCHAR) AS kind FROM snap WHERE ordinal_pos = 1),
+ way AS (SELECT DISTINCT kind AS dropped, mapping_id, subject, 1 AS hops FROM links JOIN (SELECT DISTINCT kind FROM off) USING (kind)
+ UNION SELECT way.dropped, l.mapping_id, l.subject, way.hops + 1 FROM way JOIN links l ON l.kind = way.subject WHERE way.hops < 60)""",
+)
+ORACLES["p11_all_dependents"] = ORACLES["p11_all_dependents"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """M9, Q0 over stored property tables: recipients' names, status and resident record, without an exchange below the joins."""
+    wanted = [("MAP-PENERIMA", "namaLengkap"), ("MAP-PENERIMA", "statusEkonomi"), ("LINK-PENERIMA-KE-DUKCAPIL", "memilikDataKependudukan")]
+    folder = fresh(s, "properties")
+    names = mapping.stored_properties({"penerima_manfaat": bound(s, d, "penerima_manfaat")}, wanted, folder, "p" + folder.rsplit("-", 1)[1], 16)
+    return mapping.star(s, [names[w] for w in wanted], ["nama", "status", "penduduk"])
+
+
+register("m9_stored_properties", _stored, ("penerima_manfaat",), "SELECT CAST(penerima_id AS VARCHAR) AS subject, nama_lengkap AS nama, status_ekonomi AS status, nik AS penduduk FROM penerima_manfaat WHERE nama_lengkap IS NOT NULL AND status_ekonomi IS NOT NULL AND nik IS NOT NULL")
