@@ -221,7 +221,7 @@ def test_boundaries_decide_which_chunks_are_found(spark, docs):
     ids = df.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text").where("text is not null")
     found = {}
     for spread in (3, 7):
-        own = lines.repeated(lines.candidates(ids, spread).where("whole"))
+        own = lines.repeated(lines.with_texts(ids, lines.candidates(ids, spread).where("whole")))
         found[spread] = {(r.id, r.pos, r.n) for r in own.collect()}
         seen, want = set(), set()
         for d, t in sorted(rows(ids, "id", "text")):

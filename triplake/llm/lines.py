@@ -62,13 +62,24 @@ def pieces(docs: DataFrame, spread: int = SPREAD, window: int = WINDOW) -> DataF
 
 
 def candidates(docs: DataFrame, spread: int = SPREAD, window: int = WINDOW) -> DataFrame:
-    """The pieces of docs(id, th, text) whose hashes repeat, with their text in `piece` and the lines of the chunks around them in head and tail."""
+    """The pieces of docs(id, th, text) whose hashes repeat; no texts yet."""
     hashed = pieces(docs, spread, window)
     again = written(hashed.groupBy(*KEY).count().where("count > 1").select(*KEY), "repeated-hashes")
     some = possible(again.select("h").distinct(), "h")(hashed).where("_possible").drop("_possible")
-    some = written(some.join(again, KEY, "left_semi").distinct(), "candidates")
+    return written(some.join(again, KEY, "left_semi").distinct(), "candidates")
+
+
+def with_texts(docs: DataFrame, some: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """Candidates with their text in `piece` and the lines of the chunks around them in head and tail; with gone(id, th, gone), without those whose lines are all gone."""
     places = some.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "before", "after", *KEY)).alias("places"))  # at most two for each line of a document
-    texts = possible(some.select("id").distinct(), "id")(docs).where("_possible").select("id", "th", "text").dropDuplicates(["id", "th"]).join(places, ["id", "th"])
+    if gone is not None:
+        places = places.join(gone.select("id", "th", "gone"), ["id", "th"], "left")
+        lines = "array_distinct(flatten(transform(places, p -> sequence(p.pos, p.pos + p.n - 1))))"
+        places = _once(places, "still", F.expr(f"if(gone is null, null, array_except({lines}, gone))"))
+        left = "if(gone is null, places, filter(places, p -> exists(sequence(p.pos, p.pos + p.n - 1), i -> array_contains(still, i))))"
+        places = places.select("id", "th", F.expr(left).alias("places")).where("size(places) > 0")
+    places = written(places, "places")
+    texts = possible(places.select("id").distinct(), "id")(docs).where("_possible").select("id", "th", "text").dropDuplicates(["id", "th"]).join(places, ["id", "th"])
     texts = _once(texts, "lines", F.split("text", "\n", -1))
     cut = "struct(p.pos as pos, p.h as h, p.n as n, p.whole as whole, array_join(slice(lines, p.pos + 1, p.n), '\n') as piece, slice(lines, p.pos - p.before + 1, p.before) as head, slice(lines, p.pos + p.n + 1, p.after) as tail)"
     return written(texts.select("id", "th", F.inline(F.expr(f"transform(places, p -> {cut})"))), "piece-texts")
@@ -77,19 +88,19 @@ def candidates(docs: DataFrame, spread: int = SPREAD, window: int = WINDOW) -> D
 def repeated(open_: DataFrame) -> DataFrame:
     """id, th, pos, n, up and down: the pieces that repeat an earlier one, byte for byte, and how many lines before and after them do so too."""
     found = None
-    place = F.struct("id", "th", "pos")
+    told = ["id", "th", "pos", "piece", "head", "tail"]
     alike = lambda a, b, at: f"aggregate(sequence(1, greatest(least(size({a}), size({b})), 1)), 0, (n, k) -> if(n = k - 1 and k <= least(size({a}), size({b})) and {at}, k, n))"
-    up, down = alike("head", "f_head", "head[size(head) - k] = f_head[size(f_head) - k]"), alike("tail", "f_tail", "tail[k - 1] = f_tail[k - 1]")
+    up, down = alike("head", "f.head", "head[size(head) - k] = f.head[size(f.head) - k]"), alike("tail", "f.tail", "tail[k - 1] = f.tail[k - 1]")
     while True:
-        firsts = open_.groupBy(*KEY).agg(F.min(place).alias("f")).select(*KEY, "f.*")
-        kept = open_.join(firsts, [*KEY, "id", "th", "pos"], "left_semi").select(*KEY, place.alias("f"), *[F.col(c).alias(f"f_{c}") for c in ("piece", "head", "tail")])
-        met = open_.join(kept, KEY).where(place != F.col("f"))
-        same = F.col("piece") == F.col("f_piece")
-        left = [F.when(~same, F.col(c)).alias(c) for c in ("piece", "head", "tail")]
-        told = written(met.select("id", "th", "pos", *KEY, same.alias("same"), F.expr(up).alias("up"), F.expr(down).alias("down"), *left), "compared")
-        gone = told.where("same").select("id", "th", "pos", "n", "up", "down")
+        # the first of each hash, by place; found in each task before anything is shuffled
+        firsts = open_.groupBy(*KEY).agg(F.min(F.struct(*told)).alias("f"))
+        met = open_.join(firsts, KEY).where("struct(id, th, pos) <> struct(f.id, f.th, f.pos)")
+        same = F.expr("piece = f.piece")
+        left = [F.when(~same, F.col(c)).alias(c) for c in told[3:]]
+        compared = written(met.select("id", "th", "pos", *KEY, same.alias("same"), F.expr(up).alias("up"), F.expr(down).alias("down"), *left), "compared")
+        gone = compared.where("same").select("id", "th", "pos", "n", "up", "down")
         found = gone if found is None else found.unionByName(gone)
-        open_ = told.where("not same").select("id", "th", "pos", *KEY, "piece", "head", "tail")
+        open_ = compared.where("not same").select("id", "th", "pos", *KEY, "piece", "head", "tail")
         if open_.isEmpty():
             return found
 
@@ -104,15 +115,10 @@ def line_dedup(docs: DataFrame, spread: int = SPREAD, window: int = WINDOW) -> D
     """doc_id, n_lines, removed_chunks, removed_lines and text (what is left) of every row of docs(doc_id, text)."""
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "text")
     some = candidates(rows, spread, window)
-    by_chunks = written(_lost(repeated(some.where("whole"))), "chunk-removals")
+    by_chunks = written(_lost(repeated(with_texts(rows, some.where("whole")))), "chunk-removals")
     # pairs of which a line is still there; the first occurrence of any pair is one of them
-    out = by_chunks.select("id", "th", F.explode("gone").alias("line"))
-    one = lambda name, at: out.select(F.col("id").alias(f"_i{name}"), F.col("th").alias(f"_t{name}"), (F.col("line") - at).alias(f"_l{name}"))
-    left = some.where("not whole")
-    for name, at in (("a", 0), ("b", 1)):
-        left = left.join(one(name, at), (F.col("id") == F.col(f"_i{name}")) & (F.col("th") == F.col(f"_t{name}")) & (F.col("pos") == F.col(f"_l{name}")), "left")
-    left = left.where("_la is null or _lb is null").select(*some.columns)
-    every = by_chunks.unionByName(_lost(repeated(left)).withColumn("chunks", F.lit(0)))
+    by_pairs = _lost(repeated(with_texts(rows, some.where("not whole"), by_chunks)))
+    every = by_chunks.unionByName(by_pairs.withColumn("chunks", F.lit(0)))
     gone = every.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.greatest(F.lit(1), F.sum("chunks")).cast("int").alias("gone_chunks"))
     gone = written(gone, "removals")
     told = possible(gone.select("id"), "id")(rows)
