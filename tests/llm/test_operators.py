@@ -179,6 +179,32 @@ def test_contaminated_against_brute_force(spark):
         assert {r.doc_id for r in decontam.decontaminate(df, bench, block=block).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_decontaminate_writes_nothing_but_matches(spark, docs, tmp_path):
+    """With 1 and with 5 blocks the same rows stay, all columns and clashing names included; more blocks write matching texts alone."""
+    items = [prose(9000 + i, 60) for i in range(25)]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(30, None), (None, "x")], "item_id long, text string")
+    more = [(1000 + i, f"{prose(9100 + i, 30)} {items[i]} {prose(9200 + i, 30)}", "en", "s0", 1, 7, 9, "x", 1, "h", "q") for i in range(5)]
+    df = docs.unionByName(spark.createDataFrame(more * 2, docs.schema)).withColumn("_hash", F.lit("mine")).withColumn("_bad", F.lit(1))
+    size = sum(len(r.text or "") for r in df.collect())
+    kept = {}
+    for name, block in (("one", 1 << 18), ("five", 375)):
+        seen = []
+        write = decontam.written
+        decontam.written = lambda d, n: seen.append(write(d, n)) or seen[-1]  # noqa: B023
+        try:
+            out = decontam.decontaminate(df, bench, block=block)
+            kept[name] = Counter(map(tuple, out.collect()))
+        finally:
+            decontam.written = write
+        assert out.columns == df.columns
+        if name == "five":
+            assert len(seen) >= 5 and all(set(t.columns) == {"_bad", "_bad_hash"} for t in seen)
+            assert sum(len(r._bad) for t in seen for r in t.collect()) < size / 10
+        else:
+            assert not seen
+    assert kept["one"] == kept["five"] and sum(kept["one"].values()) == df.count() - 10
+
+
 # ---- 3 ----
 def test_line_chunks(spark, docs):
     passage = prose(777, 120)

@@ -6,7 +6,7 @@ the share of the item's tokens that the tiles cover is its coverage. A document
 reaches the threshold, wherever the item's passages stand and in whatever order.
 
 The benchmark is dealt into blocks of about BLOCK tokens by item, each broadcast with that bound and searched in one pass over the documents;
-what a pass found, or left, is written before the next block is broadcast, so that one block is held at a time. The documents are never shuffled.
+what a pass found is written before the next block is broadcast, so that one block is held at a time. Documents without a match are never written or shuffled.
 
 Tokens are lower-cased runs without white space and punctuation. Items of fewer tokens than
 a seed can't be told from common phrases and match nothing. Null or empty texts and items match nothing. Repeated rows are judged alike; repeated item_ids are one item
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triplake.llm.shared import clean, mixed, runs, word_hashes, written
+from triplake.llm.bitmap import possible
+from triplake.llm.shared import aside, clean, fresh, mixed, runs, word_hashes, written
 
 SEED = 4
 COVERAGE = 0.5
@@ -115,8 +117,12 @@ def _item_blocks(benchmark: DataFrame, seed: int, block: int) -> Iterator[dict]:
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 4
     blocks = max(1, -(-total // block))
+    if blocks > 1:  # dealt out once, so that a block reads its own items
+        path = fresh(items.sparkSession, "items")
+        items.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))).write.partitionBy("_block").parquet(path)
+        items = items.sparkSession.read.schema(T.StructType([*items.schema.fields, T.StructField("_block", T.LongType())])).parquet(path)
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # about `block` tokens
+        rows = (items.where(F.col("_block") == k) if blocks > 1 else items).collect()  # about `block` tokens
         ids, hashes, seeds, owner, place = [], [], [], [], []
         for r in rows:
             h = mixed(word_hashes(tokens(r["text"])))
@@ -227,8 +233,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the contaminated rows, with their own columns."""
-    kept = docs
-    for found, done in searched(docs, benchmark, **options):
-        kept = done(kept.where(F.size(found["item_id"]) == 0))
-    return kept
+    """docs without the contaminated rows, with their own columns.
+
+    A benchmark of one block is a filter in one pass. With more, a pass writes only the texts that it finds, which are few, and
+    the documents are held against all of them at the end; documents whose hash isn't among theirs aren't shuffled.
+    """
+    passes = searched(docs, benchmark, **options)
+    first, second = next(passes, None), next(passes, None)
+    if first is None:
+        return docs
+    if second is None:
+        return docs.where(F.size(first[0]["item_id"]) == 0)
+    bad = None
+    for found, done in chain((first, second), passes):
+        one = done(docs.where(F.size(found["item_id"]) > 0).select(F.col("text").alias("_bad"), F.xxhash64("text").alias("_bad_hash")))
+        bad = one if bad is None else bad.unionByName(one)
+    bad = written(bad.distinct(), "contaminated")
+    marked = possible(bad.select(F.col("_bad_hash").alias("_hash")), "_hash")(aside(docs, F.col("text").alias("_text"), F.xxhash64("text").alias("_hash")))
+    met = marked.where("_possible").join(bad, (F.col("_hash") == F.col("_bad_hash")) & (F.col("_text") == F.col("_bad")), "left_anti")
+    return marked.where("not _possible").select("_doc").unionByName(met.select("_doc")).select("_doc.*")
