@@ -365,3 +365,23 @@ def test_stored_properties_join_without_an_exchange(spark):
     df = queries.QUERIES["m9_stored_properties"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2 and "Bucketed: true" in plan
+
+
+def test_keyed_fold_settles_and_tells_late_ids(spark, tmp_path):
+    """Events within the delay fall into place whatever their order; with no delay they settle, and an older id comes out as late."""
+    from triplake.streaming import fold as keyed
+
+    def run(name, delay, batches):
+        src, seen = str(tmp_path / name), []
+        with keyed.settings(spark):
+            for rows in batches:  # each after a restart
+                spark.createDataFrame([(*r, "t") for r in rows], LOG_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+                stream = keyed.fold_keyed(spark.readStream.schema(LOG_SCHEMA).parquet(src), delay)
+                stream.writeStream.outputMode("append").foreachBatch(lambda d, e: seen.append(d.collect())).option("checkpointLocation", str(tmp_path / f"{name}-ck")).trigger(availableNow=True).start().awaitTermination()
+        return seen
+
+    within = run("within", 600_000, [[LOG[4], LOG[1], LOG[0]], [LOG[3], LOG[0]], [LOG[2]]])
+    assert {(r.ordinal, r.physical, r.logical, r.active) for r in within[-1]} == {(1, "d", "a", True), (2, "b", "b", False)} and {r.n_applied for r in within[-1]} == {5}
+    settled = [r for rows in run("settled", 0, [LOG[:2], [LOG[3]], [LOG[4], LOG[2]], [(6, "ADD COLUMN", "z", "int", None, None), LOG[1]]]) for r in rows]
+    assert {(-1, 2)} <= {(r.ordinal, r.last_id) for r in settled if r.ordinal < 0} <= {(-1, 2), (-1, 3)}  # 4 may have settled before 3 came
+    assert "spark.sql.streaming.noDataMicroBatches.enabled" not in {k for k, _ in spark.sparkContext.getConf().getAll()}
