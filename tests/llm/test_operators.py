@@ -843,28 +843,72 @@ def test_scores_of_nothing(spark, empty):
 
 
 # ---- pipeline ----
-def test_pipeline(spark):
+def by_sql(spark, docs, statement, folder):
+    """DuckDB's rows of a statement over a stage's documents."""
+    import duckdb
+
+    docs.coalesce(1).write.parquet(folder)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/*.parquet'")
+    return con.execute(statement).fetchdf()
+
+
+def leaking(docs, items):
+    """Ids of documents of which some item's tiles, by their definition, cover half: sure ones, and those too long to tell by it."""
+    sure, open_ = set(), set()
+    own = [decontam.tokens(t or "") for t in items]
+    grams = [{tuple(t[i : i + decontam.SEED]) for i in range(len(t) - decontam.SEED + 1)} for t in own]
+    for d, text in docs:
+        words = decontam.tokens(text or "")
+        here = {tuple(words[i : i + decontam.SEED]) for i in range(len(words) - decontam.SEED + 1)}
+        for item, seeds in zip(own, grams, strict=True):
+            shared = seeds & here
+            touched = {i + k for i in range(len(item) - decontam.SEED + 1) if tuple(item[i : i + decontam.SEED]) in shared for k in range(decontam.SEED)}
+            if 2 * len(touched) < len(item) or not touched:
+                continue
+            if len(words) > 600:
+                open_.add(d)
+            elif 2 * sum(n for *_, n in defined_tiles(item, words, decontam.SEED)) >= len(item):
+                sure.add(d)
+    return sure, open_ - sure
+
+
+def test_pipeline(spark, tmp_path):
+    """Every stage on what the one before kept: quality and mix against SQL, near duplicates and leaks by definition."""
     import corpus_pipeline
     from tests.conftest import SF
+    from triplake.llm import sql
 
     docs = table(spark, SF, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == table(spark, SF, "documents").columns
+        got = Counter(r[0] for r in rows(out, "doc_id"))
         if name == "quality":
-            ok = {r.doc_id for r in quality.ledger(docs).where("fail_bits = 0").collect()}
-            assert {r[0] for r in rows(out, "doc_id")} == ok
+            want = by_sql(spark, docs, sql.QUALITY, str(tmp_path / name))
+            assert got == Counter(want[want.kept].doc_id.tolist()) and 0 < len(got) < len(want)
         elif name == "near_dedup":
             _, comp = brute_components(rows(docs, "doc_id", "text"), 5)
-            assert sorted(r[0] for r in rows(out, "doc_id")) == sorted(d for d, c in comp.items() if d == c)
+            assert got == Counter(d for d, c in comp.items() if d == c)
         elif name == "decontaminate":
-            items = [" ".join(map(bytes.decode, decontam.tokens(t))) for _, t in rows(table(spark, SF, "benchmark"), "item_id", "text")]
+            items = [t for _, t in rows(table(spark, SF, "benchmark"), "item_id", "text")]
+            sure, open_ = leaking(rows(docs, "doc_id", "text"), items)
+            gone = {d for d, _ in rows(docs, "doc_id", "text")} - set(got)
+            assert sure <= gone <= sure | open_ and sure
             flat = {d: " ".join(map(bytes.decode, decontam.tokens(t))) for d, t in rows(docs, "doc_id", "text")}
-            leaks = {d for d, t in flat.items() if any(i in t for i in items)}
-            assert not leaks & {r[0] for r in rows(out, "doc_id")}
+            assert not {d for d in got if any(" ".join(map(bytes.decode, decontam.tokens(i))) in flat[d] for i in items)}
+        elif name == "mix":
+            want = by_sql(spark, docs, sql.MIX, str(tmp_path / name))
+            copies = {int(r.doc_id): int(r.taken) // int(r["size"]) + (2 * (int(r.taken) % int(r["size"])) >= int(r["size"])) for _, r in want.iterrows()}
+            assert got == Counter({d: n for d, n in copies.items() if n}) and len(set(copies.values())) > 1
         docs = spark.createDataFrame(out.collect(), out.schema)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert Counter(r.doc_id for r in last) == Counter(r[0] for r in rows(docs, "doc_id"))
+    loads = Counter()
+    for r in last:
+        loads[r.shard] += r["size"]
+    groups = Counter(r.text for r in docs.collect())
+    assert max(loads.values()) - min(loads.values()) <= 2 * max(n * (len(t.encode()) + 8) for t, n in groups.items())
 
 
 def test_pipeline_stages_on_odd_tables(spark, clashing):
