@@ -698,14 +698,14 @@ def scored(df, **options):
     return suffix_tree.scores(df, F.crc32(F.col("doc_id").cast("string")) % 7 == 2, **options).collect()
 
 
-@pytest.mark.parametrize("hot", [suffix_tree.HOT, 3])
-def test_scores(docs, hot):  # with 3, frequent words that aren't broadcast meet their counts as rare ones do
+@pytest.mark.parametrize("most", [suffix_tree.MOST, 3])
+def test_scores(docs, most):  # with 3, none but the most frequent words are frequent
     pairs = rows(docs, "doc_id", "text")
     words = lambda t: (t or "").encode().lower().split()
     train = [words(t) for d, t in pairs if zlib.crc32(str(d).encode()) % 7 != 2]
     c = Counter(w for ws in train for w in ws)
     n, v = sum(c.values()) + len(train), len(c) + 1
-    got = scored(docs, most_hot=hot)
+    got = scored(docs, most=most)
     assert len(got) == len(pairs)
     text = dict(pairs)
     for r in got:
@@ -798,17 +798,21 @@ def brute_model(pairs, n_top, rare):
     return log_p, n, states
 
 
-@pytest.mark.parametrize("n_top, rare", [(191, 16), (4, 4), (0, 10**9)])
-def test_scores_against_brute_force(spark, docs, monkeypatch, n_top, rare):
+@pytest.mark.parametrize("n_top, rare, most", [(191, 16, suffix_tree.MOST), (4, 4, 1 << 20), (0, 10**9, 1 << 20), (4, 4, 200)])
+def test_scores_against_brute_force(spark, docs, monkeypatch, n_top, rare, most):
+    """Frequent is who has `rare` occurrences and one in `most` of all: the model by count alone."""
     monkeypatch.setattr(suffix_tree, "TOP", n_top)
     monkeypatch.setattr(suffix_tree, "RARE", rare)
     twice = [(700 + i, prose(800 + i // 2, 30)) for i in range(8)]
     df = docs.where("doc_id <> 305").select("doc_id", "text").unionByName(spark.createDataFrame(twice, "doc_id long, text string"))
     pairs = rows(df, "doc_id", "text")
-    log_p, n, states = brute_model(pairs, n_top, rare)
-    assert n_top == 191 or {len(h) for h, c in states.items() if c} == ({1, 2} if rare < 100 else {1})
+    n = brute_model(pairs, n_top, rare)[1]
+    least = max(rare, -(-sum(n.values()) // most))
+    assert (least > rare) == (most == 200) and sum(v >= least for v in n.values()) <= most
+    log_p, n, states = brute_model(pairs, n_top, least)
+    assert n_top == 191 or most == 200 or {len(h) for h, c in states.items() if c} == ({1, 2} if rare < 100 else {1})
     text = dict(pairs)
-    got = scored(df)
+    got = scored(df, most=most)
     assert len(got) == len(pairs)
     for r in got:
         path = [None, None, *(text[r.doc_id] or "").encode().lower().split(), None]
