@@ -173,7 +173,7 @@ def layers(events: DataFrame, tables: DataFrame, columns: DataFrame, properties:
     """
     before = columns.select("table_name", (F.col("ordinal") - 1_000_000).cast("long").alias("id"), F.lit("ADD COLUMN").alias("alter_type"), F.col("name").alias("column_name"), F.col("type").alias("column_type"), F.lit(None).cast("string").alias("old_column"), F.lit(None).cast("string").alias("new_column"))
     every = histories(events.select("table_name", F.col("id").cast("long").alias("id"), *_EVENT[1:]).unionByName(before), segment)
-    every = written(every.join(F.broadcast(tables), "table_name"), "histories")
+    every = written(every.join(tables, "table_name"), "histories")
     there = every.where("dropped is null")
     place = F.row_number().over(W.partitionBy("table_name").orderBy("added"))
     federation = there.select("model", "table_name", place.alias("ordinal"), F.col("physical").alias("name"), federation_type(F.col("type")).alias("type"))
@@ -183,7 +183,7 @@ def layers(events: DataFrame, tables: DataFrame, columns: DataFrame, properties:
     named = properties.select("table_name", "property", "binding", "xsd").withColumn("at", F.lit(-1_000_000).cast("long")).withColumn("comes", F.lit(True))
     derived = property_name(F.col("logical"))
     kept = properties.select("table_name", F.col("binding").alias("logical"), F.lit(True).alias("_bound"))
-    own = every.join(F.broadcast(kept), ["table_name", "logical"], "left").where((F.col("added") > 0) | F.col("_bound").isNull())
+    own = every.join(kept, ["table_name", "logical"], "left").where((F.col("added") > 0) | F.col("_bound").isNull())
     comes = own.where("added > 0").select("table_name", derived.alias("property"), F.col("logical").alias("binding"), xsd_type(F.col("type")).alias("xsd"), F.col("added").alias("at"), F.lit(True).alias("comes"))
     goes = every.where("dropped is not null").select("table_name", derived.alias("property"), F.col("logical").alias("binding"), F.lit(None).cast("string").alias("xsd"), F.col("dropped").alias("at"), F.lit(False).alias("comes"))
     line = W.partitionBy("table_name", "property").orderBy("at")
@@ -191,8 +191,8 @@ def layers(events: DataFrame, tables: DataFrame, columns: DataFrame, properties:
     found = moves.withColumn("was", F.coalesce(F.lag("comes").over(line), F.lit(False)))
     # a DROP that finds no property of the derived name takes the one that binds its column
     bound = named.select("table_name", F.col("property").alias("_property"), "binding")
-    other = found.where("not comes and not was").join(F.broadcast(bound), ["table_name", "binding"]).select("table_name", F.col("_property").alias("property"), "binding", "xsd", "at", "comes")
-    moves = written(moves.unionByName(other), "property-moves").join(F.broadcast(tables.select("table_name", "mapping_id", "class")), "table_name")
+    other = found.where("not comes and not was").join(bound, ["table_name", "binding"]).select("table_name", F.col("_property").alias("property"), "binding", "xsd", "at", "comes")
+    moves = written(moves.unionByName(other), "property-moves").join(tables.select("table_name", "mapping_id", "class"), "table_name")
     gone = F.max(F.when(~F.col("comes"), F.col("at"))).over(W.partitionBy("table_name", "property"))
     since = moves.withColumn("gone", gone).where(F.col("comes") & (F.col("gone").isNull() | (F.col("at") > F.col("gone"))))
     first = F.min(F.struct("at", "binding", "xsd"))
