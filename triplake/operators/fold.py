@@ -33,13 +33,15 @@ HISTORY = "table_name string, added long, logical string, type string, physical
 FOLDED = ["table_name", "ordinal", "physical", "logical", "type", "active", "last_id", "n_applied"]
 
 
-def _segmented(events: DataFrame, size: int) -> DataFrame:
-    """Events with an id and a table, once each, with their segment `part`: lower parts of a table come before higher ones."""
+def _segmented(events: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Events with an id and a table, with their segment `part`: lower parts of a table come before higher ones; and the number of parts. Repeats are in one part."""
     rows = events.where("table_name is not null and id is not null").select("table_name", F.col("id").cast("long").alias("id"), *_EVENT[1:])
     rows = written(rows, "events")
     parts = max(1, -(-rows.count() // size))
-    dealt = rows.repartitionByRange(parts, "table_name", "id") if parts > 1 else rows.coalesce(1)
-    return written(dealt.withColumn("part", F.spark_partition_id()).dropDuplicates(["table_name", "part", "id"]), "segments")
+    if parts == 1:
+        return rows.withColumn("part", F.lit(0)), 1
+    dealt = rows.repartitionByRange(parts, "table_name", "id").withColumn("part", F.spark_partition_id())
+    return written(dealt.dropDuplicates(["table_name", "part", "id"]), "segments"), parts
 
 
 def after(live: dict[str, bool | None], e: tuple) -> bool | None:
@@ -66,7 +68,7 @@ def _names(e: tuple) -> list[str]:
 
 
 def _in_order(pdf: pd.DataFrame, *columns: str) -> list[tuple]:
-    pdf = pdf.sort_values("id").astype(object)
+    pdf = pdf.drop_duplicates("id").sort_values("id").astype(object)
     pdf = pdf.where(pdf.notna(), None)
     return list(zip(*[pdf[c].tolist() for c in columns], strict=True))
 
@@ -88,7 +90,11 @@ def _transition(key: tuple, events: pd.DataFrame, known: pd.DataFrame) -> pd.Dat
     live = dict(zip(known["name"], known["before"].tolist(), strict=True))
     columns = [[n, None, None, None, n, None] for n, up in live.items() if up]  # start, added, logical, type, end, dropped
     at = {c[0]: c for c in columns}
-    for number, kind, name, sql_type, old, new in _in_order(events, *_EVENT):
+    log = _in_order(events, *_EVENT)
+    for _, kind, name, _, old, new in log:
+        for n in _names((kind, name, old, new)):
+            live.setdefault(n, False)
+    for number, kind, name, sql_type, old, new in log:
         if not after(live, (kind, name, old, new)):
             continue
         if kind == "ADD COLUMN":
@@ -107,10 +113,26 @@ def _transition(key: tuple, events: pd.DataFrame, known: pd.DataFrame) -> pd.Dat
 
 def histories(events: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Every column that ever was: when it was added, under which name and type, the name it has last, and the id of its DROP or null."""
-    return _histories(_segmented(events, segment))
+    return _histories(*_segmented(events, segment))
 
 
-def _histories(log: DataFrame) -> DataFrame:
+_MOVE = "table_name string, part int, start string, added long, logical string, type string, end string, dropped long"
+
+
+def _whole(key: tuple, events: pd.DataFrame) -> pd.DataFrame:
+    """A table whose log is one segment: no name is live before it."""
+    out = _transition((key[0], 0), events, pd.DataFrame({"name": [], "before": []}))
+    return out.assign(last_id=events["id"].max(), n_applied=events["id"].nunique())
+
+
+def _small(log: DataFrame) -> DataFrame:
+    rows = log.groupBy("table_name").applyInPandas(_whole, _MOVE + ", last_id long, n_applied long")
+    return written(rows.select("table_name", "added", "logical", "type", F.col("end").alias("physical"), "dropped", "last_id", "n_applied"), "histories")
+
+
+def _histories(log: DataFrame, parts: int) -> DataFrame:
+    if parts == 1:
+        return _small(log).drop("last_id", "n_applied")
     place = ["table_name", "part"]
     by_name = W.partitionBy("table_name", "name").orderBy("part")  # a row for each segment that touches the name
     names = F.array_compact(F.when(F.col("alter_type") == "RENAME COLUMN", F.array("old_column", "new_column")).otherwise(F.array("column_name")))
@@ -125,7 +147,7 @@ def _histories(log: DataFrame) -> DataFrame:
         if open_.isEmpty():
             break
         state = handed(written(ready, "ran").select(*place, "name", "after"))
-    moves = log.groupBy(*place).cogroup(state.groupBy(*place)).applyInPandas(_transition, "table_name string, part int, start string, added long, logical string, type string, end string, dropped long")
+    moves = log.groupBy(*place).cogroup(state.groupBy(*place)).applyInPandas(_transition, _MOVE)
     moves = written(moves, "moves")
     # a column at the end of a segment goes on in the next segment that touches its name
     touched = state.select("table_name", F.col("part").alias("next"), F.col("name").alias("end"))
@@ -144,11 +166,14 @@ def _histories(log: DataFrame) -> DataFrame:
 
 def fold(events: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Each table's columns after all its events in id order, repeats once. Ordinals come from a window over a table's columns, which are few."""
-    log = _segmented(events, segment)
-    applied = log.groupBy("table_name").agg(F.max("id").alias("last_id"), F.count("*").alias("n_applied"))
+    log, parts = _segmented(events, segment)
+    if parts == 1:
+        columns = _small(log)
+    else:
+        applied = log.groupBy("table_name").agg(F.max("id").alias("last_id"), F.count("*").alias("n_applied"))
+        columns = _histories(log, parts).join(applied, "table_name")
     ordinal = F.row_number().over(W.partitionBy("table_name").orderBy("added"))
-    columns = _histories(log).select("table_name", ordinal.alias("ordinal"), "physical", "logical", "type", F.col("dropped").isNull().alias("active"))
-    return columns.join(applied, "table_name").select(*FOLDED)
+    return columns.withColumn("ordinal", ordinal).withColumn("active", F.col("dropped").isNull()).select(*FOLDED)
 
 
 @dataclass(frozen=True)
