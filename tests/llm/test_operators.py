@@ -350,10 +350,13 @@ def test_near_duplicates(spark, docs, width):
     assert sorted(r[0] for r in rows(kept, "doc_id")) == sorted({d for d, c in comp.items() if d == c})
 
 
-@pytest.mark.parametrize("stars", [0, 1])
-def test_blocks_find_what_leaders_miss(spark, monkeypatch, stars):
+@pytest.mark.parametrize(("stars", "volume"), [(0, 1 << 20), (1, 1 << 20), (0, 150), (2, 150)])
+def test_blocks_find_what_leaders_miss(spark, monkeypatch, stars, volume):
+    """Blocks of few members or few shingles and leaders with many parts find the same links."""
     monkeypatch.setattr(minhash, "STAR_ROUNDS", stars)
     monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "VOLUME", volume)
+    monkeypatch.setattr(minhash, "MEMBERS", 2)
     base = prose(4000, 120).split(" ")
     texts = [base]
     for i in range(24):  # copies of copies: many are linked through others only
@@ -367,6 +370,32 @@ def test_blocks_find_what_leaders_miss(spark, monkeypatch, stars):
     assert 1 < len(set(comp.values())) < 25
 
 
+@pytest.mark.parametrize("least", [-(1 << 63), 5])
+def test_ids_of_any_value(spark, least):
+    """The ends of the range are ids like others, also where they stand on several texts."""
+    most = (1 << 63) - 1
+    a, b, c = (prose(5000 + i, 80) for i in range(3))
+    made = [(least, a), (most, a + " more"), (0, b), (most - 1, b + " more"), (1 << 56, c), (None, a)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    out = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(df, 2).collect()}
+    assert out == {least: (least, True), most: (least, False), 0: (0, True), most - 1: (0, False), 1 << 56: (1 << 56, True), None: (None, True)}
+    clash = [(least, prose(5100 + i, 50)) for i in range(3)] + [(most, prose(5200 + i, 50)) for i in range(3)]
+    kept = {(r.doc_id, r.text) for r in minhash.near_dedup(df.unionByName(spark.createDataFrame(clash, df.schema))).collect()}
+    assert kept == {made[0], made[2], made[4], made[5], *clash}
+
+
+def test_texts_of_one_template_seldom_meet(spark):
+    """Of texts that share a third of their shingles few share a table; those linked are found all the same."""
+    own = [" ".join(f"w{i}x{k}" if k % 4 > 1 else f"t{k}" for k in range(64)) for i in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(own)] + [(1000 + i, own[i] + " end") for i in range(0, 200, 20)], "doc_id long, text string")
+    sigs = minhash.signatures(df.selectExpr("doc_id AS id", "true AS known", "text"), 2).groupBy("set_a", "n_shingles").agg(F.min("id").alias("id"), F.first("left").alias("left"), F.first("right").alias("right"))
+    met = minhash.buckets(sigs)
+    pairs = met.alias("x").join(met.alias("y"), F.expr("x.key = y.key AND x.id < y.id")).select("x.id", "y.id").distinct().count()
+    assert pairs < 0.02 * 200 * 199 / 2  # similarity 1/7
+    _, comp = brute_components(rows(df, "doc_id", "text"), 2)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 2).collect()} == comp
+
+
 def test_near_duplicates_edges(spark, empty):
     assert minhash.near_duplicates(empty, 2).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, "")], "doc_id long, text string")

@@ -4,17 +4,19 @@ Two collections of COLUMNS short signatures are computed, each signature of ROWS
 of the first collection with one of the second, so COLUMNS ** 2 tables come from 2 * COLUMNS * ROWS minima. A signature that no other document has can't be
 part of a shared key and is left out before the combination; that loses nothing.
 
-Two sets of similarity s share a key with probability (1 - (1 - s ** ROWS) ** COLUMNS) ** 2: 0.9999 at 0.8 for the defaults.
+Two sets of similarity s share a key with probability (1 - (1 - s ** ROWS) ** COLUMNS) ** 2: for the defaults 0.9996 at 0.8 (more above),
+0.41 at 0.5 and 0.015 at 0.3, so that texts of one template seldom meet.
 
 Documents with equal sets are one class and the tables hold classes. Candidates are compared on their full shingle sets,
 made again from the whole texts. In a bucket, members are first compared with one leader (in the second round, the member with most
-links); members that are then connected need no more comparison. Members of other components are then compared with those members of the
-buckets of the same main component that share a bucket with them, block by block inside the tasks, so that no pair becomes a row and no block grows
-with a group.
-
-Null texts and texts without words have the empty set and are linked with nothing. Repeated rows are copies. Rows that share a
-doc_id but not the text are linked row by row; a link to the doc_id is one to all of them. A row with a null doc_id links nothing and has a null component. An empty table gives an empty
-result. Other columns are ignored.
+links), whose text goes once to each part of its members; members that are then connected need no more comparison. Members of other components are
+then compared with those members of the buckets of the same main component that share a bucket with them, block by block inside the tasks, so that no
+pair becomes a row and no block grows with a group or with its texts. The blocks are made of signatures first; texts go only to those in which they have
+a candidate.
+
+Ids are integers of any value. Null texts and texts without words have the empty set and are linked with nothing. Repeated rows are copies. Rows that
+share a doc_id but not the text are linked row by row; a link to the doc_id is one to all of them. A row with a null doc_id links nothing and has a null
+component. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +32,14 @@ from triplake.llm.bitmap import possible
 from triplake.llm.components import joined_components
 from triplake.llm.mixing import digest
 from triplake.llm.prefix import prefix_sums
-from triplake.llm.shared import NO_ID, aside, clean, mixed, runs, word_hashes, written
+from triplake.llm.shared import aside, clean, mixed, runs, word_hashes, written
 
-COLUMNS, ROWS = 10, 2
+COLUMNS, ROWS = 16, 4
 SIMILARITY = 80
 #: Rounds in which members are compared with leaders only; the last round is of blocks.
 STAR_ROUNDS = 2
-BLOCK = 256
+#: Members and shingles on one side of a block, and members of a leader in one part.
+BLOCK, VOLUME, MEMBERS = 256, 1 << 20, 1 << 12
 
 
 def words_of(text: str) -> list[bytes]:
@@ -66,8 +69,8 @@ def shingle_hashes(texts: list[str], width: int) -> list[np.ndarray]:
 def _minima(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """The least value of each seeded hash over the set, in slices of bounded size."""
     least = np.full(len(seeds), np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(shingles), 1 << 14):
-        x = shingles[a : a + (1 << 14)]
+    for a in range(0, len(shingles), 1 << 12):
+        x = shingles[a : a + (1 << 12)]
         y = (x[None, :] ^ seeds[:, 0:1]) * seeds[:, 1:2]
         y ^= y >> np.uint64(32)
         least = np.minimum(least, (y * seeds[:, 2:3]).min(axis=1))
@@ -75,13 +78,13 @@ def _minima(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, columns: int = COLUMNS, rows: int = ROWS) -> DataFrame:
-    """docs(id, text) to id, n_shingles, set_a, set_b (128 bits of the whole set) and left, right: the two collections."""
+    """docs(id, known, text) to id, known, n_shingles, set_a, set_b (128 bits of the whole set) and left, right: the two collections."""
     seeds = mixed(np.arange(1, 2 * columns * rows * 3 + 1, dtype=np.uint64)).reshape(-1, 3)
     seeds[:, 1:] |= np.uint64(1)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts, ids = clean(pdf["text"]), pdf["id"].to_numpy()
+            texts, ids, known = clean(pdf["text"]), pdf["id"].to_numpy(), pdf["known"].to_numpy()
             for a, b in runs(texts):
                 sets = shingle_hashes(texts[a:b], width)
                 n = np.array([len(s) for s in sets], np.int64)
@@ -92,15 +95,15 @@ def signatures(docs: DataFrame, width: int, columns: int = COLUMNS, rows: int =
                 bands = bands.view(np.int64)
                 yield pd.DataFrame(
                     {
-                        "id": ids[a:b], "n_shingles": n,
+                        "id": ids[a:b], "known": known[a:b], "n_shingles": n,
                         "set_a": np.array([s.sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64),
                         "set_b": np.array([mixed(s).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64),
                         "left": list(bands[:, :columns]), "right": list(bands[:, columns:]),
                     }
                 )
 
-    schema = "id long, n_shingles long, set_a long, set_b long, left array<long>, right array<long>"
-    return docs.select("id", "text").mapInPandas(each, schema)
+    schema = "id long, known boolean, n_shingles long, set_a long, set_b long, left array<long>, right array<long>"
+    return docs.select("id", "known", "text").mapInPandas(each, schema)
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -121,111 +124,133 @@ def buckets(classes: DataFrame) -> DataFrame:
 
 
 def compare(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """a, b, shared, joint (sizes of intersection and union of the full shingle sets) of pairs(a, b) of ids of docs(id, text)."""
+    """a, b, shared, joint (sizes of intersection and union of the full shingle sets) of pairs(leader, id) of ids of docs(id, text).
+
+    A leader's members are dealt in parts of about MEMBERS; its text goes once to each part, ahead of theirs, and is cut once there.
+    """
     pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    some = possible(ids, "id")(docs.select("id", "text")).where("_possible").select("id", "text")
-    side = lambda k: some.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    parts = written(pairs.groupBy("leader").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")), "parts")
+    members = pairs.join(parts, "leader").select("leader", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(1).alias("turn"), "id")
+    leaders = parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("turn"), F.col("leader").alias("id"))
+    ids = pairs.select("id").unionByName(parts.select(F.col("leader").alias("id")))
+    texts = possible(ids, "id")(docs.select("id", "text")).where("_possible").select("id", "text")
+    ready = leaders.unionByName(members).join(texts, "id")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, own = None, {}  # the leader and part at hand, and the leader's texts (more than one where texts share the id) with their sets
         for pdf in batches:
-            n = len(pdf)
-            shared, joint = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            left, right = clean(pdf["text_a"]), clean(pdf["text_b"])
-            held: tuple[str, np.ndarray] = ("", np.zeros(0, np.uint64))
-            for i in range(n):
-                if left[i] != held[0]:
-                    held = (left[i], shingle_hashes([left[i]], width)[0])
-                x, y = held[1], shingle_hashes([right[i]], width)[0]
-                shared[i] = len(np.intersect1d(x, y, assume_unique=True))
-                joint[i] = len(x) + len(y) - shared[i]
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "shared": shared, "joint": joint})
-
-    return met.mapInPandas(each, "a long, b long, shared long, joint long").distinct()
+            texts, keys = clean(pdf["text"]), pdf[["leader", "part", "turn", "id"]].to_numpy().tolist()
+            found = []
+            for x, y in runs(texts):
+                for text, (leader, part, turn, one), cut in zip(texts[x:y], keys[x:y], shingle_hashes(texts[x:y], width), strict=True):
+                    if (leader, part) != held:
+                        held, own = (leader, part), {}
+                    if not turn:
+                        own[text] = cut
+                        continue
+                    for other in own.values():
+                        shared = len(np.intersect1d(other, cut, assume_unique=True))
+                        found.append((min(leader, one), max(leader, one), shared, len(other) + len(cut) - shared))
+            yield pd.DataFrame(found, columns=["a", "b", "shared", "joint"], dtype="int64")
+
+    order = ["leader", "part", "turn"]
+    many = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ready.repartition(many, "leader", "part").sortWithinPartitions(*order)
+    return dealt.mapInPandas(each, "a long, b long, shared long, joint long").distinct()
 
 
 def compare_blocks(groups: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
     """a, b: links that join components within groups(grp, id, n_shingles, component, main), where main is the group's main component.
 
     Members of other components are compared with the members of their group that share a bucket with them. Groups of more than BLOCK
-    members are dealt by size class (sets of classes that don't touch are too unequal to be linked), then in blocks of about BLOCK by BLOCK:
-    pairs are never rows, a text goes only to the blocks of three classes, and one link for each text and component comes out.
+    members or VOLUME shingles are dealt by size class (sets of classes that don't touch are too unequal to be linked), then in blocks of about BLOCK
+    by BLOCK, of fewer where sets are large: pairs are never rows, signatures go to the blocks of three classes, texts to those of them where
+    signatures meet, and one link for each text and component comes out.
     """
-    kind = F.floor(F.log("n_shingles") / float(np.log(101 / similarity))).cast("int")
+    ratio = 101 / similarity
+    kind = F.floor(F.log("n_shingles") / float(np.log(ratio))).cast("int")
     held = groups.withColumn("kind", kind).withColumn("spread", F.xxhash64("id"))
     rest = F.sum((F.col("component") != F.col("main")).cast("int"))
-    sizes = written(held.groupBy("grp", "kind").agg(F.count("*").alias("n_all"), rest.alias("n_rest")), "group-sizes")
-    whole = sizes.groupBy("grp").agg(F.sum("n_all").alias("total"))
-    dealt_by = sizes.join(whole, "grp").withColumn("class", F.when(F.col("total") <= BLOCK, 0).otherwise(F.col("kind")))
+    sizes = written(held.groupBy("grp", "kind").agg(F.count("*").alias("n_all"), rest.alias("n_rest"), F.sum("n_shingles").alias("volume")), "group-sizes")
+    whole = sizes.groupBy("grp").agg(F.sum("n_all").alias("total"), F.sum("volume").alias("volume"))
+    small = (F.col("total") <= BLOCK) & (F.col("volume") <= VOLUME)
+    dealt_by = sizes.drop("volume").join(whole, "grp").withColumn("class", F.when(small, 0).otherwise(F.col("kind")))
     own = dealt_by.groupBy("grp", "class").agg(F.sum("n_all").alias("n_all"), F.sum("n_rest").alias("n_rest"))
     other = own.select("grp", F.col("class").alias("o"), F.col("n_all").alias("o_all"), F.col("n_rest").alias("o_rest"))
     # at most three rows for each group and size class
     pairs = own.join(other, "grp").where("abs(class - o) <= 1 and (n_rest > 0 or o_rest > 0)")
     met = written(dealt_by.select("grp", "kind", "class").join(pairs, ["grp", "class"]), "group-classes")
-    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    place = lambda n: F.pmod("spread", F.greatest(F.lit(1), parts(n))).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    most = lambda c: F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), VOLUME / F.pow(F.lit(ratio), F.col(c) + 1)))
+    parts = lambda n, c: F.ceil(F.col(n) / most(c)).cast("int")
+    place = lambda n, c: F.pmod("spread", F.greatest(F.lit(1), parts(n, c))).cast("int")
+    each = lambda n, c: F.explode(F.sequence(F.lit(0), parts(n, c) - 1))
     dealt = held.join(met, ["grp", "kind"])
     block = ["grp", "k", "i", "l", "j"]
-    left = dealt.where("component <> main").select("grp", F.col("class").alias("k"), place("n_rest").alias("i"), F.col("o").alias("l"), each("o_all").alias("j"), "id", "component", F.lit(True).alias("is_left"))
-    right = dealt.where("o_rest > 0").select("grp", F.col("o").alias("k"), each("o_rest").alias("i"), F.col("class").alias("l"), place("n_all").alias("j"), "id", "component", F.lit(False).alias("is_left"))
+    left = dealt.where("component <> main").select("grp", F.col("class").alias("k"), place("n_rest", "class").alias("i"), F.col("o").alias("l"), each("o_all", "o").alias("j"), "id", "component", F.lit(True).alias("is_left"))
+    right = dealt.where("o_rest > 0").select("grp", F.col("o").alias("k"), each("o_rest", "o").alias("i"), F.col("class").alias("l"), place("n_all", "class").alias("j"), "id", "component", F.lit(False).alias("is_left"))
     short = lambda c: F.transform(c, lambda v: v.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias(c)
-    texts = possible(groups.select("id"), "id")(docs.select("id", "text")).where("_possible").select("id", "text")
-    ready = left.unionByName(right).join(classes.select("id", "n_shingles", short("left"), short("right")), "id").join(texts, "id")
+    ready = left.unionByName(right).join(classes.select("id", "n_shingles", short("left"), short("right")), "id")
+    names = ["id", "component", "is_left", "n_shingles", "left", "right"]
 
-    def linked(is_left: np.ndarray, n: np.ndarray, comps: np.ndarray, one: np.ndarray, two: np.ndarray, texts: list[str]) -> list[tuple[int, int]]:
-        """Places of linked members of one block; only texts that share a bucket with another are cut into shingles."""
+    def candidates(pdf: pd.DataFrame) -> dict[int, list[int]]:
+        """Places of the left members of one block, each with those of the right ones that share a bucket with it and can be linked."""
+        is_left, n, comps = (pdf[c].to_numpy() for c in ("is_left", "n_shingles", "component"))
+        one, two = np.stack(pdf["left"]), np.stack(pdf["right"])
         rights = np.flatnonzero(~is_left)
-        cands = {}
+        found = {}
         for x in np.flatnonzero(is_left):
             ys = rights[(comps[rights] != comps[x]) & (100 * np.minimum(n[rights], n[x]) >= similarity * np.maximum(n[rights], n[x]))]
             ys = ys[(one[ys] == one[x]).any(axis=1) & (two[ys] == two[x]).any(axis=1)]
             if len(ys):
-                cands[int(x)] = ys.tolist()
-        if not cands:
-            return []
-        used = sorted({*cands, *(y for ys in cands.values() for y in ys)})
-        cut = [texts[i] for i in used]
-        sets = [s for a, b in runs(cut) for s in shingle_hashes(cut[a:b], width)]
-        _, place = np.unique(np.concatenate(sets), return_inverse=True)
-        at = dict(zip(used, np.split(place, np.cumsum([len(s) for s in sets])[:-1]), strict=True))
-        marks = np.zeros(place.max() + 1, bool)
+                found[int(x)] = ys.tolist()
+        return found
+
+    def useful(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = candidates(pdf)
+        return pdf.iloc[sorted({*found, *(y for ys in found.values() for y in ys)})]
+
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One link for each left member of a block and component that it is linked with."""
+        found = candidates(pdf)
+        ids, comps, texts = pdf["id"].to_numpy(), pdf["component"].to_numpy(), clean(pdf["text"])
+        sets = [cut for x, y in runs(texts) for cut in shingle_hashes(texts[x:y], width)]
+        _, places = np.unique(np.concatenate(sets), return_inverse=True)
+        at = np.split(places, np.cumsum([len(cut) for cut in sets])[:-1])
+        marks = np.zeros(len(places), bool)
         out = []
-        for x, ys in cands.items():
+        for x, ys in found.items():
             marks[at[x]] = True
             met = set()
             for y in ys:
                 shared = int(np.count_nonzero(marks[at[y]])) if comps[y] not in met else 0
-                if 100 * shared >= similarity * (n[x] + n[y] - shared):
+                if shared and 100 * shared >= similarity * (len(at[x]) + len(at[y]) - shared):
                     met.add(comps[y])
-                    out.append((x, y))
+                    out.append((ids[x], ids[y]))
             marks[at[x]] = False
-        return out
-
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # the last block of a batch may go on in the next
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            key = pdf[block].to_numpy()
-            starts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1])
-            yield told(pdf, starts)
-            held = pdf.iloc[starts[-1] :].reset_index(drop=True)
-        if held is not None:
-            yield told(held, np.array([0, len(held)]))
-
-    def told(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        is_left, n, ids, comps = (pdf[c].to_numpy() for c in ("is_left", "n_shingles", "id", "component"))
-        found = []
-        if len(starts) > 1:
-            one, two, texts = np.stack(pdf["left"]), np.stack(pdf["right"]), clean(pdf["text"])
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                found += [(ids[a + x], ids[a + y]) for x, y in linked(is_left[a:b], n[a:b], comps[a:b], one[a:b], two[a:b], texts[a:b])]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    def by_block(told):
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = None  # the last block of a batch may go on in the next
+            for pdf in batches:
+                pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+                key = pdf[block].to_numpy()
+                starts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1])
+                for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    yield told(pdf.iloc[x:y])
+                held = pdf.iloc[starts[-1] :].reset_index(drop=True)
+            if held is not None and len(held):
+                yield told(held)
+
+        return each
 
     # a fixed number of partitions: small rows, much work each
     many = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ready.repartition(many, *block).sortWithinPartitions(*block).mapInPandas(compared, "a long, b long")
+    dealt = lambda rows: rows.repartition(many, *block).sortWithinPartitions(*block)
+    schema = "grp long, k int, i int, l int, j int, id long, component long, is_left boolean, n_shingles long, left array<int>, right array<int>"
+    met = written(dealt(ready).select(*block, *names).mapInPandas(by_block(useful), schema), "candidates")
+    texts = possible(met.select("id"), "id")(docs.select("id", "text")).where("_possible").select("id", "text")
+    return dealt(met.join(texts, "id")).mapInPandas(by_block(linked), "a long, b long")
 
 
 def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
@@ -240,47 +265,61 @@ def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int) -> D
         else:
             degree = checked.where(linked).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
             held = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        best = F.max(F.struct(F.col("degree"), (-F.col("id")).alias("least"), F.col("component").alias("m_component"), F.col("n_shingles").alias("m_shingles"))).alias("best")
+        best = F.max(F.struct(F.col("degree"), F.bitwise_not("id").alias("least"), F.col("component").alias("m_component"), F.col("n_shingles").alias("m_shingles"))).alias("best")
         # buckets that still hold more than one component
         leaders = held.groupBy("key").agg(best, F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2")
-        leaders = written(leaders.select("key", (-F.col("best.least")).alias("leader"), "best.m_component", "best.m_shingles"), "leaders")  # so that the join on a hot key can be split
+        leaders = written(leaders.select("key", F.bitwise_not("best.least").alias("leader"), "best.m_component", "best.m_shingles"), "leaders")  # so that the join on a hot key can be split
         met = held.join(leaders, "key")
         if turn == STAR_ROUNDS:
             groups = met.select(F.col("m_component").alias("grp"), "id", "n_shingles", "component", F.col("m_component").alias("main")).distinct()
             rest = written(compare_blocks(written(groups, "groups"), classes, docs, width, similarity), "links")
             return joined_components(found, rest)
-        pairs = met.where("component <> m_component").where(near).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        pairs = met.where("component <> m_component").where(near).groupBy(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).agg(F.min("leader").alias("leader"))
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        told = written(compare(pairs, docs, width), "compared")
+        member = F.when(F.col("a") == F.col("leader"), F.col("b")).otherwise(F.col("a"))
+        told = written(compare(pairs.select("leader", member.alias("id")), docs, width), "compared")
         checked = told if checked is None else checked.unionByName(told)
         found = joined_components(found, told.where(linked).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, width: int, similarity: int = SIMILARITY, columns: int = COLUMNS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs(doc_id, text)."""
-    own = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNotNull().alias("known"), "text")
     told = written(signatures(own, width, columns, rows), "signatures")
-    real = told.where((F.col("n_shingles") > 0) & (F.col("id") != NO_ID))
+    real = told.where("known and n_shingles > 0")
     same = ["n_shingles", "set_a", "set_b"]
     classes = written(real.groupBy(*same).agg(F.min("id").alias("id"), F.first("left").alias("left"), F.first("right").alias("right")), "classes")
-    found = links(classes, own.where(F.col("id") != NO_ID), width, similarity)
+    found = links(classes, own.where("known"), width, similarity)
     root = classes.join(found, "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"))
     out = told.drop("left", "right").join(root, same, "left")
-    component = F.when(F.col("id") == NO_ID, F.lit(None)).otherwise(F.coalesce("component_id", "id"))
-    return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    component = F.when(F.col("known"), F.coalesce("component_id", "id"))
+    return out.select(F.when(F.col("known"), F.col("id")).alias("doc_id"), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def free_numbers(keys: DataFrame, many: int) -> int:
+    """The first of `many` numbers in a row that no row of keys(_key) holds: after the last, else before the first, else between."""
+    first, last = keys.agg(F.min("_key"), F.max("_key")).first()
+    low, high = -(1 << 63), (1 << 63) - many
+    for start in (last + 1, first - many):
+        if low <= start <= high:
+            return start
+    between = [k << 56 for k in range(-127, 128)]
+    used = keys.agg(*[F.max(F.col("_key").between(k, k + many - 1)) for k in between]).first()
+    return next(k for k, taken in zip(between, used, strict=True) if not taken)
 
 
 def told_apart(docs: DataFrame) -> DataFrame:
-    """_doc (the row), text and _key: the doc_id; where one stands on several texts, the least digest keeps it, the others get numbers after all doc_ids."""
+    """_doc (the row), text and _key: the doc_id; where one stands on several texts, the least digest keeps it, the others get numbers that no doc_id has."""
     held = aside(docs, F.col("doc_id").alias("_key"), F.col("text"))
     real = held.where("_key is not null").select("_key", digest(F.col("text")).alias("_digest"))
     clash = written(real.groupBy("_key").agg(F.min("_digest").alias("_least"), F.max("_digest").alias("_most")).where("_least < _most"), "clashes")
     if clash.isEmpty():
         return held
     others = real.join(clash, "_key").where("_digest > _least").select("_key", "_digest").distinct().withColumn("_one", F.lit(1))
-    last = real.agg(F.max("_key")).first()[0]
-    numbers = prefix_sums(others, ["_key", "_digest"], {"_one": "_rank"}, [], "clashing").select("_key", "_digest", (F.col("_rank") + 1 + last).alias("_number"))
+    others = written(others, "clashing-texts")
+    start = free_numbers(real.select(F.col("_key").cast("long")), others.count())
+    numbers = prefix_sums(others, ["_key", "_digest"], {"_one": "_rank"}, [], "clashing").select("_key", "_digest", (F.col("_rank") + F.lit(start).cast("long")).alias("_number"))
     rows = possible(clash.select("_key"), "_key")(held)
     touched = rows.where("_possible").withColumn("_digest", digest(F.col("text"))).join(numbers, ["_key", "_digest"], "left")
     own = ["_doc", "text"]
@@ -290,7 +329,7 @@ def told_apart(docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, width: int = 5, **options) -> DataFrame:
     """docs with one row of each group of near-duplicates (that of the smallest doc_id), with their own columns and values, whatever their names.
 
-    Rows without a doc_id stay. Different texts of one doc_id are different documents; rows that repeat doc_id and text are one.
+    doc_id must be an integer; rows without one stay. Different texts of one doc_id are different documents; rows that repeat doc_id and text are one.
     Only rows whose doc_id goes, or stands on several rows, are shuffled.
     """
     keyed = told_apart(docs)
