@@ -396,6 +396,37 @@ def test_texts_of_one_template_seldom_meet(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 2).collect()} == comp
 
 
+def rows_of_joins(spark, since: int, meant) -> int:
+    """Rows that the joins whose text is meant have made in the executions from `since` on."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found, made = store.executionsList(since, 10_000), 0
+    for i in range(found.size()):
+        number = found.apply(i).executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if "Join" not in node.name() or not meant(node.desc()):
+                continue
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    made += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return made
+
+
+def test_a_large_group_meets_its_outsiders_once_a_member(spark):
+    """Members of a group of near copies come to those that are not linked with it by signature, not by bucket."""
+    base = prose(7000, 300).split(" ")
+    texts = [" ".join([*base[: 4 * i], f"own{i}", *base[4 * i + 1 :]]) for i in range(60)]
+    texts += [" ".join(f"out{k}x{i}" if i % 15 == 7 * k + 3 else w for i, w in enumerate(base)) for k in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    _, comp = brute_components(rows(df, "doc_id", "text"), 2)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 2).collect()} == comp
+    assert len(set(comp.values())) > 1
+    whole = rows_of_joins(spark, since, lambda text: "[key#" in text and "Inner" in text and "m_component" not in text)
+    assert whole + rows_of_joins(spark, since, lambda text: "[component#" in text and "LeftSemi" in text) <= 2 * minhash.COLUMNS * len(texts)
+
+
 def test_near_duplicates_edges(spark, empty):
     assert minhash.near_duplicates(empty, 2).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, "")], "doc_id long, text string")

@@ -106,11 +106,16 @@ def signatures(docs: DataFrame, width: int, columns: int = COLUMNS, rows: int =
     return docs.select("id", "known", "text").mapInPandas(each, schema)
 
 
+def by_column(classes: DataFrame, *own: str) -> DataFrame:
+    """The classes' columns `own` with side and h of each of their signatures, 2 * COLUMNS rows a class; equal signatures of one column have the same h."""
+    one = lambda side: F.transform(side, lambda v, i: F.struct(F.lit(side).alias("side"), i.alias("i"), v.alias("v")))
+    rows = classes.select(*own, F.explode(F.concat(one("left"), one("right"))).alias("c"))
+    return rows.select(*own, "c.side", F.xxhash64("c.side", "c.i", "c.v").alias("h"))
+
+
 def buckets(classes: DataFrame) -> DataFrame:
     """key, id, n_shingles of every bucket of two or more classes; buckets with the same members are kept once."""
-    one = lambda side: F.transform(side, lambda v, i: F.struct(F.lit(side).alias("side"), i.alias("i"), v.alias("v")))
-    columns = classes.select("id", "n_shingles", F.explode(F.concat(one("left"), one("right"))).alias("c")).select("id", "n_shingles", "c.*")
-    columns = columns.withColumn("h", F.xxhash64("side", "i", "v"))
+    columns = by_column(classes, "id", "n_shingles")
     shared = columns.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     held = columns.join(shared, "h", "left_semi").groupBy("id", "n_shingles").agg(  # at most 2 * COLUMNS rows a class
         F.collect_list(F.when(F.col("side") == "left", F.col("h"))).alias("left"), F.collect_list(F.when(F.col("side") == "right", F.col("h"))).alias("right")
@@ -253,6 +258,24 @@ def compare_blocks(groups: DataFrame, classes: DataFrame, docs: DataFrame, width
     return dealt(met.join(texts, "id")).mapInPandas(by_block(linked), "a long, b long")
 
 
+def within_reach(outside: DataFrame, found: DataFrame | None, classes: DataFrame) -> DataFrame:
+    """grp, id, n_shingles, component of the members of the main component of each group of outside(grp, id) that may share a bucket with one of those.
+
+    A bucket has a signature of either collection, so they share one of each with some of them. A member has 2 * COLUMNS rows here, once for
+    its component, and not one for each of its buckets that one from outside is in, of which there are up to COLUMNS ** 2.
+    """
+    mains = outside.select(F.col("grp").alias("component")).distinct()
+    ids = mains.select(F.col("component").alias("id"), "component")  # a component of one class isn't in found
+    if found is not None:
+        ids = ids.unionByName(found.join(mains, "component", "left_semi").select("id", "component")).distinct()
+    ids = written(ids, "mains")
+    signed = possible(ids.select("id").unionByName(outside.select("id")), "id")(classes).where("_possible").select("id", "n_shingles", "left", "right")
+    asked = by_column(outside.select("grp", "id").join(signed, "id"), "grp").select(F.col("grp").alias("component"), "h").distinct()
+    met = by_column(ids.join(signed, "id"), "component", "id", "n_shingles").join(asked, ["component", "h"], "left_semi")
+    both = met.groupBy("component", "id", "n_shingles").agg(F.count_distinct("side").alias("sides")).where("sides = 2")
+    return both.select(F.col("component").alias("grp"), "id", "n_shingles", "component")
+
+
 def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
     """id, component of the classes(id, n_shingles, left, right) that are linked with another; texts from docs(id, text)."""
     members = buckets(classes)
@@ -271,7 +294,9 @@ def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int) -> D
         leaders = written(leaders.select("key", F.bitwise_not("best.least").alias("leader"), "best.m_component", "best.m_shingles"), "leaders")  # so that the join on a hot key can be split
         met = held.join(leaders, "key")
         if turn == STAR_ROUNDS:
-            groups = met.select(F.col("m_component").alias("grp"), "id", "n_shingles", "component", F.col("m_component").alias("main")).distinct()
+            outside = met.where("component <> m_component").select(F.col("m_component").alias("grp"), "id", "n_shingles", "component").distinct()
+            outside = written(outside, "outside")
+            groups = outside.unionByName(within_reach(outside, found, classes)).withColumn("main", F.col("grp"))
             rest = written(compare_blocks(written(groups, "groups"), classes, docs, width, similarity), "links")
             return joined_components(found, rest)
         pairs = met.where("component <> m_component").where(near).groupBy(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).agg(F.min("leader").alias("leader"))
