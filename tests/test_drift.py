@@ -385,3 +385,67 @@ def test_keyed_fold_settles_and_tells_late_ids(spark, tmp_path):
     settled = [r for rows in run("settled", 0, [LOG[:2], [LOG[3]], [LOG[4], LOG[2]], [(6, "ADD COLUMN", "z", "int", None, None), LOG[1]]]) for r in rows]
     assert {(-1, 2)} <= {(r.ordinal, r.last_id) for r in settled if r.ordinal < 0} <= {(-1, 2), (-1, 3)}  # 4 may have settled before 3 came
     assert "spark.sql.streaming.noDataMicroBatches.enabled" not in {k for k, _ in spark.sparkContext.getConf().getAll()}
+
+
+class _State:
+    """A processor's handle with states in memory that counts the calls to them."""
+
+    def __init__(self, calls, kept=None):
+        self.calls, self.kept, self.timers = calls, {} if kept is None else kept, []
+
+    def getMapState(self, name, *_):
+        return _State(self.calls, self.kept.setdefault(name, {}))
+
+    getValueState = getMapState
+
+    def called(self, value=None):
+        self.calls.append(1)
+        return value
+
+    exists = lambda self: self.called(bool(self.kept))
+    get = lambda self: self.called(self.kept["v"])
+    update = lambda self, v: self.called(self.kept.update(v=v))
+    keys = lambda self: list(self.called(self.kept))
+    iterator = lambda self: list(self.called(self.kept).items())
+    getValue = lambda self, k: self.called(self.kept[k])
+    containsKey = lambda self, k: self.called(k in self.kept)
+    updateValue = lambda self, k, v: self.called(self.kept.__setitem__(k, v))
+    removeKey = lambda self, k: self.called(self.kept.pop(k))
+    listTimers = lambda self: self.timers
+    registerTimer = lambda self, t: self.timers.append(t)
+
+
+def test_keyed_fold_calls_the_state_for_chunks_of_events():
+    """Shuffled ids, repeats and settling in parts give the columns of a replay, with a few calls to the state for many events."""
+    import random
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from triplake.streaming import fold as keyed
+
+    rng, names = random.Random(5), ["a", "b", "c", "é\ud800", "d'"]
+    pick = lambda: rng.choice(names)
+    log = [(i, k, *((pick(), "int", None, None) if k == "ADD COLUMN" else (pick(), None, None, None) if k == "DROP COLUMN" else (None, None, pick(), pick()))) for i in range(20_000) for k in [rng.choice(["ADD COLUMN", "DROP COLUMN", "RENAME COLUMN"])]]
+    want: list[list] = []
+    live: dict[str, int] = {}
+    for e in log:
+        evolve.fold_column(want, live, e)
+    calls: list[int] = []
+    handle, fold = _State(calls), keyed.TableFold(100)
+    fold.init(handle)
+    at = lambda t: SimpleNamespace(getCurrentProcessingTimeInMs=lambda: t)
+    send = lambda t, rows: list(fold.handleInputRows(("t",), iter([pd.DataFrame(rows[a : a + 4_000], columns=keyed._EVENT) for a in range(0, len(rows), 4_000)]), at(t)))[-1]
+    first, second = [e for e in log[:9_000] if e[0] % 5], [e for e in log if e[0] % 5 == 0 or e[0] >= 9_000]
+    rng.shuffle(first)
+    rng.shuffle(second)
+    send(0, [*first, first[0]])
+    got = send(50, [*second, *first[:30]])
+    told = lambda df: [tuple(r) for r in df[["physical", "logical", "type", "active"]].itertuples(index=False)]
+    assert told(got) == [tuple(c[:4]) for c in want] and set(got["n_applied"]) == {20_000} and set(got["last_id"]) == {19_999}
+    list(fold.handleExpiredTimer(("t",), at(120), None))  # what came at 0 settles, with what is before it in order
+    last, n = handle.kept["settled"]["v"]
+    assert last == max(e[0] for e in first) and n == last + 1
+    got = send(130, [log[7]])
+    assert told(got[got["ordinal"] > 0]) == [tuple(c[:4]) for c in want] and got[got["ordinal"] < 0]["last_id"].tolist() == [7] and set(got["n_applied"]) == {20_000}
+    assert len(calls) - len(want) < 100
