@@ -115,3 +115,14 @@ def test_plan_of_the_entailed_graph(seed):
     plan = entailment.entailed_tables(seed)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(kind") == 1 and plan.count("hashpartitioning(s#") == 0
     assert mapping.triples(seed)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(key") == 7
+
+
+def test_parts_of_a_table_grow_in_number_not_in_size(spark, monkeypatch):
+    """Adaptive execution leaves the parts as they are, and repeats of a key still meet."""
+    monkeypatch.setattr(mapping, "VALUES", 100)
+    df = spark.range(200).selectExpr("CAST(id % 150 AS INT) AS penerima_id", "CAST(id AS STRING) AS nik", "'x' AS nama_lengkap")
+    (key, terms), *_ = [(k[2], t) for k, t in mapping.terms_by_subject({"penerima_manfaat": df}, mapping.MAPPINGS).items()]
+    rows = mapping.told(df, key, terms)
+    parts = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert rows.rdd.getNumPartitions() == -(-200 * len(terms) // 100) == 10 and max(r["count"] for r in parts) < 60
+    assert mapping.said_once(rows).count() == 150 * 3 + 200 * 2

@@ -14,6 +14,10 @@ from triplake.functions.scalars import ONTOLOGY, RDF_TYPE, RESOURCE, encoded, re
 SPARK_TYPE = {"xsd:string": "string", "xsd:integer": "bigint", "xsd:decimal": "decimal(38,2)", "xsd:date": "date", "xsd:boolean": "boolean", "xsd:dateTime": "timestamp", "xsd:double": "double", "xsd:float": "float"}
 
 
+#: Values of a part of a table's rows.
+VALUES = 1 << 19
+
+
 @dataclass(frozen=True)
 class Mapping:
     """How one source's rows become triples. literals: property, column, RDF type; links: property, kind and key column."""
@@ -96,11 +100,17 @@ def terms_by_subject(tables: dict[str, DataFrame], mappings: tuple[Mapping, ...]
     return found
 
 
+def dealt(rows: DataFrame, width: int, *by: str) -> DataFrame:
+    """rows dealt by columns into as many parts as keep a part at about VALUES values, `width` a row, whatever the input: adaptive execution doesn't join
+    parts of a given number, which it would up to a size of packed rows that are many times larger once they are taken apart."""
+    return rows.repartition(max(1, -(-rows.count() * width // VALUES)), *by)
+
+
 def told(df: DataFrame, key: str, terms: list[Term]) -> DataFrame:
     """key and v, each term's value as text, of the rows with a key. Rows are dealt by key: the one shuffle of a table's triples, and a narrow one."""
     value = lambda t: F.lit("") if t.cls else lexical(F.col(t.column), t.xsd) if t.xsd else F.col(t.column).cast("string")
     rows = df.where(F.col(key).isNotNull())
-    return rows.select(F.col(key).cast("string").alias("key"), F.array(*[value(t) for t in terms]).alias("v")).repartition("key")
+    return dealt(rows.select(F.col(key).cast("string").alias("key"), F.array(*[value(t) for t in terms]).alias("v")), len(terms), "key")
 
 
 def said_once(rows: DataFrame) -> DataFrame:
