@@ -113,3 +113,21 @@ def test_more_words_than_one_number_holds(monkeypatch):
     monkeypatch.setattr(phrases, "TOKENS", 1000)
     cut = Counts.union(list(phrases.occurrences(b"l", tokens)))
     assert whole.paths() == cut.paths() and (whole.weights == cut.weights).all()
+
+
+def test_work_of_a_cut_is_in_the_paths(monkeypatch):
+    """Whatever the number of ranges, no piece's letters are sought in the paths of the others."""
+    (own,) = phrases.occurrences(b"l", [b"%d" % (i * i % 97) for i in range(5000)])
+    seen, recoded = [], Counts._own
+    monkeypatch.setattr(Counts, "_own", lambda self, labels, weights: seen.append(len(labels)) or recoded(self, labels, weights))
+    bounds = own.paths()[50::50]
+    pieces = [piece for _, piece in phrases.cut(own, bounds)]
+    assert sum(seen) == len(own.labels) and len(pieces) == len(bounds) + 1
+    assert [p for piece in pieces for p in piece.paths()] == own.paths()
+
+
+def test_weights_beyond_32_bits():
+    """States of one last arc are shared by label and weight, whatever the weight."""
+    own = Counts.of([b"a", b"b", b"c"], np.array([[0, 0], [0, 1], [1, 1], [2, 1], [2, -1]], np.int32), np.array([1, 7, 1 << 40, 7, 3]))
+    back = Counts.unpack(own.pack())
+    assert back.paths() == own.paths() and back.weights.tolist() == own.weights.tolist()

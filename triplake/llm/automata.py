@@ -10,9 +10,14 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pandas as pd
 import zstandard
 
 
+def _steps(numbers: np.ndarray) -> np.ndarray:
+    return np.diff(numbers, prepend=0).astype(np.uint32)
+
+
 class Counts:
     """Sorted distinct paths over an alphabet, as arrays: labels (n, depth) with -1 beyond a path's end, and weights."""
 
@@ -22,13 +27,23 @@ class Counts:
     @staticmethod
     def of(alphabet: list[bytes], labels: np.ndarray, weights: np.ndarray) -> Counts:
         """From unsorted paths over a sorted alphabet; weights of equal paths are summed."""
-        # two labels make one number, so there are half as many sorts
-        wide = np.pad(labels, ((0, 0), (0, labels.shape[1] % 2)), constant_values=-1).astype(np.int64) + 1
-        order = np.lexsort([wide[:, d] << 32 | wide[:, d + 1] for d in range(wide.shape[1] - 2, -1, -2)])
-        labels, weights = labels[order], weights[order]
         if not len(labels):
             return Counts(alphabet, labels, weights)
-        first = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]).any(axis=1)]))
+        bits = len(alphabet).bit_length()
+        each = 63 // bits if bits else labels.shape[1]  # labels that make one number, so that there are fewer sorts
+        keys = []
+        for a in range(0, labels.shape[1], each):
+            key = np.zeros(len(labels), np.int64)
+            for d in range(a, min(a + each, labels.shape[1])):
+                key = key << bits | (labels[:, d] + 1)
+            keys.append(key)
+        order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+        labels, weights = labels[order], weights[order]
+        first = np.zeros(len(labels), bool)
+        first[0] = True
+        for key in keys:
+            first[1:] |= np.diff(key[order]) != 0
+        first = np.flatnonzero(first)
         return Counts(alphabet, labels[first], np.add.reduceat(weights, first))
 
     @staticmethod
@@ -38,18 +53,25 @@ class Counts:
         at = {w: i for i, w in enumerate(alphabet)}
         moved = []
         for p in parts:
-            to = np.array([*(at[w] for w in p.alphabet), -1], np.int32)  # -1, the end, stays -1
+            to = np.array([*map(at.__getitem__, p.alphabet), -1], np.int32)  # -1, the end, stays -1
             moved.append(to[p.labels])
         return Counts.of(alphabet, np.concatenate(moved), np.concatenate([p.weights for p in parts]))
 
     def where(self, kept: np.ndarray) -> Counts:
         """The paths marked, over the letters they use."""
-        labels = self.labels[kept]
-        used = np.unique(labels)
-        used = used[used >= 0]
-        to = np.full(len(self.alphabet) + 1, -1, np.int32)
-        to[used] = np.arange(len(used))
-        return Counts([self.alphabet[i] for i in used], to[labels], self.weights[kept])
+        return self._own(self.labels[kept], self.weights[kept])
+
+    def between(self, a: int, b: int) -> Counts:
+        """The paths from the a-th to before the b-th, over the letters they use; its work is in their number, not in that of all paths."""
+        return self._own(self.labels[a:b], self.weights[a:b])
+
+    def _own(self, labels: np.ndarray, weights: np.ndarray) -> Counts:
+        code, used = pd.factorize(labels.ravel(), sort=False)
+        order = np.argsort(used)
+        start = int(len(used) > 0 and used[order[0]] < 0)  # the end, -1, stays -1
+        to = np.empty(len(used), np.int32)
+        to[order] = np.arange(len(used)) - start
+        return Counts([self.alphabet[i] for i in used[order[start:]].tolist()], to[code].reshape(labels.shape), weights)
 
     def lengths(self) -> np.ndarray:
         return (self.labels >= 0).sum(axis=1)
@@ -80,47 +102,40 @@ class Counts:
 
     def pack(self) -> bytes:
         """The automaton, compressed: for each depth its arcs' labels, weights and numbers of arcs below; the last depth by shared states."""
-        depth = self.labels.shape[1]
+        depth, labels, lengths = self.labels.shape[1], self.labels, self.lengths()
         blocks = [b"\xff".join([b"", *self.alphabet])]  # a byte that UTF-8 does not have
-        keys = self.labels
+        same, number = np.ones(max(0, len(labels) - 1), bool), np.zeros(len(labels), np.int64)  # paths are sorted, so those on one arc are neighbours
         for d in range(depth):
-            reach = keys[:, d] >= 0  # paths with an arc at this depth
-            rows = np.flatnonzero(reach)
-            new = np.ones(len(rows), bool)
-            new[1:] = (keys[rows[1:], : d + 1] != keys[rows[:-1], : d + 1]).any(axis=1)
-            arcs = rows[new]
-            ends = self.lengths()[arcs] == d + 1  # the path ends with this arc: its weight is its own
-            above = np.zeros(len(arcs), bool)
-            above[1:] = (keys[arcs[1:], :d] == keys[arcs[:-1], :d]).all(axis=1)
-            label, weight, starts = keys[arcs, d].astype(np.uint32), np.where(ends, self.weights[arcs], 0).astype(np.uint64), np.flatnonzero(~above)
+            same = same & (labels[1:, d] == labels[:-1, d])
+            new = labels[:, d] >= 0  # the first path on an arc of this depth
+            new[1:] &= ~same
+            arcs = np.flatnonzero(new)
+            ends = lengths[arcs] == d + 1  # the path ends with this arc: its weight is its own
+            above = number[arcs]  # numbers of the arcs of depth d - 1 that lead here
+            first = np.ones(len(arcs), bool)
+            first[1:] = above[1:] != above[:-1]
+            label, weight, starts = labels[arcs, d].astype(np.uint32), np.where(ends, self.weights[arcs], 0).astype(np.uint64), np.flatnonzero(first)
             if d == depth - 1 and len(arcs):
                 fan = np.diff(np.append(starts, len(arcs)))
                 single = starts[fan == 1]
-                shared, which = np.unique(np.stack([label[single].astype(np.uint64), weight[single]], 1), axis=0, return_inverse=True)
+                kind, weights = pd.factorize(weight[single])
+                which, shared = pd.factorize(label[single].astype(np.int64) * len(weights) + kind)
                 many = np.ones(len(arcs), bool)
                 many[single] = False
                 state = np.zeros(len(starts), np.uint32)
-                state[fan == 1] = which.ravel()
+                state[fan == 1] = which
                 state[fan > 1] = len(shared) + np.arange((fan > 1).sum())
-                blocks += [a.tobytes() for a in (state, shared[:, 0].astype(np.uint32), shared[:, 1], label[many], weight[many], fan[fan > 1].astype(np.uint32))]
-                # and to which arc above each state belongs
-                blocks.append(self._parents(arcs[starts], d).tobytes())
+                one, one_weight = (shared // max(1, len(weights))).astype(np.uint32), weights[shared % max(1, len(weights))]
+                # last, to which arc above each state belongs, as steps from one to the next
+                blocks += [a.tobytes() for a in (state, one, one_weight, label[many], weight[many], fan[fan > 1].astype(np.uint32), _steps(above[starts]))]
             elif d == depth - 1:
                 blocks += [b""] * 7
             else:
-                blocks += [label.tobytes(), weight.tobytes(), (self._parents(arcs, d) if d else np.zeros(0, np.uint32)).tobytes()]
+                blocks += [label.tobytes(), weight.tobytes(), (_steps(above) if d else np.zeros(0, np.uint32)).tobytes()]
+            number = np.cumsum(new) - 1
         head = struct.pack(f"<II{len(blocks)}Q", depth, len(blocks), *map(len, blocks))
         return zstandard.compress(head + b"".join(blocks), 1)
 
-    def _parents(self, rows: np.ndarray, d: int) -> np.ndarray:
-        """Numbers, among the arcs of depth d - 1, of the arcs that lead to the given rows, as steps from one to the next."""
-        reach = np.flatnonzero(self.labels[:, d - 1] >= 0)
-        new = np.ones(len(reach), bool)
-        new[1:] = (self.labels[reach[1:], :d] != self.labels[reach[:-1], :d]).any(axis=1)
-        number = np.zeros(len(self.labels), np.int64)
-        number[reach] = np.cumsum(new) - 1
-        return np.diff(number[rows], prepend=0).astype(np.uint32)
-
     @staticmethod
     def unpack(packed: bytes, ordered: bool = True) -> Counts:
         """What pack() was given; unordered, the paths may only go into a union."""

@@ -72,20 +72,22 @@ def _counted(lang: bytes, tokens: list[bytes], starts: int) -> Iterator[Counts]:
     key = np.sort(key[code[:starts] > 0])
     if not len(key):
         return
-    paths, weights = [np.array([[at[lang] - 1] + [-1] * WORDS], np.int32)], [np.array([len(key)])]
+    keys, weights = [], []
     for k in range(1, WORDS + 1):
-        prefix = key >> bits * (WORDS - k)
+        below = bits * (WORDS - k)
+        prefix = key >> below
         prefix = prefix[prefix & ((1 << bits) - 1) > 0]  # phrases of k words at least
-        if not len(prefix):
-            break
-        first = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
-        own = np.full((len(first), WORDS + 1), -1, np.int32)
-        own[:, 0] = at[lang] - 1
-        for j in range(k):
-            own[:, 1 + j] = (prefix[first] >> bits * (k - 1 - j) & ((1 << bits) - 1)) - 1
-        paths.append(own)
+        first = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]])) if len(prefix) else np.zeros(0, np.int64)
+        keys.append(prefix[first] << below)  # sorts before its extensions
         weights.append(np.diff(np.append(first, len(prefix))))
-    yield Counts.of(alphabet, np.concatenate(paths), np.concatenate(weights))
+    paths = np.concatenate(keys)
+    order = np.argsort(paths, kind="stable")
+    paths = paths[order]
+    labels = np.full((len(paths) + 1, WORDS + 1), -1, np.int32)
+    labels[:, 0] = at[lang] - 1
+    for j in range(WORDS):
+        labels[1:, 1 + j] = (paths >> bits * (WORDS - 1 - j) & ((1 << bits) - 1)) - 1
+    yield Counts(alphabet, labels, np.concatenate([[len(key)], np.concatenate(weights)[order]]))
 
 
 def range_of(path: tuple[bytes, ...], bounds: list[tuple[bytes, ...]]) -> int:
@@ -99,9 +101,7 @@ def cut(counts: Counts, bounds: list[tuple[bytes, ...]]) -> Iterator[tuple[int,
     ends = [bisect_left(range(len(counts.labels)), b, key=path) for b in bounds[low:high]]
     for i, (a, b) in enumerate(zip([0, *ends], [*ends, len(counts.labels)], strict=True)):
         if b > a:
-            kept = np.zeros(len(counts.labels), bool)
-            kept[a:b] = True
-            yield low + i, counts.where(kept)
+            yield low + i, counts.between(a, b)
 
 
 def boundaries(docs: DataFrame) -> list[tuple[bytes, ...]]:
