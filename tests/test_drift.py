@@ -301,6 +301,20 @@ def test_repeated_keys_and_odd_numbers(spark):
     assert {r.value for r in changes.decoded(df)[1].collect()} == set(texts[3:])
 
 
+def test_micro_batches_are_bounded(spark, tmp_path):
+    """What waits is taken in micro-batches of bounded size, with the outcomes of a single one."""
+    from triplake.sources.federation import change_stream
+
+    folder, ddl = str(tmp_path / "in"), "ALTER TABLE x.master_wilayah DROP COLUMN pos"
+    for part in range(4):  # ids 0 to 79 and, from the second file on, the ten before again
+        rows = [json.dumps({"id": i, "ddl_command": ddl, "is_regulated": 1}) for i in range(max(0, 20 * part - 10), 20 * part + 20)]
+        spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.mode("append").text(folder)
+    changes.run_stream(change_stream(spark, folder=folder, size=2000), changes.into(str(tmp_path / "out")), str(tmp_path / "ck")).awaitTermination()
+    told = changes.manifests(spark, str(tmp_path / "out")).collect()
+    assert len(told) > 1 and max(r.received for r in told) <= 30
+    assert (sum(r.planned for r in told), sum(r.repeated for r in told)) == (80, 30)
+
+
 def test_events_without_an_id_are_kept(spark, tmp_path):
     """ADD, DROP, ADD of one column, flat and without ids: the column is there at the end. Repeats with an id go."""
     from triplake.sources.federation import change_stream
