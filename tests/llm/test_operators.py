@@ -889,6 +889,93 @@ def test_scores_against_brute_force(spark, docs, monkeypatch, n_top, rare, most)
         assert math.isclose(sum(math.exp(log_p(x, y, z)) for z in [*n, None, *unknown.values()]), 1, rel_tol=1e-9)
 
 
+def every_word_model(pairs, n_top, rare):
+    """brute_model with every frequent word a context of the next class: (the log of the next word after two, hashes of its retained words, of its retained pairs)."""
+    log_p, n, _ = brute_model(pairs, n_top, rare)
+    code = dict(zip(n, suffix_tree.word_hashes(list(n)).view(np.int64).tolist(), strict=True))
+    top = set(sorted(n, key=lambda w: (-n[w], code[w]))[:n_top])
+    frequent = lambda w: w in top or n[w] >= rare
+    kind = lambda w: w if w is None or w in top else suffix_tree.letter_class(w)
+    unknown = {}
+    for w in [bytes([c]) * k for c in range(33, 255) for k in (1, 9)]:
+        if w not in n and not bytes([w[0]]).isspace():
+            unknown.setdefault(suffix_tree.letter_class(w), w)
+    never = b"\xff"  # its class is in no text
+    assert not any(suffix_tree.letter_class(w) == suffix_tree.letter_class(never) for w in n)
+    stand = lambda w: w if w is None or w in top else unknown[kind(w)]
+    members = defaultdict(list)
+    for w in n:
+        if w not in top:
+            members[kind(w)].append(w)
+
+    def part(w):
+        """Of its class."""
+        own = members[kind(w)] if w is not None and w not in top else None
+        return (n[w] or len(own)) / (sum(n[x] for x in own) + len(own)) if own else 1.0
+
+    def second(w):
+        """A rare word's part of its class's rare ones."""
+        own = members[kind(w)] if w is not None and not frequent(w) else None
+        return (n[w] or len(own)) / (sum(n[x] for x in own if not frequent(x)) + len(own)) if own else 1.0
+
+    single, pair = defaultdict(Counter), defaultdict(Counter)
+    some = {}
+    for d, t in pairs:
+        ws = (t or "").encode().lower().split()
+        for x, y, z in zip([None, *ws], ws, [*ws[1:], None], strict=False) if zlib.crc32(str(d).encode()) % 7 != 2 else []:
+            if frequent(y):
+                some[kind(z)] = z
+                single[y][kind(z)] += 1
+                if x is not None and not frequent(x):
+                    name = z if z is None or frequent(z) else ("c", kind(z))
+                    some[name] = z
+                    pair[x, y][name] += 1
+
+    def retained(counts, below):
+        total, kinds = sum(counts.values()), len(counts)
+        gain = sum(v * (math.log((v - 1 + kinds * below(c)) / (total - 1 + kinds)) - math.log(below(c))) for c, v in counts.items())
+        return total > 1 and gain > kinds * math.log(total) / 2
+
+    mixed = lambda counts, c, below: (counts[c] + len(counts) * below) / (sum(counts.values()) + len(counts))
+    one = lambda y, z: math.exp(log_p(never, stand(y), z)) / part(z)
+    kept = {y for y, counts in single.items() if y not in top and retained(counts, lambda c, y=y: one(y, some[c]))}
+    lower = lambda x, y, z: mixed(single[y], kind(z), one(y, z)) * part(z) if y in kept else math.exp(log_p(stand(x), stand(y), z))
+    both = {h for h, counts in pair.items() if retained(counts, lambda c, h=h: lower(*h, some[c]) / second(some[c]))}
+
+    def whole(x, y, z):
+        if y is None or not frequent(y):
+            return log_p(x, y, z)
+        if (x, y) in both:
+            return math.log(mixed(pair[x, y], z if z is None or frequent(z) else ("c", kind(z)), lower(x, y, z) / second(z)) * second(z))
+        return math.log(lower(x, y, z))
+
+    return whole, kept, both
+
+
+def test_every_word_is_a_context(spark, docs, monkeypatch):
+    """Also frequent words that are no class of their own; and what is broadcast of them changes no score."""
+    monkeypatch.setattr(suffix_tree, "TOP", 4)
+    monkeypatch.setattr(suffix_tree, "RARE", 4)
+    rng = random.Random(5)
+    # a frequent word tells the next one, which its class doesn't; after a rare word too
+    made = [(800 + i, " ".join(rng.choice(("bold red", "cold blue", "told green", f"mold{i % 9} sold gray")) for _ in range(60))) for i in range(12)]
+    df = docs.where("doc_id <> 305").select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    pairs = rows(df, "doc_id", "text")
+    whole, kept, both = every_word_model(pairs, 4, 4)
+    assert kept and both
+    text = dict(pairs)
+    got = scored(df)
+    assert len(got) == len(pairs)
+    for r in got:
+        path = [None, None, *(text[r.doc_id] or "").encode().lower().split(), None]
+        want = sum(whole(*t) for t in zip(path, path[1:], path[2:], strict=False)) / math.log(10)
+        assert math.isclose(r.score, want, abs_tol=r.n_tokens * suffix_tree.STEP / 3), (r, want)
+    key = lambda r: (r.doc_id, r.n_tokens)
+    for bounds in ({"hold": 3}, {"entries": 9}, {"hold": 20, "entries": 30}, {"hold": 0}):
+        for r, other in zip(sorted(got, key=key), sorted(scored(df, **bounds), key=key), strict=True):
+            assert r[:5] == other[:5] and math.isclose(r.base_score, other.base_score, rel_tol=1e-9) and math.isclose(r.score, other.score, rel_tol=1e-9), (bounds, r, other)
+
+
 def test_documents_that_occur_twice_score_apart(spark):
     """A model of the whole corpus tells a training document that occurs twice from those that occur once."""
     rng = random.Random(4)
