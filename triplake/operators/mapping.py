@@ -102,8 +102,8 @@ def terms_by_subject(tables: dict[str, DataFrame], mappings: tuple[Mapping, ...]
 
 def dealt(rows: DataFrame, width: int, *by: str) -> DataFrame:
     """rows dealt by columns into as many parts as keep a part at about VALUES values, `width` a row, whatever the input: adaptive execution doesn't join
-    parts of a given number, which it would up to a size of packed rows that are many times larger once they are taken apart."""
-    return rows.repartition(max(1, -(-rows.count() * width // VALUES)), *by)
+    parts of a given number, which it would up to a size of packed rows that are many times larger once they are taken apart. Two at least: Spark deals one part by no key."""
+    return rows.repartition(max(2, -(-rows.count() * width // VALUES)), *by)
 
 
 def told(df: DataFrame, key: str, terms: list[Term]) -> DataFrame:
