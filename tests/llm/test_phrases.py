@@ -131,3 +131,26 @@ def test_weights_beyond_32_bits():
     own = Counts.of([b"a", b"b", b"c"], np.array([[0, 0], [0, 1], [1, 1], [2, 1], [2, -1]], np.int32), np.array([1, 7, 1 << 40, 7, 3]))
     back = Counts.unpack(own.pack())
     assert back.paths() == own.paths() and back.weights.tolist() == own.weights.tolist()
+
+
+def test_the_driver_gets_boundaries_alone(spark, rows, monkeypatch):
+    """The sample, however large, is cut where it lies; a long word doesn't come whole."""
+    df = spark.createDataFrame([*rows, *[("en", "x" * 5000 + f" y{i}") for i in range(40)]], "lang string, text string").na.fill({"lang": "und", "text": ""})
+    paths = []
+    for lang, text in df.collect():
+        tokens = [t for t in phrases.words(text.encode()) if t]
+        for i in {int(x) for x in np.linspace(0, len(tokens) - 1, phrases.SAMPLED_PHRASES)} if tokens else ():
+            own = tokens[i : i + 3]
+            own = own[: own.index(phrases.BREAK)] if phrases.BREAK in own else own
+            paths += [(lang.encode(), *[w[: phrases.LETTERS] for w in own])] if own else []
+    paths.sort()
+    size = sum(len(r.text.encode()) for r in df.collect())
+    got, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: got.append(collect(self)) or got[-1])
+    for n in (2, 7, 50, size // 100):
+        got.clear()
+        monkeypatch.setattr(phrases, "RANGE", -(-size // n))
+        n = -(-size // phrases.RANGE)
+        bounds = phrases.boundaries(df)
+        assert bounds == sorted({paths[len(paths) * i // n] for i in range(1, n)}) and len(bounds) > n // 3
+        assert max(map(len, got)) <= n and max(len(w) for p in bounds for w in p) <= phrases.LETTERS

@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from triplake.llm.automata import Counts
+from triplake.llm.prefix import prefix_sums
 from triplake.llm.shared import clean, utf8_size, written
 
 WORDS, LEAST, TOP = 3, 10, 2000
@@ -31,6 +32,8 @@ WORDS, LEAST, TOP = 3, 10, 2000
 SHARD, RANGE = 8 << 20, 4 << 20
 #: Sampled documents, at least and for each range, and phrases of each of them: for the boundaries of ranges.
 SAMPLED, SAMPLED_EACH, SAMPLED_PHRASES = 2000, 16, 64
+#: Of the sample; bytes of a word that a boundary keeps.
+SEED, LETTERS = 13, 256
 #: Most tokens that are sorted together.
 TOKENS = 1 << 21
 BREAK = b"\xff"
@@ -105,13 +108,15 @@ def cut(counts: Counts, bounds: list[tuple[bytes, ...]]) -> Iterator[tuple[int,
 
 
 def boundaries(docs: DataFrame) -> list[tuple[bytes, ...]]:
-    """Sorted paths that cut the phrases of docs(lang, text) into ranges of about equal size, one for each RANGE bytes of text."""
+    """Sorted paths that cut the phrases of docs(lang, text) into ranges of about equal size, one for each RANGE bytes of text.
+
+    The sample is sorted and counted where it lies; the driver gets the boundaries alone. Long words are cut in them, which moves a boundary a little, but no phrase.
+    """
     n, size = docs.select(F.count("*"), F.sum(utf8_size(F.col("text")))).first()
     n_ranges = -(-(size or 0) // RANGE)
     if n_ranges < 2:
         return []
-    share = min(1.0, max(SAMPLED, SAMPLED_EACH * n_ranges) / n)
-    few = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    few = docs.sample(min(1.0, max(SAMPLED, SAMPLED_EACH * n_ranges) / n), SEED)
 
     def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -121,12 +126,17 @@ def boundaries(docs: DataFrame) -> list[tuple[bytes, ...]]:
                 for i in np.unique(np.linspace(0, len(tokens) - 1, SAMPLED_PHRASES).astype(int)) if tokens else []:
                     own = tokens[i : i + WORDS]
                     own = own[: own.index(BREAK)] if BREAK in own else own
-                    out += [[lang.encode("utf-8", "surrogatepass"), *own]] if own else []
+                    out += [[lang.encode("utf-8", "surrogatepass"), *[w[:LETTERS] for w in own]]] if own else []
             if out:
                 yield pd.DataFrame({"path": out})
 
-    found = sorted(tuple(map(bytes, r[0])) for r in few.mapInPandas(phrases, "path array<binary>").collect())  # SAMPLED_PHRASES for each sampled document
-    return sorted({found[len(found) * i // n_ranges] for i in range(1, n_ranges)}) if found else []
+    found = written(few.mapInPandas(phrases, "path array<binary>").groupBy("path").agg(F.count("*").alias("times")), "sample")  # a frequent path is one row
+    total = found.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    placed = prefix_sums(found, ["path"], {"times": "before"}, [], "sorted-sample")
+    # the path at each place total * i / n_ranges, i from 1
+    shares = lambda place: F.expr(f"(({place}) * {n_ranges}L + {max(0, total - 1)}L) div {max(1, total)}L")
+    rows = placed.where(shares("before + times") > F.greatest(shares("before"), F.lit(1))).select("path").collect()  # one for each range at most
+    return sorted(tuple(map(bytes, r[0])) for r in rows)
 
 
 def counted(docs: DataFrame, bounds: list, least: int = LEAST) -> DataFrame:
