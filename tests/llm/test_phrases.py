@@ -154,3 +154,21 @@ def test_the_driver_gets_boundaries_alone(spark, rows, monkeypatch):
         bounds = phrases.boundaries(df)
         assert bounds == sorted({paths[len(paths) * i // n] for i in range(1, n)}) and len(bounds) > n // 3
         assert max(map(len, got)) <= n and max(len(w) for p in bounds for w in p) <= phrases.LETTERS
+
+
+@pytest.mark.parametrize("fan", [1, 3, 16])
+def test_pieces_grow_with_the_text(spark, rows, monkeypatch, fan):
+    """A shard is cut into few pieces however many ranges there are, and a task's pieces come in few batches."""
+    monkeypatch.setattr(phrases, "RANGE", 700)
+    monkeypatch.setattr(phrases, "SHARD", 2000)
+    monkeypatch.setattr(phrases, "FAN", fan)
+    assert run(spark, rows, least=4, top=7) == brute(rows, 4, 7)
+    df = spark.createDataFrame(rows, "lang string, text string").na.fill({"lang": "und", "text": ""})
+    bounds, cut = phrases.boundaries(df), phrases.cut
+    assert len(bounds) > 30
+    whole = [p for (p,) in phrases.counted(df, [], 1).select("packed").collect()]
+    split = {r: Counts.unpack(p) for r, p in phrases.counted(df, bounds, 1).collect()}
+    assert [p for r in sorted(split) for p in split[r].paths()] == [p for c in whole for p in Counts.unpack(c).paths()]
+    assert all(phrases.range_of(p, bounds) == r for r, c in split.items() for p in c.paths())
+    wide = bounds[-(-(len(bounds) + 1) // fan) - 1 :: -(-(len(bounds) + 1) // fan)]
+    assert len(wide) < fan and [r for r, _ in cut(Counts.unpack(whole[0]), wide)] == list(range(len(wide) + 1))

@@ -15,10 +15,11 @@ empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ SHARD, RANGE = 8 << 20, 4 << 20
 SAMPLED, SAMPLED_EACH, SAMPLED_PHRASES = 2000, 16, 64
 #: Of the sample; bytes of a word that a boundary keeps.
 SEED, LETTERS = 13, 256
+#: Ranges that counts are cut into at once. Of more, neighbours go together, and are cut once the pieces of many shards are united: else there would be a piece for each shard and range.
+FAN = 256
 #: Most tokens that are sorted together.
 TOKENS = 1 << 21
 BREAK = b"\xff"
@@ -142,16 +145,16 @@ def boundaries(docs: DataFrame) -> list[tuple[bytes, ...]]:
 def counted(docs: DataFrame, bounds: list, least: int = LEAST) -> DataFrame:
     """range and packed: for each prefix range of docs(lang, text) the automaton of its phrases that occur `least` times, and of languages."""
     held = docs.sparkSession.sparkContext.broadcast(bounds)
+    span = -(-(len(bounds) + 1) // FAN)  # ranges that go together at first; as many turns share their pieces, so that a group is about RANGE bytes of text
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts: dict[str, list[bytes]] = {}
-        size = 0
+        size, turn, wide = 0, TaskContext.get().partitionId(), held.value[span - 1 :: span]
 
         def flush() -> Iterator[pd.DataFrame]:
             for lang, own in texts.items():
                 for counts in occurrences(lang.encode("utf-8", "surrogatepass"), words(BREAK.join(own))):
-                    for r, piece in cut(counts, held.value):
-                        yield pd.DataFrame({"range": [r], "packed": [piece.pack()]})
+                    yield packed(cut(counts, wide)).assign(turn=turn % span)
             texts.clear()
 
         for pdf in batches:
@@ -161,15 +164,26 @@ def counted(docs: DataFrame, bounds: list, least: int = LEAST) -> DataFrame:
                 size += len(raw)
                 if size > SHARD:
                     yield from flush()
-                    size = 0
+                    size, turn = 0, turn + 1
         yield from flush()
 
+    def packed(pieces: Iterable[tuple[int, Counts]]) -> pd.DataFrame:
+        rows = [(r, piece.pack()) for r, piece in pieces]
+        return pd.DataFrame({"range": [r for r, _ in rows], "packed": [p for _, p in rows]})
+
+    def union(pdf: pd.DataFrame) -> Counts:
+        return Counts.union([Counts.unpack(p, ordered=False) for p in pdf["packed"]])
+
+    def cut_again(pdf: pd.DataFrame) -> pd.DataFrame:
+        return packed(cut(union(pdf), held.value))
+
     def united(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = Counts.union([Counts.unpack(p, ordered=False) for p in pdf["packed"]])
-        counts = counts.where((counts.weights >= least) | (counts.lengths() == 1))
-        return pd.DataFrame({"range": [key[0]], "packed": [counts.pack()]})
+        counts = union(pdf)
+        return packed([(key[0], counts.where((counts.weights >= least) | (counts.lengths() == 1)))])
 
-    pieces = docs.mapInPandas(shards, "range int, packed binary")
+    pieces = docs.mapInPandas(shards, "range int, packed binary, turn int")
+    if span > 1:
+        pieces = pieces.groupBy("range", "turn").applyInPandas(cut_again, "range int, packed binary")
     return written(pieces.groupBy("range").applyInPandas(united, "range int, packed binary"), "counts")
 
 
