@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
-from triplake.llm import decontam, extraction, lines, minhash, mixing, quality, sharding, suffix_tree, tokens, warc
+from triplake.llm import decontam, extraction, lines, minhash, mixing, quality, sharding, shared, suffix_tree, tokens, warc
 from triplake.llm.components import components
 from triplake.llm.shared import table
 
@@ -1090,3 +1090,15 @@ def test_operators_on_long_and_odd_tables(spark, clashing):
     assert [df.count() for df in found] == [n] * len(found)
     pages = clashing.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"), "digest", "size", "kept")
     assert extraction.extract(pages).count() == warc.round_trip(pages).count() == n
+
+
+def test_texts_reach_python_few_at_a_time(spark, docs, monkeypatch):
+    """In every pass of op10 over the texts, and not beyond it."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before, written = spark.conf.get(name), suffix_tree.written
+    monkeypatch.setattr(suffix_tree, "written", lambda df, called: seen.update({called: spark.conf.get(name)}) or written(df, called))
+    assert len(scored(docs)) == docs.count()
+    assert seen == dict.fromkeys(["word-counts", "class-counts", "word-states", "scores"], "512") and spark.conf.get(name) == before
+    with shared.few_at_once(spark, 100):
+        sizes = shared.written(spark.range(0, 1050, 1, 1).mapInPandas(lambda batches: (b.head(1).assign(id=len(b)) for b in batches), "id long"), "sizes")
+    assert sorted(r.id for r in sizes.collect()) == [50] + [100] * 10

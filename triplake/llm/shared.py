@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,18 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def few_at_once(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Actions inside hand so many rows at once to Python: 10,000 whole texts, Spark's usual batch, are tens of MB, held several times by the JVM and by a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def utf8_size(text: Column) -> Column:
     """Bytes of the text in UTF-8; 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from triplake.llm.lookup import matched
-from triplake.llm.shared import NO_ID, clean, mixed, runs, sums, word_hashes, written
+from triplake.llm.shared import NO_ID, clean, few_at_once, mixed, runs, sums, word_hashes, written
 
 BITS = 8
 SIZE = 1 << BITS
@@ -178,7 +178,8 @@ def steps(p: np.ndarray) -> np.ndarray:
 def class_tree(training: DataFrame, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Minus the natural logs of each class's probability after each one class, and after each two, in STEPs: arrays by code of SIZE ** 2
     and SIZE ** 3 numbers of two bytes."""
-    codes = written(class_counts(training, top), "class-counts")
+    with few_at_once(training.sparkSession):
+        codes = written(class_counts(training, top), "class-counts")
     pairs = np.zeros(SIZE * SIZE)
     for code, n in codes.groupBy(F.col("code").bitwiseAND(F.lit(SIZE * SIZE - 1)).alias("code")).agg(F.sum("n")).collect():  # at most SIZE ** 2
         pairs[code] = n
@@ -320,7 +321,8 @@ def scores(docs: DataFrame, held_out: Column, most: int | None = None, hold: int
                 yield pd.DataFrame({"h": found, "kind": classes, "n": np.bincount(code, minlength=len(found))})
 
     words = training.select("text").mapInPandas(count, "h long, kind long, n long").groupBy("h").agg(F.sum("n").alias("n"), F.min("kind").alias("kind"))
-    words = written(words.withColumn("v", F.col("n").cast("double")), "word-counts")
+    with few_at_once(spark):
+        words = written(words.withColumn("v", F.col("n").cast("double")), "word-counts")
     n_words, n_kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_ends = training.count()
     n_train, kinds = n_words + n_ends, n_kinds + (n_ends > 0)
@@ -334,7 +336,8 @@ def scores(docs: DataFrame, held_out: Column, most: int | None = None, hold: int
     one, two = class_tree(training, top)
     hashes = spark.sparkContext.broadcast(np.sort(hot))
     after = counts_after(training if not most else training.limit(0), top, hashes, spread)
-    states = written(word_states(after, words, one), "word-states")
+    with few_at_once(spark):
+        states = written(word_states(after, words, one), "word-states")
     is_near = commonest(states, F.col("kinds"), entries) & is_held
     found = states.where(is_near).select("h", "state").toArrow()  # at most `entries` numbers
     table = word_table(hot, times, found["h"].to_numpy(), found["state"].to_pylist())
@@ -409,7 +412,8 @@ def scores(docs: DataFrame, held_out: Column, most: int | None = None, hold: int
 
     schema = "row long, id long, h long, context long, next long, times long, train boolean, shallow double, deep double, share double, missing double, n long, n_known long, base double, score double"
     told = rows.select("row", "id", "text", "held", *(["words", "counts", "states"] if spread else [])).mapInPandas(each, schema).repartition("h")
-    summed = written(scored(told).groupBy("row").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("n", "n_known", "base", "score")]), "scores")
+    with few_at_once(spark):
+        summed = written(scored(told).groupBy("row").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("n", "n_known", "base", "score")]), "scores")
     shared.destroy()  # 32 MB, and what was scored is stored
     token = F.col("n") + 1
     return summed.withColumn("doc_id", F.nullif("id", F.lit(NO_ID))).select(
