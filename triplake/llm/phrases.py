@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from triplake.llm.automata import Counts
 from triplake.llm.prefix import prefix_sums
-from triplake.llm.shared import clean, utf8_size, written
+from triplake.llm.shared import clean, few_at_once, utf8_size, written
 
 WORDS, LEAST, TOP = 3, 10, 2000
 #: Bytes of text that a task counts at a time, and for each prefix range.
@@ -184,7 +184,8 @@ def counted(docs: DataFrame, bounds: list, least: int = LEAST) -> DataFrame:
     pieces = docs.mapInPandas(shards, "range int, packed binary, turn int")
     if span > 1:
         pieces = pieces.groupBy("range", "turn").applyInPandas(cut_again, "range int, packed binary")
-    return written(pieces.groupBy("range").applyInPandas(united, "range int, packed binary"), "counts")
+    with few_at_once(docs.sparkSession):
+        return written(pieces.groupBy("range").applyInPandas(united, "range int, packed binary"), "counts")
 
 
 def listed(automata: DataFrame) -> DataFrame:
